@@ -14,6 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,7 +125,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
         def f(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = batch.column(text_col).fill_null("")
             n = np.array(count(texts.to_pylist()), dtype=np.int64)
-            return [pa.compute.binary_length(texts.cast(pa.large_binary())).cast(pa.int64()), pa.array(n), pa.array(n > limit)]
+            return [pc.binary_length(texts.cast(pa.large_binary())).cast(pa.int64()), pa.array(n), pa.array(n > limit)]
 
         return f
 
