@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import byte_bpe, language_id, packing, secret_scan, token_counts, url_filters
+from ridgeline.llm import byte_bpe, embedding_dedup, language_id, packing, secret_scan, token_counts, topk_search, url_filters
 from ridgeline.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op3(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.op5(table(spark, sf_dir, "embeddings"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op6(table(spark, sf_dir, "documents"))
 
@@ -35,8 +39,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op8(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.op9(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_language_id, op6_secret_scans, op7_byte_bpe, op8_packing)
+    f.__name__: f for f in (
+        op1_token_counts,
+        op2_url_filters,
+        op3_language_id,
+        op5_embedding_dedup,
+        op6_secret_scans,
+        op7_byte_bpe,
+        op8_packing,
+        op9_topk_search,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filters": url_filters.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": url_filters.SQL,
+    "op5_embedding_dedup": embedding_dedup.SQL,
+    "op9_topk_search": topk_search.SQL,
+}
