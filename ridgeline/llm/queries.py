@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import byte_bpe, embedding_dedup, language_id, packing, secret_scan, token_counts, topk_search, url_filters
+from ridgeline.llm import byte_bpe, embedding_dedup, language_id, minhash_dedup, packing, secret_scan, token_counts, topk_search, url_filters
 from ridgeline.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.op9(table(spark, sf_dir, "embeddings"))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.op10(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts,
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_byte_bpe,
         op8_packing,
         op9_topk_search,
+        op10_minhash_dedup,
     )
 }
 
