@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import byte_bpe, embedding_dedup, language_id, minhash_dedup, packing, secret_scan, token_counts, topk_search, url_filters
+from ridgeline.llm import byte_bpe, embedding_dedup, language_id, minhash_dedup, packing, secret_scan, suffix_dedup, token_counts, topk_search, url_filters
 from ridgeline.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op4(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.op5(table(spark, sf_dir, "embeddings"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_token_counts,
         op2_url_filters,
         op3_language_id,
+        op4_suffix_dedup,
         op5_embedding_dedup,
         op6_secret_scans,
         op7_byte_bpe,
