@@ -258,9 +258,24 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str =
     return append_columns(encoded, {out: T.BinaryType()}, make)
 
 
+def round_trip(docs: DataFrame, ranks_path: str, text_col: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """encode() and decode() in one pass, so that a task needs one Python worker; the text is not passed on."""
+
+    def make():
+        pool = Pool(vocabulary(ranks_path))
+
+        def f(batch: pa.RecordBatch) -> list[pa.Array]:
+            found = encode_batch(pool, batch.column(text_col).fill_null("").to_pylist())
+            return [found, decode_batch(pool.vocab, found)]
+
+        return f
+
+    return append_columns(docs, {ids: T.ArrayType(T.IntegerType(), True), out: T.BinaryType()}, make, drop=[text_col])
+
+
 def op7(docs: DataFrame, ranks_path: str) -> DataFrame:
     """The digest query: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs.select("doc_id", "text"), ranks_path).drop("text"), ranks_path)
+    both = round_trip(docs.select("doc_id", "text"), ranks_path)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -35,6 +35,14 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def slices(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about `most` bytes, so that what is made of a part stays small beside the batch itself."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most // max(batch.nbytes, 1))
+        for k in range(0, batch.num_rows, step):
+            yield batch.slice(k, step)
+
+
 def append_columns(
     df: DataFrame,
     columns: dict[str, T.DataType],
@@ -52,7 +60,7 @@ def append_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + f(batch), names)
 
