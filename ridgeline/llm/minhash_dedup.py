@@ -13,14 +13,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.llm.common import append_columns, components, stage_table
-from ridgeline.llm.words import ODD, mix, shingle_hashes, text_bytes
+from ridgeline.llm.words import ODD, mix, shingle_hashes, shingles_of, text_bytes
 
 TO_UNIT = 2.0**-53
+BLOCK = 64
 
 
 def step(cell: int, turn: int) -> np.uint64:
@@ -66,11 +67,11 @@ def signatures(elements: np.ndarray, owner: np.ndarray, sets: int, k: int, weigh
         mine = np.isin(owner, todo) if len(todo) < sets else slice(None)
         who, coordinate, at, prints = throw(elements[mine], owner[mine], None if weights is None else weights[mine], height, k)
         slot = who * k + coordinate
-        order = np.lexsort((prints, at, slot))
-        slot = slot[order]
-        first = np.concatenate(([True], slot[1:] != slot[:-1])) if len(slot) else np.empty(0, bool)
-        out.ravel()[slot[first]] = prints[order][first]
-        filled = np.bincount(slot[first] // k, minlength=sets)
+        lowest = np.full(sets * k, np.inf)
+        np.minimum.at(lowest, slot, at)
+        first = at == lowest[slot]
+        out.ravel()[slot[first]] = prints[first]
+        filled = (lowest.reshape(sets, k) < np.inf).sum(axis=1)
         todo = todo[filled[todo] < k]
         height[todo] *= 2
     return out
@@ -78,17 +79,12 @@ def signatures(elements: np.ndarray, owner: np.ndarray, sets: int, k: int, weigh
 
 def sign_batch(texts: list[str | None], shingle: int, k: int, bands: int, counted: bool) -> np.ndarray:
     """The band hashes of each text; 0 rows (no band) for texts without words are told apart by the second result."""
-    parts, rows = [], []
-    for i, t in enumerate(texts):
-        h = shingle_hashes(text_bytes(t), shingle)
-        if len(h):
-            parts.append(h)
-            rows.append(i)
+    elements, text_of = shingles_of(texts, shingle)
     out = np.zeros((len(texts), bands), dtype=np.int64)
+    rows, owner = np.unique(text_of, return_inverse=True)
     has = np.zeros(len(texts), dtype=bool)
-    if rows:
-        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        elements, weights = np.concatenate(parts), None
+    if len(rows):
+        weights = None
         if counted:
             order = np.lexsort((elements, owner))
             elements, owner = elements[order], owner[order]
@@ -96,8 +92,8 @@ def sign_batch(texts: list[str | None], shingle: int, k: int, bands: int, counte
             weights = np.diff(np.append(first, len(elements))).astype(np.float64)
             elements, owner = elements[first], owner[first]
         # a repeated element throws the same darts again, so sets need no distinct step
-        s = signatures(elements, owner, len(parts), k, weights)
-        band = np.zeros((len(parts), bands), dtype=np.uint64)
+        s = signatures(elements, owner, len(rows), k, weights)
+        band = np.zeros((len(rows), bands), dtype=np.uint64)
         for j in range(k // bands):
             band = mix(band * ODD + s[:, j * bands : (j + 1) * bands])
         out[rows] = band.view(np.int64)
@@ -138,12 +134,21 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, counted: bool) ->
     return append_columns(both.select("a", "b", "left", "right"), {"similarity": T.DoubleType()}, make, drop=["left", "right"])
 
 
+def compared(pairs: DataFrame, known: DataFrame | None, texts: DataFrame, shingle: int, counted: bool) -> DataFrame:
+    """known with the similarities of those of the pairs that it lacks, as a stored table."""
+    fresh = pairs.distinct()
+    if known is not None:
+        fresh = fresh.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    found = verified(fresh, texts, shingle, counted)
+    return stage_table(found if known is None else known.union(found), "measured")
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = 0.8,
     shingle: int = 5,
-    coordinates: int = 128,
-    bands: int = 32,
+    coordinates: int = 96,
+    bands: int = 24,
     weighting: str = "set",
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -155,10 +160,12 @@ def near_duplicates(
     class without being compared. Texts that are null or have no word are in no group but their own row's. kept marks the
     rows whose id is their class's name. Repeated ids with different texts join their classes. Other columns are ignored.
 
-    With 32 bands of 4 a pair at 0.8 shares a band but for a chance of 5e-8. In a bucket all texts are compared with the first one
-    (a star, not all pairs). Distances obey the triangle inequality, so texts that failed need a comparison with texts that passed only
-    where both are about equally far from the first, and they form a bucket of their own for the next round, until none is
-    left: every pair of a bucket is linked, ruled out by distance or compared. Counts alone reach the driver.
+    With 24 bands of 4 a pair at 0.8 shares a band but for a chance of 3e-6. In a bucket all texts are compared with the first one
+    (a star, not all pairs), which joins most of a bucket into one component. Where a bucket still holds several, its texts
+    outside the largest component, up to BLOCK at a time, are compared with the texts of other components; distances
+    obey the triangle inequality, so only texts about equally far from the first one need it. A text that has been compared with all
+    others leaves the bucket, until every bucket is of one component: no link between components is lost. Only whether
+    rows are left reaches the driver.
     """
     counted = weighting == "count"
 
@@ -183,33 +190,27 @@ def near_duplicates(
     involved = members.select("node").distinct()
     wanted = named.join(involved.withColumnRenamed("node", "id"), "id", "left_semi").groupBy(F.col("id").alias("node")).agg(F.min("text").alias("text"))
     texts = stage_table(wanted, "candidates")
-    known = None
+    reach = 1 - threshold + 1e-9
+    stars = members.select(F.col("first").alias("a"), F.col("node").alias("b")).where("a <> b")
+    known = compared(stars, None, texts, shingle, counted)
+    measured = known.select(F.col("a").alias("first"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("distance"))
+    members = members.join(measured, ["first", "node"], "left").select("band", "hash", "node", F.coalesce("distance", F.lit(0.0)).alias("distance"))
     while True:
-        asked = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-        fresh = asked if known is None else asked.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        measured = stage_table(verified(fresh, texts, shingle, counted), "measured")
-        known = measured if known is None else known.union(measured)
-        far = members.where("node <> first").join(known.withColumnsRenamed({"a": "first", "b": "node"}), ["first", "node"])
-        far = far.select("band", "hash", "first", "node", (1 - F.col("similarity")).alias("distance"))
-        failed = far.where(F.col("distance") > 1 - threshold)
-        failed = stage_table(failed, "failed")
-        if not failed.limit(1).count():
+        labels = components(known.where(F.col("similarity") >= threshold).select("a", "b"), "near").withColumnRenamed("component", "class_id")
+        named_members = members.join(labels, "node", "left").withColumn("label", F.coalesce("class_id", "node")).drop("class_id")
+        groups = named_members.groupBy("band", "hash", "label").agg(F.count("*").alias("n"))
+        split = groups.groupBy("band", "hash").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("groups")).where("groups > 1")
+        mixed = stage_table(named_members.join(split.drop("groups"), ["band", "hash"]), "buckets")
+        place = F.row_number().over(Window.partitionBy("band", "hash").orderBy("node"))
+        asking = mixed.where("label <> major").withColumn("place", place).where(F.col("place") <= BLOCK).select("band", "hash", "node", "label", "distance")
+        asking = stage_table(asking, "asking")
+        if asking.isEmpty():
             break
-        passed = far.where(F.col("distance") <= 1 - threshold).where("distance > 0").withColumnsRenamed({"node": "other", "distance": "near"})
-        doubtful = (
-            failed.where(F.col("distance") <= 2 * (1 - threshold))
-            .join(passed, ["band", "hash", "first"])
-            .where(F.col("distance") - F.col("near") <= 1 - threshold + 1e-9)
-            .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-            .distinct()
-            .join(known.select("a", "b"), ["a", "b"], "left_anti")
-        )
-        known = known.union(stage_table(verified(doubtful, texts, shingle, counted), "measured"))
-        again = failed.groupBy("band", "hash").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        members = stage_table(failed.select("band", "hash", "node").join(again, ["band", "hash"]), "buckets")
-    links = known.where(F.col("similarity") >= threshold).select("a", "b")
-    joined = components(links.distinct(), "near").withColumnRenamed("component", "class_id")
-    classes = unique.select("same", "node").join(joined, "node", "left").select("same", F.coalesce("class_id", "node").alias("class_id"))
+        other = mixed.select("band", "hash", F.col("node").alias("other"), F.col("label").alias("of"), F.col("distance").alias("far"))
+        open_ = asking.join(other, ["band", "hash"]).where((F.col("label") != F.col("of")) & (F.abs(F.col("distance") - F.col("far")) <= reach))
+        known = compared(open_.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")), known, texts, shingle, counted)
+        members = mixed.join(asking.select("band", "hash", "node"), ["band", "hash", "node"], "left_anti").select("band", "hash", "node", "distance")
+    classes = unique.select("same", "node").join(labels, "node", "left").select("same", F.coalesce("class_id", "node").alias("class_id"))
     own = named.select("id", F.md5("text").alias("same"), F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\t-\r\x1c-\x20]")).alias("worded"))
     out = own.join(classes, "same", "left").withColumn("class_id", F.when(F.col("worded"), F.coalesce("class_id", "id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))

@@ -21,12 +21,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 SYMBOL = mix(FOLD * ODD)
-POWERS = np.cumprod(np.concatenate(([np.uint64(1)], np.full(STRIDE, BASE, dtype=np.uint64))), dtype=np.uint64)
+POWERS, INVERSES = (
+    np.cumprod(np.concatenate(([np.uint64(1)], np.full(STRIDE, b, dtype=np.uint64))), dtype=np.uint64)
+    for b in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64)))
+)
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words of one text (runs of bytes that aren't white space), letters A-Z in lower case."""
-    parts = []
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of data (runs of bytes that aren't white space), A-Z in lower case, and where they begin."""
+    parts, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     k = 0
     while k < len(data):
         e = min(len(data), k + STRIDE)
@@ -36,31 +39,54 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
             e = k + int(spaces[-1]) + 1 if len(spaces) else e
         part = data[k:e]
         inside = FOLD[part] > 0
-        edge = np.diff(np.concatenate(([False], inside, [False])).view(np.int8))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        # a polynomial in each word's own places: position counts from the word's start
+        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+        start, end = edge[::2], edge[1::2]
         if len(start):
-            place = np.arange(len(part)) - np.repeat(start, np.diff(np.append(start, len(part)))) if start[0] == 0 else np.concatenate(
-                (np.zeros(start[0], dtype=np.int64), np.arange(start[0], len(part)) - np.repeat(start, np.diff(np.append(start, len(part)))))
-            )
-            value = np.where(inside, SYMBOL[part] * POWERS[place], np.uint64(0))
-            parts.append(mix(np.add.reduceat(value, start) ^ (end - start).astype(np.uint64) * ODD))
+            # a polynomial in each word's own places: sums up to the word's end, moved back to its start
+            sums = np.cumsum(SYMBOL[part] * POWERS[: len(part)], dtype=np.uint64)
+            before = np.where(start > 0, sums[start - 1], np.uint64(0))
+            parts.append(mix((sums[end - 1] - before) * INVERSES[start] ^ (end - start).astype(np.uint64) * ODD))
+            places.append(start + k)
         k = e
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    return np.concatenate(parts), np.concatenate(places)
 
 
-def shingle_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of every run of `width` words, repeats included; of all words together where there are fewer; none without words."""
-    words = word_hashes(data)
-    n = len(words)
-    if not n:
-        return words
-    width = min(width, n)
-    out = np.zeros(n - width + 1, dtype=np.uint64)
+def joined(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of `width` words."""
+    out = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
     for i in range(width):
-        out = mix(out * BASE + words[i : i + len(out)])
+        out = out * BASE + words[i : i + len(out)]
     return mix(out + np.uint64(width))
 
 
+def shingle_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of every run of `width` words, repeats included; of all words together where there are fewer; none without words."""
+    words, _ = word_hashes(data)
+    return joined(words, min(width, len(words))) if len(words) else words
+
+
+def shingles_of(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of all texts in a row, and the text that each belongs to, ascending: as shingle_hashes() for each text."""
+    raw = [(t or "").encode() for t in texts]
+    data = np.frombuffer(b"\n".join(raw), dtype=np.uint8)
+    words, place = word_hashes(data)
+    if not len(words):
+        return words, np.empty(0, np.int64)
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    owner = np.searchsorted(ends, place, side="right")
+    full = joined(words, width)
+    same = owner[: len(full)] == owner[len(words) - len(full) :]
+    hashes, of = full[same], owner[: len(full)][same]
+    counts = np.bincount(owner, minlength=len(texts))
+    first = np.cumsum(counts) - counts
+    short = np.flatnonzero((counts > 0) & (counts < width))
+    if len(short):
+        hashes = np.concatenate([hashes, *(joined(words[first[i] : first[i] + counts[i]], int(counts[i])) for i in short)])
+        of = np.concatenate([of, short])
+        order = np.argsort(of, kind="stable")
+        hashes, of = hashes[order], of[order]
+    return hashes, of
+
+
 def text_bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode(), dtype=np.uint8)
