@@ -205,6 +205,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     runs = texts.where(F.octet_length("text") >= length).mapInArrow(find, schema)
     counts = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
+    # stored, so that the join below has an exchange on either side and a frequent anchor's runs can be split
+    counts = stage_table(counts, "anchors")
     found = runs.join(counts, "anchor").select(runs["same"], "anchor", "context", "place", "first", "last", (F.col("low") == F.col("high")).alias("alike"))
     found = stage_table(found, "runs")
     mixed = found.where("not alike")
@@ -216,7 +218,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     spread = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"))
     asked = contexts.join(spread, "anchor").select("one.*", "anchor", (F.col("kinds") > MOST_CONTEXTS).alias("many"), (F.col("n") > 1).alias("done"))
     asked = asked.groupBy("same").agg(F.collect_list(F.struct("anchor", "place", "first", "last", "many", "done")).alias("asked"))
-    holders = texts.join(asked, "same").groupBy("same").agg(F.first("text").alias("text"), F.first("asked").alias("asked"))
+    # one of each text's copies: they meet in each task before they are dealt
+    holders = texts.groupBy("same").agg(F.first("text").alias("text")).join(asked, "same").select("same", "text", "asked")
     held = T._parse_datatype_string("same binary, anchor long, core long, first long, before int, bytes binary, many boolean, done boolean")
 
     def cut(batches):
