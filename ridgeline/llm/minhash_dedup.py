@@ -13,15 +13,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.llm.common import append_columns, components, stage_table
+from ridgeline.llm.embedding_dedup import Forest
 from ridgeline.llm.words import ODD, mix, shingle_hashes, shingles_of, text_bytes
 
 TO_UNIT = 2.0**-53
-BLOCK = 64
+#: Members up to which a bucket's open pairs are listed; larger ones are compared in tiles of two blocks of TILE members.
+BLOCK, TILE, WIDTH = 64, 512, 4096
 
 
 def step(cell: int, turn: int) -> np.uint64:
@@ -143,6 +145,77 @@ def compared(pairs: DataFrame, known: DataFrame | None, texts: DataFrame, shingl
     return stage_table(found if known is None else known.union(found), "measured")
 
 
+def element_sets(texts: DataFrame, shingle: int, counted: bool) -> DataFrame:
+    """(node, elements): the distinct shingles of each text, with weighting by count each occurrence as an element of its own."""
+
+    def make():
+        def elements(t: str) -> np.ndarray:
+            h = np.sort(shingle_hashes(text_bytes(t), shingle))
+            if counted and len(h):
+                first = np.searchsorted(h, h)
+                return mix(h + (np.arange(len(h)) - first).astype(np.uint64) * ODD).view(np.int64)
+            return np.unique(h).view(np.int64)
+
+        return lambda batch: [pa.array([elements(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))]
+
+    return append_columns(texts.select("node", "text"), {"elements": T.ArrayType(T.LongType())}, make, drop=["text"])
+
+
+def overlaps(sets: list[np.ndarray], asking: np.ndarray) -> np.ndarray:
+    """How many elements each asking set shares with each set."""
+    lens = np.array([len(x) for x in sets])
+    _, element, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), lens)
+    shared = counts[element] > 1  # an element of one set alone is in no intersection
+    order = np.argsort(element[shared], kind="stable")
+    element, owner = element[shared][order], owner[shared][order]
+    out = np.zeros((len(asking), len(sets)))
+    new = np.concatenate(([0], np.cumsum(np.diff(element) != 0))) if len(element) else element
+    for k in range(0, int(new[-1]) + 1 if len(new) else 0, WIDTH):
+        a, b = np.searchsorted(new, (k, k + WIDTH))
+        there = np.zeros((len(sets), WIDTH), dtype=np.float32)
+        there[owner[a:b], new[a:b] - k] = 1
+        out += there[asking] @ there.T
+    return out
+
+
+def tile_links(members: DataFrame, texts: DataFrame, threshold: float, shingle: int, counted: bool) -> DataFrame:
+    """(a, b): links across components in large buckets, by tiles of two blocks of a bucket's members.
+
+    Members that ask, those outside a bucket's largest component, are compared exactly with all members of other components.
+    A tile returns for each member one link to the least member that it is connected with there, never its pairs.
+    """
+    blocks = F.ceil(F.col("size") / TILE).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sets = element_sets(texts.join(members.select("node").distinct(), "node", "left_semi"), shingle, counted)
+    met = dealt.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("band", "hash", "node", "label", "asks", "elements", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def tile(key, group):
+        group = group.combine_chunks().sort_by("node")
+        names = ["a", "b"]
+        asking = np.flatnonzero(group.column("asks").to_numpy(zero_copy_only=False))
+        if not len(asking):
+            return pa.table([np.empty(0, np.int64)] * 2, names=names)
+        found = group.column("elements").combine_chunks()
+        flat, ends = found.flatten().to_numpy(), np.concatenate(([0], np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))))
+        own = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        n = np.diff(ends)
+        both = overlaps(own, asking)
+        near = both / (n[asking][:, None] + n[None, :] - both) >= threshold
+        label, block = group.column("label").to_numpy(), group.column("own").to_numpy()
+        near &= label[asking][:, None] != label[None, :]
+        if key[2].as_py() != key[3].as_py():
+            near &= block[asking][:, None] != block[None, :]
+        i, j = np.nonzero(near)
+        forest = Forest(len(own))
+        forest.link(asking[i], j)
+        node, moved = group.column("node").to_numpy(), np.flatnonzero(forest.label != np.arange(len(own)))
+        return pa.table([node[moved], node[forest.label[moved]]], names=names)
+
+    return stage_table(met.groupBy("band", "hash", "low", "high").applyInArrow(tile, "a long, b long").distinct(), "tiles")
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = 0.8,
@@ -162,10 +235,9 @@ def near_duplicates(
 
     With 24 bands of 4 a pair at 0.8 shares a band but for a chance of 3e-6. In a bucket all texts are compared with the first one
     (a star, not all pairs), which joins most of a bucket into one component. Where a bucket still holds several, its texts
-    outside the largest component, up to BLOCK at a time, are compared with the texts of other components; distances
-    obey the triangle inequality, so only texts about equally far from the first one need it. A text that has been compared with all
-    others leaves the bucket, until every bucket is of one component: no link between components is lost. Only whether
-    rows are left reaches the driver.
+    outside the largest component are compared with the texts of other components: in small buckets as pairs, those only that the
+    triangle inequality leaves open, in large ones in tiles. So no link between components of a bucket is lost, hot
+    groups are split, and no bucket's pairs are listed. Only counts reach the driver. Ids are long integers.
     """
     counted = weighting == "count"
 
@@ -195,21 +267,20 @@ def near_duplicates(
     known = compared(stars, None, texts, shingle, counted)
     measured = known.select(F.col("a").alias("first"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("distance"))
     members = members.join(measured, ["first", "node"], "left").select("band", "hash", "node", F.coalesce("distance", F.lit(0.0)).alias("distance"))
-    while True:
-        labels = components(known.where(F.col("similarity") >= threshold).select("a", "b"), "near").withColumnRenamed("component", "class_id")
-        named_members = members.join(labels, "node", "left").withColumn("label", F.coalesce("class_id", "node")).drop("class_id")
-        groups = named_members.groupBy("band", "hash", "label").agg(F.count("*").alias("n"))
-        split = groups.groupBy("band", "hash").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("groups")).where("groups > 1")
-        mixed = stage_table(named_members.join(split.drop("groups"), ["band", "hash"]), "buckets")
-        place = F.row_number().over(Window.partitionBy("band", "hash").orderBy("node"))
-        asking = mixed.where("label <> major").withColumn("place", place).where(F.col("place") <= BLOCK).select("band", "hash", "node", "label", "distance")
-        asking = stage_table(asking, "asking")
-        if asking.isEmpty():
-            break
-        other = mixed.select("band", "hash", F.col("node").alias("other"), F.col("label").alias("of"), F.col("distance").alias("far"))
-        open_ = asking.join(other, ["band", "hash"]).where((F.col("label") != F.col("of")) & (F.abs(F.col("distance") - F.col("far")) <= reach))
-        known = compared(open_.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")), known, texts, shingle, counted)
-        members = mixed.join(asking.select("band", "hash", "node"), ["band", "hash", "node"], "left_anti").select("band", "hash", "node", "distance")
+    linked = known.where(F.col("similarity") >= threshold).select("a", "b")
+    labels = components(linked, "near").withColumnRenamed("component", "label")
+    named_members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = named_members.groupBy("band", "hash", "label").agg(F.count("*").alias("n"))
+    split = groups.groupBy("band", "hash").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("size"), F.count("*").alias("groups")).where("groups > 1")
+    mixed = named_members.join(split.drop("groups"), ["band", "hash"]).withColumn("asks", F.col("label") != F.col("major")).drop("major")
+    mixed = stage_table(mixed, "buckets")
+    few, many = mixed.where(F.col("size") <= BLOCK), mixed.where(F.col("size") > BLOCK)
+    other = few.select("band", "hash", F.col("node").alias("other"), F.col("label").alias("of"), F.col("distance").alias("far"))
+    open_ = few.where("asks").join(other, ["band", "hash"]).where((F.col("label") != F.col("of")) & (F.abs(F.col("distance") - F.col("far")) <= reach))
+    known = compared(open_.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")), known, texts, shingle, counted)
+    tiles = tile_links(many, texts, threshold, shingle, counted)
+    links = known.where(F.col("similarity") >= threshold).select("a", "b").union(tiles).union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    labels = components(links, "near").withColumnRenamed("component", "class_id")
     classes = unique.select("same", "node").join(labels, "node", "left").select("same", F.coalesce("class_id", "node").alias("class_id"))
     own = named.select("id", F.md5("text").alias("same"), F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\t-\r\x1c-\x20]")).alias("worded"))
     out = own.join(classes, "same", "left").withColumn("class_id", F.when(F.col("worded"), F.coalesce("class_id", "id")).otherwise(F.col("id")))
