@@ -106,6 +106,7 @@ def brute_classes(texts):
 @pytest.mark.parametrize("block", [256, 1])
 def test_near_copies_equal_brute_force(spark, texts, monkeypatch, block):
     monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "TILE", 8)
     r = random.Random(4)
     base = prose(r, "en", 120).split()
     many = list(texts)
