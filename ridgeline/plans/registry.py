@@ -903,6 +903,13 @@ def i17_escalation(d):
     return found.select("escalate", F.array_join("triggers", ",").alias("triggers"))
 
 
+@query()
+def i18_venue(d):
+    margins = returns.maker_margins(d.fills, d.scope_markets, d.schedule)
+    band = returns.ribbon_summary(returns.ribbon(d.fills, d.scope_markets, d.schedule, d.grid))
+    return compose.venue(compose.escalation(did.did_pair(d.panel, d.schedule), compose.delta_bar(d.fits, d.frozen, "delta_pub"), margins, band))
+
+
 @query()
 def i20_invariants(d):
     pair = did.did_pair(d.panel, d.schedule)

@@ -305,3 +305,22 @@ def test_profiles(spark):
     fills = spark.createDataFrame([(900_000_000, "yes", 1.0), (900_000_001, None, None)], "t long, taker_side string, count_fp double")
     eras = {r.era: (r.n, r.rate_taker_side) for r in profiles.population_by_era(fills, ["taker_side"]).collect()}
     assert eras["y1998"] == (2, 0.5) and eras["y1997"] == (0, None) and len(eras) == 6
+
+
+def test_reports_and_running_totals(spark):
+    from ridgeline.plans import jobs
+    from ridgeline.plans.registry import Tables
+
+    d = Tables(spark, "/root/testdata/sf0.001")
+    reports = jobs.build(d) | jobs.first_report(d)
+    assert {"summary", "panel", "by_year", "divergence"} <= set(reports) and all(x.columns for x in reports.values())
+    assert reports["summary"].where("item = 'total'").first().n == d.markets.count()
+    folder = tempfile.mkdtemp(prefix="spark-")
+    rows = spark.createDataFrame([("a", "M", 0.5, 2.0, "yes", 1), ("b", "M", 0.25, 4.0, None, 2)], TICKS)
+    rows.withColumn("ts", F.timestamp_seconds("t")).write.parquet(f"{folder}/pages/1")
+    pages = ingest.pages_in(spark, f"{folder}/pages", rows.withColumn("ts", F.timestamp_seconds("t")).schema)
+    for name, df in (("totals", ingest.running_totals(pages)), ("population", ingest.population_monitor(pages))):
+        q = df.writeStream.outputMode("complete" if name == "totals" else "update").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").start()
+        q.processAllAvailable()
+        q.stop()
+    assert one(spark.sql("select trades, dollars from totals")) == [(2, 2.0)] and one(spark.sql("select n, rate from population")) == [(2, 0.5)]
