@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,6 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each context, unless their path has it already."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    on_path = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    context = spark.sparkContext
+    if root in on_path or getattr(context, "_ridgeline_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "ridgeline"), "zip", root, "ridgeline")
+    context.addPyFile(archive)
+    context._ridgeline_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,6 +67,7 @@ def append_columns(
 
     A column of df with the name of a new one is replaced by it. Columns in drop are inputs that aren't passed on.
     """
+    ship(df.sparkSession)
     dropped = {*drop, *columns}
     kept = [c for c in df.columns if c not in dropped]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(c, t) for c, t in columns.items()])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import components, stage_table
+from ridgeline.llm.common import components, ship, stage_table
 from ridgeline.llm.topk_search import matrix, usable
 
 STRIP = 1024
@@ -110,6 +110,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, rows_a_block: i
     group of them lands in one task; a task holds two blocks.
     """
     spark = vectors.sparkSession
+    ship(spark)
     all_rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     fit = usable(F.col("vec")) & F.exists("vec", lambda x: x != 0)
     folded = all_rows.where(fit).groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies"))

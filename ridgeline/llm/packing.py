@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ridgeline.llm.common import pieces as runs
-from ridgeline.llm.common import stage_table
+from ridgeline.llm.common import ship, stage_table
 from ridgeline.llm.token_counts import LETTERS, NUMBERS, SPACES, load
 
 #: Words of the lower-casing, space-dropping vocabulary, where its character classes are known (see token_counts).
@@ -88,6 +88,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
 
     A null or empty text is the end id alone. Documents are tokenised whole.
     """
+    ship(docs.sparkSession)
     schema = T.StructType(
         [docs.schema[id_col]]
         + [T.StructField(c, t) for c, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))]
@@ -247,6 +248,7 @@ def pack(cut: DataFrame, capacity: int, order: list[str], rounds: int = 96, rows
     rows_a_group rows, whose counts are summed on the driver: at most capacity plus rows / rows_a_group numbers.
     """
     spark = cut.sparkSession
+    ship(spark)
     counted = cut.groupBy("length").count().collect()
     histogram = {int(r["length"]): int(r["count"]) for r in counted}
     groups = spark.createDataFrame([(x, 1 + n // rows_a_group) for x, n in histogram.items()], "length long, groups long")

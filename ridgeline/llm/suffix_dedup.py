@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import append_columns, slices, stage_table
+from ridgeline.llm.common import append_columns, ship, slices, stage_table
 from ridgeline.llm.words import ODD, mix
 
 LENGTH, CORE = 400, 200
@@ -186,7 +186,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     A byte is covered if it lies in a string of `length` bytes that also starts anywhere else in the corpus, the same text included.
     Texts are UTF-8 bytes, null is empty; matches never cross texts. Copies of a text are texts of their own, with equal spans.
     """
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
     texts = docs.select(text_key(F.col(text_col)).alias("same"), F.coalesce(text_col, F.lit("")).alias("text"))
     schema = T._parse_datatype_string(f"same binary, {RUNS}")
 

@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ridgeline.llm.common import ship
 
 BLOCK = 64
 
@@ -97,6 +98,7 @@ def top_k(
     answered once; repeated candidates are listed each. Every row is dealt to a range by a hash of its id, every query to a
     chunk, and a task holds one range and one chunk: memory is bounded by the two parameters, whatever the table's size.
     """
+    ship(vectors.sparkSession)
     used = vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.size(vec_col).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asks")
     )
