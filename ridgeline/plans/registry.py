@@ -299,6 +299,20 @@ def c1_asof_last_trade(d):
     return asof.last_trade_at_or_before(refs, d.event_fills, ["ref_id"]).select("ticker", "ref_id", "ref_t", "t", "price", "taker_side", "trade_id")
 
 
+ALL_EVENT_REFS = "SELECT concat('U', user_id) AS ticker, event_id AS ref_id, epoch_us(ts) + 3600000000 * (event_id % 5) - 7200000000 AS ref_t FROM events"
+
+
+@query(
+    f"SELECT r.ticker, r.ref_id, r.ref_t, k.t, k.price, k.taker_side, k.trade_id FROM ({ALL_EVENT_REFS}) r "
+    "ASOF JOIN (SELECT * FROM event_fills QUALIFY row_number() OVER (PARTITION BY ticker, t ORDER BY trade_id) = 1) k ON r.ticker = k.ticker AND r.ref_t >= k.t"
+)
+def c1_asof_last_trade_whole(d):
+    """c1_asof_last_trade with every event as a reference."""
+    shift = F.col("event_id") % 5 * 3_600_000_000 - 7_200_000_000
+    refs = d.base("events").select(F.concat(F.lit("U"), "user_id").alias("ticker"), F.col("event_id").alias("ref_id"), (A.micros(F.col("ts")) + shift).alias("ref_t"))
+    return asof.last_trade_at_or_before(refs, d.event_fills, ["ref_id"]).select("ticker", "ref_id", "ref_t", "t", "price", "taker_side", "trade_id")
+
+
 @query("SELECT ticker, t, price, count_fp, taker_side, trade_id FROM ticks")
 def c2_tick_collapse(d):
     return asof.tick_collapse(d.raw_fills)
