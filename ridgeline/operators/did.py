@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.scalars import ordinal_month, utc_date
 from ridgeline.operators.fees import lookup
-from ridgeline.operators.regression import CellFit, cell_sums, chi2_tail, rows_of
+from ridgeline.operators.regression import WILD_BELOW, CellFit, cell_sums, chi2_tail, rows_of
 
 LEADS, LAGS, REFERENCE = 6, 9, -1
 
@@ -47,7 +47,10 @@ def did_sums(panel: DataFrame, schedule: DataFrame) -> DataFrame:
 
 
 def fit_did(sums: DataFrame, clean: bool = False) -> dict | None:
-    """The slope shift of treated contracts with month levels and slopes; None where the design isn't identified."""
+    """The slope shift of treated contracts with month levels and slopes; None where the design isn't identified.
+
+    Below WILD_BELOW clusters, error and half width come from wild cluster weights with the null of no shift imposed.
+    """
     sums = clean_controls(sums) if clean else sums
     cells = sums.groupBy("month", "now").agg(F.sum("n").alias("n")).collect()
     months = sorted({r["month"] for r in cells})
@@ -67,12 +70,15 @@ def fit_did(sums: DataFrame, clean: bool = False) -> dict | None:
         return None
     at = 2 * (1 if clean else 2)
     se = math.sqrt(max(0.0, cov[at + 1, at + 1]))
+    half = 1.96 * se
+    if clusters < WILD_BELOW:
+        se, half = fit.wild(at + 1)
     return {
         "fit": "clean_controls" if clean else "twfe",
         "delta_did": float(beta[at + 1]),
         "delta_did_se": se,
-        "ci_lo": float(beta[at + 1]) - 1.96 * se,
-        "ci_hi": float(beta[at + 1]) + 1.96 * se,
+        "ci_lo": float(beta[at + 1]) - half,
+        "ci_hi": float(beta[at + 1]) + half,
         "alpha_did": float(beta[at]),
         "psi_untreated": float(beta[1]),
         "delta_ever": None if clean else float(beta[3]),
@@ -81,10 +87,11 @@ def fit_did(sums: DataFrame, clean: bool = False) -> dict | None:
         "n_treated": arms[1],
         "n_control": arms[0],
         "months": len(months),
+        "used_wild": clusters < WILD_BELOW,
     }
 
 
-DID_SCHEMA = "fit string, delta_did double, delta_did_se double, ci_lo double, ci_hi double, alpha_did double, psi_untreated double, delta_ever double, n long, n_clusters long, n_treated long, n_control long, months int"
+DID_SCHEMA = "fit string, delta_did double, delta_did_se double, ci_lo double, ci_hi double, alpha_did double, psi_untreated double, delta_ever double, n long, n_clusters long, n_treated long, n_control long, months int, used_wild boolean"
 
 
 def did_pair(panel: DataFrame, schedule: DataFrame) -> DataFrame:

@@ -27,6 +27,11 @@ def moments(rows: DataFrame, by: list[str]) -> DataFrame:
     sums = rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum("u").alias("su"), F.sum(F.col("x") * F.col("u")).alias("sxu"), F.min("x").alias("lo"), F.max("x").alias("hi")
     )
+    return line(sums)
+
+
+def line(sums: DataFrame) -> DataFrame:
+    """Adds det, slope b and level a to sums; null without price variance."""
     det = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     slope = F.when(F.col("hi") > F.col("lo"), (F.col("n") * F.col("sxu") - F.col("sx") * F.col("su")) / det)
     return sums.withColumns({"det": det, "b": slope}).withColumn("a", (F.col("su") - F.col("b") * F.col("sx")) / F.col("n"))
@@ -75,30 +80,58 @@ def regime(fee: int, publication: int) -> Column:
     return F.when(F.col("close_t") < fee, "pre").when(F.col("close_t") < publication, "mid").otherwise("post")
 
 
-def boundary_shifts(panel: DataFrame, by: list[str], fee: int, publication: int) -> DataFrame:
-    """by, n, n_clusters, alpha_c, psi_c, delta_fee, delta_fee_se, delta_pub, delta_pub_se.
+#: Below so many clusters the sandwich isn't trusted, and wild cluster weights give standard error and interval.
+WILD_BELOW = 50
 
-    A level and a slope for each of three regimes is the saturated form of the six-parameter design: shifts are differences of the
-    regimes' slopes. Scores of all regimes add up within a cluster, as an event may span a boundary. A group that lacks a regime,
-    or prices that differ within one, isn't identified and is left out.
-    """
+
+def boundary_sums(panel: DataFrame, by: list[str], fee: int, publication: int) -> DataFrame:
+    """Moments by _g, regime and cluster."""
     keyed = rows_of(panel.withColumn("regime", regime(fee, publication)), *by, "regime")
-    keyed = keyed.withColumn("_g", F.struct(*by) if by else F.struct(F.lit(0).alias("one"))).select("_g", "regime", "cluster", "x", "u")
-    cells = moments(keyed, ["_g", "regime"]).select("_g", "regime", "n", "sx", "det", "a", "b").where("b is not null")
-    r = F.col("u") - F.col("a") - F.col("b") * F.col("x")
-    influence = (F.col("n") * F.col("x") - F.col("sx")) * r / F.col("det")
-    per = keyed.join(cells, ["_g", "regime"]).groupBy("_g", "cluster").agg(*[F.sum(F.when(F.col("regime") == k, influence).otherwise(0.0)).alias(k) for k in ("pre", "mid", "post")])
-    fee_, pub = F.col("mid") - F.col("pre"), F.col("post") - F.col("mid")
-    meat = per.groupBy("_g").agg(F.count("*").alias("g"), F.sum(fee_**2).alias("vf"), F.sum(pub**2).alias("vp")).where("g > 1")
+    return cell_sums(keyed.withColumn("_g", F.struct(*by) if by else F.struct(F.lit(0).alias("one"))), ["_g", "regime"])
+
+
+def boundary_parts(sums: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of the three regimes (wide, by _g), and influence numbers by _g and cluster, from boundary_sums().
+
+    pre, mid, post: influence on the regime's slope, with the fit's residuals. z_fee, z_pub: influence on the shift, with residuals of the
+    fit in which that shift is zero, so that the two regimes beside the boundary have levels of their own and a common slope.
+    """
+    cells = line(sums.groupBy("_g", "regime").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "su", "sxu")], F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    cells = cells.where("b is not null").select("_g", "regime", "det", "a", "b", F.col("n").alias("all_n"), F.col("sx").alias("all_sx"))
 
     def of(name: str, k: str):
         return F.max(F.when(F.col("regime") == k, F.col(name)))
 
-    lines = cells.groupBy("_g").agg(F.sum("n").alias("n"), F.count("*").alias("k"), of("a", "pre").alias("alpha_c"), of("b", "pre").alias("pre"), of("b", "mid").alias("mid"), of("b", "post").alias("post"))
+    def common(k: str, j: str):
+        spread = F.when(F.col("regime").isin(k, j), F.col("det") / F.col("all_n"))
+        return F.sum(F.col("b") * spread) / F.sum(spread)
+
+    lines = cells.groupBy("_g").agg(F.sum("all_n").alias("n"), F.count("*").alias("k"), of("a", "pre").alias("alpha_c"), of("b", "pre").alias("pre"), of("b", "mid").alias("mid"), of("b", "post").alias("post"), common("pre", "mid").alias("null_fee"), common("mid", "post").alias("null_pub"))
+
+    def influence(slope: Column):
+        # the line with that slope through the cell's means; (n x - sx) / det weighs its residuals
+        level = F.col("a") + (F.col("b") - slope) * F.col("all_sx") / F.col("all_n")
+        s0 = F.col("su") - level * F.col("n") - slope * F.col("sx")
+        s1 = F.col("sxu") - level * F.col("sx") - slope * F.col("sxx")
+        return (F.col("all_n") * s1 - F.col("all_sx") * s0) / F.col("det")
+
+    def shift(slope: str, below: str, above: str):
+        z = influence(F.col(slope))
+        return F.sum(F.when(F.col("regime") == above, z).when(F.col("regime") == below, -z).otherwise(0.0))
+
+    met = sums.join(cells.join(lines.select("_g", "null_fee", "null_pub"), "_g"), ["_g", "regime"])
+    own = [F.sum(F.when(F.col("regime") == k, influence(F.col("b"))).otherwise(0.0)).alias(k) for k in ("pre", "mid", "post")]
+    return lines, met.groupBy("_g", "cluster").agg(*own, shift("null_fee", "pre", "mid").alias("z_fee"), shift("null_pub", "mid", "post").alias("z_pub"))
+
+
+def sandwich_shifts(lines: DataFrame, per: DataFrame) -> DataFrame:
+    """_g, n, n_clusters, alpha_c, psi_c, and each shift with its clustered error; from boundary_parts()."""
+    fee_, pub = F.col("mid") - F.col("pre"), F.col("post") - F.col("mid")
+    meat = per.groupBy("_g").agg(F.count("*").alias("g"), F.sum(fee_**2).alias("vf"), F.sum(pub**2).alias("vp")).where("g > 1")
     both = lines.where("k = 3 and n > 6").join(meat, "_g")
     c = F.col("g") / (F.col("g") - 1) * (F.col("n") - 1) / (F.col("n") - 6)
     return both.select(
-        *[F.col(f"_g.{k}").alias(k) for k in by],
+        "_g",
         "n",
         F.col("g").alias("n_clusters"),
         "alpha_c",
@@ -110,6 +143,36 @@ def boundary_shifts(panel: DataFrame, by: list[str], fee: int, publication: int)
     )
 
 
+def boundary_shifts(panel: DataFrame, by: list[str], fee: int, publication: int) -> DataFrame:
+    """by, n, n_clusters, alpha_c, psi_c, delta_fee, delta_fee_se, delta_pub, delta_pub_se, whose errors are always the sandwich's.
+
+    A level and a slope for each of three regimes is the saturated form of the six-parameter design: shifts are differences of the
+    regimes' slopes. Scores of all regimes add up within a cluster, as an event may span a boundary. A group that lacks a regime,
+    or prices that differ within one, isn't identified and is left out.
+    """
+    out = sandwich_shifts(*boundary_parts(boundary_sums(panel, by, fee, publication)))
+    return out.select(*[F.col(f"_g.{k}").alias(k) for k in by], *out.columns[1:])
+
+
+def boundary_intervals(panel: DataFrame, by: list[str], fee: int, publication: int, reps: int = 999, seed: int = 0) -> DataFrame:
+    """boundary_shifts() with an interval of each shift (delta_fee_lo, ...) and used_wild.
+
+    A group of fewer than WILD_BELOW clusters has error and half width from wild cluster weights with the null of that shift imposed, around
+    the estimate; the others from the sandwich. The moments are kept, so that the panel is computed once.
+    """
+    lines, per = boundary_parts(boundary_sums(panel, by, fee, publication).persist())
+    out = sandwich_shifts(lines, per)
+    few = out.where(F.col("n_clusters") < WILD_BELOW).select("_g")
+    drawn = sign_replicates(per.join(few, "_g", "left_semi"), ["z_fee", "z_pub"], reps, seed).drop("reps").withColumn("used_wild", F.lit(True))
+    out = out.join(drawn, "_g", "left").withColumn("used_wild", F.coalesce("used_wild", F.lit(False)))
+    for k in ("fee", "pub"):
+        se = F.when(F.col("used_wild"), F.col(f"z_{k}_se")).otherwise(F.col(f"delta_{k}_se"))
+        half = F.when(F.col("used_wild"), F.col(f"z_{k}_half")).otherwise(1.96 * F.col(f"delta_{k}_se"))
+        out = out.withColumns({f"delta_{k}_se": se, f"delta_{k}_lo": F.col(f"delta_{k}") - half, f"delta_{k}_hi": F.col(f"delta_{k}") + half})
+    names = ["n", "n_clusters", "alpha_c", "psi_c", *[f"delta_{k}{e}" for k in ("fee", "pub") for e in ("", "_se", "_lo", "_hi")], "used_wild"]
+    return out.select(*[F.col(f"_g.{k}").alias(k) for k in by], *names)
+
+
 def chi2_tail(x: float, df: int) -> float:
     """P(chi-squared with df degrees of freedom > x), by the regularised incomplete gamma function."""
     if df <= 0 or x <= 0:
@@ -201,6 +264,46 @@ class CellFit:
         scale = clusters / (clusters - 1) * (self.n - 1) / (self.n - k) if clusters > 1 else float("nan")
         return beta, scale * inverse @ meat @ inverse, clusters
 
+    def wild(self, at: int, reps: int = 999, seed: int = 0) -> tuple[float, float]:
+        """Error and half width of coefficient at under wild cluster weights, with the null that it is zero imposed.
+
+        The coefficient's weight on a row and the residual of the restricted fit are lines in x within a cell, so a cluster's number comes
+        from its moments.
+        """
+        k = 2 * self.design.shape[1]
+        xx, xu = np.zeros((k, k)), np.zeros(k)
+        for d, key in zip(self.design, self.keys, strict=True):
+            r = self.table[key]
+            xx += np.kron(np.outer(d, d), [[r["n"], r["sx"]], [r["sx"], r["sxx"]]])
+            xu += np.kron(d, [r["su"], r["sxu"]])
+        weight = self.design @ np.linalg.inv(xx)[at].reshape(-1, 2)
+        rest = np.delete(np.arange(k), at)
+        null = np.zeros(k)
+        null[rest] = np.linalg.solve(xx[np.ix_(rest, rest)], xu[rest])
+        lines = self.design @ null.reshape(-1, 2)
+        fields = [T.StructField(f"c_{f}", self.sums.schema[f].dataType) for f in self.fields]
+        schema = T.StructType([*fields, *[T.StructField(c, T.DoubleType()) for c in ("w0", "w1", "a", "b")]])
+        small = self.sums.sparkSession.createDataFrame([(*key, *map(float, w), *map(float, line)) for key, w, line in zip(self.keys, weight, lines, strict=True)], schema)
+        met = self.sums.join(F.broadcast(small), [F.col(f).eqNullSafe(F.col(f"c_{f}")) for f in self.fields])
+        s0 = F.col("su") - F.col("a") * F.col("n") - F.col("b") * F.col("sx")
+        s1 = F.col("sxu") - F.col("a") * F.col("sx") - F.col("b") * F.col("sxx")
+        per = met.groupBy("cluster").agg(F.sum(F.col("w0") * s0 + F.col("w1") * s1).alias("z")).withColumn("_g", F.lit(0))
+        got = sign_replicates(per, ["z"], reps, seed).first()
+        return got["z_se"], got["z_half"]
+
+
+def sign_replicates(per: DataFrame, names: list[str], reps: int, seed: int) -> DataFrame:
+    """_g, reps, and {name}_se and {name}_half: spread of sums over clusters of a random sign times each cluster's number.
+
+    per: _g, cluster, names. Signs come from a hash of seed, replicate and cluster: the same on any partitioning.
+    """
+    drawn = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    bit = F.pmod(F.xxhash64(F.lit(seed), "rep", "cluster"), F.lit(2))
+    sums = drawn.groupBy("_g", "rep").agg(*[F.sum(F.when(bit == 0, F.col(z)).otherwise(-F.col(z))).alias(z) for z in names])
+    ends = [F.percentile(z, F.array(F.lit(0.025), F.lit(0.975))) for z in names]
+    out = [c for z, e in zip(names, ends, strict=True) for c in (F.stddev_samp(z).alias(f"{z}_se"), ((e[1] - e[0]) / 2).alias(f"{z}_half"))]
+    return sums.groupBy("_g").agg(F.count("*").alias("reps"), *out)
+
 
 def wild_bootstrap(rows: DataFrame, reps: int = 999, seed: int = 0, by: list[str] | None = None) -> DataFrame:
     """by, reps, se, half_width of a slope under wild cluster weights with the null imposed, for each group.
@@ -214,9 +317,5 @@ def wild_bootstrap(rows: DataFrame, reps: int = 999, seed: int = 0, by: list[str
     fit = moments(keyed, ["_g"]).select("_g", "n", "sx", "su", "det").where("det > 0")
     z = (F.col("n") * F.col("x") - F.col("sx")) / F.col("det") * (F.col("u") - F.col("su") / F.col("n"))
     per = keyed.join(fit, "_g").groupBy("_g", "cluster").agg(F.sum(z).alias("z"))
-    drawn = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    bit = F.pmod(F.xxhash64(F.lit(seed), "rep", "cluster"), F.lit(2))
-    slopes = drawn.groupBy("_g", "rep").agg(F.sum(F.when(bit == 0, F.col("z")).otherwise(-F.col("z"))).alias("d"))
-    ends = F.percentile("d", F.array(F.lit(0.025), F.lit(0.975)))
-    out = slopes.groupBy("_g").agg(F.count("*").alias("reps"), F.stddev_samp("d").alias("se"), ends.alias("e"))
-    return out.select(*[F.col(f"_g.{k}").alias(k) for k in by], "reps", "se", ((F.col("e")[1] - F.col("e")[0]) / 2).alias("half_width"))
+    out = sign_replicates(per, ["z"], reps, seed)
+    return out.select(*[F.col(f"_g.{k}").alias(k) for k in by], "reps", F.col("z_se").alias("se"), F.col("z_half").alias("half_width"))

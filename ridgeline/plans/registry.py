@@ -49,6 +49,9 @@ class Tables:
     def make_fits(self) -> DataFrame:
         return regression.boundary_shifts(self.panel.where("category is not null"), ["category"], A.WINDOW_END, A.PUBLICATION)
 
+    def make_intervals(self) -> DataFrame:
+        return regression.boundary_intervals(self.panel.where("category is not null"), ["category"], A.WINDOW_END, A.PUBLICATION)
+
     def make_frozen(self) -> DataFrame:
         return compose.category_mix(self.panel.where("in_r1_window"), A.FROZEN_YEAR)
 
@@ -818,6 +821,12 @@ def i6_boundary_shifts(d):
     return rounded(d.fits)
 
 
+@query()
+def i6_boundary_shifts_wild(d):
+    """i6_boundary_shifts with wild cluster errors and intervals where a category has fewer than 50 events."""
+    return rounded(d.intervals)
+
+
 @query(
     f"WITH f AS ({SHIFTS}), w AS (SELECT f.*, coalesce(a.weight, 0) AS wb, coalesce(b.weight, 0) AS wn FROM f LEFT JOIN ({FROZEN}) a USING (category) LEFT JOIN ({NOW}) b USING (category)) "
     "SELECT round(sum(wb * delta_fee), 5) AS within, round(sum((wn - wb) * psi_c), 5) AS \"between\", round(sum(wb * delta_fee) + sum((wn - wb) * psi_c), 5) AS aggregate FROM w"
@@ -834,6 +843,11 @@ def i9_delta_bar(d):
     return rounded(compose.delta_bar(rounded(d.fits), d.frozen, "delta_pub"), 5)
 
 
+@query()
+def i9_delta_bar_wild(d):
+    return rounded(compose.delta_bar(d.intervals, d.frozen, "delta_pub"), 5)
+
+
 @query(
     f"""WITH b AS (SELECT e, e - 1.96 * s AS lo, e + 1.96 * s AS hi, (SELECT psi FROM ({mz_sql("SELECT * FROM rows_ WHERE in_r1_window", "")})) AS psi FROM ({BAR})),
   c AS (SELECT *, lo > 0 OR hi < 0 AS z, NOT (lo <= -psi AND -psi <= hi) AS g FROM b)
@@ -847,11 +861,22 @@ def i10_verdict(d):
     return both.select(compose.verdict(F.col("delta_bar"), F.col("ci_lo"), F.col("ci_hi"), F.col("psi")).alias("verdict"))
 
 
+@query()
+def i10_verdict_wild(d):
+    both = compose.delta_bar(d.intervals, d.frozen, "delta_pub").crossJoin(F.broadcast(regression.mz(d.panel.where("in_r1_window"), []).select("psi")))
+    return both.select(compose.verdict(F.col("delta_bar"), F.col("ci_lo"), F.col("ci_hi"), F.col("psi")).alias("verdict"))
+
+
 @query(shifts_sql(f"SELECT *, {REGIME} FROM rows_ WHERE category IS NOT NULL", "lookback_day, category"))
 def i11_horizon_shifts(d):
     return rounded(regression.boundary_shifts(d.panel.where("category is not null"), ["lookback_day", "category"], A.WINDOW_END, A.PUBLICATION))
 
 
+@query()
+def i11_horizon_shifts_wild(d):
+    return rounded(regression.boundary_intervals(d.panel.where("category is not null"), ["lookback_day", "category"], A.WINDOW_END, A.PUBLICATION))
+
+
 @query("SELECT ticker, lookback_day, month, now, ever FROM flagged")
 def i12_treated_flags(d):
     return d.flagged.select("ticker", "lookback_day", "month", "now", "ever")
@@ -913,7 +938,7 @@ def i16_swept_schedule(d):
 def i17_escalation(d):
     margins = returns.maker_margins(d.fills, d.scope_markets, d.schedule)
     band = returns.ribbon_summary(returns.ribbon(d.fills, d.scope_markets, d.schedule, d.grid))
-    found = compose.escalation(did.did_pair(d.panel, d.schedule), compose.delta_bar(d.fits, d.frozen, "delta_pub"), margins, band)
+    found = compose.escalation(did.did_pair(d.panel, d.schedule), compose.delta_bar(d.intervals, d.frozen, "delta_pub"), margins, band)
     return found.select("escalate", F.array_join("triggers", ",").alias("triggers"))
 
 
@@ -921,14 +946,14 @@ def i17_escalation(d):
 def i18_venue(d):
     margins = returns.maker_margins(d.fills, d.scope_markets, d.schedule)
     band = returns.ribbon_summary(returns.ribbon(d.fills, d.scope_markets, d.schedule, d.grid))
-    return compose.venue(compose.escalation(did.did_pair(d.panel, d.schedule), compose.delta_bar(d.fits, d.frozen, "delta_pub"), margins, band))
+    return compose.venue(compose.escalation(did.did_pair(d.panel, d.schedule), compose.delta_bar(d.intervals, d.frozen, "delta_pub"), margins, band))
 
 
 @query()
 def i20_invariants(d):
     pair = did.did_pair(d.panel, d.schedule)
     parts = compose.decompose(d.fits, d.frozen, d.weights, "delta_fee")
-    found = compose.escalation(pair, compose.delta_bar(d.fits, d.frozen, "delta_pub"), returns.maker_margins(d.fills, d.scope_markets, d.schedule), returns.ribbon_summary(returns.ribbon(d.fills, d.scope_markets, d.schedule, d.grid)))
+    found = compose.escalation(pair, compose.delta_bar(d.intervals, d.frozen, "delta_pub"), returns.maker_margins(d.fills, d.scope_markets, d.schedule), returns.ribbon_summary(returns.ribbon(d.fills, d.scope_markets, d.schedule, d.grid)))
     return compose.invariants(pair, parts, found)
 
 
@@ -965,6 +990,11 @@ def i25_placebo_categories(d):
     return rounded(regression.boundary_shifts(d.panel.where("category in ('C0', 'C3')"), ["category"], A.WINDOW_END, A.PUBLICATION))
 
 
+@query()
+def i25_placebo_categories_wild(d):
+    return rounded(regression.boundary_intervals(d.panel.where("category in ('C0', 'C3')"), ["category"], A.WINDOW_END, A.PUBLICATION))
+
+
 @query()
 def i26_did_verdicts(d):
     return compose.did_verdict(did.did_pair(d.panel, d.schedule), regression.mz(d.panel.where("in_r1_window"), []).select("psi"))

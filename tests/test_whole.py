@@ -3,11 +3,14 @@
 from bisect import bisect_right
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ridgeline.operators import did, regression
 from ridgeline.plans import registry
 from ridgeline.sources import adapters as A
+from tests.test_operators import brute, frame
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +51,65 @@ def test_every_event_is_a_reference(spark, duck):
                 want[int(k)] = (ticker, times[at - 1], first[times[at - 1]])
     assert {r.ref_id: (r.ticker, r.t, r.trade_id) for r in df.collect()} == want
     assert {k % 6 for k in want} == set(range(6))
+
+
+def wild_by_refits(spark, x, u, cluster, design, at, reps=999):
+    """The reference's procedure: replicates of the restricted fit's residuals, each fitted again; signs as the code draws them."""
+    names = sorted(set(cluster))
+    drawn = spark.createDataFrame([(c,) for c in names], "cluster string").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    bits = {(r.rep, r.cluster): r.bit for r in drawn.withColumn("bit", F.pmod(F.xxhash64(F.lit(0), "rep", "cluster"), F.lit(2))).collect()}
+    d = np.asarray(design, float)
+    less = np.delete(d, at, axis=1)
+    fitted = less @ np.linalg.lstsq(less, u, rcond=None)[0]
+    signs = np.array([[1.0 if bits[k, c] == 0 else -1.0 for c in cluster] for k in range(1, reps + 1)])
+    boot = np.array([np.linalg.lstsq(d, fitted + (u - fitted) * w, rcond=None)[0][at] for w in signs])
+    lo, hi = np.percentile(boot, [2.5, 97.5])
+    return boot.std(ddof=1), (hi - lo) / 2
+
+
+def test_few_clusters_have_wild_intervals_of_boundary_shifts(spark):
+    df, rows = frame(spark, 120)
+    fee, pub = 940_000_000, 952_000_000
+    x = 100 * np.array([r[7] for r in rows])
+    u, close, cluster = 100 * np.array([r[6] for r in rows]) - x, np.array([r[4] for r in rows]), [r[1] for r in rows]
+    f, q = (close >= fee).astype(float), (close >= pub).astype(float)
+    design = np.column_stack([np.ones(len(x)), x, f, f * x, q, q * x])
+    got = regression.boundary_intervals(df.withColumn("all", F.lit(1)), ["all"], fee, pub).first()
+    assert got.n_clusters == 40 and got.used_wild
+    for k, at in (("fee", 3), ("pub", 5)):
+        se, half = wild_by_refits(spark, x, u, cluster, design, at)
+        delta = brute(x, u, cluster, design)[0][at]
+        assert (got[f"delta_{k}"], got[f"delta_{k}_se"]) == (pytest.approx(delta), pytest.approx(se))
+        assert (got[f"delta_{k}_lo"], got[f"delta_{k}_hi"]) == (pytest.approx(delta - half), pytest.approx(delta + half))
+    many = regression.boundary_intervals(frame(spark, 900)[0].withColumn("all", F.lit(1)), ["all"], fee, pub).first()
+    plain = regression.boundary_shifts(frame(spark, 900)[0].withColumn("all", F.lit(1)), ["all"], fee, pub).first()
+    assert not many.used_wild and many.delta_fee_se == pytest.approx(plain.delta_fee_se)
+    assert many.delta_pub_hi == pytest.approx(plain.delta_pub + 1.96 * plain.delta_pub_se)
+
+
+def test_few_clusters_have_wild_intervals_of_did(spark):
+    df, rows = frame(spark, 2400, seed=3)
+    df = df.withColumn("event_ticker", F.concat(F.lit("E"), F.substring("ticker", 2, 9).cast("int") % 40))
+    cluster = [f"E{int(r[0][1:]) % 40}" for r in rows]
+    schedule = A.fee_schedule(spark)
+    flagged = {r.ticker: r for r in did.treated_flags(df, schedule).collect()}
+    now, ever = (np.array([flagged[r[0]][c] for r in rows], float) for c in ("now", "ever"))
+    month = np.array([flagged[r[0]].month for r in rows])
+    x = 100 * np.array([r[7] for r in rows])
+    u = 100 * np.array([r[6] for r in rows]) - x
+    months = [c for m in sorted(set(month))[1:] for c in ((month == m).astype(float), (month == m) * x)]
+    design = np.column_stack([np.ones(len(x)), x, ever, ever * x, now, now * x, *months])
+    se, half = wild_by_refits(spark, x, u, cluster, design, 5)
+    got = {r.fit: r for r in did.did_pair(df, schedule).collect()}["twfe"]
+    assert got.n_clusters == 40 and got.used_wild and got.delta_did_se == pytest.approx(se, rel=1e-5)
+    assert (got.ci_lo, got.ci_hi) == (pytest.approx(got.delta_did - half, rel=1e-4), pytest.approx(got.delta_did + half, rel=1e-4))
+
+
+def test_verdicts_and_escalation_take_the_wild_intervals(spark):
+    got = registry.QUERIES["i6_boundary_shifts_wild"](spark, SF).collect()
+    plain = {r.category: r for r in registry.QUERIES["i6_boundary_shifts"](spark, SF).collect()}
+    assert got and {r.category for r in got} == set(plain)
+    for r in got:
+        assert r.used_wild == (r.n_clusters < 50) and r.delta_pub == plain[r.category].delta_pub
+        assert not r.used_wild or r.delta_pub_se != plain[r.category].delta_pub_se
+    assert registry.QUERIES["i9_delta_bar_wild"](spark, SF).first() != registry.QUERIES["i9_delta_bar"](spark, SF).first()
