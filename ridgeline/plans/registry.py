@@ -148,6 +148,22 @@ def a9_quote_upsert(d):
     return tape.upsert(d.quotes.where("spread <> 0.05 or spread is null"), new, ["ticker"])
 
 
+@query(
+    "SELECT ticker, coalesce(n.series_ticker, o.series_ticker) AS series_ticker, o.category AS category, CASE WHEN n.ticker IS NOT NULL THEN n.result ELSE o.result END AS result, "
+    "coalesce(o.in_r1_window, FALSE) AS in_r1_window, CASE WHEN n.ticker IS NOT NULL THEN n.volume_fp ELSE o.volume_fp END AS volume_fp, CASE WHEN o.ticker IS NOT NULL THEN o.first_seen ELSE 0 END AS first_seen "
+    "FROM (SELECT ticker, series_ticker, category, result, in_r1_window, volume_fp, close_t AS first_seen FROM markets WHERE in_r1_window OR volume_fp >= 1000) o FULL JOIN "
+    "(SELECT ticker, CASE WHEN key % 4 <> 0 THEN series_ticker || 'x' END AS series_ticker, CASE WHEN key % 10 <> 0 THEN result END AS result, volume_fp + 1 AS volume_fp FROM markets WHERE in_r2_window OR volume_fp >= 1000) n USING (ticker)"
+)
+def a8_market_upsert_whole(d):
+    """a8_market_upsert with old and new markets that overlap and together are all."""
+    m = d.markets.where("in_r1_window or volume_fp >= 1000")
+    old = m.select("ticker", "series_ticker", "category", "result", "in_r1_window", "volume_fp", F.col("close_t").alias("first_seen"))
+    new = d.markets.where("in_r2_window or volume_fp >= 1000").select(
+        "ticker", F.when(F.col("key") % 4 != 0, F.concat(F.col("series_ticker"), F.lit("x"))).alias("series_ticker"), F.lit(None).cast("string").alias("category"),
+        F.when(F.col("key") % 10 != 0, F.col("result")).alias("result"), F.lit(False).alias("in_r1_window"), (F.col("volume_fp") + 1).alias("volume_fp"), F.lit(0).cast("long").alias("first_seen"))
+    return tape.upsert(old, new, ["ticker"], keep_old_if_null=("series_ticker", "category"), sticky=("in_r1_window",), first_seen=("first_seen",))
+
+
 @query(
     "SELECT ticker, lookback_day, CASE WHEN n.ticker IS NOT NULL THEN n.p ELSE o.p END AS p FROM (SELECT ticker, lookback_day, p FROM panel WHERE lookback_day <= 6) o "
     "FULL JOIN (SELECT ticker, lookback_day, CASE WHEN p > 0.5 THEN 1 - p END AS p FROM panel WHERE lookback_day >= 4) n USING (ticker, lookback_day)"
@@ -286,6 +302,11 @@ def b16_volume_consistency(d):
     return profiles.volume_consistency(d.markets, tape.trade_counts(d.raw_fills.where("month < '1997-01'")))
 
 
+@query("SELECT ticker, NOT (volume_fp > 0 AND n IS NULL) AS consistent FROM markets LEFT JOIN (SELECT ticker, count(*) AS n FROM fills GROUP BY ticker) USING (ticker)")
+def b16_volume_consistency_whole(d):
+    return profiles.volume_consistency(d.markets, tape.trade_counts(d.raw_fills))
+
+
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 EVENT_REFS = "SELECT concat('U', user_id) AS ticker, event_id AS ref_id, epoch_us(ts) + 3600000000 * (event_id % 5) - 7200000000 AS ref_t FROM events WHERE event_id % 6 = 0"
@@ -383,6 +404,21 @@ def c12_exists_probes(d):
     return has.crossJoin(d.markets.join(early, "ticker", "left_anti").agg(F.count("*").alias("without_fills")))
 
 
+@query("SELECT f.trade_id, m.event_ticker, m.series_ticker, m.category FROM fills f LEFT JOIN markets m USING (ticker)")
+def c11_enrichment_whole(d):
+    rows = tape.scan(d.raw_fills, columns=["trade_id", "ticker"])
+    return rows.join(d.markets.select("ticker", "event_ticker", "series_ticker", "category"), "ticker", "left").drop("ticker")
+
+
+@query(
+    "SELECT count(*) FILTER (WHERE has) AS with_fills, count(*) FILTER (WHERE NOT has) AS without_fills FROM (SELECT EXISTS (SELECT 1 FROM fills f WHERE f.ticker = m.ticker) AS has FROM markets m)"
+)
+def c12_exists_probes_whole(d):
+    traded = d.raw_fills.select("ticker")
+    has = d.markets.join(traded, "ticker", "left_semi").agg(F.count("*").alias("with_fills"))
+    return has.crossJoin(d.markets.join(traded, "ticker", "left_anti").agg(F.count("*").alias("without_fills")))
+
+
 OTHER = "SELECT ticker, lookback_day, CASE WHEN lookback_day = 3 THEN p + 0.01 ELSE p END AS p FROM panel WHERE lookback_day <> 5"
 
 
@@ -681,6 +717,11 @@ def g3_diagonal_concat(d):
     return a.unionByName(d.quotes.where("quote_source = 'live'").select("ticker", "spread"), allowMissingColumns=True)
 
 
+@query("SELECT ticker, result, CAST(NULL AS DOUBLE) AS spread FROM markets UNION ALL SELECT ticker, NULL, spread FROM quotes")
+def g3_diagonal_concat_whole(d):
+    return d.markets.select("ticker", "result").unionByName(d.quotes.select("ticker", "spread"), allowMissingColumns=True)
+
+
 @query(
     "SELECT a.ord AS a, b.ord AS b, array_to_string(list_sort(list_intersect(a.scope_values, b.scope_values)), ',') AS lower, array_to_string(list_sort(list_distinct(list_concat(a.scope_values, b.scope_values))), ',') AS upper FROM fee a JOIN fee b ON a.ord < b.ord AND a.scope_kind = 'series' AND b.scope_kind = 'series' "
     "WHERE EXISTS (SELECT 1 FROM markets WHERE list_contains(b.scope_values, series_ticker))"
