@@ -36,6 +36,18 @@ def delta_bar(fits: DataFrame, frozen: DataFrame, delta: str, by: list[str] | No
     return rows.groupBy(*(by or [])).agg(bar.alias("delta_bar"), (bar - 1.96 * se).alias("ci_lo"), (bar + 1.96 * se).alias("ci_hi"))
 
 
+def horizon_buckets(panel: DataFrame, fits: DataFrame, frozen: DataFrame) -> DataFrame:
+    """(lookback_day, n, delta_bar_fee, delta_bar_pub, n_categories_fit) for every day of the panel; null and 0 where nothing fits.
+
+    fits: shifts by lookback_day and category. A day whose fitted categories have no frozen weight has null shifts.
+    """
+    out = panel.groupBy("lookback_day").agg(F.count("*").alias("n")).join(fits.groupBy("lookback_day").agg(F.count("*").alias("fits")), "lookback_day", "left")
+    for k in ("fee", "pub"):
+        bar = delta_bar(fits, frozen, f"delta_{k}", ["lookback_day"]).select("lookback_day", F.col("delta_bar").alias(f"delta_bar_{k}"))
+        out = out.join(bar, "lookback_day", "left")
+    return out.select("lookback_day", "n", "delta_bar_fee", "delta_bar_pub", F.coalesce("fits", F.lit(0)).alias("n_categories_fit"))
+
+
 def verdict(estimate: Column, lo: Column, hi: Column, psi: Column) -> Column:
     """persisted, vanished, attenuated, reversed or indeterminate, from where the interval lies to 0 and to -psi; null: not identified."""
     gone = -psi

@@ -55,14 +55,23 @@ def epoch_of(df: DataFrame, name: str) -> Column:
     return iso_to_epoch(F.col(name)) if kind == "string" else F.floor(F.col(name)).cast("long")
 
 
-def control_panel(markets: DataFrame, trades: DataFrame, start: int, end: int, rules: list[tuple[str, str]], texts: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
+def within(start: int, end: int, coverage: tuple[int, int] | None) -> None:
+    """An error if [start, end] reaches outside the coverage: what isn't controlled is never extrapolated."""
+    if coverage and (start < coverage[0] or end > coverage[1]):
+        raise ValueError(f"[{start}, {end}] reaches outside the controlled coverage {list(coverage)}")
+
+
+def control_panel(
+    markets: DataFrame, trades: DataFrame, start: int, end: int, rules: list[tuple[str, str]], texts: list[str], extra: tuple[str, ...] = (), coverage: tuple[int, int] | None = None
+) -> DataFrame:
     """(ticker, category, close_t, y, p, event_ticker): markets that end within [start, end] and have an outcome and a last price.
 
     The last trade at or before the market's own end counts; among trades of one instant the highest price, so that the choice is
-    fixed. Prices of 0 and 1 drop out. Each market is its own cluster.
+    fixed. Prices of 0 and 1 drop out. Each market is its own cluster. A window outside the coverage is an error.
     """
     if start > end:
         raise ValueError("the window ends before it starts")
+    within(start, end, coverage)
     mid, outcome = detect(markets, "id"), detect(markets, "outcome")
     value = first_listed_outcome(F.col(outcome)) if outcome == "outcome_prices" else outcome_value(F.col(outcome))
     m = markets.select(F.col(mid).alias("ticker"), value.alias("y"), epoch_of(markets, detect(markets, "end")).alias("close_t"), classify(rules, *texts).alias("category"), *extra)
@@ -74,7 +83,8 @@ def control_panel(markets: DataFrame, trades: DataFrame, start: int, end: int, r
     return out.where("p > 0 and p < 1")
 
 
-def with_spine(monthly: DataFrame, first: int, last: int) -> DataFrame:
-    """monthly (month as year x 12 + month - 1, ...) with a row for every month from first to last."""
+def with_spine(monthly: DataFrame, first: int, last: int, coverage: tuple[int, int] | None = None) -> DataFrame:
+    """monthly (month as year x 12 + month - 1, ...) with a row for every month from first to last; outside the covered months an error."""
+    within(first, last, coverage)
     spine = monthly.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("month"))
     return spine.join(monthly, "month", "left")

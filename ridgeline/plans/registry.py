@@ -62,7 +62,7 @@ class Tables:
         return did.treated_flags(self.panel, self.schedule)
 
     def make_control(self) -> DataFrame:
-        return control.control_panel(self.control_markets, self.control_trades, A.EPOCH_1997, A.WINDOW_END, control.RULES, ["slug"], ("volume",))
+        return control.control_panel(self.control_markets, self.control_trades, A.EPOCH_1997, A.WINDOW_END, control.RULES, ["slug"], ("volume",), A.CONTROL_COVERAGE)
 
     def make_grid(self) -> DataFrame:
         return fees.default_grid(fees.sourced_maker_rate(self.schedule))
@@ -836,7 +836,7 @@ CONTROL_ROWS = f"SELECT {ORDINAL.format(t='close_t')} AS month, ticker AS cluste
 @query(f"SELECT CAST(m AS INTEGER) AS month, n, psi, psi_se FROM range(23964, 23988) s(m) LEFT JOIN ({mz_sql(CONTROL_ROWS, 'month')}) ON m = month")
 def i5_monthly_path(d):
     monthly = regression.mz(d.control.withColumn("month", S.ordinal_month(F.col("close_t"))), ["month"])
-    return rounded(control.with_spine(monthly, 23_964, 23_987).select("month", "n", "psi", "psi_se"))
+    return rounded(control.with_spine(monthly, 23_964, 23_987, A.CONTROL_MONTHS).select("month", "n", "psi", "psi_se"))
 
 
 def shifts_sql(rows: str, by: str) -> str:
@@ -913,6 +913,20 @@ def i11_horizon_shifts(d):
     return rounded(regression.boundary_shifts(d.panel.where("category is not null"), ["lookback_day", "category"], A.WINDOW_END, A.PUBLICATION))
 
 
+DAY_SHIFTS = shifts_sql(f"SELECT *, {REGIME} FROM rows_ WHERE category IS NOT NULL", "lookback_day, category")
+DAY_BARS = f"SELECT lookback_day, sum(weight * delta_fee) AS fee_, sum(weight * delta_pub) AS pub_ FROM ({DAY_SHIFTS}) JOIN ({FROZEN}) USING (category) WHERE weight <> 0 GROUP BY lookback_day"
+
+
+@query(
+    f"SELECT lookback_day, n, round(fee_, 5) AS delta_bar_fee, round(pub_, 5) AS delta_bar_pub, coalesce(k, 0) AS n_categories_fit FROM (SELECT lookback_day, count(*) AS n FROM panel GROUP BY lookback_day) "
+    f"LEFT JOIN (SELECT lookback_day, count(*) AS k FROM ({DAY_SHIFTS}) GROUP BY lookback_day) USING (lookback_day) LEFT JOIN ({DAY_BARS}) USING (lookback_day)"
+)
+def i11_horizon_buckets(d):
+    """Every lookback day of the panel, thin ones with nulls."""
+    fits = regression.boundary_shifts(d.panel.where("category is not null"), ["lookback_day", "category"], A.WINDOW_END, A.PUBLICATION).persist()
+    return rounded(compose.horizon_buckets(d.panel, rounded(fits), d.frozen), 5)
+
+
 @query()
 def i11_horizon_shifts_wild(d):
     return rounded(regression.boundary_intervals(d.panel.where("category is not null"), ["lookback_day", "category"], A.WINDOW_END, A.PUBLICATION))

@@ -12,6 +12,8 @@ DAY = 86_400
 EPOCH_1997 = 852_076_800
 WINDOW_END = 915_148_800  # 1999-01-01, end of the first window and the fee boundary
 PUBLICATION = 938_736_000  # 1999-10-01
+CONTROL_COVERAGE = (EPOCH_1997, WINDOW_END)
+CONTROL_MONTHS = (23_964, 23_987)  # 1997-01 to 1998-12, as year x 12 + month - 1
 FROZEN_YEAR = 1998
 
 

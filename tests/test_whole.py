@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.operators import did, regression
+from ridgeline.operators import compose, control, did, regression
 from ridgeline.plans import registry
 from ridgeline.sources import adapters as A
 from tests.test_operators import brute, frame
@@ -137,3 +137,25 @@ def test_markets_without_fills_are_found(spark):
     fills = spark.createDataFrame([("1", "A", 0.5, 1.0, "yes", 1, "2001-01")], "trade_id string, ticker string, price double, count_fp double, taker_side string, t long, month string")
     got = {r.ticker: r.consistent for r in profiles.volume_consistency(m, tape.trade_counts(fills)).select("ticker", "consistent").collect()}
     assert got == {"A": True, "B": False, "C": True}
+
+
+def test_thin_days_stay_with_nulls(spark, duck):
+    panel = spark.createDataFrame([(k,) for k in (0, 0, 0, 1, 1, 2)], "lookback_day int")
+    fits = spark.createDataFrame([(0, "A", 0.2, 0.4), (0, "B", 0.1, -0.2), (1, "Z", 0.5, 0.5)], "lookback_day int, category string, delta_fee double, delta_pub double").withColumns({"delta_fee_se": F.lit(0.1), "delta_pub_se": F.lit(0.1)})
+    frozen = spark.createDataFrame([("A", 0.5), ("B", 0.5)], "category string, weight double")
+    got = {r.lookback_day: tuple(r)[1:] for r in compose.horizon_buckets(panel, fits, frozen).collect()}
+    assert got == {0: (3, pytest.approx(0.15), pytest.approx(0.1), 2), 1: (2, None, None, 1), 2: (1, None, None, 0)}
+    df = equals_oracle(spark, duck, "i11_horizon_buckets")
+    assert {r.lookback_day for r in df.collect()} == set(range(11))
+
+
+def test_control_windows_outside_the_coverage_are_errors(spark):
+    none = spark.createDataFrame([], "condition_id string, outcome string, end_t long, slug string, price double, t long")
+    monthly = spark.createDataFrame([(23_970, 1.0)], "month int, psi double")
+    for start, end in ((A.EPOCH_1997 - 1, A.WINDOW_END), (A.EPOCH_1997, A.WINDOW_END + 1)):
+        with pytest.raises(ValueError, match="coverage"):
+            control.control_panel(none, none, start, end, control.RULES, ["slug"], coverage=A.CONTROL_COVERAGE)
+    for first, last in ((23_963, 23_987), (23_964, 23_988)):
+        with pytest.raises(ValueError, match="coverage"):
+            control.with_spine(monthly, first, last, A.CONTROL_MONTHS)
+    assert control.with_spine(monthly, *A.CONTROL_MONTHS, A.CONTROL_MONTHS).count() == 24
