@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -96,6 +97,18 @@ def pieces(texts: Iterable[str], most: int = 1 << 20) -> Iterator[list[str]]:
         yield run
 
 
+SPACES_BEGIN = re.compile(r"(?<=\S)\s")
+
+
+def stretches(text: str, most: int) -> Iterator[str]:
+    """A text in parts of about `most` characters, cut where white space begins; longer only where a part holds none."""
+    at = 0
+    while len(text) - at > most and (cut := SPACES_BEGIN.search(text, at + most)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 def ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The slices flat[starts[i]:starts[i] + lens[i]], one after another."""
     total = int(lens.sum())
