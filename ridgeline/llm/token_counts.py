@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from ridgeline.llm.common import append_columns, pieces
+from ridgeline.llm.common import append_columns, pieces, stretches
 
 #: The pre-token pattern of byte-level vocabularies, for texts of Latin letters, digits, marks and common punctuation.
 #: There the character classes are spelled out, so that the standard library's matcher, several times faster than
@@ -34,9 +34,9 @@ PRETOKEN = re.compile(
 )
 #: A character outside the range in which PRETOKEN holds.
 FOREIGN = re.compile("[^\x00-ɏ‐-‧‰-⁞€]")
-#: The same for any text.
+#: The same for any text, for libraries whose character classes are those of the regex module.
 ANY_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
+MEMO_ENTRIES, MEMO_CHARS, STRETCH = 400_000, 64, 1 << 20
 
 
 @functools.lru_cache(maxsize=4)
@@ -55,7 +55,7 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(
         s
         for i, s, e in zip(ids, strings, found, strict=True)
-        if s and s not in special and e.ids == [i] and not FOREIGN.search(s) and PRETOKEN.fullmatch(s)
+        if s and s not in special and e.ids == [i] and len(tok.pre_tokenizer.pre_tokenize_str(s)) == 1
     )
 
 
@@ -79,31 +79,38 @@ class Counts(dict):
         return len(self.tok.encode(word, add_special_tokens=False))
 
 
+def pretokens(tok: Tokenizer, text: str) -> list[str]:
+    """The pre-tokens of a text of any script; the library's own splitter takes over where PRETOKEN doesn't hold."""
+    if FOREIGN.search(text) is None:
+        return PRETOKEN.findall(text)
+    return [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)]
+
+
 def text_counter(path: str, whole: frozenset[str]):
-    """A function from a list of texts (null: empty) to their token counts."""
+    """A function from a list of texts to their token counts. A special string within a text is one token and parts what is around it."""
     tok = load(path)
     counts = Counts(whole, tok)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
+    parting = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
     one = counts.__getitem__
 
+    def split(text: str) -> tuple[list[str], int]:
+        if not any(s in text for s in special):
+            return pretokens(tok, text), 0
+        parts = parting.split(text)
+        return [w for p in parts for w in pretokens(tok, p)], len(parts) - 1
+
+    def of(texts: list[str]) -> list[int]:
+        found = [*map(split, texts)]
+        counts.merge(set().union(*(words for words, _ in found)))
+        return [n + sum(map(one, words)) for words, n in found]
+
     def count(texts: list[str]) -> list[int]:
         out: list[int] = []
         for run in pieces(texts):
-            split: list[list[str] | int] = []
-            for t in run:
-                if any(s in t for s in special) or FOREIGN.search(t):
-                    # special strings and other scripts are the library's own matter
-                    split.append(len(tok.encode(t, add_special_tokens=False)))
-                elif len(t) > 1 << 22:
-                    n, words = 0, (m[0] for m in PRETOKEN.finditer(t))
-                    while part := [*itertools.islice(words, 200_000)]:
-                        counts.merge(set(part))
-                        n += sum(map(one, part))
-                    split.append(n)
-                else:
-                    split.append(PRETOKEN.findall(t))
-            counts.merge(set().union(*(x for x in split if not isinstance(x, int))))
-            out += [x if isinstance(x, int) else sum(map(one, x)) for x in split]
+            *short, end = run
+            out += of(short)
+            out.append(sum(of([part])[0] for part in stretches(end, STRETCH)))
         return out
 
     return count
