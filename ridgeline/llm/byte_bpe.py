@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import heapq
 import itertools
 
 import numpy as np
@@ -19,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import append_columns, pieces, ragged
+from ridgeline.llm.common import append_columns, pieces, ragged, stretches
 from ridgeline.llm.token_counts import ANY_PRETOKEN, FOREIGN, PRETOKEN
 
 NONE = np.int32(2**31 - 1)
-#: Longer pre-tokens would need as many rounds over as wide a row; a queue of pairs merges them in the same order.
-WIDEST = 1 << 11
-POOL_WORDS, POOL_CHARS = 400_000, 64
+#: A longer pre-token is a matrix of its own, with as many rows of BLOCK ids as it needs.
+WIDEST, BLOCK = 1 << 11, 1 << 10
+POOL_WORDS, STRETCH = 400_000, 1 << 20
 
 
 def mixed(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
@@ -122,28 +121,54 @@ class Vocabulary:
             rank[rows[has], at[has] - 1] = self.rank(ids[rows[has], at[has] - 1], ids[rows[has], at[has]])
         return out
 
-    def merge_long(self, word: bytes) -> np.ndarray:
-        """The same merges for one very long word, from a queue of (rank, place): N log N in its length."""
-        ids = self.of_byte[np.frombuffer(word, dtype=np.uint8)].tolist()
-        n = len(ids)
-        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        pair = {(int(k >> 32), int(k & 0xFFFFFFFF)): int(v) for k, v in zip(self.keys, self.values, strict=True) if k >= 0}
-        queue = [(r, i) for i, r in enumerate(self.rank(np.array(ids[:-1]), np.array(ids[1:])).tolist()) if r != NONE]
-        heapq.heapify(queue)
-        while queue:
-            r, i = heapq.heappop(queue)
-            j = after[i] if ids[i] >= 0 else n
-            if j >= n or pair.get((ids[i], ids[j])) != r:
-                continue  # one of the two has been merged since
-            ids[i], ids[j] = r, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                if (x := pair.get((r, ids[after[j]]))) is not None:
-                    heapq.heappush(queue, (x, i))
-            if before[i] >= 0 and (x := pair.get((ids[before[i]], r))) is not None:
-                heapq.heappush(queue, (x, before[i]))
-        return np.array([x for x in ids if x >= 0], dtype=np.int32)
+    def pair_rank(self, left: int, right: int) -> int:
+        """rank() of one pair."""
+        key = left << 32 | right
+        at = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - self.bits)
+        while (there := int(self.keys[at])) != key:
+            if there < 0:
+                return int(NONE)
+            at += 1
+        return int(self.values[at])
+
+    def merge_blocks(self, word: bytes) -> np.ndarray:
+        """The ids of one long word, laid out row by row: each round merges the leftmost pair of minimum rank of the whole matrix.
+
+        The rows' minima find it, and only the row that loses an id is closed up, so a round costs a row, not a word.
+        """
+        n = len(word)
+        rows = -(-n // BLOCK)
+        ids, rank = np.full(rows * BLOCK, -1, dtype=np.int32), np.full(rows * BLOCK, NONE, dtype=np.int32)
+        ids[:n] = self.of_byte[np.frombuffer(word, dtype=np.uint8)]
+        rank[: n - 1] = self.rank(ids[: n - 1], ids[1:n])
+        ids, rank = ids.reshape(rows, BLOCK), rank.reshape(rows, BLOCK)
+        lens = [min(BLOCK, n - k * BLOCK) for k in range(rows)]
+        after, before = [*range(1, rows), -1], [-1, *range(rows - 1)]  # rows that still hold ids
+        least = rank.min(axis=1)
+        while (best := least[row := int(least.argmin())]) != NONE:
+            at = int(rank[row].argmin())
+            ids[row, at] = best
+            # the id that goes is the next of the row, or the first of the next one
+            gone, k = (row, at + 1) if at + 1 < lens[row] else (after[row], 0)
+            lens[gone] -= 1
+            end = lens[gone]
+            ids[gone, k:end], rank[gone, k:end] = ids[gone, k + 1 : end + 1].copy(), rank[gone, k + 1 : end + 1].copy()
+            ids[gone, end], rank[gone, end] = -1, NONE
+            if not end:
+                after[row] = after[gone]
+                if after[gone] >= 0:
+                    before[after[gone]] = row
+                least[gone] = NONE
+            # the merged id's own pair, and its left neighbour's
+            follow = int(ids[row, at + 1]) if at + 1 < lens[row] else int(ids[after[row], 0]) if after[row] >= 0 else -1
+            rank[row, at] = self.pair_rank(int(best), follow) if follow >= 0 else NONE
+            to, j = (row, at - 1) if at else (before[row], lens[before[row]] - 1)
+            if to >= 0:
+                rank[to, j] = self.pair_rank(int(ids[to, j]), int(best))
+            for r in {row, gone, to} - {-1}:
+                least[r] = rank[r].min()
+        flat = ids.ravel()
+        return flat[flat >= 0]
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word; a word that is a token is that token, as in the library."""
@@ -153,7 +178,7 @@ class Vocabulary:
             if (r := self.ranks.get(w)) is not None:
                 out[i] = np.array([r], dtype=np.int32)
             elif len(w) > WIDEST:
-                out[i] = self.merge_long(w)
+                out[i] = self.merge_blocks(w)
             else:
                 buckets.setdefault(max(2, 1 << (len(w) - 1).bit_length()), []).append(i)
         for width, rows in buckets.items():
@@ -178,19 +203,26 @@ class Pool:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.flat, self.starts, self.lens = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.used = 0
+        self.flat, self.starts, self.lens = np.empty(1 << 16, np.int32), np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
 
     def add(self, words: set[str]) -> None:
-        if len(self.at) > POOL_WORDS or len(self.flat) > 4 * POOL_WORDS * 2:
+        if len(self.at) > POOL_WORDS or self.used > 4 * POOL_WORDS * 2:
             self.clear()
         new = [w for w in words if w not in self.at]
         if new:
             ids = self.vocab.merge([w.encode() for w in new])
             lens = np.array([len(x) for x in ids], dtype=np.int64)
-            starts = len(self.flat) + np.cumsum(lens) - lens
-            self.at.update(zip(new, range(len(self.lens), len(self.lens) + len(new)), strict=True))
-            self.flat, self.starts, self.lens = (np.concatenate(x) for x in ((self.flat, *ids), (self.starts, starts), (self.lens, lens)))
+            first, used = len(self.at), self.used + int(lens.sum())
+            last = first + len(new)
+            if used > len(self.flat):
+                self.flat = np.resize(self.flat, 2 * used)
+            if last > len(self.lens):
+                self.starts, self.lens = np.resize(self.starts, 2 * last), np.resize(self.lens, 2 * last)
+            np.concatenate(ids, out=self.flat[self.used : used])
+            self.lens[first:last], self.starts[first:last] = lens, self.used + np.cumsum(lens) - lens
+            self.at.update(zip(new, range(first, last), strict=True))
+            self.used = used
 
     def encode(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts' pre-tokens, and the number of them in each text."""
@@ -206,18 +238,16 @@ class Pool:
 def encode_batch(pool: Pool, texts: list[str]) -> pa.ListArray:
     ids: list[np.ndarray] = [np.empty(0, np.int32)]
     counts: list[np.ndarray] = [np.zeros(1, np.int64)]
-    for run in pieces(texts):
-        if len(run) == 1 and len(run[0]) > 1 << 22:
-            pattern = ANY_PRETOKEN if FOREIGN.search(run[0]) else PRETOKEN
-            words, n = (m[0] for m in pattern.finditer(run[0])), 0
-            while part := [*itertools.islice(words, 200_000)]:
-                ids.append(pool.encode([part])[0])
-                n += len(ids[-1])
-            counts.append(np.array([n]))
-            continue
-        found, n = pool.encode([(ANY_PRETOKEN if FOREIGN.search(t) else PRETOKEN).findall(t) for t in run])
+
+    def of(texts: list[str]) -> np.ndarray:
+        found, n = pool.encode([(ANY_PRETOKEN if FOREIGN.search(t) else PRETOKEN).findall(t) for t in texts])
         ids.append(found)
-        counts.append(n)
+        return n
+
+    for run in pieces(texts):
+        *short, end = run
+        counts.append(of(short))
+        counts.append(np.array([sum(int(of([part])[0]) for part in stretches(end, STRETCH))]))
     return pa.ListArray.from_arrays(np.cumsum(np.concatenate(counts)).astype(np.int32), pa.array(np.concatenate(ids)))
 
 
