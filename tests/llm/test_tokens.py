@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -29,7 +30,7 @@ def test_whole_tokens_are_proven():
 
 def test_character_classes_agree_with_the_tokenizers():
     count = token_counts.text_counter(BYTES, token_counts.whole_tokens(BYTES))
-    ids = packing.text_ids(WORDS)
+    ids = packing.chunk_ids(WORDS).all
     a, b = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS)
     for c in [*range(0x250), *range(0x2000, 0x2070), 0x20AC, 0x301, 0x1E9E]:
         for t in (f"a{chr(c)}b", f" {chr(c)}{chr(c)}", f"{chr(c)} 1{chr(c)} X'S"):
@@ -50,10 +51,14 @@ def test_encoding_equals_the_library_and_round_trips(docs, texts):
     assert all(bytes(r.decoded).decode() == (r.text or "") for r in both)
 
 
-def test_long_words_merge_as_short_ones_do():
+def test_long_words_merge_as_short_ones_do(monkeypatch):
     vocab = byte_bpe.vocabulary(RANKS)
-    for w in (b"abababcabcabababd" * 30, b"theonionerandthat" * 40, b"a" * 999):
-        assert vocab.merge_long(w).tolist() == vocab.merge_matrix([w], 1 << 10)[0].tolist()
+    r = random.Random(2)
+    words = [b"abababcabcabababd" * 30, b"theonionerandthat" * 40, b"a" * 999, bytes(r.choice(b"etaoinshrdlu") for _ in range(1024)), "é".encode() * 500]
+    short = [vocab.merge_matrix([w], 1 << 10)[0].tolist() for w in words]
+    for block in (1, 2, 7, 64, 4096):
+        monkeypatch.setattr(byte_bpe, "BLOCK", block)
+        assert [vocab.merge_blocks(w).tolist() for w in words] == short
 
 
 def check_packing(rows, texts, tok):
@@ -86,7 +91,7 @@ def test_packing_plans_hold_every_histogram():
         values, counts = np.unique(lengths, return_counts=True)
         h = dict(zip(values.tolist(), counts.tolist(), strict=True))
         held = defaultdict(int)
-        plan = packing.pack_histogram(h, 4096, 24)
+        plan, bound = packing.pack_histogram(h, 4096)
         for config, n in plan:
             assert sum(k * v for k, v in config.items()) <= 4096
             for k, v in config.items():
@@ -94,8 +99,62 @@ def test_packing_plans_hold_every_histogram():
         assert held == h
         # no plan can need fewer than the total, the pieces over half, or the most of the smallest pieces that fit ask for
         least = max(int((lengths > 2048).sum()), -(-int(lengths.sum()) // 4096), -(-len(lengths) // (4096 // int(lengths.min()))))
-        assert least <= sum(n for _, n in plan) <= least * 1.25 + 1
-    assert packing.pack_histogram({}, 4096) == []
+        used = sum(n for _, n in plan)
+        assert least <= used and bound <= used + 1e-6, "a dual value bounds every packing"
+        assert used <= max(bound, least) * 1.02 + 1
+    assert packing.pack_histogram({}, 4096) == ([], 0.0)
+
+
+def brute_price(lengths, values, limits, capacity):
+    best = np.zeros(capacity + 1)
+    for x, v, n in zip(lengths, values, limits, strict=True):
+        for _ in range(min(n, capacity // x)):
+            best[x:] = np.maximum(best[x:], best[:-x] + v)
+    return best[-1]
+
+
+def test_pricing_equals_a_plain_knapsack():
+    r = np.random.default_rng(8)
+    for _ in range(200):
+        capacity = int(r.integers(5, 60))
+        lengths = np.sort(r.choice(np.arange(1, capacity + 1), int(r.integers(1, min(capacity, 9))), replace=False))
+        values, limits = r.random(len(lengths)), r.integers(1, 9, len(lengths))
+        take, value = packing.price(lengths, values, limits, capacity)
+        assert (take <= limits).all() and (take * lengths).sum() <= capacity
+        assert abs(value - (take * values).sum()) < 1e-9 and abs(value - brute_price(lengths, values, limits.tolist(), capacity)) < 1e-9
+
+
+def test_chunks_of_every_script_encode_as_the_library_does():
+    r = random.Random(11)
+    parts = ["a", "B", "É", "İ", "Σ", "ς", "\x1c", "\x1f", " ", "  ", "\n", "\xa0", "\u0301", "e", "<|endoftext|>", "'s", "'LL", "12", "½", "ſ", "K", "中文", "한", "ᄒ", "ᅡ", "🙂", ".,", "\u3000", "\x85", "</w>", "Ω"]
+    tok, ids = Tokenizer.from_file(WORDS), packing.chunk_ids(WORDS).all
+    for _ in range(2000):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(25)))
+        assert next(ids([t])) == np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), ascii(t)
+
+
+def test_counts_of_every_script_and_special_string_equal_the_library():
+    r = random.Random(12)
+    parts = ["a", " the", "É", "İ", "Σ", "\x1c", " ", "  ", "\n", "\xa0", "\u0301", "<|endoftext|>", "'s", "12", "½", "中文", " 한국", "привет", "🙂", ".,", "\u3000", "\x85", "\u0558", "\u088f"]
+    tok, count = Tokenizer.from_file(BYTES), token_counts.text_counter(BYTES, token_counts.whole_tokens(BYTES))
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(2000)]
+    assert count(texts) == [len(tok.encode(t, add_special_tokens=False)) for t in texts]
+
+
+def test_very_long_texts_in_stretches(monkeypatch):
+    """Texts beyond the stretch are cut where white space begins; with a small stretch the results stay the library's."""
+    r = random.Random(13)
+    texts = [" ".join(r.choice(["the", "straße,", " ", "\n", "x" * 70, "日本", "1234", "it's"]) for _ in range(3000)), "ab" * 3000, "é " * 4000]
+    for module in (packing, token_counts, byte_bpe):
+        monkeypatch.setattr(module, "STRETCH", 512)
+    a, b = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS)
+    vocab = byte_bpe.vocabulary(RANKS)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
+    count = token_counts.text_counter(BYTES, token_counts.whole_tokens(BYTES))
+    for t in texts:
+        assert count([t]) == [len(a.encode(t, add_special_tokens=False))]
+        assert next(packing.chunk_ids(WORDS).all([t])) == np.array(b.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert byte_bpe.encode_batch(byte_bpe.Pool(vocab), [t, "x"])[0].as_py() == enc.encode_ordinary(t)
 
 
 def test_empty_tables(empty):
