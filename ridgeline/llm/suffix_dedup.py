@@ -2,15 +2,19 @@
 
 Two strings of `length` bytes can only be equal if their anchors are: the k-byte substring of least hash, the leftmost of equals, which
 depends on the string alone. So texts are first cut into runs of windows with one anchor, and runs whose anchor occurs once
-in the corpus are done with. Runs of one anchor whose whole contexts are equal repeat altogether. What is left are different
-contexts around equal anchors, and since equal windows hold their anchor at the same place, these contexts are aligned.
+in the corpus are done with. What is left are contexts around equal anchors, and since equal windows hold their anchor at the same
+place, these contexts are aligned. Of a context that occurs more often, two occurrences go on, cut from their own texts.
 
 In each task the contexts of its anchors form several shards. Every shard has its (positional, multi-string) Burrows-Wheeler
 transform: for each column the symbols that follow the prefixes in the order of the reversed prefixes. The shards are merged by
 refining their interleave column after column: reading the next symbol of the shard that each place of the interleave
 names, and distributing the places stably by symbol, gives the interleave of prefixes one longer. No suffixes are sorted again and no
 texts compared. The common prefix of neighbours follows from the maximum over the places between them, and neighbours that have agreed
-for `length` bytes are a repeated interval.
+for `length` bytes are a repeated interval. Every removed byte lies in an interval that such a merge has found.
+
+An anchor with more contexts than a group should hold is parted: the windows of its first and of its second half of places have
+longer strings in common, and only contexts that share those can share such windows. The halves are groups of their own, in
+which equal rests of contexts fold into one, and are parted again until every group is small; one single window is one context.
 """
 
 from __future__ import annotations
@@ -28,14 +32,15 @@ from ridgeline.llm.words import ODD, mix
 
 LENGTH, CORE = 400, 200
 SEGMENT = 1 << 19
-#: Different contexts of one anchor that a task merges; the windows of a more frequent anchor are counted one by one instead.
-MOST_CONTEXTS = 256
+#: Contexts in a group from which on it is parted into halves.
+GROUP = 256
 SHARDS, CHUNK, ROWS_A_TASK = 4, 4096, 16_384
+#: A key with more than this part of all rows is frequent: there are fewer of them than the number's inverse, so they may be broadcast.
+FREQUENT = 1 / 1000
 
 BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SYMBOL = mix(np.arange(1, 257, dtype=np.uint64) * ODD)
-SECOND = mix(np.arange(1001, 1257, dtype=np.uint64) * ODD)
 
 
 class Powers:
@@ -51,9 +56,9 @@ class Powers:
         return cls.power, cls.inverse
 
 
-def prefix_sums(data: np.ndarray, symbol: np.ndarray = SYMBOL) -> np.ndarray:
+def prefix_sums(data: np.ndarray) -> np.ndarray:
     power, _ = Powers.get()
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(symbol[data] * power[: len(data)], dtype=np.uint64)))
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(SYMBOL[data] * power[: len(data)], dtype=np.uint64)))
 
 
 def hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -115,6 +120,10 @@ def merge_transforms(orders: np.ndarray, following: np.ndarray, group: np.ndarra
     interleave, high = shard[start].astype(np.int64), group[start].astype(np.int64) << 12
     since = np.zeros(rows, dtype=np.int32)  # the column from which a place agrees with the one before
     repeats = np.zeros((rows, columns - span + 1), dtype=bool)
+    if not span:  # empty strings agree wherever they are in one group
+        same = np.flatnonzero(np.diff(high) == 0)
+        repeats[start[same], 0] = repeats[start[same + 1], 0] = True
+        return repeats
 
     def pointers(z: np.ndarray) -> np.ndarray:
         at = np.empty(rows, dtype=np.int64)
@@ -144,12 +153,11 @@ def merge_transforms(orders: np.ndarray, following: np.ndarray, group: np.ndarra
     return repeats
 
 
-def repeated_windows(group: np.ndarray, left: np.ndarray, texts: list[bytes], length: int, core: int) -> np.ndarray:
-    """repeats[row, s] for aligned contexts: row's window that begins length - core - s bytes before its anchor repeats in its group.
+def repeated_windows(group: np.ndarray, left: np.ndarray, texts: list[bytes], side: int) -> np.ndarray:
+    """repeats[row, s] for aligned contexts: the window that begins side - s bytes before what the row's group has in common repeats in it.
 
-    texts: a context without its core; left: how many bytes of it stand before the core.
+    texts: a context without the common part; left: how many bytes of it stand before. A window has `side` bytes beside the common part.
     """
-    side = length - core
     symbols = np.full((len(texts), 2 * side), 256, dtype=np.int16)  # 256 is no byte: nothing valid agrees with it
     lens = np.array([len(t) for t in texts], dtype=np.int64)
     flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -173,124 +181,196 @@ def intervals(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([start[new], np.append(end[new[1:] - 1], end[-1])])
 
 
-RUNS = "anchor long, context long, place long, first long, last long"
+RUNS = "same binary, anchor long, context long, place int, first int, last int"
+#: A context or a part of one, named (a, b). key: what its group has in common, the windows lo to hi of its anchor; copies: 1, or 2 for more.
+PIECES = "a long, b long, key binary, copies int, lo int, hi int, before int, bytes binary"
+HALVES = f"of_a long, of_b long, shift int, {PIECES}"
 
 
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, core: int = CORE) -> DataFrame:
-    """(same, starts, ends): for each different text that has any (same: its MD5), intervals of bytes whose union is covered by repeats.
+def digest(*parts: bytes) -> bytes:
+    h = hashlib.blake2b(digest_size=16)
+    for p in parts:
+        h.update(p)
+    return h.digest()
 
-    A byte is covered if it lies in a string of `length` bytes that also starts anywhere else in the corpus, the same text included.
-    Texts are UTF-8 bytes, null is empty; matches never cross texts. Copies of a text are texts of their own, with equal spans.
-    """
-    ship(docs.sparkSession)
-    texts = docs.select(text_key(F.col(text_col)).alias("same"), F.coalesce(text_col, F.lit("")).alias("text"))
-    schema = T._parse_datatype_string(f"same binary, {RUNS}")
+
+ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def names_of(columns: str) -> list[str]:
+    return [c.split()[0] for c in columns.split(", ")]
+
+
+def columns_of(rows: list[tuple], columns: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, ARROW[t.split()[1]]) for c, t in zip(zip(*rows, strict=True), columns.split(", "), strict=True)], names_of(columns))
+
+
+def find_runs(texts: DataFrame, length: int, core: int) -> DataFrame:
+    """The runs of windows with one anchor of all texts (same, text)."""
+    names = names_of(RUNS)
 
     def find(batches):
         for batch in slices(batches):
             rows, which = [], []
             for i, t in enumerate(batch.column("text")):
-                buffer = t.as_buffer()
-                if buffer is not None and buffer.size >= length:
-                    found = anchor_runs(np.frombuffer(buffer, dtype=np.uint8), length, core)
-                    rows.append(found)
-                    which.append(np.full(found.shape[1], i))
+                found = anchor_runs(np.frombuffer(t.as_buffer(), dtype=np.uint8), length, core)
+                rows.append(found)
+                which.append(np.full(found.shape[1], i))
             if rows:
+                found = np.concatenate(rows, axis=1)
                 same = batch.column("same").take(pa.array(np.concatenate(which)))
-                yield pa.RecordBatch.from_arrays([same, *map(pa.array, np.concatenate(rows, axis=1))], schema.names)
-
-    runs = texts.where(F.octet_length("text") >= length).mapInArrow(find, schema)
-    counts = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-    # stored, so that the join below has an exchange on either side and a frequent anchor's runs can be split
-    counts = stage_table(counts, "anchors")
-    found = runs.join(counts, "anchor").select(runs["same"], "anchor", "context", "place", "first", "last", (F.col("low") == F.col("high")).alias("alike"))
-    found = stage_table(found, "runs")
-    mixed = found.where("not alike")
-    one = F.struct("same", "place", "first", "last")
-    contexts = mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(one).alias("one"))
-    contexts = stage_table(contexts, "contexts")
-    twice = contexts.where("n > 1").select("anchor", "context")
-    whole = found.where("alike").select("same", "first", "last").union(mixed.join(twice, ["anchor", "context"]).select("same", "first", "last"))
-    spread = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    asked = contexts.join(spread, "anchor").select("one.*", "anchor", (F.col("kinds") > MOST_CONTEXTS).alias("many"), (F.col("n") > 1).alias("done"))
-    asked = asked.groupBy("same").agg(F.collect_list(F.struct("anchor", "place", "first", "last", "many", "done")).alias("asked"))
+                yield pa.RecordBatch.from_arrays([same, *map(pa.array, found[:2]), *(pa.array(c.astype(np.int32)) for c in found[2:])], names)
+
+    return texts.where(F.octet_length("text") >= length).mapInArrow(find, RUNS)
+
+
+def frequent(counts: DataFrame, total: int) -> DataFrame:
+    """The rows of counts (a count n for each key, of `total` rows in all) of frequent keys: fewer than 1 / FREQUENT."""
+    return F.broadcast(counts.where(F.col("n") > max(1.0, total * FREQUENT)).drop("n"))
+
+
+def cut_contexts(contexts: DataFrame, texts: DataFrame, length: int, core: int) -> DataFrame:
+    """The contexts' bytes as pieces: of each, one occurrence or two."""
+    two = F.when((F.col("n") > 1) & (F.col("least") != F.col("most")), F.array("least", "most")).otherwise(F.array("least"))
+    copies = F.when((F.col("n") > 1) & (F.col("least") == F.col("most")), 2).otherwise(1)
+    wanted = contexts.select("anchor", "context", copies.alias("copies"), F.explode(two).alias("one")).select("anchor", "context", "copies", "one.*")
+    asked = wanted.groupBy("same").agg(F.collect_list(F.struct("anchor", "context", "copies", "place", "first", "last")).alias("asked"))
     # one of each text's copies: they meet in each task before they are dealt
-    holders = texts.groupBy("same").agg(F.first("text").alias("text")).join(asked, "same").select("same", "text", "asked")
-    held = T._parse_datatype_string("same binary, anchor long, core long, first long, before int, bytes binary, many boolean, done boolean")
+    holders = texts.groupBy("same").agg(F.first("text").alias("text")).join(asked, "same").select("text", "asked")
 
     def cut(batches):
         for batch in slices(batches):
-            rows = []
-            for same, text, runs_ in zip(*(batch.column(c) for c in ("same", "text", "asked")), strict=True):
-                data, key = memoryview(text.as_buffer()), same.as_py()
-                for r in runs_.as_py():
-                    p, a, e = r["place"], r["first"], r["last"] + length
-                    second = int.from_bytes(hashlib.blake2b(data[p : p + core], digest_size=8).digest(), "little", signed=True)
-                    rows.append((key, r["anchor"], second, a, p - a, bytes(data[a:p]) + bytes(data[p + core : e]), r["many"], r["done"]))
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()), strict=True)],
-                    held.names,
-                )
+            for k in range(batch.num_rows):
+                data, asked = memoryview(batch.column("text")[k].as_buffer()), batch.column("asked").slice(k, 1).flatten()
+                found = [asked.field(i).to_numpy().tolist() for i in range(6)]
+                for at in range(0, len(found[0]), CHUNK):
+                    rows = []
+                    for anchor, context, n, p, a, z in zip(*(c[at : at + CHUNK] for c in found), strict=True):
+                        end = z + length
+                        rows.append((anchor, context, digest(data[p : p + core]), n, 0, length - core, p - a, b"".join((data[a:p], data[p + core : end]))))
+                    yield columns_of(rows, PIECES)
+
+    return holders.mapInArrow(cut, PIECES)
 
-    pieces = stage_table(holders.mapInArrow(cut, held), "pieces")
-    few = pieces.where("not many")
-    tasks = max(1, -(-few.count() // ROWS_A_TASK))
+
+def halves(pieces: DataFrame) -> DataFrame:
+    """Both halves of every piece, where it has windows there, with the piece that they are part of and their first window in it."""
+
+    def part(batches):
+        for batch in slices(batches):
+            rows = []
+            for a, b, key, n, lo, hi, before, data in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+                first, last = hi - before, lo + len(data) - before
+                left, right = data[:before], data[before:]
+                middle = (lo + hi + 1) // 2
+                if first < middle:  # windows up to middle - 1 have the bytes from the last one's first on in common
+                    z = min(last, middle - 1)
+                    new = digest(key, b"-", left[len(left) - (hi - middle + 1) :])
+                    rest = left[: middle - 1 - first], right[: z - lo]
+                    rows.append((a, b, 0, new, n, lo, middle - 1, *rest))
+                if last >= middle:
+                    f = max(first, middle)
+                    new = digest(key, b"+", right[: middle - lo])
+                    rest = left[len(left) - (hi - f) :] if hi > f else b"", right[middle - lo :]
+                    rows.append((a, b, f - first, new, n, middle, hi, *rest))
+            named = []
+            for a, b, shift, key, n, lo, hi, left, right in rows:
+                name = digest(key, len(left).to_bytes(4, "little"), left, right)
+                x, y = (int.from_bytes(name[i : i + 8], "little", signed=True) for i in (0, 8))
+                named.append((a, b, shift, x, y, key, n, lo, hi, len(left), left + right))
+            if named:
+                yield columns_of(named, HALVES)
+
+    return pieces.select(names_of(PIECES)).mapInArrow(part, HALVES)
+
+
+def merge_groups(pieces: DataFrame, rows: int) -> DataFrame:
+    """(a, b, since, until): the repeated windows of each piece, numbered from its first, by merging the transforms of each group's pieces."""
+    tasks = max(1, -(-rows // ROWS_A_TASK))
 
     def merge(group):
         group = group.combine_chunks()
-        core_key = np.stack([group.column("anchor").to_numpy(), group.column("core").to_numpy()])
-        order = np.lexsort(core_key)
-        number = np.cumsum(np.concatenate(([0], (np.diff(core_key[:, order]) != 0).any(axis=0))))
-        left, first = group.column("before").to_numpy().astype(np.int64), group.column("first").to_numpy()
-        done, text = group.column("done").to_numpy(zero_copy_only=False), group.column("bytes")
+        key = np.frombuffer(b"".join(group.column("key").to_pylist()), dtype=np.int64).reshape(-1, 2)
+        lo, hi, left, copies = (group.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "before", "copies"))
+        text = group.column("bytes").to_pylist()
+        order = np.lexsort((key[:, 0], key[:, 1], hi - lo))
+        order = np.repeat(order, copies[order])
+        side, own = (hi - lo)[order], key[order]
+        number = np.cumsum(np.concatenate(([0], (np.diff(own, axis=0) != 0).any(axis=1) | (np.diff(side) != 0))))
         cuts = np.flatnonzero(np.concatenate(([True], np.diff(number) > 0)))
         out = [[], [], []]
         k = 0
         while k < len(cuts):
-            e = max(k + 1, int(np.searchsorted(cuts, cuts[k] + CHUNK, side="right")) - 1)
-            rows = order[cuts[k] : cuts[e] if e < len(cuts) else len(order)]
-            repeats = repeated_windows(number[cuts[k] : cuts[k] + len(rows)] - number[cuts[k]], left[rows], [text[i].as_py() for i in rows.tolist()], length, core)
-            repeats[done[rows]] = False
-            # runs of windows
+            # whole groups of one width, about CHUNK rows
+            most = min(cuts[k] + CHUNK, int(np.searchsorted(side, side[cuts[k]], side="right")))
+            e = max(k + 1, int(np.searchsorted(cuts, most, side="right")) - 1)
+            if e == len(cuts) - 1 and most == len(order):
+                e = len(cuts)
+            at = slice(cuts[k], cuts[e] if e < len(cuts) else len(order))
+            some, width = order[at], int(side[cuts[k]])
+            repeats = repeated_windows(number[at] - number[cuts[k]], left[some], [text[i] for i in some.tolist()], width)
+            repeats = repeats[np.concatenate(([True], some[1:] != some[:-1]))]
+            some = some[np.concatenate(([True], some[1:] != some[:-1]))]
             edge = np.diff(np.pad(repeats, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             i, s = np.nonzero(edge == 1)
-            _, t = np.nonzero(edge == -1)
-            from_ = first[rows[i]] + left[rows[i]] - (length - core) + s
-            out[0].append(rows[i])
-            out[1].append(from_)
-            out[2].append(from_ + t - 1 - s)
+            _, z = np.nonzero(edge == -1)
+            skip = width - left[some[i]]
+            for column, found in zip(out, (some[i], s - skip, z - 1 - skip), strict=True):
+                column.append(found)
             k = e
-        which, a, b = map(np.concatenate, out)
-        return pa.table([group.column("same").take(pa.array(which)), pa.array(a), pa.array(b)], names=["same", "first", "last"])
+        which, since, until = map(np.concatenate, out)
+        return pa.table([*(group.column(c).take(pa.array(which)) for c in ("a", "b")), pa.array(since), pa.array(until)], names=["a", "b", "since", "until"])
 
-    merged = few.withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(tasks))).groupBy("task").applyInArrow(merge, "same binary, first long, last long")
+    dealt = pieces.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInArrow(merge, "a long, b long, since long, until long")
 
-    windows_of = T._parse_datatype_string("same binary, first long, anchor long, core long, one long, two long")
 
-    def windows(batches):
-        for batch in slices(batches, 1 << 18):
-            rows = []
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column("bytes")[i].as_buffer(), dtype=np.uint8)
-                at = np.arange(len(data) - (length - core) + 1)
-                one_, two = (hashes(prefix_sums(data, s), at, at + length - core) for s in (SYMBOL, SECOND))
-                place = (batch.column("before")[i].as_py() - at).astype(np.uint64)  # windows agree only at one place of the anchor
-                rows.append(np.stack([np.full(len(at), i), batch.column("first")[i].as_py() + at, mix(one_ + place * ODD).view(np.int64), two.view(np.int64)]))
-            if rows:
-                which, start, one_, two = np.concatenate(rows, axis=1)
-                same, anchor, second = (batch.column(c).take(pa.array(which)) for c in ("same", "anchor", "core"))
-                yield pa.RecordBatch.from_arrays([same, pa.array(start), anchor, second, pa.array(one_), pa.array(two)], windows_of.names)
-
-    name = ["anchor", "core", "one", "two"]
-    each = pieces.where("many").mapInArrow(windows, windows_of)
-    repeated = each.groupBy(*name).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    counted = each.join(repeated, name).select("same", "first", F.col("first").alias("last"))
-    spans = whole.union(merged).union(counted).distinct()
+def merged_windows(pieces: DataFrame) -> DataFrame:
+    """merge_groups() of stored pieces with groups of any size: large ones are parted into halves until none is."""
+    sizes = pieces.groupBy("key").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"))
+    sizes = stage_table(sizes.where("copies > 1"), "groups")
+    rows, small, large = sizes.agg(F.sum("n"), F.count(F.when(F.col("n") <= GROUP, 1)), F.count(F.when(F.col("n") > GROUP, 1))).first()
+    if not large:
+        return merge_groups(pieces.join(sizes, "key", "left_semi"), rows or 0)
+    # the keys of large groups are fewer than rows / GROUP; Spark broadcasts them only below its own threshold
+    parted = stage_table(halves(pieces.join(sizes.where(F.col("n") > GROUP), "key", "left_semi")), "halves")
+    folded = parted.groupBy("a", "b").agg(F.first("key").alias("key"), F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"), *(F.first(c).alias(c) for c in ("lo", "hi", "before", "bytes")))
+    found = stage_table(merged_windows(stage_table(folded, "pieces")), "windows")
+    up = parted.select("of_a", "of_b", "shift", "a", "b").join(found, ["a", "b"])
+    up = up.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"), F.col("since") + F.col("shift"), F.col("until") + F.col("shift"))
+    return merge_groups(pieces.join(sizes.where(F.col("n") <= GROUP), "key", "left_semi"), rows).union(up) if small else up.toDF("a", "b", "since", "until")
+
+
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, core: int = CORE) -> DataFrame:
+    """(same, starts, ends): for each different text that has any (same: its MD5), intervals of bytes whose union is covered by repeats.
+
+    A byte is covered if it lies in a string of `length` bytes that also starts anywhere else in the corpus, the same text included.
+    Texts are UTF-8 bytes, null is empty; matches never cross texts. Copies of a text are texts of their own, with equal spans.
+    Occurrences of one context beyond the two that are merged as bytes are told by two 64-bit hashes, of the anchor and the context.
+    """
+    ship(docs.sparkSession)
+    texts = docs.select(text_key(F.col(text_col)).alias("same"), F.coalesce(text_col, F.lit("")).alias("text"))
+    runs = stage_table(find_runs(texts, length, core), "anchors")
+    total = runs.count()
+    counts = stage_table(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    often = frequent(counts, total)
+    rest = runs.join(often, "anchor", "left_anti").join(counts.join(often, "anchor", "left_anti"), "anchor", "left_semi")
+    found = stage_table(runs.join(often, "anchor", "left_semi").unionByName(rest), "runs")
+    one = F.struct("same", "place", "first", "last")
+    contexts = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(one).alias("least"), F.max(one).alias("most"))
+    contexts = stage_table(contexts, "contexts")
+    pieces = stage_table(cut_contexts(contexts, texts, length, core), "pieces")
+    windows = stage_table(merged_windows(pieces).select(F.col("a").alias("anchor"), F.col("b").alias("context"), "since", "until"), "windows")
+    often = frequent(contexts.select("anchor", "context", "n"), total)
+    name = ["anchor", "context"]
+    # a context has at most (length - core) / 2 + 1 intervals in each occurrence, so those of frequent contexts are bounded too
+    hot = found.join(F.broadcast(windows.join(often, name, "left_semi")), name)
+    cold = found.join(often, name, "left_anti").join(windows.join(often, name, "left_anti"), name)
+    spans = hot.unionByName(cold).select("same", (F.col("first") + F.col("since")).alias("first"), (F.col("first") + F.col("until")).alias("last")).distinct()
     return spans.groupBy("same").agg(F.collect_list("first").alias("starts"), F.collect_list(F.col("last") + length).alias("ends"))
 
 
@@ -335,9 +415,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
 
 def digest_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, core: int = CORE) -> DataFrame:
-    """docs without its text, with n_bytes, n_removed, n_spans and kept_sha256.
+    """docs with what is left of its text, and with n_bytes (of the input), n_removed, n_spans and kept_sha256.
 
-    Null, empty and short texts lose nothing. Other columns pass through; those with the results' names are replaced.
+    A character that a cut leaves in part goes from the text too; the digest is of the remaining bytes. Null, empty and short texts lose nothing. Other columns pass through; those with the results' names are replaced.
     """
 
     def make():
@@ -349,15 +429,17 @@ def digest_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
                 digest = hashlib.sha256()
                 for p in parts:
                     digest.update(p)
-                rows.append((len(data), gone, runs, digest.hexdigest()))
-            return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+                left = b"".join(parts).decode(errors="ignore") if text.is_valid else None
+                rows.append((left, len(data), gone, runs, digest.hexdigest()))
+            return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
 
         return f
 
-    columns = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType()}
-    return append_columns(with_spans(docs, text_col, length, core), columns, make, drop=[text_col, "_starts", "_ends"])
+    columns = {text_col: T.StringType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType()}
+    return append_columns(with_spans(docs, text_col, length, core), columns, make, drop=["_starts", "_ends"])
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    """The digest query: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return digest_repeats(docs.select("doc_id", "text"))
+    """The digest query: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and text, what is left of it."""
+    found = digest_repeats(docs.select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
