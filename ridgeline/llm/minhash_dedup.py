@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,7 @@ from ridgeline.llm.words import ODD, mix, shingle_hashes, shingles_of, text_byte
 
 TO_UNIT = 2.0**-53
 #: Members up to which a bucket's open pairs are listed; larger ones are compared in tiles of two blocks of TILE members.
-BLOCK, TILE, WIDTH = 64, 512, 4096
+BLOCK, TILE, WIDTH, SALTS = 64, 512, 4096, 64
 
 
 def step(cell: int, turn: int) -> np.uint64:
@@ -79,12 +79,12 @@ def signatures(elements: np.ndarray, owner: np.ndarray, sets: int, k: int, weigh
     return out
 
 
-def sign_batch(texts: list[str | None], shingle: int, k: int, bands: int, counted: bool) -> np.ndarray:
-    """The band hashes of each text; 0 rows (no band) for texts without words are told apart by the second result."""
+def sign_batch(texts: list[str | None], shingle: int, k: int, bands: int, counted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The band hashes of each text, whether it has words (else there are no bands), and the weight of its shingles together."""
     elements, text_of = shingles_of(texts, shingle)
     out = np.zeros((len(texts), bands), dtype=np.int64)
     rows, owner = np.unique(text_of, return_inverse=True)
-    has = np.zeros(len(texts), dtype=bool)
+    has, size = np.zeros(len(texts), dtype=bool), np.bincount(text_of, minlength=len(texts))
     if len(rows):
         weights = None
         if counted:
@@ -100,7 +100,15 @@ def sign_batch(texts: list[str | None], shingle: int, k: int, bands: int, counte
             band = mix(band * ODD + s[:, j * bands : (j + 1) * bands])
         out[rows] = band.view(np.int64)
         has[rows] = True
-    return out, has
+    return out, has, size if counted else distinct_sizes(elements, owner, rows, len(texts))
+
+
+def distinct_sizes(elements: np.ndarray, owner: np.ndarray, rows: np.ndarray, texts: int) -> np.ndarray:
+    """How many different elements each text has; owner: the place of the text in rows."""
+    order = np.lexsort((elements, owner))
+    elements, owner = elements[order], owner[order]
+    new = np.concatenate((np.ones(min(1, len(owner)), bool), (elements[1:] != elements[:-1]) | (owner[1:] != owner[:-1])))
+    return np.bincount(rows[owner[new]], minlength=texts)
 
 
 def exact_similarity(a: np.ndarray, b: np.ndarray, counted: bool) -> float:
@@ -115,9 +123,10 @@ def exact_similarity(a: np.ndarray, b: np.ndarray, counted: bool) -> float:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, counted: bool) -> DataFrame:
-    """(a, b, similarity) for pairs of ids, from their whole texts (columns node, text)."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    """(a, b, similarity) for pairs of texts (columns node, text). A text in very many pairs is dealt in SALTS parts."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    left = salted.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+    both = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").join(left, ["a", "salt"])
 
     def make():
         def f(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -180,93 +189,101 @@ def overlaps(sets: list[np.ndarray], asking: np.ndarray) -> np.ndarray:
 
 
 def tile_links(members: DataFrame, texts: DataFrame, threshold: float, shingle: int, counted: bool) -> DataFrame:
-    """(a, b): links across components in large buckets, by tiles of two blocks of a bucket's members.
+    """(a, b): links across components in large buckets, by tiles of a bucket's members and of those that ask.
 
-    Members that ask, those outside a bucket's largest component, are compared exactly with all members of other components.
-    A tile returns for each member one link to the least member that it is connected with there, never its pairs.
+    Members that ask, those outside a bucket's largest component, are compared exactly with members of other components. Similar texts
+    are of similar size, and of similar distance to the bucket's first text; so members lie in cells by both, and those that ask
+    visit the cells around their own. Cells that nobody visits are never dealt. A tile returns for each text one link to the
+    least text that it is connected with there, never its pairs.
     """
-    blocks = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    reach = 1 - threshold + 1e-9
+    cell = F.struct(F.floor(F.log("elements_n") / -math.log(threshold)).alias("size"), F.floor(F.col("distance") / reach).alias("ring"))
+    held = members.select("band", "hash", "node", "label", "asks", cell.alias("cell"))
+    key = ["band", "hash", "cell"]
+    near = F.array(*(F.struct((F.col("cell.size") + i).alias("size"), (F.col("cell.ring") + j).alias("ring")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    visits = held.where("asks").select("band", "hash", "node", "label", F.explode(near).alias("cell"))
+    parts = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    cells = held.groupBy(*key).agg(F.count("*").alias("n")).join(visits.groupBy(*key).agg(F.count("*").alias("visitors")), key)
+    cells = stage_table(cells.select(*key, parts("n").alias("rows"), parts("visitors").alias("columns")), "cells")
+    dealt = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    all_of = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    own = held.join(cells, key).select(*key, "node", "label", F.lit(False).alias("asks"), dealt("rows").alias("row"), all_of("columns").alias("column"))
+    guests = visits.join(cells, key).select(*key, "node", "label", F.lit(True).alias("asks"), dealt("columns").alias("column"), all_of("rows").alias("row"))
+    both = own.unionByName(guests)
     sets = element_sets(texts.join(members.select("node").distinct(), "node", "left_semi"), shingle, counted)
-    met = dealt.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("band", "hash", "node", "label", "asks", "elements", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-
-    def tile(key, group):
-        group = group.combine_chunks().sort_by("node")
-        names = ["a", "b"]
-        asking = np.flatnonzero(group.column("asks").to_numpy(zero_copy_only=False))
-        if not len(asking):
-            return pa.table([np.empty(0, np.int64)] * 2, names=names)
+    met = both.join(sets, "node").select("band", "hash", F.col("cell.size").alias("size"), F.col("cell.ring").alias("ring"), "row", "column", "node", "label", "asks", "elements")
+
+    def tile(group):
+        group = group.combine_chunks()
+        asks = group.column("asks").to_numpy(zero_copy_only=False)
+        asking, asked = np.flatnonzero(asks), np.flatnonzero(~asks)
         found = group.column("elements").combine_chunks()
         flat, ends = found.flatten().to_numpy(), np.concatenate(([0], np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))))
         own = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         n = np.diff(ends)
-        both = overlaps(own, asking)
-        near = both / (n[asking][:, None] + n[None, :] - both) >= threshold
-        label, block = group.column("label").to_numpy(), group.column("own").to_numpy()
-        near &= label[asking][:, None] != label[None, :]
-        if key[2].as_py() != key[3].as_py():
-            near &= block[asking][:, None] != block[None, :]
-        i, j = np.nonzero(near)
         forest = Forest(len(own))
-        forest.link(asking[i], j)
-        node, moved = group.column("node").to_numpy(), np.flatnonzero(forest.label != np.arange(len(own)))
-        return pa.table([node[moved], node[forest.label[moved]]], names=names)
+        if len(asking) and len(asked):
+            shared = overlaps(own, asking)[:, asked]
+            near = shared / (n[asking][:, None] + n[asked][None, :] - shared) >= threshold
+            label = group.column("label").dictionary_encode().combine_chunks().indices.to_numpy()
+            i, j = np.nonzero(near & (label[asking][:, None] != label[asked][None, :]))
+            forest.link(asking[i], asked[j])
+        moved = np.flatnonzero(forest.label != np.arange(len(own)))
+        node = group.column("node")
+        return pa.table([node.take(pa.array(moved)), node.take(pa.array(forest.label[moved]))], names=["a", "b"])
+
+    tiles = met.groupBy("band", "hash", "size", "ring", "row", "column").applyInArrow(tile, "a binary, b binary")
+    return stage_table(tiles.where("a <> b").distinct(), "tiles")
+
 
-    return stage_table(met.groupBy("band", "hash", "low", "high").applyInArrow(tile, "a long, b long").distinct(), "tiles")
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
-def near_duplicates(
+def text_classes(
     docs: DataFrame,
     threshold: float = 0.8,
     shingle: int = 5,
     coordinates: int = 96,
     bands: int = 24,
-    weighting: str = "set",
+    weighting: str = "count",
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(id_col, class_id, kept) for every row: groups connected by similarity >= threshold, named by their smallest id.
-
-    Similarity is the Jaccard similarity of word shingles (words are split at white space, A-Z in lower case), as sets or, with
-    weighting "count", by how often they occur. A text of fewer words than a shingle is one shingle. Equal texts are one
-    class without being compared. Texts that are null or have no word are in no group but their own row's. kept marks the
-    rows whose id is their class's name. Repeated ids with different texts join their classes. Other columns are ignored.
+    """(same, class_id, head, n) for each different text that has a word (same: its MD5): its class's smallest id, and the text it stands on.
 
-    With 24 bands of 4 a pair at 0.8 shares a band but for a chance of 3e-6. In a bucket all texts are compared with the first one
-    (a star, not all pairs), which joins most of a bucket into one component. Where a bucket still holds several, its texts
-    outside the largest component are compared with the texts of other components: in small buckets as pairs, those only that the
-    triangle inequality leaves open, in large ones in tiles. So no link between components of a bucket is lost, hot
-    groups are split, and no bucket's pairs are listed. Only counts reach the driver. Ids are long integers.
+    n counts the rows with the text. Of texts that stand on one smallest id, the one of least digest is the head; a class without any
+    id has a null class_id. See near_duplicates().
     """
     counted = weighting == "count"
 
     def make():
         def f(batch: pa.RecordBatch) -> list[pa.Array]:
-            found, has = sign_batch(batch.column("text").to_pylist(), shingle, coordinates, bands, counted)
+            found, has, size = sign_batch(batch.column("text").to_pylist(), shingle, coordinates, bands, counted)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, bands, dtype=np.int32)), pa.array(found.ravel()))
-            return [pa.array([x if y else None for x, y in zip(lists, has.tolist(), strict=True)], pa.list_(pa.int64()))]
+            return [pa.array([x if y else None for x, y in zip(lists, has.tolist(), strict=True)], pa.list_(pa.int64())), pa.array(size)]
 
         return f
 
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = named.withColumn("same", F.md5("text"))
-    signed = append_columns(keyed, {"bands": T.ArrayType(T.LongType())}, make, drop=["text"]).where("bands is not null and id is not null")
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("same", text_digest(F.col("text")))
+    signed = append_columns(named, {"bands": T.ArrayType(T.LongType()), "elements_n": T.LongType()}, make, drop=["text"]).where("bands is not null")
     signed = stage_table(signed, "signatures")
-    # one row for each different text
-    texts_of = signed.groupBy("same").agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
+    texts_of = signed.groupBy(F.col("same").alias("node")).agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("elements_n").alias("elements_n"), F.count("*").alias("n"))
     unique = stage_table(texts_of, "texts")
-    bucketed = unique.select("node", F.posexplode("bands").alias("band", "hash"))
+    several = signed.groupBy("id").agg(F.min("same").alias("least"), F.max("same").alias("most")).where("id is not null and least <> most")
+    one_id = signed.join(several, "id").select(F.col("same").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    bucketed = unique.select("node", "elements_n", F.posexplode("bands").alias("band", "hash"))
     shared = bucketed.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").drop("n")
-    members = stage_table(bucketed.join(shared, ["band", "hash"]).select("band", "hash", "node", "first"), "buckets")
+    members = stage_table(bucketed.join(shared, ["band", "hash"]).select("band", "hash", "node", "elements_n", "first"), "buckets")
     involved = members.select("node").distinct()
-    wanted = named.join(involved.withColumnRenamed("node", "id"), "id", "left_semi").groupBy(F.col("id").alias("node")).agg(F.min("text").alias("text"))
-    texts = stage_table(wanted, "candidates")
+    # one of each text's copies: they meet in each task before they are dealt
+    folded = named.where("text is not null").groupBy(F.col("same").alias("node")).agg(F.first("text").alias("text"))
+    texts = stage_table(folded.join(involved, "node", "left_semi"), "candidates")
     reach = 1 - threshold + 1e-9
     stars = members.select(F.col("first").alias("a"), F.col("node").alias("b")).where("a <> b")
     known = compared(stars, None, texts, shingle, counted)
     measured = known.select(F.col("a").alias("first"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("distance"))
-    members = members.join(measured, ["first", "node"], "left").select("band", "hash", "node", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    members = members.join(measured, ["first", "node"], "left").select("band", "hash", "node", "elements_n", F.coalesce("distance", F.lit(0.0)).alias("distance"))
     linked = known.where(F.col("similarity") >= threshold).select("a", "b")
     labels = components(linked, "near").withColumnRenamed("component", "label")
     named_members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -279,12 +296,36 @@ def near_duplicates(
     open_ = few.where("asks").join(other, ["band", "hash"]).where((F.col("label") != F.col("of")) & (F.abs(F.col("distance") - F.col("far")) <= reach))
     known = compared(open_.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")), known, texts, shingle, counted)
     tiles = tile_links(many, texts, threshold, shingle, counted)
-    links = known.where(F.col("similarity") >= threshold).select("a", "b").union(tiles).union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    labels = components(links, "near").withColumnRenamed("component", "class_id")
-    classes = unique.select("same", "node").join(labels, "node", "left").select("same", F.coalesce("class_id", "node").alias("class_id"))
-    own = named.select("id", F.md5("text").alias("same"), F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\t-\r\x1c-\x20]")).alias("worded"))
-    out = own.join(classes, "same", "left").withColumn("class_id", F.when(F.col("worded"), F.coalesce("class_id", "id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    links = known.where(F.col("similarity") >= threshold).select("a", "b").union(tiles).union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))).union(one_id)
+    labels = components(links, "near")
+    of_text = stage_table(unique.join(labels, "node", "left").select(F.col("node").alias("same"), "id", "n", F.coalesce("component", "node").alias("component")), "classes")
+    best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "same")).alias("best")
+    return of_text.join(of_text.groupBy("component").agg(best), "component").select("same", F.col("best.id").alias("class_id"), F.col("best.same").alias("head"), "n")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id_col, class_id, kept) for every row: groups connected by similarity >= threshold, named by their smallest id.
+
+    Options and their defaults are those of text_classes(). Similarity is the Jaccard similarity of word shingles (words are split at
+    white space, A-Z in lower case), weighted by how often they occur, or as sets with weighting "set". A text of fewer words than a
+    shingle is one shingle. Equal texts are one class without being compared. Texts that are null or have no word are in no group but
+    their own row's. kept marks the rows whose id is their class's name. An id that stands on different texts joins their
+    classes; rows without an id belong to the class of their text, which is named by other rows' ids, or null. Other columns are ignored.
+
+    With 24 bands of 4 a pair at 0.8 shares a band but for a chance of 3e-6. In a bucket all texts are compared with the first one
+    (a star, not all pairs), which joins most of a bucket into one component. Where a bucket still holds several, its texts
+    outside the largest component are compared with the texts of other components: in small buckets as pairs, those only that the
+    triangle inequality leaves open, in large ones in tiles. So no link between components of a bucket is lost, hot
+    groups are split, and no bucket's pairs are listed. Only counts reach the driver. Ids are long integers.
+    """
+    classes = stage_table(text_classes(docs, id_col=id_col, text_col=text_col, **options), "classes")
+    own = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("same"))
+    # texts on more than a thousandth of the rows are fewer than a thousand
+    often = F.broadcast(classes.where(F.col("n") > max(1.0, docs.count() / 1000)))
+    cold = own.join(often, "same", "left_anti").join(classes, "same", "left")
+    out = own.join(often, "same").unionByName(cold)
+    name = F.when(F.col("head").isNotNull(), F.col("class_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), name.alias("class_id"), F.col("id").eqNullSafe(name).alias("kept"))
 
 
 def op10(docs: DataFrame) -> DataFrame:
