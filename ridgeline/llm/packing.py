@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
+from tokenizers import Tokenizer
 
 from ridgeline.llm.common import pieces as runs
 from ridgeline.llm.common import ship, slices, stage_table, stretches
@@ -58,18 +59,23 @@ class ChunkIds:
     """
 
     def __init__(self, path: str):
-        self.tok = load(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        vocab = self.tok.get_vocab()
-        suffix = json.loads(self.tok.to_str())["model"].get("end_of_word_suffix")
-        self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        self.special = [t["content"] for t in whole["added_tokens"]]
+        vocab, suffix = whole["model"]["vocab"], whole["model"].get("end_of_word_suffix")
+        self.last = np.zeros(max(*vocab.values(), *(t["id"] for t in whole["added_tokens"])) + 1, dtype=bool)
         self.last[[i for w, i in vocab.items() if suffix and w.endswith(suffix)]] = True
+        # for words that are split and in lower case already, the same vocabulary without those steps
+        bytes_ = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        lean = whole | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_]}}
+        self.words = Tokenizer.from_str(json.dumps(lean))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode(self, words: list[str]) -> list[bytes]:
         """The ids of each of some strings that encode independently of each other."""
-        found = self.tok.encode_batch_fast(words, add_special_tokens=False)
+        found = load(self.path).encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
@@ -77,7 +83,7 @@ class ChunkIds:
         out: list[bytes] = []
         for k in range(0, len(words), 1000):
             part = words[k : k + 1000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = [0, *((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()]
             flat = ids.tobytes()
             if len(ends) == len(part) + 1 and ends[-1] == len(flat):
@@ -106,7 +112,8 @@ class ChunkIds:
                 words.update(parts)
         new = [w for w in words if w not in known]
         of = dict(zip(new, self.encode_words(new), strict=True))
-        found.update(zip(odd, self.encode(odd), strict=True))
+        if odd:
+            found.update(zip(odd, self.encode(odd), strict=True))
         for c, parts in split.items():
             found[c] = b"".join([of[w] if w in of else known[w] for w in parts])
         for part in (of, found):
