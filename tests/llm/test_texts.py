@@ -33,6 +33,7 @@ def check_repeats(df, texts):
         runs = int((np.diff(np.concatenate(([0], m.view(np.int8), [0]))) == 1).sum())
         kept = np.frombuffer(d, np.uint8)[~m].tobytes()
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(d), int(m.sum()), runs, hashlib.sha256(kept).hexdigest()), r.doc_id
+        assert r.text == (None if texts[r.doc_id] is None else kept.decode(errors="ignore"))
 
 
 @pytest.fixture(scope="module")
@@ -49,8 +50,10 @@ def test_repeats_equal_brute_force(spark, repeating):
     check_repeats(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(repeating)], DOCS), repeating)
 
 
-def test_frequent_anchors_are_counted_exactly(spark, repeating, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", 2)
+@pytest.mark.parametrize("group", [1, 2, 7])
+def test_frequent_anchors_are_parted_exactly(spark, repeating, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 1 / 50)
     check_repeats(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(repeating)], DOCS), repeating)
 
 
@@ -61,7 +64,7 @@ def test_merged_transforms_find_what_comparison_finds():
         group = np.sort(r.integers(0, 4, n))
         left = r.integers(0, side + 1, n)
         texts = [bytes(r.integers(97, 99, int(a) + int(r.integers(0, side + 1))).astype(np.uint8)) for a in left]
-        got = suffix_dedup.repeated_windows(group, left, texts, side + 5, 5)
+        got = suffix_dedup.repeated_windows(group, left, texts, side)
         for i in range(n):
             for s in range(side + 1):
                 own = lambda j: None if s < side - left[j] or s + side > side - left[j] + len(texts[j]) else texts[j][s - side + left[j] :][:side]  # noqa: B023, E731
