@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from ridgeline.llm import language_id, minhash_dedup, packing, secret_scan, suffix_dedup
 from ridgeline.llm.common import stage_table, table
 
-#: A text whose best language has a smaller share than this is as good as unidentified (chance among four languages is 0.25).
-LEAST_SCORE = 0.3
+#: A text whose best language has a share below this many times chance (one by the number of languages) is as good as unidentified.
+LEAST_LIFT = 1.2
+#: Bytes of a repeated passage, and of the anchors that find it: passages of over fifty words are longer than that, licence lines shorter.
+PASSAGE, ANCHOR = 240, 120
 
 
 def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -22,20 +24,24 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identified language; those without a letter, or like no language that was learned, go."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"), language_id.teaching())
     found = language_id.identify(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), model, text_col="in_text")
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    least = LEAST_LIFT / len(model.languages) if model and len(model.languages) > 1 else 0.0
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return kept.select([F.col(f"in_{c}").alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Rows without an id stay."""
-    kept = minhash_dedup.near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    return named.dropDuplicates(["doc_id", "text"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group of near copies: the one with the smallest id, or of those without any id one. Texts without a word stay."""
+    classes = stage_table(minhash_dedup.text_classes(docs.select("doc_id", "text")), "classes").withColumnsRenamed({"same": "_same", "head": "_head", "class_id": "_class", "n": "_n"})
+    named = docs.withColumn("_same", minhash_dedup.text_digest(F.col("text")))
+    heads = classes.where("_same = _head")
+    kept = named.join(heads, (named["_same"] == heads["_same"]) & named["doc_id"].eqNullSafe(heads["_class"]), "left_semi").dropDuplicates(["doc_id", "_same"])
+    wordless = named.join(classes, "_same", "left_anti")
+    return kept.select(docs.columns).unionByName(wordless.select(docs.columns))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that stand anywhere else too; documents of which nothing is left go."""
-    cut = suffix_dedup.remove_repeats(docs)
+    """Texts without the strings of PASSAGE bytes that stand anywhere else too; documents of which nothing is left go."""
+    cut = suffix_dedup.remove_repeats(docs, length=PASSAGE, core=ANCHOR)
     return counted(cut.where(F.length(F.trim("text")) > 0), docs.columns)
 
 
