@@ -33,9 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary
+    one; a cluster has no folder that would do, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return path or tempfile.mkdtemp(prefix="spark-")
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", path)
+    return path
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -79,6 +86,7 @@ def append_columns(
         for batch in slices(batches):
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + f(batch), names)
+        pa.default_memory_pool().release_unused()  # workers live on and wait
 
     return df.mapInArrow(run, schema)
 
@@ -123,6 +131,8 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     smallest node reachable as component, for every node that has an edge. Each round hooks every component under the
     smallest neighbouring one and then halves the paths by following the label of the label, so a chain of n nodes takes
     a number of rounds logarithmic in practice. Every round is written to the shared folder; only counts reach the driver.
+    A node of very many edges, or a giant component's label, meets one row on the other side of its joins, whose sorted side Spark's
+    adaptive execution splits; sums by node or label combine before they are dealt.
     """
     e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = stage_table(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{tag}-edges")

@@ -13,7 +13,6 @@ from __future__ import annotations
 import bisect
 import functools
 import itertools
-import json
 import re
 import zlib
 from collections import defaultdict
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from ridgeline.llm.common import pieces as runs
 from ridgeline.llm.common import ship, slices, stage_table, stretches
@@ -38,7 +37,7 @@ FOREIGN = re.compile("[^\x00-įı-ſ‐-‧‰-⁞€]")
 #: Characters that only str.split() takes for white space.
 NO_SPACE = "\x1c\x1d\x1e\x1f"
 UNICODE_SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-MEMO_ENTRIES, MEMO_CHARS, STRETCH = 400_000, 64, 1 << 20
+MEMO_ENTRIES, MEMO_CHARS, STRETCH = 200_000, 40, 1 << 20
 
 
 def is_foreign(text: str) -> bool:
@@ -60,16 +59,14 @@ class ChunkIds:
 
     def __init__(self, path: str):
         self.path = path
-        with open(path, encoding="utf-8") as f:
-            whole = json.load(f)
-        self.special = [t["content"] for t in whole["added_tokens"]]
-        vocab, suffix = whole["model"]["vocab"], whole["model"].get("end_of_word_suffix")
-        self.last = np.zeros(max(*vocab.values(), *(t["id"] for t in whole["added_tokens"])) + 1, dtype=bool)
-        self.last[[i for w, i in vocab.items() if suffix and w.endswith(suffix)]] = True
         # for words that are split and in lower case already, the same vocabulary without those steps
-        bytes_ = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        lean = whole | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_]}}
-        self.words = Tokenizer.from_str(json.dumps(lean))
+        self.words = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.words.get_added_tokens_decoder().values()]
+        suffix = getattr(self.words.model, "end_of_word_suffix", None)
+        self.last = np.array([bool(suffix) and (self.words.id_to_token(i) or "").endswith(suffix) for i in range(self.words.get_vocab_size())])
+        self.words.normalizer = None
+        bytes_ = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
