@@ -23,7 +23,7 @@ from ridgeline.llm.words import ODD, mix, shingle_hashes, shingles_of, text_byte
 
 TO_UNIT = 2.0**-53
 #: Members up to which a bucket's open pairs are listed; larger ones are compared in tiles of two blocks of TILE members.
-BLOCK, TILE, WIDTH, SALTS = 64, 512, 4096, 64
+BLOCK, TILE, WIDTH = 64, 512, 4096
 
 
 def step(cell: int, turn: int) -> np.uint64:
@@ -50,7 +50,7 @@ def throw(elements: np.ndarray, owner: np.ndarray, weights: np.ndarray | None, h
             live, at, h = live[below], at[below], h[below]
             prints = mix(h + ODD)
             hit = slice(None)
-            if weights is not None:
+            if c:  # the first cell has width 1, and so lies within every weight
                 place = (1 << c) - 1 + (mix(h + step(c, -1)) >> np.uint64(11)).astype(np.float64) * TO_UNIT * (1 << c)
                 hit = place < weights[live]
             out.append((owner[live][hit], (prints[hit] % np.uint64(k)).astype(np.int64), at[hit], prints[hit]))
@@ -123,10 +123,12 @@ def exact_similarity(a: np.ndarray, b: np.ndarray, counted: bool) -> float:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, counted: bool) -> DataFrame:
-    """(a, b, similarity) for pairs of texts (columns node, text). A text in very many pairs is dealt in SALTS parts."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    left = salted.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-    both = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").join(left, ["a", "salt"])
+    """(a, b, similarity) for pairs of texts (columns node, text).
+
+    A text in very many pairs is one key of the first join, whose pairs, two digests each, Spark's adaptive execution splits.
+    """
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
 
     def make():
         def f(batch: pa.RecordBatch) -> list[pa.Array]:
