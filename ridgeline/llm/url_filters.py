@@ -7,6 +7,8 @@ is explicitly allowed: then its unruled members are allowed.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,28 +56,60 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...])
     return name, verdict
 
 
+#: An attribute's value, in either kind of quotes or bare: one of three groups.
+VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+LINK, META, HREF = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>", rf"(?is)\shref{VALUE}"
+CANONICAL = r"""(?is)\srel\s*=\s*(?:"[^"]*\bcanonical\b[^"]*"|'[^']*\bcanonical\b[^']*'|canonical\b)"""
+REFRESH, REFRESHED = r"""(?is)\shttp-equiv\s*=\s*["']?refresh\b""", r"""(?is)\burl\s*=\s*['"]?([^"'>]+)"""
+#: Named and numbered characters that occur in addresses; the ampersand comes last, so that nothing is decoded twice.
+ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
+def decoded(text: Column) -> Column:
+    for entity, character in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(character))
+    return F.trim(text)
+
+
+def merged_path(base: Column, relative: Column) -> Column:
+    """The path of a reference relative to a page's path, with . and .. resolved."""
+    steps = F.split(F.concat(F.regexp_extract(base, r"(?s)^(.*/)", 1), relative), "/")
+    kept = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda path, x: F.when(x == "..", F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(1)))).when(x == ".", path).otherwise(F.concat(path, F.array(x))),
+    )
+    ends = F.when(F.element_at(steps, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.lit("/"), F.regexp_replace(F.concat(F.array_join(kept, "/"), ends), "^/+", ""))
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) addresses that a page's canonical link or immediate refresh declares to be one page.
+    """(a, b) addresses that a page's canonical links and immediate refreshes declare to be one page.
 
-    A target with a scheme stands as it is; //host/… takes the page's scheme and /… its scheme and host. Others are relative to a
-    path or not web addresses, and aren't followed.
+    A target with a scheme stands as it is; //host/... takes the page's scheme, /... its scheme and host, ?... its path too, and any
+    other is relative to the path. Targets of other kinds than addresses (mailto: and the like) aren't followed, nor are <base> elements.
     """
-    tag = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-    canonical = F.regexp_extract(F.regexp_extract("html", tag, 0), r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    meta = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-    refresh = F.regexp_extract(F.regexp_extract("html", meta, 0), r"""(?is)\burl\s*=\s*['"]?([^"'\s>]+)""", 1)
-    targets = F.filter(F.array(canonical, refresh), lambda x: x != "")
-    linked = pages.where("html is not null and url is not null").where(
-        F.contains(F.lower("html"), F.lit("canonical")) | F.contains(F.lower("html"), F.lit("http-equiv"))
-    )
-    found = linked.select("url", F.explode(targets).alias("to"))
-    scheme = F.regexp_extract("url", r"(?s)^(.*?)://", 1)
+    lower = F.lower("html")
+    linked = pages.where("html is not null and url is not null").where(F.contains(lower, F.lit("canonical")) | F.contains(lower, F.lit("http-equiv")))
+    links = F.filter(F.regexp_extract_all("html", F.lit(LINK), 0), lambda x: F.rlike(x, F.lit(CANONICAL)))
+    metas = F.filter(F.regexp_extract_all("html", F.lit(META), 0), lambda x: F.rlike(x, F.lit(REFRESH)))
+    href = F.transform(links, lambda x: F.concat(*(F.regexp_extract(x, HREF, i) for i in (1, 2, 3))))
+    url = F.transform(metas, lambda x: F.regexp_extract(x, REFRESHED, 1))
+    found = linked.select("url", F.explode(F.transform(F.concat(href, url), decoded)).alias("to")).where("to <> ''")
+    page, to = F.col("url"), F.col("to")
+    scheme = F.regexp_extract(page, r"(?s)^(.*?)://", 1)
+    site = F.concat(scheme, F.lit("://"), host_of(page))
+    rest, query = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*([?][^#]*)", 1)
+    own = F.when(path_of(page) == "", F.lit("/")).otherwise(path_of(page))
     full = (
-        F.when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to"))
-        .when(F.startswith("to", F.lit("//")), F.concat(scheme, F.lit(":"), F.col("to")))
-        .when(F.startswith("to", F.lit("/")), F.concat(scheme, F.lit("://"), host_of(F.col("url")), F.col("to")))
+        F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
+        .when(F.startswith(to, F.lit("/")), F.concat(site, to))
+        .when(F.startswith(to, F.lit("?")), F.concat(site, own, query))
+        .when(~F.startswith(to, F.lit("#")), F.concat(site, merged_path(own, rest), query))
     )
-    return found.select(address(F.col("url")).alias("a"), address(full).alias("b"))
+    return found.select(address(page).alias("a"), address(full).alias("b"))
 
 
 def judge(
@@ -127,28 +161,44 @@ def op2(pages: DataFrame) -> DataFrame:
     return judge(pages).drop("component")
 
 
-SQL = r"""
+def sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+DECODED = "x"
+for _entity, _character in ENTITIES:
+    DECODED = f"replace({DECODED}, {sql_text(_entity)}, {sql_text(_character)})"
+FOLDED = f"translate({{}}, '{UPPER}', '{LOWER}')"
+
+SQL = (
+    r"""
 WITH RECURSIVE parts AS (
   SELECT page_id, url, html,
     CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest,
-    CASE WHEN strpos(url, '://') > 0 THEN lower(substr(url, 1, strpos(url, '://') - 1)) END AS scheme
+    CASE WHEN strpos(url, '://') > 0 THEN FOLD(substr(url, 1, strpos(url, '://') - 1)) END AS scheme
   FROM pages),
 split AS (
-  SELECT *, coalesce(lower(regexp_extract(rest, '^[^/?#]*')), '') AS host,
+  SELECT *, coalesce(FOLD(regexp_extract(rest, '^[^/?#]*')), '') AS host,
     coalesce(substr(regexp_extract(rest, '^[^?#]*'), length(regexp_extract(rest, '^[^/?#]*')) + 1), '') AS path,
-    scheme || '://' || lower(regexp_extract(rest, '^[^/?#]*'))
+    scheme || '://' || FOLD(regexp_extract(rest, '^[^/?#]*'))
       || substr(regexp_extract(rest, '^[^#]*'), length(regexp_extract(rest, '^[^/?#]*')) + 1) AS node
   FROM parts),
-targets AS (
-  SELECT node, scheme, host, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM split
-  UNION ALL
-  SELECT node, scheme, host, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*[''"]?([^"''\s>]+)', 1) FROM split),
+found AS (
+  SELECT node, scheme, host, CASE WHEN path = '' THEN '/' ELSE path END AS path, unnest(list_transform(list_concat(
+    list_transform(list_filter(regexp_extract_all(html, LINK), lambda x: regexp_matches(x, CANONICAL)), lambda x: regexp_extract(x, HREF, 1) || regexp_extract(x, HREF, 2) || regexp_extract(x, HREF, 3)),
+    list_transform(list_filter(regexp_extract_all(html, META), lambda x: regexp_matches(x, REFRESH)), lambda x: regexp_extract(x, TARGET, 1))), lambda x: trim(DECODED))) AS t
+  FROM split WHERE node IS NOT NULL),
+steps AS (SELECT *, string_split(regexp_extract(path, '^.*/') || regexp_extract(t, '^[^?#]*'), '/') AS s FROM found WHERE t <> ''),
 resolved AS (
-  SELECT node, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t
-    WHEN starts_with(t, '/') THEN scheme || '://' || host || t END AS t
-  FROM targets WHERE t <> '' AND node IS NOT NULL),
+  SELECT node, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR starts_with(t, '#') THEN NULL
+    WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN scheme || '://' || host || t
+    WHEN starts_with(t, '?') THEN scheme || '://' || host || path || regexp_extract(t, '^[?][^#]*')
+    ELSE scheme || '://' || host || '/' || regexp_replace(
+      array_to_string(list_reduce(list_transform(s, lambda x: [x]), lambda p, x: CASE WHEN x = ['..'] THEN p[1:greatest(len(p) - 1, 1)] WHEN x = ['.'] THEN p ELSE p || x END), '/')
+      || CASE WHEN s[-1] IN ('.', '..') THEN '/' ELSE '' END, '^/+', '') || regexp_extract(t, '[?][^#]*') END AS t
+  FROM steps),
 edges AS (
-  SELECT node AS a, lower(regexp_extract(t, '^[^:]*://[^/?#]*')) || substr(regexp_extract(t, '^[^#]*'), length(regexp_extract(t, '^[^:]*://[^/?#]*')) + 1) AS b
+  SELECT node AS a, FOLD(regexp_extract(t, '^[^:]*://[^/?#]*')) || substr(regexp_extract(t, '^[^#]*'), length(regexp_extract(t, '^[^:]*://[^/?#]*')) + 1) AS b
   FROM resolved WHERE t IS NOT NULL),
 ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 reach AS (SELECT a AS node, a AS other FROM ways UNION SELECT r.node, w.b FROM reach r JOIN ways w ON r.other = w.a),
@@ -172,3 +222,12 @@ SELECT page_id, host, path, rule,
     WHEN blocks = 1 AND allows = 0 THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled LEFT JOIN alias USING (node)
 """
+    .replace("CANONICAL", sql_text(CANONICAL))
+    .replace("LINK", sql_text(LINK))
+    .replace("META", sql_text(META))
+    .replace("HREF", sql_text(HREF))
+    .replace("REFRESH", sql_text(REFRESH))
+    .replace("TARGET", sql_text(REFRESHED))
+    .replace("DECODED", DECODED)
+)
+SQL = re.sub(r"FOLD\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", lambda m: FOLDED.format(m[1]), SQL)
