@@ -92,15 +92,16 @@ def test_removal_keeps_columns_and_characters(spark):
 
 
 def brute_classes(texts):
-    sets = []
+    """Classes by the counted Jaccard similarity of five-word shingles, all pairs compared."""
+    bags = []
     for t in texts:
         w = [x for x in re.split("[\t-\r\x1c-\x20]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else None)
+        bags.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None)
     label = list(range(len(texts)))
-    for i, a in enumerate(sets):
+    for i, a in enumerate(bags):
         for j in range(i):
-            b = sets[j]
-            if a and b and len(a & b) / len(a | b) >= 0.8 and label[i] != label[j]:
+            b = bags[j]
+            if a and b and (a & b).total() / (a | b).total() >= 0.8 and label[i] != label[j]:
                 low, high = sorted((label[i], label[j]))
                 label = [low if x == high else x for x in label]
     return label
@@ -122,6 +123,16 @@ def test_near_copies_equal_brute_force(spark, texts, monkeypatch, block):
     assert [x.class_id for x in rows] == want and all(x.kept == (x.doc_id == x.class_id) for x in rows)
 
 
+def test_repeated_ids_with_different_texts_join(spark):
+    r = random.Random(6)
+    a, b, c = (prose(r, "en", 60) for _ in range(3))
+    rows = [(1, a, None, None), (1, b, None, None), (2, b + " extra", None, None), (4, c, None, None), (None, c, None, None), (None, None, None, None), (5, " ", None, None)]
+    found = sorted(((x.doc_id, x.class_id, x.kept) for x in minhash_dedup.op10(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert found == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (4, 4, True), (None, 4, False), (None, None, True), (5, 5, True)], key=str)
+    alone = minhash_dedup.op10(spark.createDataFrame(rows[1:3], DOCS)).collect()
+    assert {(x.doc_id, x.class_id) for x in alone} == {(1, 1), (2, 1)}
+
+
 def test_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(1)
     for weighted in (False, True):
@@ -189,6 +200,42 @@ def test_languages_on_held_out_texts(spark):
     assert all(0 <= x.score <= 1 for x in found.values())
 
 
+def gram_set(text):
+    """The n-grams (n = 1 to 3) of a text's six-bit codes, as tuples."""
+    codes = [int(language_id.alphabet()[ord(c)]) for c in text]
+    return {tuple(codes[i : i + n]) for n in (1, 2, 3) for i in range(len(codes) - n + 1)}
+
+
+def test_scores_equal_a_direct_kernel_regression(spark):
+    """The model against kernels counted on Python sets and a ridge regression in double precision over the same landmarks."""
+    r = random.Random(17)
+    rows = [(i, prose(r, lang, r.randrange(8, 60)), lang, None) for i, lang in enumerate(r.choices([*WORDS], k=60))]
+    df = spark.createDataFrame(rows, DOCS)
+    sample = language_id.training_sample(df, F.lit(True), 25, "doc_id", "text", "lang")
+    model = language_id.fit(df, F.lit(True), per_class=25, landmarks=12, ridge=1e-3)
+    text_of = {}
+    grams = language_id.Grams()
+    for _, t, _, _ in rows:
+        grams.fill(t)
+        text_of[np.flatnonzero(grams.mark).astype(np.int32).tobytes()] = gram_set(t)
+    sets = [(lang, text_of[c.tobytes()]) for lang, c in sample]
+    languages = sorted({lang for lang, _ in sets})
+    own = {x: [s for lang, s in sets if lang == x] for x in languages}
+    marks = [s for turn in range(25) for x in languages for s in own[x][turn : turn + 1]][:12]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    k = np.array([[kernel(a, b) for b in marks] for _, a in sets])
+    among = np.array([[kernel(a, b) for b in marks] for a in marks])
+    target = np.array([[1.0 if lang == x else -1.0 for x in languages] for lang, _ in sets])
+    weights = np.linalg.solve(k.T @ k + 1e-3 * len(sets) * among + 1e-8 * len(sets) * np.eye(len(marks)), k.T @ target)
+    test = [prose(r, lang, 30) for lang in WORDS for _ in range(5)]
+    want = np.array([[kernel(gram_set(t), b) for b in marks] for t in test]) @ weights
+    presence, sizes = np.zeros((len(test), len(model.codes)), np.float32), np.zeros(len(test))
+    for i, t in enumerate(test):
+        _, sizes[i] = grams.fill(t)
+        presence[i] = grams.mark[model.codes]
+    assert model.languages == tuple(languages) and np.abs(model.scores(presence, sizes) - want).max() < 5e-3
+
+
 def test_labels_of_held_out_rows_are_not_learned(spark):
     r = random.Random(9)
     rows = [(i, prose(r, lang, 60), lang, None) for i, lang in enumerate(r.choices([*WORDS], k=120))]

@@ -117,6 +117,28 @@ def test_url_rules_and_aliases(spark):
     assert url_filters.op2(df.limit(0)).count() == 0
 
 
+def test_links_of_every_form_and_the_sql(spark):
+    link = '<html><head><link href="{}" rel="nofollow canonical"></head></html>'
+    bad = "http://a.net/es/dir/page"
+    pages = [
+        (0, bad, None),
+        (1, "http://m1.org/x/y/z.html?q", link.format("../b.html")), (2, "http://m1.org/x/b.html", link.format(bad)),  # relative to the path
+        (3, "http://m2.org/p", link.format("?a=1&amp;b=2")), (4, "http://m2.org/p?a=1&b=2", link.format(bad)),  # own path, entity
+        (5, "http://m3.org", link.format("c/./d/..")), (6, "http://m3.org/c/", link.format(bad)),
+        (7, "http://m4.org/", f"<link rel='canonical' href='http://m5.org/'><LINK REL=canonical href={bad}>"),  # the second tag blocks
+        (8, "http://m6.org/", f"<meta content=\"0; URL='{bad}'\" http-equiv=refresh>"),
+        (9, "http://m7.org/", link.format("mailto:x@a.net")), (10, "http://m8.org/", link.format("#top")), (11, "http://m9.org/", f'<link rel="alternate" href="{bad}">'),
+        (12, "HTTP://ÄÖ.ORG/É", link.format("x")), (13, "http://äö.org/É", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: r.asDict() for r in url_filters.op2(df).collect()}
+    assert [i for i, r in found.items() if r["verdict"] == "block"] == [0, 1, 2, 3, 4, 5, 6, 7, 8]
+    assert found[12]["host"] == "ÄÖ.org" and found[13]["host"] == "äö.org", "only A-Z are folded"
+    c = duckdb.connect()
+    c.register("pages", df.toPandas())
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    assert sorted(c.sql(url_filters.SQL).project(",".join(columns)).fetchall()) == sorted(tuple(r[x] for x in columns) for r in found.values())
+
+
 def test_components(spark):
     r = random.Random(3)
     order = [*range(40)]
@@ -150,5 +172,37 @@ def test_pipeline_stages(spark):
     check_packing(mapped, [kept[i].text for i in ids], Tokenizer.from_file(P.path("word_bpe_49k.json")))
 
 
+@pytest.mark.parametrize("words", [51, 60, 75])
+def test_passages_of_over_fifty_words_go(spark, words):
+    r = random.Random(words)
+    passage = " ".join(r.choice("alpha beta gamma delta omega".split()) + r.choice("abcdefgh") for _ in range(words))
+    clean = [prose(r, "en", 120) for _ in range(6)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(clean)] + [(10 + i, f"{prose(r, 'fr', 60)} {passage} {prose(r, 'de', 60)}", "en", "s", 0) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id: x.text for x in corpus_pipeline.repeats(spark, docs, SF).collect()}
+    assert all(passage[5:-5] not in kept[10 + i] for i in range(3)) and all(kept[i] == t for i, t in enumerate(clean))
+
+
+def test_pipeline_on_an_empty_table_and_on_rows_without_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
+    r = random.Random(1)
+    a, b = prose(r, "en", 60), prose(r, "de", 60)
+    rows = [(None, a, None, None, 1), (None, a, None, None, 1), (3, b, None, None, 1), (3, b, None, None, 1), (4, b + " end", None, None, 1), (5, None, None, None, None), (5, None, None, None, None)]
+    kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.text or "") for x in kept) == [(False, 3, b), (False, 5, ""), (False, 5, ""), (True, 0, a)]
+
+
 def test_pipeline_runs_over_the_documents(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 100
+    """Every piece comes from a document; documents are whole in their pieces, and no sequence overflows."""
+    rows = corpus_pipeline.run(spark, SF).collect()
+    known = {x.doc_id for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    pieces, bins = defaultdict(list), defaultdict(int)
+    for x in rows:
+        pieces[x.doc_id].append((x.piece, x.start, x.length))
+        bins[x.sequence_id] += x.length
+    assert len(pieces) > 100 and set(pieces) <= known and max(bins.values()) <= 4096
+    assert all([p[1] for p in sorted(some)] == [4096 * k for k in range(len(some))] for some in pieces.values())
