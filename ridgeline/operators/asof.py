@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 FILL = ("price", "count_fp", "taker_side", "trade_id")
@@ -14,18 +14,39 @@ def tick_collapse(ticks: DataFrame) -> DataFrame:
     return best.agg(F.min_by(F.struct(*FILL), "trade_id").alias("fill")).select("ticker", "t", "fill.*")
 
 
-def last_trade_at_or_before(refs: DataFrame, ticks: DataFrame, keys: list[str]) -> DataFrame:
+def merged_rows(refs: DataFrame, ticks: DataFrame, keys: list[str]) -> DataFrame:
+    """References and usable fills of their tickers as rows of one table (ticker, t, is_ref, ref, fill, trade_id)."""
+    asked = refs.select("ticker", F.col("ref_t").alias("t"), F.lit(1).alias("is_ref"), F.struct("ref_t", *keys).alias("ref"), F.lit(None).cast("string").alias("trade_id"))
+    known = ticks.where("price is not null and t is not null").join(refs.select("ticker").distinct(), "ticker", "left_semi")
+    known = known.select("ticker", "t", F.lit(0).alias("is_ref"), F.struct("t", *FILL).alias("fill"), "trade_id")
+    return asked.unionByName(known, allowMissingColumns=True)
+
+
+def in_order(*by: str) -> WindowSpec:
+    """Fills up to a row: of one instant the fill of the smallest trade_id comes last, and references after fills."""
+    return Window.partitionBy(*by).orderBy("t", "is_ref", F.desc("trade_id")).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def last_trade_at_or_before(refs: DataFrame, ticks: DataFrame, keys: list[str], bucket: int | None = None) -> DataFrame:
     """refs (ticker, keys, ref_t) with the last fill of the ticker at t <= ref_t; refs without one are left out.
 
     References and fills are merged into one ordered window per ticker, so a ticker's rows are read once, not fills times
     references. Among fills of one instant the smallest trade_id wins: it comes last in the order. Fills without price or
     time don't count. Replayed fills do no harm.
+
+    With a bucket, a span in the unit of t, a ticker is parted into spans that are sorted apart, so that a hot ticker is the work of many
+    tasks; the last fill of each span, one small row, is carried over to the spans after it.
     """
-    asked = refs.select("ticker", F.col("ref_t").alias("t"), F.lit(1).alias("is_ref"), F.struct("ref_t", *keys).alias("ref"), F.lit(None).cast("string").alias("trade_id"))
-    known = ticks.where("price is not null and t is not null").join(refs.select("ticker").distinct(), "ticker", "left_semi")
-    known = known.select("ticker", "t", F.lit(0).alias("is_ref"), F.struct("t", *FILL).alias("fill"), "trade_id")
-    order = Window.partitionBy("ticker").orderBy("t", "is_ref", F.desc("trade_id")).rowsBetween(Window.unboundedPreceding, 0)
-    merged = asked.unionByName(known, allowMissingColumns=True)
-    seen = merged.withColumn("fill", F.last("fill", ignorenulls=True).over(order))
+    merged = merged_rows(refs, ticks, keys)
+    if bucket is None:
+        seen = merged.withColumn("fill", F.last("fill", ignorenulls=True).over(in_order("ticker")))
+    else:
+        merged = merged.withColumn("span", F.floor(F.col("t") / bucket).cast("long"))
+        latest = F.struct((-F.col("fill.t")).alias("t"), F.col("fill.trade_id").alias("trade_id"))
+        spans = merged.groupBy("ticker", "span").agg(F.min_by("fill", F.when(F.col("is_ref") == 0, latest)).alias("own"))
+        before = Window.partitionBy("ticker").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+        carried = spans.select("ticker", "span", F.last("own", ignorenulls=True).over(before).alias("carried")).where("carried is not null")
+        seen = merged.withColumn("fill", F.last("fill", ignorenulls=True).over(in_order("ticker", "span"))).where("is_ref = 1")
+        seen = seen.join(carried, ["ticker", "span"], "left").withColumn("fill", F.coalesce("fill", "carried"))
     found = seen.where("is_ref = 1 and fill is not null")
     return found.select("ticker", "ref.*", F.col("fill.t").alias("t"), "fill.price", "fill.count_fp", "fill.taker_side", "fill.trade_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,7 +123,13 @@ def write_mix(mix: DataFrame, path: str) -> None:
 
 
 def load_mix(spark, path: str) -> DataFrame:
-    mix = spark.read.parquet(path)
+    """The frozen mix; an error where it is missing or empty, for it is never computed anew from later data."""
+    try:
+        mix = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no frozen mix at {path}") from e
     if mix.isEmpty():
         raise ValueError("the frozen mix is empty")
     return mix.select("category", "weight")

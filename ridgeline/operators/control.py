@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scalars import classify, first_listed_outcome, iso_to_epoch, outcome_value
@@ -45,6 +46,17 @@ def rules_of(rows: list[dict], allowed: list[str]) -> list[tuple[str, str]]:
     return out
 
 
+def load_rules(spark: SparkSession, path: str, allowed: list[str]) -> list[tuple[str, str]]:
+    """rules_of() the JSON lines (place, category, patterns) at path, in order of place; no rules where there is no file."""
+    try:
+        rows = spark.read.schema("place int, category string, patterns array<string>").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return rules_of([r.asDict() for r in rows.orderBy("place").collect()], allowed)
+
+
 def epoch_of(df: DataFrame, name: str) -> Column:
     """Epoch seconds of a column that holds a time, a number of seconds, or an ISO string, as its type says."""
     kind = dict(df.dtypes)[name]

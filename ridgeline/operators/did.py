@@ -98,6 +98,7 @@ def did_pair(panel: DataFrame, schedule: DataFrame) -> DataFrame:
     """Both fits as rows; one that isn't identified has nulls for its numbers, never zeros."""
     sums = did_sums(panel, schedule)
     rows = [fit_did(sums, c) or {"fit": "clean_controls" if c else "twfe"} for c in (False, True)]
+    sums.unpersist()
     names = [x.split()[0] for x in DID_SCHEMA.split(", ")]
     return panel.sparkSession.createDataFrame([tuple(r.get(c) for c in names) for r in rows], DID_SCHEMA)
 
@@ -136,6 +137,7 @@ def event_study(panel: DataFrame, schedule: DataFrame) -> DataFrame:
     if not fit.identified():
         return empty
     beta, cov, clusters = fit.solve()
+    sums.unpersist()
     if clusters < 2:
         return empty
     at = {j: 2 * (2 + i) + 1 for i, j in enumerate(times)}

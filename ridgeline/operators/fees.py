@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime
+import functools
+import operator
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scalars import order_fee
 
+MOST_ENTRIES = 200
+
+
 def kind_rank() -> Column:
     """More specific scopes win."""
     return F.when(F.col("scope_kind") == "series", 1).when(F.col("scope_kind") == "ticker_prefix", 2).otherwise(3)
 
 
-
 def scope_rows(schedule: DataFrame) -> DataFrame:
     """One row for each entry and scope value, with the date on which the next generation of its role and kind begins.
 
@@ -28,11 +35,44 @@ def scope_rows(schedule: DataFrame) -> DataFrame:
 def lookup(asked: DataFrame, schedule: DataFrame) -> DataFrame:
     """asked (role, as_of date, ticker, series_ticker, ...) with form, rate and scope_kind of the entry in force; nulls for a gap.
 
-    For each kind of scope the newest generation at the date counts, and of the kinds with a match the most specific. The
-    schedule is a configuration of a few dozen rows, so it is broadcast; distinct combinations are looked up once and joined back.
+    For each kind of scope the newest generation at the date counts, and of the kinds with a match the most specific. A
+    schedule of up to MOST_ENTRIES rows, as configurations are, becomes an expression over the row itself, so nothing is
+    shuffled; a longer one is joined.
     """
+    entries = schedule.select("ord", "effective_from", "role", "form", "rate", "scope_kind", "scope_values").limit(MOST_ENTRIES + 1).collect()
+    if len(entries) > MOST_ENTRIES:
+        return joined_lookup(asked, schedule)
+    begins: dict[tuple, list] = {}
+    for e in entries:
+        begins.setdefault((e["role"], e["scope_kind"]), []).append(e["effective_from"])
+    rank = {"series": 1, "ticker_prefix": 2}
+    cases = []
+    for e in sorted(entries, key=lambda e: (rank.get(e["scope_kind"], 3), e["ord"])):
+        until = min((d for d in begins[e["role"], e["scope_kind"]] if d > e["effective_from"]), default=None)
+        fits = (F.col("role") == e["role"]) & (F.col("as_of") >= F.lit(e["effective_from"]))
+        if until is not None:
+            fits = fits & (F.col("as_of") < F.lit(until))
+        values = e["scope_values"] or []
+        if e["scope_kind"] == "series":
+            fits = fits & F.col("series_ticker").isin(values)
+        elif e["scope_kind"] == "ticker_prefix":
+            fits = fits & functools.reduce(operator.or_, (F.startswith(F.col("ticker"), F.lit(v)) for v in values), F.lit(False))
+        cases.append((fits, e))
+
+    def chosen(name: str, kind: str) -> Column:
+        """The field of the first entry that fits."""
+        out = F.lit(None).cast(kind)
+        for fits, e in reversed(cases):
+            out = F.when(fits, F.lit(e[name])).otherwise(out)
+        return out.alias(name)
+
+    return asked.select(*asked.columns, chosen("form", "string"), chosen("rate", "double"), chosen("scope_kind", "string"))
+
+
+def joined_lookup(asked: DataFrame, schedule: DataFrame) -> DataFrame:
+    """lookup() for schedules of any length: distinct combinations are looked up once and joined back."""
     keys = ["role", "as_of", "ticker", "series_ticker"]
-    rows = F.broadcast(scope_rows(schedule).withColumnsRenamed({"role": "f_role"}))
+    rows = scope_rows(schedule).withColumnsRenamed({"role": "f_role"})
     distinct = asked.select(*keys).distinct()
     scope = (
         (F.col("scope_kind") == "all")
@@ -47,6 +87,25 @@ def lookup(asked: DataFrame, schedule: DataFrame) -> DataFrame:
     return asked.join(best, on, "left").select(*asked.columns, "fee.form", "fee.rate", "fee.scope_kind")
 
 
+SCHEDULE = "ord int, effective_from date, role string, form string, rate double, scope_kind string, scope_values array<string>"
+
+
+def load_schedule(spark: SparkSession, path: str) -> DataFrame:
+    """The schedule in JSON lines at path; a missing file is an empty schedule, in which every lookup is a gap."""
+    try:
+        return spark.read.schema(SCHEDULE).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SCHEDULE)
+
+
+def uniform_schedule(spark: SparkSession, since: datetime.date, taker_rate: float = 0.07) -> DataFrame:
+    """The schedule of one formula for all: takers pay the quadratic fee everywhere, makers nothing."""
+    rows = [(1, since, "taker", "quadratic", taker_rate, "all", None), (2, since, "maker", "none", 0.0, "all", None)]
+    return spark.createDataFrame(rows, SCHEDULE)
+
+
 def swept(schedule: DataFrame, grid: DataFrame) -> DataFrame:
     """The schedule at every grid rate: rows that charge makers take it, all others stay; grid has a column grid_rate."""
     charging = (F.col("role") == "maker") & (F.col("form") != "none") & (F.col("rate") != 0)

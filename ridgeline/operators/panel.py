@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scalars import eastern_day_start, eastern_days_before
-from ridgeline.operators.asof import last_trade_at_or_before
+from ridgeline.operators.asof import in_order, merged_rows
 
 DAYS = 10
 CONTRACT = ("event_ticker", "series_ticker", "category", "close_t", "result", "in_r1_window", "in_r2_window")
@@ -23,10 +23,21 @@ def lookback_refs(day0: DataFrame, unit: str = "SECOND") -> DataFrame:
 
 
 def lookback_prices(markets: DataFrame, fills: DataFrame, unit: str = "SECOND") -> DataFrame:
-    """(ticker, lookback_day, ref_t, t, price, ...): the day-0 fill and its ten lookbacks, carried over silent days."""
-    day0 = last_trade_at_or_before(closing_refs(markets), fills, ["lookback_day"])
-    back = last_trade_at_or_before(lookback_refs(day0, unit), fills, ["lookback_day"])
-    return day0.unionByName(back)
+    """(ticker, lookback_day, ref_t, t, price, ...): the day-0 fill and its ten lookbacks, carried over silent days.
+
+    Two windows over one partitioning by ticker: the first finds the day-0 fill, whose ten lookbacks then join the rows that pass on
+    to the second. So the tape is read and dealt once.
+    """
+    closing = closing_refs(markets)
+    first = merged_rows(closing, fills, ["lookback_day"]).withColumn("last", F.last("fill", ignorenulls=True).over(in_order("ticker")))
+    back = F.transform(F.sequence(F.lit(1), F.lit(DAYS)), lambda k: F.struct(eastern_days_before(F.col("last.t"), k, unit).alias("ref_t"), k.alias("lookback_day")))
+    asked = F.when(F.col("is_ref") == 0, F.array("ref")).when(F.col("last").isNotNull(), F.concat(F.array("ref"), back))
+    rows = first.select("ticker", "t", "is_ref", "fill", "trade_id", F.explode(asked).alias("ref"))
+    # what was asked at the close is settled; lookbacks stand at their own instant
+    later = (F.col("is_ref") == 1) & (F.col("ref.lookback_day") > 0)
+    second = rows.withColumn("t", F.when(later, F.col("ref.ref_t")).otherwise(F.col("t"))).withColumn("fill", F.last("fill", ignorenulls=True).over(in_order("ticker")))
+    found = second.where("is_ref = 1 and fill is not null")
+    return found.select("ticker", "ref.lookback_day", "ref.ref_t", F.col("fill.t").alias("t"), "fill.price", "fill.count_fp", "fill.taker_side", "fill.trade_id")
 
 
 def dressed(prices: DataFrame, markets: DataFrame) -> DataFrame:
@@ -70,6 +81,11 @@ def doubled(yes_only: DataFrame) -> DataFrame:
     return yes_only.unionByName(no)
 
 
+def pooled_scope(markets: DataFrame) -> DataFrame:
+    """(ticker): markets of the first window, and those of the second whose tape is complete."""
+    return markets.where("in_r1_window or (in_r2_window and tape_done)").select("ticker").distinct()
+
+
 def cluster_key() -> Column:
     """The event, or the contract itself where the event is null or empty."""
     return F.coalesce(F.when(F.col("event_ticker") != "", F.col("event_ticker")), F.col("ticker"))

@@ -21,9 +21,10 @@ def reconcile(yes_only: DataFrame, doubled: DataFrame, targets: dict[str, int])
     return long.withColumns({"delta": delta, "delta_pct": F.when(F.col("target") != 0, F.round(delta * 100.0 / F.col("target"), 2))})
 
 
-def gap_breakdown(log: DataFrame, label: str) -> DataFrame:
+def gap_breakdown(log: DataFrame) -> DataFrame:
+    """(window, structural, operational, other): logged reasons of each window by whether the spread can't or couldn't yet be computed."""
     r = F.col("reason_code")
-    return log.where(F.col("window") == label).agg(F.count_if(r == STRUCTURAL).alias("structural"), F.count_if(r == OPERATIONAL).alias("operational"), F.count_if(~r.isin(STRUCTURAL, OPERATIONAL)).alias("other"))
+    return log.groupBy("window").agg(F.count_if(r == STRUCTURAL).alias("structural"), F.count_if(r == OPERATIONAL).alias("operational"), F.count_if(~r.isin(STRUCTURAL, OPERATIONAL)).alias("other"))
 
 
 def basis_counts(yes_only: DataFrame, doubled: DataFrame) -> DataFrame:
@@ -78,13 +79,17 @@ def treated_share(flagged_markets: DataFrame) -> DataFrame:
     return flagged_markets.groupBy(month_key(F.col("close_t")).alias("month")).agg(F.count("*").alias("n"), F.avg(F.col("now").cast("double")).alias("share"), (F.sum(v * F.col("now")) / F.sum(v)).alias("volume_share"))
 
 
-def nearest_rank(rows: DataFrame, value: Column, shares: list[float]) -> DataFrame:
-    """(share, value): the values at index floor(share x n) of the sorted values, from counts of distinct values.
+def nearest_rank(rows: DataFrame, value: Column, shares: list[float], cell: float = 0.01) -> DataFrame:
+    """(share, value): the values at index floor(share x n) of the sorted values.
 
-    Values are counted before they are ordered, so the one-partition window sees distinct values only.
+    Values are counted before they are ordered, and ordered within cells of width `cell`, so the one-partition window sees the cells'
+    sums only.
     """
-    counts = rows.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    upto = counts.select("v", F.sum("n").over(Window.orderBy("v")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    counts = rows.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n")).withColumn("cell", F.floor(F.col("v") / cell))
+    cells = counts.groupBy("cell").agg(F.sum("n").alias("m"))
+    whole, earlier = Window.partitionBy(), Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("cell", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("below"), F.sum("m").over(whole).alias("total"))
+    upto = counts.join(cells, "cell").withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy("cell").orderBy("v")))
     asked = upto.select("v", "upto", "total", F.explode(F.array(*map(F.lit, shares))).alias("share"))
     at = F.least(F.floor(F.col("share") * F.col("total")), F.col("total") - 1)
     return asked.where(F.col("upto") > at).groupBy("share").agg(F.min("v").alias("value"))
@@ -149,8 +154,15 @@ def closing_quotes(markets: DataFrame, candles: DataFrame, hours: int = 24) -> D
     return markets.select("ticker").join(best, "ticker", "left").select("ticker", "q.end_t", "q.bid", "q.ask", F.round(F.col("q.ask") - F.col("q.bid"), 4).alias("spread"))
 
 
-def fee_catalog(schedule: DataFrame) -> DataFrame:
-    return schedule.groupBy("role", "form", "rate").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.flatten(F.collect_list(F.coalesce("scope_values", F.array())))), ",").alias("members"))
+def frequency_profile(rows: DataFrame, by: list[str], member: str) -> DataFrame:
+    """by, n and the last member of each combination, the most frequent first."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.max(member).alias("last_member")).orderBy(F.desc("n"))
+
+
+def samples_per_group(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
+    """The first n rows of each group in an order."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    return rows.withColumn("place_", place).where(F.col("place_") <= n).drop("place_")
 
 
 def changes(versions: DataFrame, key: str, order: list[str], signature: list[str]) -> DataFrame:
@@ -158,7 +170,3 @@ def changes(versions: DataFrame, key: str, order: list[str], signature: list[str
     w = Window.partitionBy(key).orderBy(*order)
     before = F.lag(F.struct(*signature)).over(w)
     return versions.withColumn("changed", ~before.eqNullSafe(F.struct(*signature)) | before.isNull())
-
-
-def lookback_days() -> list[int]:
-    return list(range(DAYS + 1))

@@ -13,7 +13,11 @@ COUNTERFACTUAL_DATE = "1999-06-01"
 
 
 def win_rate_by_band(doubled: DataFrame) -> DataFrame:
-    return doubled.groupBy(price_band(F.col("p")).alias("band")).agg(F.count("*").alias("n"), F.avg("y").alias("win_rate"), F.avg("p").alias("mean_price"))
+    """(band, n, win_rate, mean_price); prices are added up in whole cents, so that the mean doesn't depend on the order of rows."""
+    cents = F.sum(F.round(F.col("p") * 100).cast("long"))
+    return doubled.groupBy(price_band(F.col("p")).alias("band")).agg(
+        F.count("*").alias("n"), (F.sum(F.col("y").cast("long")) / F.count("*")).alias("win_rate"), (cents / (F.count("*") * 100)).alias("mean_price")
+    )
 
 
 def with_taker_fee(rows: DataFrame, schedule: DataFrame) -> DataFrame:

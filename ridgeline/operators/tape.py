@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def dedup(tape: DataFrame, key: str = "trade_id") -> DataFrame:
-    """One whole row for each key: the least by all other columns, so that the choice doesn't depend on row order."""
+    """One whole row for each key: the least by all other columns, so that the choice doesn't depend on row order.
+
+    Few rows share a key, so they are dealt by key before they are sorted, once, instead of being sorted and combined on both sides.
+    """
     rest = [c for c in tape.columns if c != key]
-    best = tape.groupBy(key).agg(F.min(F.struct(*rest)).alias("r"))
+    best = tape.repartition(key).groupBy(key).agg(F.min(F.struct(*rest)).alias("r"))
     return best.select(key, "r.*").select(tape.columns)
 
 
@@ -73,6 +76,13 @@ def compact(spark, path: str, month: str, aside: str, files: int = 1) -> None:
     merged.write.partitionBy("month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def newest_before(tape: DataFrame, t: int, sources: tuple[str, ...] = ("live", "historical")) -> DataFrame:
+    """(ticker, trade_id): the last fill at or before t of the first source that has one; ties of time by the greater trade_id."""
+    best = tape.where(F.col("t") <= t).groupBy("ticker", "source").agg(F.max(F.struct("t", "trade_id")).alias("r"))
+    rank = F.array_position(F.array(*map(F.lit, sources)), F.col("source"))
+    return best.where(rank > 0).groupBy("ticker").agg(F.min_by("r", rank).alias("r")).select("ticker", "r.trade_id")
+
+
 def trade_counts(tape: DataFrame) -> DataFrame:
     return dedup(tape.select("trade_id", "ticker")).groupBy("ticker").agg(F.count("*").alias("trades"))
 

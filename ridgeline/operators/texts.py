@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
@@ -26,12 +30,18 @@ def fold_dashes(text: Column) -> Column:
     return F.translate(text, "‐‑‒–—―−", "-------")
 
 
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Text in Unicode normal form C, for which Spark has no function of its own."""
+    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
 def versions(documents: DataFrame) -> DataFrame:
     """(file, capture, effective, taker_rate, maker_series) of documents (file, capture, text).
 
     The stamp follows "effective", the taker rate the word "taker", and charged series are the upper-case words of the maker section.
     """
-    text = fold_dashes(F.col("text"))
+    text = composed(fold_dashes(F.col("text")))
     section = F.regexp_extract(text, r"(?is)maker fees?(.*?)(?:\n\s*\n|\z)", 1)
     return documents.select(
         "file",

@@ -21,12 +21,20 @@ def settlement_contradicts() -> Column:
     return F.coalesce(known & ((F.col("result") == "yes") != (F.col("settlement_value") >= 0.5)), F.lit(False))
 
 
-def reasons(markets: DataFrame, quotes: DataFrame, dollars: DataFrame | None = None) -> DataFrame:
-    """(ticker, passed, reasons): every reason that a contract fails for, one of each family.
+def window_label() -> Column:
+    """The label of the window that a contract closes in; null outside both."""
+    return F.when(F.col("in_r1_window"), "r1").when(F.col("in_r2_window"), "r2")
 
+
+def reasons(markets: DataFrame, quotes: DataFrame, dollars: DataFrame | None = None, window: str | None = None) -> DataFrame:
+    """(ticker, passed, reasons, window): every reason that a contract fails for, one of each family.
+
+    window ("r1" or "r2"): contracts of that window only; else of all, each with the label of its own.
     dollars (ticker, dollars): threshold the notional volume instead of the contract count, for contracts whose tape is complete.
     """
-    rows = with_quotes(markets, quotes)
+    rows = with_quotes(markets.withColumn("window", window_label()), quotes)
+    if window is not None:
+        rows = rows.where(F.col("window") == window)
     if dollars is None:
         volume = F.when(F.col("volume_fp").isNull() | (F.col("volume_fp") < LEAST_VOLUME), "volume_below_1000")
     else:
@@ -36,18 +44,18 @@ def reasons(markets: DataFrame, quotes: DataFrame, dollars: DataFrame | None = N
     hours = F.when(F.col("open_t").isNull() | F.col("close_t").isNull(), "missing_open_or_close_time").when(F.col("close_t") - F.col("open_t") < LEAST_OPEN, "open_below_24h")
     settled = F.when(~F.coalesce(F.col("result").isin("yes", "no"), F.lit(False)), "result_missing_or_invalid").when(settlement_contradicts(), "settlement_contradicts_result")
     codes = F.array_compact(F.array(volume, spread, hours, settled))
-    return rows.select("ticker", codes.alias("reasons")).select("ticker", (F.size("reasons") == 0).alias("passed"), "reasons")
+    return rows.select("ticker", "window", codes.alias("reasons")).select("ticker", (F.size("reasons") == 0).alias("passed"), "reasons", "window")
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """(item, n): total, passed and failed contracts, and how often each reason occurs."""
-    counts = found.agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
-    totals = counts.selectExpr("stack(3, 'total', total, 'passed', passed, 'failed', failed) as (item, n)")
-    return totals.unionByName(found.select(F.explode("reasons").alias("item")).groupBy("item").agg(F.count("*").alias("n")))
+    """(window, item, n) for each window: total, passed and failed contracts, and how often each reason occurs."""
+    marks = F.concat(F.array(F.lit("total"), F.when(F.col("passed"), "passed").otherwise("failed")), "reasons")
+    return found.select("window", F.explode(marks).alias("item")).groupBy("window", "item").agg(F.count("*").alias("n"))
 
 
-def exclusion_log(found: DataFrame, label: str) -> DataFrame:
-    return found.select(F.lit(label).alias("window"), "ticker", F.explode("reasons").alias("reason_code"))
+def exclusion_log(found: DataFrame, label: str | None = None) -> DataFrame:
+    """(window, ticker, reason_code), under the contracts' own windows or another label, such as that of a sensitivity branch."""
+    return found.select(F.col("window") if label is None else F.lit(label).alias("window"), "ticker", F.explode("reasons").alias("reason_code"))
 
 
 def replace_exclusions(log: DataFrame, label: str, log_path: str, stamp_path: str) -> None:
@@ -110,24 +118,25 @@ def resolution_state(events: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def funnel(markets: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Cumulative stages in one pass: contracts and events left, lost against the stage before, and that as a share."""
-    rows = with_quotes(markets, quotes)
+    """Cumulative stages of each window in one pass: contracts and events left, lost against the stage before, and that as a share."""
+    rows = with_quotes(markets.withColumn("window", window_label()), quotes).where("window is not null")
     stages = [
         ("1_all", F.lit(True)),
         ("2_volume", F.col("volume_fp") >= LEAST_VOLUME),
         ("3_open_24h", F.col("close_t") - F.col("open_t") >= LEAST_OPEN),
         ("4_quoted", F.col("attempted")),
-        ("5_spread", F.col("spread") <= MOST_SPREAD),
-        ("6_result", F.col("result").isin("yes", "no")),
+        ("5_computable", F.col("spread").isNotNull()),
+        ("6_spread", F.col("spread") <= MOST_SPREAD),
+        ("7_result", F.col("result").isin("yes", "no")),
     ]
     aggs, keep = [], F.lit(True)
     for name, cond in stages:
         keep = keep & F.coalesce(cond, F.lit(False))
         aggs += [F.count_if(keep).alias(f"m_{name}"), F.count_distinct(F.when(keep, F.col("event_ticker"))).alias(f"e_{name}")]
-    wide = rows.agg(*aggs)
+    wide = rows.groupBy("window").agg(*aggs)
     items = F.array(*(F.struct(F.lit(n).alias("stage"), F.col(f"m_{n}").alias("markets"), F.col(f"e_{n}").alias("events")) for n, _ in stages))
-    # six rows: the stage before is the neighbour in the array
+    # seven rows a window: the stage before is the neighbour in the array
     pairs = F.transform(items, lambda x, i: F.struct(x["stage"].alias("stage"), x["markets"].alias("markets"), x["events"].alias("events"), F.get(items, i - 1)["markets"].alias("before")))
-    out = wide.select(F.explode(pairs).alias("r")).select("r.*")
+    out = wide.select("window", F.explode(pairs).alias("r")).select("window", "r.*")
     lost = F.col("before") - F.col("markets")
-    return out.select("stage", "markets", "events", lost.alias("lost"), F.round(F.when(F.col("before") > 0, lost * 100.0 / F.col("before")), 6).alias("lost_pct"))
+    return out.select("window", "stage", "markets", "events", lost.alias("lost"), F.round(F.when(F.col("before") > 0, lost * 100.0 / F.col("before")), 6).alias("lost_pct"))

@@ -13,10 +13,10 @@ from ridgeline.sources import adapters as A
 
 def build(d: Tables) -> dict[str, DataFrame]:
     """Universe, panels and reconciliation, with the skip rule and the dollar reading of the volume filter as sensitivities."""
-    dollar = universe.reasons(d.markets, d.quotes, tape.dollar_volume(d.raw_fills))
+    dollar = universe.reasons(d.markets, d.quotes, tape.dollar_volume(d.raw_fills), window="r1")
     return {
         "summary": universe.summary(d.reasons),
-        "exclusions": universe.exclusion_log(d.reasons, "r1").unionByName(universe.exclusion_log(dollar, universe.DOLLAR_LABEL)),
+        "exclusions": universe.exclusion_log(d.reasons).unionByName(universe.exclusion_log(dollar, universe.DOLLAR_LABEL)),
         "panel": d.panel,
         "skip_panel": panel.skip_panel(d.scope_markets, d.raw_fills),
         "reconciliation": profiles.reconcile(d.panel, d.doubled, registry.TARGETS),
@@ -59,8 +59,8 @@ def second_report(d: Tables) -> dict[str, DataFrame]:
 
 def escalation_report(d: Tables) -> dict[str, DataFrame]:
     """Fee layers, ribbon, and what they and the second report ask for."""
-    margins = returns.maker_margins(d.fills, d.scope_markets, d.schedule)
-    points = returns.ribbon(d.fills, d.scope_markets, d.schedule, d.grid)
+    margins = returns.maker_margins(d.side_fills, d.scope_markets, d.schedule)
+    points = returns.ribbon(d.side_fills, d.scope_markets, d.schedule, d.grid)
     second = second_report(d)
     found = compose.escalation(second["did"], second["publication_shift"], margins, returns.ribbon_summary(points))
     return {"margins": margins, "ribbon": points, "escalation": found, "venue": compose.venue(found)}

@@ -31,6 +31,13 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return A.table(self.spark, self.dir, name)
 
+    def fills_of(self, months: list[str]) -> DataFrame:
+        return A.raw_fills(self.spark, self.dir, months)
+
+    def make_side_fills(self) -> DataFrame:
+        """What pricing both sides of a fill needs, without replays, which are whole rows again."""
+        return self.raw_fills.select("trade_id", "ticker", "price", "count_fp", "taker_side", "t").distinct()
+
     def make_reasons(self) -> DataFrame:
         return universe.reasons(self.markets, self.quotes)
 
@@ -92,12 +99,14 @@ REPLAYED = "SELECT * FROM raw_fills UNION ALL SELECT * REPLACE (count_fp + 1 AS
 
 @query("SELECT trade_id, ticker, price, count_fp FROM fills WHERE month IN ('1998-01', '1998-02', '1998-03')")
 def a1_tape_scan_months(d):
-    return tape.scan(d.raw_fills, months=["1998-01", "1998-02", "1998-03"], columns=["trade_id", "ticker", "price", "count_fp"])
+    months = ["1998-01", "1998-02", "1998-03"]
+    return tape.scan(d.fills_of(months), months=months, columns=["trade_id", "ticker", "price", "count_fp"])
 
 
 @query("SELECT f.trade_id, f.ticker, f.price, f.taker_side FROM fills f SEMI JOIN passed p ON f.ticker = p.ticker WHERE month IN ('1999-05', '1999-06')")
 def a2_scoped_scan(d):
-    return tape.scan(d.raw_fills, months=["1999-05", "1999-06"], tickers=d.passed, columns=["trade_id", "ticker", "price", "taker_side"])
+    months = ["1999-05", "1999-06"]
+    return tape.scan(d.fills_of(months), months=months, tickers=d.passed, columns=["trade_id", "ticker", "price", "taker_side"])
 
 
 @query("SELECT trade_id, t, price, count_fp FROM fills WHERE ticker = 'P7'")
@@ -120,9 +129,10 @@ def a7_months_on_disk(d):
 
 
 def old_new_markets(d):
+    """Old and new markets that overlap and together are all."""
     cols = ["ticker", "series_ticker", "category", "result", "in_r1_window", "volume_fp"]
-    old = d.markets.where("key % 3 <> 0").select(*cols, F.col("close_t").alias("first_seen"))
-    new = d.markets.where("key % 2 = 0").select(
+    old = d.markets.where("in_r1_window or volume_fp >= 1000").select(*cols, F.col("close_t").alias("first_seen"))
+    new = d.markets.where("in_r2_window or volume_fp >= 1000").select(
         "ticker", F.when(F.col("key") % 4 != 0, F.concat(F.col("series_ticker"), F.lit("x"))).alias("series_ticker"), F.lit(None).cast("string").alias("category"),
         F.when(F.col("key") % 10 != 0, F.col("result")).alias("result"), F.lit(False).alias("in_r1_window"), (F.col("volume_fp") + 1).alias("volume_fp"), F.lit(0).cast("long").alias("first_seen"))
     return old, new
@@ -131,8 +141,8 @@ def old_new_markets(d):
 @query(
     "SELECT ticker, coalesce(n.series_ticker, o.series_ticker) AS series_ticker, o.category AS category, CASE WHEN n.ticker IS NOT NULL THEN n.result ELSE o.result END AS result, "
     "coalesce(o.in_r1_window, FALSE) AS in_r1_window, CASE WHEN n.ticker IS NOT NULL THEN n.volume_fp ELSE o.volume_fp END AS volume_fp, CASE WHEN o.ticker IS NOT NULL THEN o.first_seen ELSE 0 END AS first_seen "
-    "FROM (SELECT ticker, series_ticker, category, result, in_r1_window, volume_fp, close_t AS first_seen FROM markets WHERE key % 3 <> 0) o FULL JOIN "
-    "(SELECT ticker, CASE WHEN key % 4 <> 0 THEN series_ticker || 'x' END AS series_ticker, CASE WHEN key % 10 <> 0 THEN result END AS result, volume_fp + 1 AS volume_fp FROM markets WHERE key % 2 = 0) n USING (ticker)"
+    "FROM (SELECT ticker, series_ticker, category, result, in_r1_window, volume_fp, close_t AS first_seen FROM markets WHERE in_r1_window OR volume_fp >= 1000) o FULL JOIN "
+    "(SELECT ticker, CASE WHEN key % 4 <> 0 THEN series_ticker || 'x' END AS series_ticker, CASE WHEN key % 10 <> 0 THEN result END AS result, volume_fp + 1 AS volume_fp FROM markets WHERE in_r2_window OR volume_fp >= 1000) n USING (ticker)"
 )
 def a8_market_upsert(d):
     old, new = old_new_markets(d)
@@ -148,22 +158,6 @@ def a9_quote_upsert(d):
     return tape.upsert(d.quotes.where("spread <> 0.05 or spread is null"), new, ["ticker"])
 
 
-@query(
-    "SELECT ticker, coalesce(n.series_ticker, o.series_ticker) AS series_ticker, o.category AS category, CASE WHEN n.ticker IS NOT NULL THEN n.result ELSE o.result END AS result, "
-    "coalesce(o.in_r1_window, FALSE) AS in_r1_window, CASE WHEN n.ticker IS NOT NULL THEN n.volume_fp ELSE o.volume_fp END AS volume_fp, CASE WHEN o.ticker IS NOT NULL THEN o.first_seen ELSE 0 END AS first_seen "
-    "FROM (SELECT ticker, series_ticker, category, result, in_r1_window, volume_fp, close_t AS first_seen FROM markets WHERE in_r1_window OR volume_fp >= 1000) o FULL JOIN "
-    "(SELECT ticker, CASE WHEN key % 4 <> 0 THEN series_ticker || 'x' END AS series_ticker, CASE WHEN key % 10 <> 0 THEN result END AS result, volume_fp + 1 AS volume_fp FROM markets WHERE in_r2_window OR volume_fp >= 1000) n USING (ticker)"
-)
-def a8_market_upsert_whole(d):
-    """a8_market_upsert with old and new markets that overlap and together are all."""
-    m = d.markets.where("in_r1_window or volume_fp >= 1000")
-    old = m.select("ticker", "series_ticker", "category", "result", "in_r1_window", "volume_fp", F.col("close_t").alias("first_seen"))
-    new = d.markets.where("in_r2_window or volume_fp >= 1000").select(
-        "ticker", F.when(F.col("key") % 4 != 0, F.concat(F.col("series_ticker"), F.lit("x"))).alias("series_ticker"), F.lit(None).cast("string").alias("category"),
-        F.when(F.col("key") % 10 != 0, F.col("result")).alias("result"), F.lit(False).alias("in_r1_window"), (F.col("volume_fp") + 1).alias("volume_fp"), F.lit(0).cast("long").alias("first_seen"))
-    return tape.upsert(old, new, ["ticker"], keep_old_if_null=("series_ticker", "category"), sticky=("in_r1_window",), first_seen=("first_seen",))
-
-
 @query(
     "SELECT ticker, lookback_day, CASE WHEN n.ticker IS NOT NULL THEN n.p ELSE o.p END AS p FROM (SELECT ticker, lookback_day, p FROM panel WHERE lookback_day <= 6) o "
     "FULL JOIN (SELECT ticker, lookback_day, CASE WHEN p > 0.5 THEN 1 - p END AS p FROM panel WHERE lookback_day >= 4) n USING (ticker, lookback_day)"
@@ -206,7 +200,7 @@ def a17_closing_quotes(d):
     "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(max(o_custkey) AS BIGINT) AS last_member FROM orders GROUP BY ALL ORDER BY n DESC"
 )
 def a23_frequency_profile(d):
-    return d.base("orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.max("o_custkey").alias("last_member")).orderBy(F.desc("n"))
+    return profiles.frequency_profile(d.base("orders"), ["o_orderstatus", "o_orderpriority"], "o_custkey")
 
 
 @query(
@@ -219,9 +213,13 @@ def a24_version_changes(d):
 # --- universe --------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT ticker, len(reasons) = 0 AS passed, array_to_string(reasons, ',') AS reasons FROM reasons")
+#: The label of a contract's window, as in universe.window_label().
+LABEL = "CASE WHEN in_r1_window THEN 'r1' WHEN in_r2_window THEN 'r2' END"
+
+
+@query(f"SELECT ticker, {LABEL} AS \"window\", len(reasons) = 0 AS passed, array_to_string(reasons, ',') AS reasons FROM reasons")
 def b1_universe_reasons(d):
-    return d.reasons.select("ticker", "passed", F.array_join("reasons", ",").alias("reasons"))
+    return d.reasons.select("ticker", "window", "passed", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("SELECT ticker, coalesce(settlement_value IS NOT NULL AND result IN ('yes', 'no') AND (result = 'yes') != (settlement_value >= 0.5), FALSE) AS contradicts FROM markets")
@@ -239,22 +237,21 @@ def b3_dollar_universe(d):
 
 
 @query(
-    "SELECT 'total' AS item, count(*) AS n FROM reasons UNION ALL SELECT 'passed', count(*) FROM passed UNION ALL SELECT 'failed', count(*) FROM reasons WHERE len(reasons) > 0 "
-    "UNION ALL SELECT * FROM (SELECT unnest(reasons) AS item, count(*) AS n FROM reasons GROUP BY 1)"
+    f"SELECT {LABEL} AS \"window\", item, count(*) AS n FROM (SELECT *, unnest(list_concat(['total', CASE WHEN len(reasons) = 0 THEN 'passed' ELSE 'failed' END], reasons)) AS item FROM reasons) GROUP BY ALL"
 )
 def b4_filter_summary(d):
     return universe.summary(d.reasons)
 
 
-@query("SELECT 'r1' AS \"window\", ticker, unnest(reasons) AS reason_code FROM reasons")
+@query(f"SELECT {LABEL} AS \"window\", ticker, unnest(reasons) AS reason_code FROM reasons")
 def b5_exclusion_log(d):
-    return universe.exclusion_log(d.reasons, "r1")
+    return universe.exclusion_log(d.reasons)
 
 
 @query("SELECT ticker FROM passed WHERE in_r1_window")
 def b6_in_scope(d):
     stamps = d.spark.createDataFrame([("r1",)], "window string")
-    return universe.in_scope(d.markets, universe.exclusion_log(d.reasons, "r1"), "r1", "in_r1_window", stamps)
+    return universe.in_scope(d.markets, universe.exclusion_log(universe.reasons(d.markets, d.quotes, window="r1")), "r1", "in_r1_window", stamps)
 
 
 @query("SELECT ticker FROM markets WHERE volume_fp >= 1000 AND close_t - open_t >= 86400")
@@ -272,6 +269,11 @@ def b9_quote_work_list(d):
     return universe.quote_work_list(d.markets, d.quotes)
 
 
+@query("SELECT DISTINCT ticker FROM fills ANTI JOIN quotes USING (ticker)")
+def b9_orphans(d):
+    return universe.orphans(d.raw_fills, d.quotes)
+
+
 @query(
     "SELECT DISTINCT event_ticker, CASE WHEN n % 3 = 0 THEN 'unresolved' WHEN n % 7 = 0 THEN 'terminal' ELSE 'resolved' END AS state FROM (SELECT event_ticker, CAST(substr(event_ticker, 2) AS BIGINT) AS n FROM markets)"
 )
@@ -297,19 +299,14 @@ def b14_roles(d):
     return d.doubled.groupBy("side", panel.role().alias("role")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT ticker, NOT (volume_fp > 0 AND n IS NULL) AS consistent FROM markets LEFT JOIN (SELECT ticker, count(*) AS n FROM fills WHERE month < '1997-01' GROUP BY ticker) USING (ticker)")
-def b16_volume_consistency(d):
-    return profiles.volume_consistency(d.markets, tape.trade_counts(d.raw_fills.where("month < '1997-01'")))
-
-
 @query("SELECT ticker, NOT (volume_fp > 0 AND n IS NULL) AS consistent FROM markets LEFT JOIN (SELECT ticker, count(*) AS n FROM fills GROUP BY ticker) USING (ticker)")
-def b16_volume_consistency_whole(d):
+def b16_volume_consistency(d):
     return profiles.volume_consistency(d.markets, tape.trade_counts(d.raw_fills))
 
 
 # --- joins -----------------------------------------------------------------------------------------------------------
 
-EVENT_REFS = "SELECT concat('U', user_id) AS ticker, event_id AS ref_id, epoch_us(ts) + 3600000000 * (event_id % 5) - 7200000000 AS ref_t FROM events WHERE event_id % 6 = 0"
+EVENT_REFS = "SELECT concat('U', user_id) AS ticker, event_id AS ref_id, epoch_us(ts) + 3600000000 * (event_id % 5) - 7200000000 AS ref_t FROM events"
 
 
 @query(
@@ -317,24 +314,9 @@ EVENT_REFS = "SELECT concat('U', user_id) AS ticker, event_id AS ref_id, epoch_u
     "ASOF JOIN (SELECT * FROM event_fills QUALIFY row_number() OVER (PARTITION BY ticker, t ORDER BY trade_id) = 1) k ON r.ticker = k.ticker AND r.ref_t >= k.t"
 )
 def c1_asof_last_trade(d):
-    e = d.base("events").where("event_id % 6 = 0")
-    shift = F.col("event_id") % 5 * 3_600_000_000 - 7_200_000_000
-    refs = e.select(F.concat(F.lit("U"), "user_id").alias("ticker"), F.col("event_id").alias("ref_id"), (A.micros(F.col("ts")) + shift).alias("ref_t"))
-    return asof.last_trade_at_or_before(refs, d.event_fills, ["ref_id"]).select("ticker", "ref_id", "ref_t", "t", "price", "taker_side", "trade_id")
-
-
-ALL_EVENT_REFS = "SELECT concat('U', user_id) AS ticker, event_id AS ref_id, epoch_us(ts) + 3600000000 * (event_id % 5) - 7200000000 AS ref_t FROM events"
-
-
-@query(
-    f"SELECT r.ticker, r.ref_id, r.ref_t, k.t, k.price, k.taker_side, k.trade_id FROM ({ALL_EVENT_REFS}) r "
-    "ASOF JOIN (SELECT * FROM event_fills QUALIFY row_number() OVER (PARTITION BY ticker, t ORDER BY trade_id) = 1) k ON r.ticker = k.ticker AND r.ref_t >= k.t"
-)
-def c1_asof_last_trade_whole(d):
-    """c1_asof_last_trade with every event as a reference."""
     shift = F.col("event_id") % 5 * 3_600_000_000 - 7_200_000_000
     refs = d.base("events").select(F.concat(F.lit("U"), "user_id").alias("ticker"), F.col("event_id").alias("ref_id"), (A.micros(F.col("ts")) + shift).alias("ref_t"))
-    return asof.last_trade_at_or_before(refs, d.event_fills, ["ref_id"]).select("ticker", "ref_id", "ref_t", "t", "price", "taker_side", "trade_id")
+    return asof.last_trade_at_or_before(refs, d.event_fills, ["ref_id"], bucket=7 * 86_400_000_000).select("ticker", "ref_id", "ref_t", "t", "price", "taker_side", "trade_id")
 
 
 @query("SELECT ticker, t, price, count_fp, taker_side, trade_id FROM ticks")
@@ -389,23 +371,8 @@ def c9_fee_lookup(d):
     return fees.lookup(asked, d.schedule)
 
 
-@query("SELECT f.trade_id, m.event_ticker, m.series_ticker, m.category FROM fills f LEFT JOIN markets m USING (ticker) WHERE month = '2000-02'")
-def c11_enrichment(d):
-    rows = tape.scan(d.raw_fills, months=["2000-02"], columns=["trade_id", "ticker"])
-    return rows.join(d.markets.select("ticker", "event_ticker", "series_ticker", "category"), "ticker", "left").drop("ticker")
-
-
-@query(
-    "SELECT count(*) FILTER (WHERE has) AS with_fills, count(*) FILTER (WHERE NOT has) AS without_fills FROM (SELECT EXISTS (SELECT 1 FROM fills f WHERE f.ticker = m.ticker AND f.month < '1996-06') AS has FROM markets m)"
-)
-def c12_exists_probes(d):
-    early = d.raw_fills.where("month < '1996-06'").select("ticker")
-    has = d.markets.join(early, "ticker", "left_semi").agg(F.count("*").alias("with_fills"))
-    return has.crossJoin(d.markets.join(early, "ticker", "left_anti").agg(F.count("*").alias("without_fills")))
-
-
 @query("SELECT f.trade_id, m.event_ticker, m.series_ticker, m.category FROM fills f LEFT JOIN markets m USING (ticker)")
-def c11_enrichment_whole(d):
+def c11_enrichment(d):
     rows = tape.scan(d.raw_fills, columns=["trade_id", "ticker"])
     return rows.join(d.markets.select("ticker", "event_ticker", "series_ticker", "category"), "ticker", "left").drop("ticker")
 
@@ -413,7 +380,7 @@ def c11_enrichment_whole(d):
 @query(
     "SELECT count(*) FILTER (WHERE has) AS with_fills, count(*) FILTER (WHERE NOT has) AS without_fills FROM (SELECT EXISTS (SELECT 1 FROM fills f WHERE f.ticker = m.ticker) AS has FROM markets m)"
 )
-def c12_exists_probes_whole(d):
+def c12_exists_probes(d):
     traded = d.raw_fills.select("ticker")
     has = d.markets.join(traded, "ticker", "left_semi").agg(F.count("*").alias("with_fills"))
     return has.crossJoin(d.markets.join(traded, "ticker", "left_anti").agg(F.count("*").alias("without_fills")))
@@ -481,11 +448,11 @@ def d4_reconcile_counts(d):
 
 
 @query(
-    "SELECT count(*) FILTER (WHERE r = 'spread_filter_not_computable') AS structural, count(*) FILTER (WHERE r = 'spread_filter_not_yet_fetched') AS operational, "
-    "count(*) FILTER (WHERE r NOT IN ('spread_filter_not_computable', 'spread_filter_not_yet_fetched')) AS other FROM (SELECT unnest(reasons) AS r FROM reasons)"
+    "SELECT \"window\", count(*) FILTER (WHERE r = 'spread_filter_not_computable') AS structural, count(*) FILTER (WHERE r = 'spread_filter_not_yet_fetched') AS operational, "
+    f"count(*) FILTER (WHERE r NOT IN ('spread_filter_not_computable', 'spread_filter_not_yet_fetched')) AS other FROM (SELECT {LABEL} AS \"window\", unnest(reasons) AS r FROM reasons) GROUP BY 1"
 )
 def d5_gap_breakdown(d):
-    return profiles.gap_breakdown(universe.exclusion_log(d.reasons, "r1"), "r1")
+    return profiles.gap_breakdown(universe.exclusion_log(d.reasons))
 
 
 MIX = "SELECT coalesce(category, 'unknown') AS category, n / sum(n) OVER () AS weight FROM (SELECT category, count(DISTINCT ticker) AS n FROM panel WHERE {where} GROUP BY category)"
@@ -517,9 +484,11 @@ def d9_field_population(d):
     return profiles.population_by_era(d.fills, ["taker_side", "count_fp"])
 
 
-@query(f"SELECT {BAND.format(p='p')} AS band, count(*) AS n, round(avg(y), 6) AS win_rate, round(avg(p), 6) AS mean_price FROM doubled GROUP BY 1")
+@query(
+    f"SELECT {BAND.format(p='p')} AS band, count(*) AS n, CAST(sum(CAST(y AS BIGINT)) AS DOUBLE) / count(*) AS win_rate, CAST(sum(CAST(round(p * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100) AS mean_price FROM doubled GROUP BY 1"
+)
 def d10_win_rate_by_band(d):
-    return rounded(returns.win_rate_by_band(d.doubled))
+    return returns.win_rate_by_band(d.doubled)
 
 
 @query(
@@ -548,18 +517,22 @@ A_, B_, C_ = f"{LAYER} (SELECT role, (y - p) / p AS v FROM sides)", f"{LAYER} (S
     f"SELECT round(a.m, 6) AS margin_a, round(b.m, 6) AS margin_b, round(c.m, 6) AS margin_c, a.nm AS n_maker_a, a.nt AS n_taker_a, b.nm AS n_maker_b, b.nt AS n_taker_b, b.gaps AS gaps_b, c.nm AS n_maker_c, c.nt AS n_taker_c, c.gaps AS gaps_c FROM ({A_}) a, ({B_}) b, ({C_}) c"
 )
 def d13_maker_margin_layers(d):
-    return rounded(returns.maker_margins(d.fills, d.scope_markets, d.schedule))
+    return rounded(returns.maker_margins(d.side_fills, d.scope_markets, d.schedule))
 
 
 FUNNEL = [
-    ("1_all", "TRUE"), ("2_volume", "volume_fp >= 1000"), ("3_open_24h", "close_t - open_t >= 86400"), ("4_quoted", "attempted"), ("5_spread", "spread <= 0.20"), ("6_result", "result IN ('yes', 'no')")]
+    ("1_all", "TRUE"), ("2_volume", "volume_fp >= 1000"), ("3_open_24h", "close_t - open_t >= 86400"), ("4_quoted", "attempted"), ("5_computable", "spread IS NOT NULL"), ("6_spread", "spread <= 0.20"), ("7_result", "result IN ('yes', 'no')")]
 
 
-@query(
-    "SELECT stage, markets, events, lag(markets) OVER (ORDER BY stage) - markets AS lost, round((lag(markets) OVER (ORDER BY stage) - markets) * 100.0::DOUBLE / lag(markets) OVER (ORDER BY stage), 6) AS lost_pct FROM ("
-    + " UNION ALL ".join(f"SELECT '{n}' AS stage, count(*) AS markets, count(DISTINCT event_ticker) AS events FROM quoted WHERE {' AND '.join(c for _, c in FUNNEL[: i + 1])}" for i, (n, _) in enumerate(FUNNEL))
-    + ")"
+BEFORE = "lag(markets) OVER (PARTITION BY \"window\" ORDER BY stage)"
+STAGED = " UNION ALL ".join(
+    f"SELECT {LABEL} AS \"window\", '{n}' AS stage, count(*) FILTER (WHERE {' AND '.join(c for _, c in FUNNEL[: i + 1])}) AS markets, "
+    f"count(DISTINCT event_ticker) FILTER (WHERE {' AND '.join(c for _, c in FUNNEL[: i + 1])}) AS events FROM quoted GROUP BY 1"
+    for i, (n, _) in enumerate(FUNNEL)
 )
+
+
+@query(f"SELECT \"window\", stage, markets, events, {BEFORE} - markets AS lost, round(({BEFORE} - markets) * 100.0::DOUBLE / {BEFORE}, 6) AS lost_pct FROM ({STAGED}) WHERE \"window\" IS NOT NULL")
 def d15_funnel(d):
     return universe.funnel(d.markets, d.quotes)
 
@@ -681,19 +654,14 @@ def d29_percentiles(d):
 
 @query("SELECT month, trade_id, ticker FROM fills QUALIFY row_number() OVER (PARTITION BY month ORDER BY trade_id) <= 3")
 def e6_samples_per_group(d):
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("month").orderBy("trade_id"))
-    return d.fills.withColumn("i", place).where("i <= 3").select("month", "trade_id", "ticker")
+    return profiles.samples_per_group(d.raw_fills.select("month", "trade_id", "ticker").distinct(), "month", "trade_id", 3)
 
 
 @query(
     "SELECT ticker, coalesce(max(trade_id) FILTER (WHERE source = 'live'), max(trade_id) FILTER (WHERE source = 'historical')) AS trade_id FROM (SELECT * FROM fills WHERE t <= 915148800 QUALIFY row_number() OVER (PARTITION BY ticker, source ORDER BY t DESC, trade_id DESC) = 1) GROUP BY ticker"
 )
 def f1_newest_before_by_preference(d):
-    best = d.raw_fills.where(F.col("t") <= A.WINDOW_END).groupBy("ticker", "source").agg(F.max(F.struct("t", "trade_id")).alias("r"))
-    one = best.groupBy("ticker").agg(F.min_by("r", F.when(F.col("source") == "live", 0).otherwise(1)).alias("r"))
-    return one.select("ticker", "r.trade_id")
+    return tape.newest_before(d.raw_fills, A.WINDOW_END)
 
 
 @query("SELECT ticker, close_t FROM markets WHERE ticker > 'P15' ORDER BY ticker LIMIT 25")
@@ -708,17 +676,11 @@ def g1_doubled_panel(d):
 
 @query("SELECT ticker FROM passed WHERE in_r1_window UNION SELECT ticker FROM passed WHERE in_r2_window AND tape_done")
 def g2_pooled_scope(d):
-    return d.scope_markets.where("in_r1_window").select("ticker").union(d.scope_markets.where("in_r2_window and tape_done").select("ticker")).distinct()
-
-
-@query("SELECT ticker, result, CAST(NULL AS DOUBLE) AS spread FROM markets WHERE key < 50 UNION ALL SELECT ticker, NULL, spread FROM quotes WHERE quote_source = 'live'")
-def g3_diagonal_concat(d):
-    a = d.markets.where("key < 50").select("ticker", "result")
-    return a.unionByName(d.quotes.where("quote_source = 'live'").select("ticker", "spread"), allowMissingColumns=True)
+    return panel.pooled_scope(d.scope_markets)
 
 
 @query("SELECT ticker, result, CAST(NULL AS DOUBLE) AS spread FROM markets UNION ALL SELECT ticker, NULL, spread FROM quotes")
-def g3_diagonal_concat_whole(d):
+def g3_diagonal_concat(d):
     return d.markets.select("ticker", "result").unionByName(d.quotes.select("ticker", "spread"), allowMissingColumns=True)
 
 
@@ -839,7 +801,7 @@ def i5_monthly_path(d):
     return rounded(control.with_spine(monthly, 23_964, 23_987, A.CONTROL_MONTHS).select("month", "n", "psi", "psi_se"))
 
 
-def shifts_sql(rows: str, by: str) -> str:
+def shifts_sql(rows: str, by: str, digits: int = 6) -> str:
     """Slope shifts between three regimes, clustered across them; rows: by, regime, cluster, x, u."""
     of = ", ".join(f"max(b) FILTER (WHERE regime = '{k}') AS {k}" for k in ("pre", "mid", "post"))
     inf = ", ".join(f"sum(CASE WHEN regime = '{k}' THEN (n * x - sx) * (u - a - b * x) / det ELSE 0 END) AS {k}" for k in ("pre", "mid", "post"))
@@ -849,12 +811,13 @@ def shifts_sql(rows: str, by: str) -> str:
     return f"""WITH cells AS ({cells}), per AS (SELECT {by}, cluster, {inf} FROM ({rows}) JOIN cells USING ({by}, regime) GROUP BY {by}, cluster),
   meat AS (SELECT {by}, count(*) AS g, sum((mid - pre) ** 2) AS vf, sum((post - mid) ** 2) AS vp FROM per GROUP BY {by}),
   lines AS (SELECT {by}, CAST(sum(n) AS BIGINT) AS n, count(*) AS k, max(a) FILTER (WHERE regime = 'pre') AS alpha_c, {of} FROM cells GROUP BY {by})
-  SELECT {by}, n, g AS n_clusters, round(alpha_c, 6) AS alpha_c, round(pre, 6) AS psi_c, round(mid - pre, 6) AS delta_fee, round(sqrt(g / (g - 1) * (n - 1) / (n - 6) * vf), 6) AS delta_fee_se,
-    round(post - mid, 6) AS delta_pub, round(sqrt(g / (g - 1) * (n - 1) / (n - 6) * vp), 6) AS delta_pub_se FROM lines JOIN meat USING ({by}) WHERE k = 3 AND n > 6 AND g > 1"""
+  SELECT {by}, n, g AS n_clusters, round(alpha_c, {digits}) AS alpha_c, round(pre, {digits}) AS psi_c, round(mid - pre, {digits}) AS delta_fee, round(sqrt(g / (g - 1) * (n - 1) / (n - 6) * vf), {digits}) AS delta_fee_se,
+    round(post - mid, {digits}) AS delta_pub, round(sqrt(g / (g - 1) * (n - 1) / (n - 6) * vp), {digits}) AS delta_pub_se FROM lines JOIN meat USING ({by}) WHERE k = 3 AND n > 6 AND g > 1"""
 
 
 REGIME = "CASE WHEN close_t < 915148800 THEN 'pre' WHEN close_t < 938736000 THEN 'mid' ELSE 'post' END AS regime"
 SHIFTS = shifts_sql(f"SELECT *, {REGIME} FROM rows_ WHERE category IS NOT NULL", "category")
+EXACT_SHIFTS = shifts_sql(f"SELECT *, {REGIME} FROM rows_ WHERE category IS NOT NULL", "category", 15)
 
 
 @query(SHIFTS)
@@ -869,19 +832,19 @@ def i6_boundary_shifts_wild(d):
 
 
 @query(
-    f"WITH f AS ({SHIFTS}), w AS (SELECT f.*, coalesce(a.weight, 0) AS wb, coalesce(b.weight, 0) AS wn FROM f LEFT JOIN ({FROZEN}) a USING (category) LEFT JOIN ({NOW}) b USING (category)) "
+    f"WITH f AS ({EXACT_SHIFTS}), w AS (SELECT f.*, coalesce(a.weight, 0) AS wb, coalesce(b.weight, 0) AS wn FROM f LEFT JOIN ({FROZEN}) a USING (category) LEFT JOIN ({NOW}) b USING (category)) "
     "SELECT round(sum(wb * delta_fee), 5) AS within, round(sum((wn - wb) * psi_c), 5) AS \"between\", round(sum(wb * delta_fee) + sum((wn - wb) * psi_c), 5) AS aggregate FROM w"
 )
 def i8_decomposition(d):
-    return rounded(compose.decompose(rounded(d.fits), d.frozen, d.weights, "delta_fee"), 5)
+    return rounded(compose.decompose(d.fits, d.frozen, d.weights, "delta_fee"), 5)
 
 
-BAR = f"SELECT sum(weight * delta_pub) AS e, sqrt(sum(weight ** 2 * delta_pub_se ** 2)) AS s FROM ({SHIFTS}) JOIN ({FROZEN}) USING (category) WHERE weight <> 0"
+BAR = f"SELECT sum(weight * delta_pub) AS e, sqrt(sum(weight ** 2 * delta_pub_se ** 2)) AS s FROM ({EXACT_SHIFTS}) JOIN ({FROZEN}) USING (category) WHERE weight <> 0"
 
 
 @query(f"SELECT round(e, 5) AS delta_bar, round(e - 1.96 * s, 5) AS ci_lo, round(e + 1.96 * s, 5) AS ci_hi FROM ({BAR})")
 def i9_delta_bar(d):
-    return rounded(compose.delta_bar(rounded(d.fits), d.frozen, "delta_pub"), 5)
+    return rounded(compose.delta_bar(d.fits, d.frozen, "delta_pub"), 5)
 
 
 @query()
@@ -896,8 +859,8 @@ def i9_delta_bar_wild(d):
     WHEN e > least(-psi, 0) AND e < greatest(-psi, 0) THEN 'attenuated' WHEN psi + e < 0 AND (psi + lo > 0 OR psi + hi < 0) THEN 'reversed' ELSE 'indeterminate' END AS verdict FROM c"""
 )
 def i10_verdict(d):
-    bar = compose.delta_bar(rounded(d.fits), d.frozen, "delta_pub")
-    psi = rounded(regression.mz(d.panel.where("in_r1_window"), [])).select("psi")
+    bar = compose.delta_bar(d.fits, d.frozen, "delta_pub")
+    psi = regression.mz(d.panel.where("in_r1_window"), []).select("psi")
     both = bar.crossJoin(F.broadcast(psi))
     return both.select(compose.verdict(F.col("delta_bar"), F.col("ci_lo"), F.col("ci_hi"), F.col("psi")).alias("verdict"))
 
@@ -913,7 +876,7 @@ def i11_horizon_shifts(d):
     return rounded(regression.boundary_shifts(d.panel.where("category is not null"), ["lookback_day", "category"], A.WINDOW_END, A.PUBLICATION))
 
 
-DAY_SHIFTS = shifts_sql(f"SELECT *, {REGIME} FROM rows_ WHERE category IS NOT NULL", "lookback_day, category")
+DAY_SHIFTS = shifts_sql(f"SELECT *, {REGIME} FROM rows_ WHERE category IS NOT NULL", "lookback_day, category", 15)
 DAY_BARS = f"SELECT lookback_day, sum(weight * delta_fee) AS fee_, sum(weight * delta_pub) AS pub_ FROM ({DAY_SHIFTS}) JOIN ({FROZEN}) USING (category) WHERE weight <> 0 GROUP BY lookback_day"
 
 
@@ -923,8 +886,8 @@ DAY_BARS = f"SELECT lookback_day, sum(weight * delta_fee) AS fee_, sum(weight *
 )
 def i11_horizon_buckets(d):
     """Every lookback day of the panel, thin ones with nulls."""
-    fits = regression.boundary_shifts(d.panel.where("category is not null"), ["lookback_day", "category"], A.WINDOW_END, A.PUBLICATION).persist()
-    return rounded(compose.horizon_buckets(d.panel, rounded(fits), d.frozen), 5)
+    fits = regression.boundary_shifts(d.panel.where("category is not null"), ["lookback_day", "category"], A.WINDOW_END, A.PUBLICATION)
+    return rounded(compose.horizon_buckets(d.panel, fits, d.frozen), 5)
 
 
 @query()
@@ -971,7 +934,7 @@ RIBBON = f"SELECT grid_rate, coalesce(avg(v) FILTER (WHERE role = 'maker') - avg
 
 @query(f"SELECT grid_rate, round(margin, 6) AS margin FROM ({RIBBON})")
 def i15_fee_ribbon(d):
-    return rounded(returns.ribbon(d.fills, d.scope_markets, d.schedule, d.grid), 8).withColumn("margin", F.round("margin", 6))
+    return rounded(returns.ribbon(d.side_fills, d.scope_markets, d.schedule, d.grid), 8).withColumn("margin", F.round("margin", 6))
 
 
 @query(
@@ -979,7 +942,7 @@ def i15_fee_ribbon(d):
     "count(DISTINCT margin > 0) > 1 AS sign_flips FROM l"
 )
 def e7_ribbon_crossing(d):
-    return rounded(returns.ribbon_summary(returns.ribbon(d.fills, d.scope_markets, d.schedule, d.grid)))
+    return rounded(returns.ribbon_summary(returns.ribbon(d.side_fills, d.scope_markets, d.schedule, d.grid)))
 
 
 @query(f"SELECT f.ord, g.grid_rate, CASE WHEN f.role = 'maker' AND f.form <> 'none' AND f.rate <> 0 THEN g.grid_rate ELSE f.rate END AS rate, count(m.ticker) AS markets FROM fee f CROSS JOIN ({GRID}) g LEFT JOIN markets m ON list_contains(f.scope_values, m.series_ticker) GROUP BY ALL")
@@ -991,16 +954,16 @@ def i16_swept_schedule(d):
 
 @query()
 def i17_escalation(d):
-    margins = returns.maker_margins(d.fills, d.scope_markets, d.schedule)
-    band = returns.ribbon_summary(returns.ribbon(d.fills, d.scope_markets, d.schedule, d.grid))
+    margins = returns.maker_margins(d.side_fills, d.scope_markets, d.schedule)
+    band = returns.ribbon_summary(returns.ribbon(d.side_fills, d.scope_markets, d.schedule, d.grid))
     found = compose.escalation(did.did_pair(d.panel, d.schedule), compose.delta_bar(d.intervals, d.frozen, "delta_pub"), margins, band)
     return found.select("escalate", F.array_join("triggers", ",").alias("triggers"))
 
 
 @query()
 def i18_venue(d):
-    margins = returns.maker_margins(d.fills, d.scope_markets, d.schedule)
-    band = returns.ribbon_summary(returns.ribbon(d.fills, d.scope_markets, d.schedule, d.grid))
+    margins = returns.maker_margins(d.side_fills, d.scope_markets, d.schedule)
+    band = returns.ribbon_summary(returns.ribbon(d.side_fills, d.scope_markets, d.schedule, d.grid))
     return compose.venue(compose.escalation(did.did_pair(d.panel, d.schedule), compose.delta_bar(d.intervals, d.frozen, "delta_pub"), margins, band))
 
 
@@ -1008,7 +971,7 @@ def i18_venue(d):
 def i20_invariants(d):
     pair = did.did_pair(d.panel, d.schedule)
     parts = compose.decompose(d.fits, d.frozen, d.weights, "delta_fee")
-    found = compose.escalation(pair, compose.delta_bar(d.intervals, d.frozen, "delta_pub"), returns.maker_margins(d.fills, d.scope_markets, d.schedule), returns.ribbon_summary(returns.ribbon(d.fills, d.scope_markets, d.schedule, d.grid)))
+    found = compose.escalation(pair, compose.delta_bar(d.intervals, d.frozen, "delta_pub"), returns.maker_margins(d.side_fills, d.scope_markets, d.schedule), returns.ribbon_summary(returns.ribbon(d.side_fills, d.scope_markets, d.schedule, d.grid)))
     return compose.invariants(pair, parts, found)
 
 

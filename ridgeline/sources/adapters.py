@@ -5,6 +5,8 @@ Every derivation is a projection of one table, so scans stay prunable and no shu
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +36,13 @@ def utc(epoch: Column) -> Column:
     return F.timestamp_seconds(epoch)
 
 
-def raw_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fills as they arrive: a replayed line is a second row with the same trade_id."""
+def raw_fills(spark: SparkSession, sf_dir: str, months: list[str] | None = None) -> DataFrame:
+    """Fills as they arrive: a replayed line is a second row with the same trade_id. Months reach the scan as a range of dates."""
     line = table(spark, sf_dir, "lineitem")
+    if months:
+        first, last = (datetime.date.fromisoformat(f"{m}-01") for m in (min(months), max(months)))
+        after = (last + datetime.timedelta(days=31)).replace(day=1)
+        line = line.where((F.col("l_shipdate") >= F.lit(str(first)).cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit(str(after)).cast("timestamp_ntz")))
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     trade = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents, F.col("l_quantity").cast("long"))
     side = F.when(F.col("l_returnflag") == "A", "yes").when(F.col("l_returnflag") == "R", "no").when(F.col("l_linestatus") == "O", "yes")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,9 +12,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ridgeline.operators.tape import dedup
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The table at path; None where there is nothing yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def add_page(page: DataFrame, path: str) -> None:
@@ -23,9 +29,9 @@ def add_page(page: DataFrame, path: str) -> None:
     """
     spark = page.sparkSession
     fresh = dedup(page.where(F.col("trade_id").isNotNull() & F.col("t").isNotNull()))
-    if exists(spark, path):
+    if (tape := stored(spark, path, page.schema)) is not None:
         months = [r["month"] for r in fresh.select("month").distinct().collect()]
-        known = spark.read.schema(page.schema).parquet(path).where(F.col("month").isin(months) if months else F.lit(False)).select("trade_id", "month")
+        known = tape.where(F.col("month").isin(months) if months else F.lit(False)).select("trade_id", "month")
         fresh = fresh.join(known, ["trade_id", "month"], "left_anti")
     fresh.write.partitionBy("month").mode("append").parquet(path)
 

@@ -34,7 +34,7 @@ def equals_oracle(spark, duck, name):
 
 
 def test_every_event_is_a_reference(spark, duck):
-    df = equals_oracle(spark, duck, "c1_asof_last_trade_whole")
+    df = equals_oracle(spark, duck, "c1_asof_last_trade")
     by: dict[str, list] = {}
     for r in A.event_fills(spark, SF).collect():
         by.setdefault(r.ticker, []).append((r.t, r.trade_id))
@@ -115,7 +115,7 @@ def test_verdicts_and_escalation_take_the_wild_intervals(spark):
     assert registry.QUERIES["i9_delta_bar_wild"](spark, SF).first() != registry.QUERIES["i9_delta_bar"](spark, SF).first()
 
 
-@pytest.mark.parametrize("name", ["a8_market_upsert_whole", "b16_volume_consistency_whole", "c11_enrichment_whole", "c12_exists_probes_whole", "g3_diagonal_concat_whole"])
+@pytest.mark.parametrize("name", ["a8_market_upsert", "b16_volume_consistency", "c11_enrichment", "c12_exists_probes", "g3_diagonal_concat"])
 def test_whole_tables_equal_oracle(spark, duck, name):
     df = equals_oracle(spark, duck, name)
     markets, fills = A.markets(spark, SF), A.fills(spark, SF)
