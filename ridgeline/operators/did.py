@@ -17,14 +17,17 @@ LEADS, LAGS, REFERENCE = 6, 9, -1
 def treated_flags(panel: DataFrame, schedule: DataFrame) -> DataFrame:
     """Adds month, now (a maker fee is charged on the close date) and ever (now for any row of the series in the panel).
 
-    Fees are looked up once for each series and date. A null series is never treated.
+    The fee of a series on a date is looked up in the row; only the series' own flags, one row each, are joined. A null series is never
+    treated.
     """
-    dated = panel.withColumns({"as_of": utc_date(F.col("close_t")), "month": ordinal_month(F.col("close_t"))})
-    asked = dated.where("series_ticker is not null").select(F.lit("maker").alias("role"), "as_of", F.lit(None).cast("string").alias("ticker"), "series_ticker").distinct()
-    charged = lookup(asked, schedule).select("series_ticker", "as_of", F.coalesce((F.col("form") != "none") & (F.col("rate") != 0), F.lit(False)).cast("int").alias("charged"))
-    ever = charged.groupBy("series_ticker").agg(F.max("charged").alias("any"))
-    out = dated.join(charged, ["series_ticker", "as_of"], "left").join(ever, "series_ticker", "left")
-    return out.withColumns({"now": F.coalesce("charged", F.lit(0)), "ever": F.coalesce("any", F.lit(0))}).drop("charged", "any", "as_of")
+    dated = panel.withColumns({"as_of": utc_date(F.col("close_t")), "month": ordinal_month(F.col("close_t")), "role": F.lit("maker")})
+    # scopes by ticker don't count here: a series pays or doesn't
+    asked = dated.withColumnRenamed("ticker", "ticker_").withColumn("ticker", F.lit(None).cast("string"))
+    found = lookup(asked, schedule).drop("ticker").withColumnRenamed("ticker_", "ticker")
+    charged = F.col("series_ticker").isNotNull() & (F.col("form") != "none") & (F.col("rate") != 0)
+    out = found.withColumn("now", F.coalesce(charged, F.lit(False)).cast("int")).drop("as_of", "role", "form", "rate", "scope_kind")
+    ever = out.where("now = 1").select("series_ticker").distinct().withColumn("any", F.lit(1))
+    return out.join(ever, "series_ticker", "left").withColumn("ever", F.coalesce("any", F.lit(0))).drop("any")
 
 
 def clean_controls(flagged: DataFrame) -> DataFrame:

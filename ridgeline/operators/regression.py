@@ -154,15 +154,15 @@ def boundary_shifts(panel: DataFrame, by: list[str], fee: int, publication: int)
     return out.select(*[F.col(f"_g.{k}").alias(k) for k in by], *out.columns[1:])
 
 
-def boundary_intervals(panel: DataFrame, by: list[str], fee: int, publication: int, reps: int = 999, seed: int = 0) -> DataFrame:
+def boundary_intervals(panel: DataFrame, by: list[str], fee: int, publication: int, reps: int = 999, seed: int = 0, below: int = WILD_BELOW) -> DataFrame:
     """boundary_shifts() with an interval of each shift (delta_fee_lo, ...) and used_wild.
 
-    A group of fewer than WILD_BELOW clusters has error and half width from wild cluster weights with the null of that shift imposed, around
+    A group of fewer than `below` clusters has error and half width from wild cluster weights with the null of that shift imposed, around
     the estimate; the others from the sandwich. The moments are kept, so that the panel is computed once.
     """
     lines, per = boundary_parts(boundary_sums(panel, by, fee, publication).persist())
     out = sandwich_shifts(lines, per)
-    few = out.where(F.col("n_clusters") < WILD_BELOW).select("_g")
+    few = out.where(F.col("n_clusters") < below).select("_g")
     drawn = sign_replicates(per.join(few, "_g", "left_semi"), ["z_fee", "z_pub"], reps, seed).drop("reps").withColumn("used_wild", F.lit(True))
     out = out.join(drawn, "_g", "left").withColumn("used_wild", F.coalesce("used_wild", F.lit(False)))
     for k in ("fee", "pub"):

@@ -924,7 +924,8 @@ def i14_event_study(d):
 
 @query()
 def i7_wild_bootstrap(d):
-    return rounded(regression.wild_bootstrap(regression.rows_of(d.panel.where("category is not null"), "category"), by=["category"]))
+    """Wild cluster errors and intervals of both boundary shifts of every category, whatever its number of events."""
+    return rounded(regression.boundary_intervals(d.panel.where("category is not null"), ["category"], A.WINDOW_END, A.PUBLICATION, below=1 << 62))
 
 
 GRID = "SELECT 0.0::DOUBLE AS grid_rate UNION SELECT DISTINCT round(0.0175::DOUBLE * 0.5 + i * 0.0175::DOUBLE / 9, 8) FROM range(0, 10) r(i)"
