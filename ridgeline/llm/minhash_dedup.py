@@ -24,6 +24,8 @@ from ridgeline.llm.words import ODD, mix, shingle_hashes, shingles_of, text_byte
 TO_UNIT = 2.0**-53
 #: Members up to which a bucket's open pairs are listed; larger ones are compared in tiles of two blocks of TILE members.
 BLOCK, TILE, WIDTH = 64, 512, 4096
+STARS = 3
+MASKS = mix(np.arange(1, STARS + 1, dtype=np.uint64) * ODD) >> np.uint64(1)
 
 
 def step(cell: int, turn: int) -> np.uint64:
@@ -203,17 +205,19 @@ def tile_links(members: DataFrame, texts: DataFrame, threshold: float, shingle:
     held = members.select("band", "hash", "node", "label", "asks", cell.alias("cell"))
     key = ["band", "hash", "cell"]
     near = F.array(*(F.struct((F.col("cell.size") + i).alias("size"), (F.col("cell.ring") + j).alias("ring")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    visits = held.where("asks").select("band", "hash", "node", "label", F.explode(near).alias("cell"))
+    visits = held.where("asks").select("band", "hash", F.explode(near).alias("cell"))
     parts = lambda n: F.ceil(F.col(n) / TILE).cast("int")
     cells = held.groupBy(*key).agg(F.count("*").alias("n")).join(visits.groupBy(*key).agg(F.count("*").alias("visitors")), key)
     cells = stage_table(cells.select(*key, parts("n").alias("rows"), parts("visitors").alias("columns")), "cells")
+    # the elements are joined once for each member, before members and visitors are dealt to tiles
+    sets = element_sets(texts.join(members.select("node").distinct(), "node", "left_semi"), shingle, counted)
+    held = held.join(sets, "node")
     dealt = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
     all_of = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    own = held.join(cells, key).select(*key, "node", "label", F.lit(False).alias("asks"), dealt("rows").alias("row"), all_of("columns").alias("column"))
-    guests = visits.join(cells, key).select(*key, "node", "label", F.lit(True).alias("asks"), dealt("columns").alias("column"), all_of("rows").alias("row"))
-    both = own.unionByName(guests)
-    sets = element_sets(texts.join(members.select("node").distinct(), "node", "left_semi"), shingle, counted)
-    met = both.join(sets, "node").select("band", "hash", F.col("cell.size").alias("size"), F.col("cell.ring").alias("ring"), "row", "column", "node", "label", "asks", "elements")
+    own = held.join(cells, key).select(*key, "node", "label", "elements", F.lit(False).alias("asks"), dealt("rows").alias("row"), all_of("columns").alias("column"))
+    guests = held.where("asks").withColumn("cell", F.explode(near)).join(cells, key)
+    guests = guests.select(*key, "node", "label", "elements", F.lit(True).alias("asks"), dealt("columns").alias("column"), all_of("rows").alias("row"))
+    met = own.unionByName(guests).select("band", "hash", F.col("cell.size").alias("size"), F.col("cell.ring").alias("ring"), "row", "column", "node", "label", "asks", "elements")
 
     def tile(group):
         group = group.combine_chunks()
@@ -227,14 +231,14 @@ def tile_links(members: DataFrame, texts: DataFrame, threshold: float, shingle:
         if len(asking) and len(asked):
             shared = overlaps(own, asking)[:, asked]
             near = shared / (n[asking][:, None] + n[asked][None, :] - shared) >= threshold
-            label = group.column("label").dictionary_encode().combine_chunks().indices.to_numpy()
+            label = group.column("label").to_numpy()
             i, j = np.nonzero(near & (label[asking][:, None] != label[asked][None, :]))
             forest.link(asking[i], asked[j])
         moved = np.flatnonzero(forest.label != np.arange(len(own)))
         node = group.column("node")
         return pa.table([node.take(pa.array(moved)), node.take(pa.array(forest.label[moved]))], names=["a", "b"])
 
-    tiles = met.groupBy("band", "hash", "size", "ring", "row", "column").applyInArrow(tile, "a binary, b binary")
+    tiles = met.groupBy("band", "hash", "size", "ring", "row", "column").applyInArrow(tile, "a long, b long")
     return stage_table(tiles.where("a <> b").distinct(), "tiles")
 
 
@@ -270,17 +274,23 @@ def text_classes(
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("same", text_digest(F.col("text")))
     signed = append_columns(named, {"bands": T.ArrayType(T.LongType()), "elements_n": T.LongType()}, make, drop=["text"]).where("bands is not null")
     signed = stage_table(signed, "signatures")
-    texts_of = signed.groupBy(F.col("same").alias("node")).agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("elements_n").alias("elements_n"), F.count("*").alias("n"))
-    unique = stage_table(texts_of, "texts")
+    texts_of = signed.groupBy("same").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("elements_n").alias("elements_n"), F.count("*").alias("n"))
+    # different texts are numbered, once, as the table is stored: shorter than digests, and sums by numbers need no sorting
+    unique = stage_table(texts_of.withColumn("node", F.monotonically_increasing_id()), "texts")
     several = signed.groupBy("id").agg(F.min("same").alias("least"), F.max("same").alias("most")).where("id is not null and least <> most")
-    one_id = signed.join(several, "id").select(F.col("same").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    number = unique.select("same", "node")
+    one_id = signed.join(several, "id").select("same", "least").where("same <> least").distinct()
+    one_id = one_id.join(number.withColumnRenamed("node", "a"), "same").join(number.select(F.col("same").alias("least"), F.col("node").alias("b")), "least").select("a", "b")
     bucketed = unique.select("node", "elements_n", F.posexplode("bands").alias("band", "hash"))
-    shared = bucketed.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").drop("n")
+    # a bucket's first text is the least under a mask of its band's, so that a group that shares many bands is compared with STARS texts
+    mask = F.element_at(F.array(*(F.lit(int(x)) for x in MASKS)), (F.col("band") % STARS + 1).cast("int"))
+    shared = bucketed.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(mask)).alias("first")).where("n > 1")
+    shared = shared.select("band", "hash", F.col("first").bitwiseXOR(mask).alias("first"))
     members = stage_table(bucketed.join(shared, ["band", "hash"]).select("band", "hash", "node", "elements_n", "first"), "buckets")
     involved = members.select("node").distinct()
     # one of each text's copies: they meet in each task before they are dealt
-    folded = named.where("text is not null").groupBy(F.col("same").alias("node")).agg(F.first("text").alias("text"))
-    texts = stage_table(folded.join(involved, "node", "left_semi"), "candidates")
+    folded = named.where("text is not null").groupBy("same").agg(F.first("text").alias("text"))
+    texts = stage_table(folded.join(number.join(involved, "node", "left_semi"), "same").select("node", "text"), "candidates")
     reach = 1 - threshold + 1e-9
     stars = members.select(F.col("first").alias("a"), F.col("node").alias("b")).where("a <> b")
     known = compared(stars, None, texts, shingle, counted)
@@ -300,7 +310,7 @@ def text_classes(
     tiles = tile_links(many, texts, threshold, shingle, counted)
     links = known.where(F.col("similarity") >= threshold).select("a", "b").union(tiles).union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))).union(one_id)
     labels = components(links, "near")
-    of_text = stage_table(unique.join(labels, "node", "left").select(F.col("node").alias("same"), "id", "n", F.coalesce("component", "node").alias("component")), "classes")
+    of_text = stage_table(unique.join(labels, "node", "left").select("same", "id", "n", F.coalesce("component", "node").alias("component")), "classes")
     best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "same")).alias("best")
     return of_text.join(of_text.groupBy("component").agg(best), "component").select("same", F.col("best.id").alias("class_id"), F.col("best.same").alias("head"), "n")
 
@@ -314,8 +324,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their own row's. kept marks the rows whose id is their class's name. An id that stands on different texts joins their
     classes; rows without an id belong to the class of their text, which is named by other rows' ids, or null. Other columns are ignored.
 
-    With 24 bands of 4 a pair at 0.8 shares a band but for a chance of 3e-6. In a bucket all texts are compared with the first one
-    (a star, not all pairs), which joins most of a bucket into one component. Where a bucket still holds several, its texts
+    With 24 bands of 4 a pair at 0.8 shares a band but for a chance of 3e-6. In a bucket all texts are compared with its first one
+    (a star, not all pairs; STARS different ones over the bands), which joins most of a bucket into one component. Where a bucket still holds several, its texts
     outside the largest component are compared with the texts of other components: in small buckets as pairs, those only that the
     triangle inequality leaves open, in large ones in tiles. So no link between components of a bucket is lost, hot
     groups are split, and no bucket's pairs are listed. Only counts reach the driver. Ids are long integers.
