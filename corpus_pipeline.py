@@ -35,8 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = docs.withColumn("_same", minhash_dedup.text_digest(F.col("text")))
     heads = classes.where("_same = _head")
     kept = named.join(heads, (named["_same"] == heads["_same"]) & named["doc_id"].eqNullSafe(heads["_class"]), "left_semi").dropDuplicates(["doc_id", "_same"])
-    wordless = named.join(classes, "_same", "left_anti")
-    return kept.select(docs.columns).unionByName(wordless.select(docs.columns))
+    return kept.select(docs.columns).unionByName(docs.where(~minhash_dedup.worded(F.col("text"))))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

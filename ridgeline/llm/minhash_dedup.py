@@ -246,6 +246,11 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def worded(text: Column) -> Column:
+    """The text has a word: a character that isn't white space."""
+    return F.rlike(F.coalesce(text, F.lit("")), F.lit(r"[^\t-\r\x1c-\x20]"))
+
+
 def text_classes(
     docs: DataFrame,
     threshold: float = 0.8,
