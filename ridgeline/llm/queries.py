@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import byte_bpe, embedding_dedup, language_id, minhash_dedup, packing, secret_scan, suffix_dedup, token_counts, topk_search, url_filters
+from ridgeline.llm import byte_bpe, embedding_dedup, fill_middle, language_id, minhash_dedup, packing, secret_scan, suffix_dedup, token_counts, topk_search, url_filters
 from ridgeline.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.op11(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_topk_search,
         op10_minhash_dedup,
+        op11_fill_middle,
     )
 }
 
@@ -70,4 +75,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": url_filters.SQL,
     "op5_embedding_dedup": embedding_dedup.SQL,
     "op9_topk_search": topk_search.SQL,
+    "op11_fill_middle": fill_middle.SQL,
 }
