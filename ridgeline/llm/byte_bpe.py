@@ -38,14 +38,6 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        size = max(self.ranks.values()) + 1
-        tokens = [b""] * size
-        for token, rank in self.ranks.items():
-            tokens[rank] = token
-        self.lens = np.array([len(t) for t in tokens], dtype=np.int64)
-        self.starts = np.cumsum(self.lens) - self.lens
-        self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         # two neighbours merge if their joint bytes are a token, however that token itself came about
         pairs = [
             (self.ranks[t[:i]], self.ranks[t[i:]], r)
@@ -53,6 +45,17 @@ class Vocabulary:
             for i in range(1, len(t))
             if t[:i] in self.ranks and t[i:] in self.ranks
         ]
+        self.build(self.ranks, pairs)
+
+    def build(self, ids: dict[bytes, int], pairs: list[tuple[int, int, int]]) -> None:
+        """Tokens by id, and the hash table of pairs (left, right, merged id, which is the rank too)."""
+        tokens = [b""] * (max(ids.values()) + 1)
+        for token, i in ids.items():
+            tokens[i] = token
+        self.lens = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.of_byte = np.array([ids[bytes([b])] for b in range(256)], dtype=np.int32)
         a = np.array(pairs, dtype=np.int64).reshape(-1, 3)
         self.bits = max(10, (4 * len(a)).bit_length())
         self.keys = np.full((1 << self.bits) + 64, -1, dtype=np.int64)

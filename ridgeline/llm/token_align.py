@@ -2,8 +2,8 @@
 
 Each text is tokenised whole by both libraries. A byte offset at which a token of either side ends, and before a token of either side that begins with
 the space mark, is an anchor: there both sequences can be cut, and the windows between anchors, mostly words, are aligned apart.
-A window is known by its token ids alone, so its alignment is worked out once for each tuple of ids and remembered. A document's groups are its
-windows' groups one after another; its links are theirs.
+A window is known by its token ids alone, so its alignment is worked out once for each tuple of ids of a block of documents, and taken from there for
+all its occurrences. A document's groups are its windows' groups one after another; its links are theirs.
 
 How many documents hold a pair of ids linked is counted over the corpus without dealing out the links of documents: a block of documents has a
 dictionary of its pairs, so the shuffles carry a pair once for each block that holds it, there and back.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
 
+from ridgeline.llm.byte_bpe import Pool, Vocabulary
 from ridgeline.llm.common import ragged, ship, slices, stage_table
+from ridgeline.llm.token_counts import load, pretokens
 
-#: Bytes of text in a block, entries of a worker's memo of windows, and tokens of the longest window that is remembered.
-BLOCK, MEMO_WINDOWS, MEMO_TOKENS = 8 << 20, 150_000, 48
+#: Bytes of text in a block, and ids of the longest window that is aligned once for all its occurrences in a block.
+BLOCK, MEMO_TOKENS = 8 << 20, 48
 #: Texts that the libraries get at once.
-BATCH = 1 << 19
+BATCH = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -40,18 +42,35 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class MergeTable(Vocabulary):
+    """The merges of a byte-level vocabulary in the tokenizers library's format, for byte_bpe's matrices."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters, vocab = byte_letters(), model["vocab"]
+        pairs = [(vocab[x], vocab[y], vocab[x + y]) for x, y in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+        if model["type"] != "BPE" or model.get("ignore_merges") or any(k[2] >= m[2] for k, m in itertools.pairwise(pairs)):
+            raise ValueError("ids in the order of merges are expected")
+        self.build({bytes(map(letters.__getitem__, t)): i for t, i in vocab.items()}, pairs)
+        self.ranks = {}  # no word is a token before it is merged
+
+
 class ByteLevel:
-    """Side A: a byte-level vocabulary of the tokenizers library; special strings are plain text."""
+    """Side A: a byte-level vocabulary of the tokenizers library; special strings are plain text.
+
+    Pre-tokens are encoded independently of each other, by byte_bpe's matrices; a bounded pool remembers their ids.
+    """
 
     def __init__(self, path: str):
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        letters = byte_letters()
-        pieces = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size())]
-        self.bytes = [bytes(map(letters.__getitem__, p)) if all(c in letters for c in p) else p.encode() for p in pieces]
+        self.tok = load(path)
+        table = MergeTable(path)
+        self.bytes = [table.flat[i : i + n].tobytes() for i, n in zip(table.starts, table.lens, strict=True)]
+        self.pool = Pool(table)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of each text's."""
+        return self.pool.encode([pretokens(self.tok, " " + t) for t in texts])
 
 
 class Pieces:
@@ -62,58 +81,103 @@ class Pieces:
         n = self.tok.get_piece_size()
         self.bytes = [bytes([int(p[3:5], 16)]) if self.tok.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.tok.id_to_piece, range(n)))]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.tok.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tok.encode(texts, num_threads=1)
+        n = np.array([*map(len, found)], dtype=np.int64)
+        return np.fromiter(itertools.chain.from_iterable(found), dtype=np.int32, count=int(n.sum())), n
 
 
 class Side:
-    """The tokens of a vocabulary as arrays: bytes, lengths, and whether they begin with a space."""
+    """A tokenizer with its tokens as arrays: bytes, lengths, decimal ids, and whether they begin with a space."""
+
+    def __init__(self, tok: ByteLevel | Pieces):
+        self.tok = tok
+        self.lens, self.starts, self.flat = flattened(tok.bytes)
+        if not self.lens.all():
+            raise ValueError("a token without bytes has no place in an alignment")
+        self.digits = flattened([str(i).encode() + b"," for i in range(len(tok.bytes))])
+        self.spaced = np.array([t[:1] == b" " for t in tok.bytes], dtype=bool)
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """Ids of all texts, the number of each text's, and whether its tokens spell a space and the text byte for byte."""
+        ids, n = self.tok.encode(texts)
+        spelled = ragged(self.flat, self.starts[ids], self.lens[ids]).tobytes()
+        ends = np.concatenate(([0], np.cumsum(self.lens[ids])))[np.concatenate(([0], np.cumsum(n)))].tolist()
+        return ids, n, [spelled[i:j] == b" " + t.encode() for t, (i, j) in zip(texts, itertools.pairwise(ends), strict=True)]
+
+
+def flattened(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, places and bytes of the strings in a row."""
+    lens = np.array([len(t) for t in strings], dtype=np.int64)
+    return lens, np.cumsum(lens) - lens, np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+
+def starts_of(lens: np.ndarray) -> np.ndarray:
+    return np.cumsum(lens) - lens
 
-    def __init__(self, tokens: list[bytes]):
-        self.lens = np.array([len(t) for t in tokens], dtype=np.int64)
-        self.starts = np.cumsum(self.lens) - self.lens
-        self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        self.spaced = np.array([t[:1] == b" " for t in tokens], dtype=bool)
 
-    def spell(self, ids: np.ndarray) -> np.ndarray:
-        return ragged(self.flat, self.starts[ids], self.lens[ids])
+def summed(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Sums of runs of values of the given lengths."""
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+    ends = np.cumsum(lens)
+    return total[ends] - total[ends - lens]
 
 
-def align(a: tuple[int, ...], b: tuple[int, ...], left: np.ndarray, right: np.ndarray) -> tuple[str, int, np.ndarray]:
-    """A window's groups as text, how many they are, and its links as a << 32 | b; left, right: the tokens' byte lengths.
+def tuple_codes(ids: np.ndarray, lens_a: np.ndarray, lens_b: np.ndarray) -> np.ndarray:
+    """A number for each window: equal for equal tuples of ids, and only for those. ids: A and B ids of each window in a row.
 
-    Both sides cover the same bytes. A token without bytes goes with what ends where it stands and is linked with nothing.
+    Two ids at a time are appended to the number so far, and the results are numbered anew; windows of more than MEMO_TOKENS ids are each one of their own.
     """
-    ends_a, ends_b = np.cumsum(left), np.cumsum(right)
-    both = np.intersect1d(ends_a, ends_b)
-    cut_a, cut_b = (np.concatenate(([0], np.searchsorted(e, both, side="right"))).tolist() for e in (ends_a, ends_b))
-    groups = ";".join(
-        ",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[k:m])) for (i, j), (k, m) in zip(itertools.pairwise(cut_a), itertools.pairwise(cut_b), strict=True)
-    )
-    # every stretch between two neighbouring ends of either side lies in one token of each
-    ends = np.union1d(ends_a, ends_b)
-    ends = ends[ends > 0]
-    links = np.array(a, dtype=np.int64)[np.searchsorted(ends_a, ends)] << 32 | np.array(b, dtype=np.int64)[np.searchsorted(ends_b, ends)]
-    return groups, len(both), links
+    lens = lens_a + lens_b
+    at = starts_of(lens)
+    code = lens_a << 31 | lens_b
+    _, code = np.unique(code, return_inverse=True)
+    used = int(code.max(initial=0)) + 1
+    padded = np.concatenate((ids.astype(np.int64) + 1, [0]))
+    long = np.flatnonzero(lens > MEMO_TOKENS)
+    code[long] = used + np.arange(len(long))
+    used += len(long)
+    for k in range(0, MEMO_TOKENS, 2):
+        live = np.flatnonzero((lens > k) & (lens <= MEMO_TOKENS))
+        if not len(live):
+            break
+        two = padded[at[live] + k] << 16 | np.where(lens[live] > k + 1, padded[at[live] + k + 1], 0)
+        _, new = np.unique(code[live] << 32 | two, return_inverse=True)
+        code[live] = used + new
+        used += int(new.max()) + 1
+    return code
 
 
 class Windows:
-    """A worker's memo of window alignments by their id tuples; it starts anew when it is full."""
+    """The alignments of windows, given as A and B ids in a row with each window's numbers.
 
-    def __init__(self, a: Side, b: Side):
-        self.a, self.b = a, b
-        self.known: dict[tuple[tuple[int, ...], tuple[int, ...]], tuple[str, int, np.ndarray]] = {}
+    texts: the groups of each as text; groups: how many; links: all windows' links in a row as a << 32 | b; n_links: each one's number.
+    """
 
-    def of(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, int, np.ndarray]:
-        key = (a, b)
-        found = self.known.get(key)
-        if found is None:
-            found = align(a, b, self.a.lens[list(a)], self.b.lens[list(b)])
-            if len(a) + len(b) <= MEMO_TOKENS:
-                if len(self.known) >= MEMO_WINDOWS:
-                    self.known.clear()
-                self.known[key] = found
-        return found
+    def __init__(self, a: np.ndarray, b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray, sides: tuple[Side, Side]):
+        # both sides of a window have as many bytes, so the windows in a row are aligned as one text
+        ends_a, ends_b = np.cumsum(sides[0].lens[a]), np.cumsum(sides[1].lens[b])
+        merged = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")
+        again = np.concatenate(([False], merged[1:] == merged[:-1]))
+        both, ends = merged[again], merged[~again]
+        window_ends = ends_a[np.cumsum(len_a) - 1]
+        group_of = [np.searchsorted(both, e) for e in (ends_a, ends_b)]
+        self.groups = np.diff(np.searchsorted(both, window_ends), prepend=-1)
+        # between two neighbouring ends of either side lies a stretch of one token of each: a link
+        self.links = a[np.searchsorted(ends_a, ends)].astype(np.int64) << 32 | b[np.searchsorted(ends_b, ends)]
+        self.n_links = np.diff(np.searchsorted(ends, window_ends), prepend=-1)
+        # decimal ids, A before B in each group; the comma after a group's last id becomes the mark that ends its side
+        part = np.concatenate([2 * g + side for side, g in enumerate(group_of)])
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        (lens_a, at_a, flat_a), (lens_b, at_b, flat_b) = (s.digits for s in sides)
+        lens, starts = np.concatenate((lens_a[a], lens_b[b]))[order], np.concatenate((at_a[a], at_b[b] + len(flat_a)))[order]
+        text = ragged(np.concatenate((flat_a, flat_b)), starts, lens)
+        last = np.flatnonzero(np.append(part[1:] != part[:-1], True))
+        text[np.cumsum(lens)[last] - 1] = np.where(part[last] % 2 == 0, ord("|"), ord(";"))
+        raw = text.tobytes()
+        cuts = np.concatenate(([0], np.cumsum(lens)))[np.concatenate(([0], np.cumsum(len_a + len_b)))].tolist()
+        self.texts = [raw[i:j] for i, j in itertools.pairwise(cuts)]
 
 
 def counted(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,101 +191,57 @@ def counted(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Aligned:
-    """The alignment of a list of texts: per text n_a, n_b, n_groups, n_links and digest, and its links with their numbers."""
+    """The alignment of a block of texts: per text n_a, n_b, n_groups, n_links and digest; and the links of each text (owner, link, times)."""
 
-    def __init__(self, texts: list[str | None], sides: tuple[ByteLevel, Pieces], windows: Windows):
+    def __init__(self, texts: list[str | None], sides: tuple[Side, Side]):
         self.n_a, self.n_b, self.n_groups, self.n_links = np.zeros((4, len(texts)), dtype=np.int64)
         self.digest = [""] * len(texts)
-        owner, links, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        self.owner, self.links, self.times = np.empty((3, 0), dtype=np.int64)
+        docs, a, b, n_a, n_b = self.tokenised(texts, sides)
+        if len(docs):
+            self.align(docs, a, b, n_a, n_b, sides)
+
+    @staticmethod
+    def tokenised(texts: list[str | None], sides: tuple[Side, Side]) -> list[np.ndarray]:
+        """The texts that both sides spell, their A and B ids in a row, and the numbers of these."""
+        none = np.empty(0, np.int64)
+        out: list[list[np.ndarray]] = [[none], [none.astype(np.int32)], [none.astype(np.int32)], [none], [none]]
         for k, m in runs(texts):
-            part = self.align_run(k, texts[k:m], sides, windows)
-            for whole, new in zip((owner, links, times), part, strict=True):
+            present = [i for i in range(k, m) if texts[i]]
+            (a, n_a, fit_a), (b, n_b, fit_b) = (side.tokens([texts[i] for i in present]) for side in sides)
+            fit = np.array(fit_a, dtype=bool) & np.array(fit_b, dtype=bool)
+            for whole, new in zip(out, (np.array(present, dtype=np.int64)[fit], a[np.repeat(fit, n_a)], b[np.repeat(fit, n_b)], n_a[fit], n_b[fit]), strict=True):
                 whole.append(new)
-        self.owner, self.links, self.times = (np.concatenate(x) for x in (owner, links, times))
-
-    def align_run(self, first: int, texts: list[str | None], sides: tuple[ByteLevel, Pieces], windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        present = [i for i, t in enumerate(texts) if t]
-        given = [texts[i] for i in present]
-        ids_a, ids_b = (side.encode(given) for side in sides)
-        spelled = [self.same_bytes(t, x, y, windows) for t, x, y in zip(given, ids_a, ids_b, strict=True)]
-        fit = [i for i, good in enumerate(spelled) if good]
-        none = np.empty(0, np.int64)
-        if not fit:
-            return none, none, none
-        docs = np.array([present[i] for i in fit]) + first
-        a, b = (np.fromiter(itertools.chain.from_iterable(ids[i] for i in fit), dtype=np.int64) for ids in (ids_a, ids_b))
-        n_a, n_b = (np.array([len(ids[i]) for i in fit], dtype=np.int64) for ids in (ids_a, ids_b))
-        ends_a, ends_b = np.cumsum(windows.a.lens[a]), np.cumsum(windows.b.lens[b])
-        # an anchor is a byte at which both sides have a token that begins with a space, or a text begins; all before it ends there on both sides
-        begin_a, begin_b = np.concatenate(([0], ends_a[:-1])), np.concatenate(([0], ends_b[:-1]))
-        head_a, head_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        open_a, open_b = windows.a.spaced[a] & (windows.a.lens[a] > 0), windows.b.spaced[b] & (windows.b.lens[b] > 0)
-        open_a[head_a], open_b[head_b] = True, True
+        return [np.concatenate(x) for x in out]
+
+    def align(self, docs: np.ndarray, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, sides: tuple[Side, Side]) -> None:
+        begin_a, begin_b = (starts_of(s.lens[ids]) for s, ids in zip(sides, (a, b), strict=True))
+        open_a, open_b = sides[0].spaced[a], sides[1].spaced[b]
+        open_a[starts_of(n_a)], open_b[starts_of(n_b)] = True, True
         at_a, at_b = np.flatnonzero(open_a), np.flatnonzero(open_b)
+        # an anchor: on both sides a token with the space mark begins there, or the text; so what is before it ends there on both sides
         _, i, j = np.intersect1d(begin_a[at_a], begin_b[at_b], assume_unique=True, return_indices=True)
         from_a, from_b = at_a[i], at_b[j]
         len_a, len_b = np.diff(np.append(from_a, len(a))), np.diff(np.append(from_b, len(b)))
-        of_doc = np.searchsorted(head_a, from_a, side="right") - 1
-        which, found = self.distinct(a, b, from_a, from_b, len_a, len_b, windows)
-        groups = np.array([g for _, g, _ in found], dtype=np.int64)
-        held = [x for _, _, x in found]
-        held_n = np.array([len(x) for x in held], dtype=np.int64)
-        cuts = np.searchsorted(of_doc, np.arange(len(fit) + 1))
-        written, place = [t for t, _, _ in found], which.tolist()
-        for d, k, m in zip(docs.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            self.digest[d] = hashlib.sha256(";".join([written[w] for w in place[k:m]]).encode()).hexdigest()
+        of_doc = np.searchsorted(starts_of(n_a), from_a, side="right") - 1
+        head = starts_of(len_a + len_b)
+        place = np.empty(len(a) + len(b), dtype=np.int32)  # A and B ids, window by window
+        place[np.arange(len(a)) + np.repeat(head - from_a, len_a)] = a
+        place[np.arange(len(b)) + np.repeat(head + len_a - from_b, len_b)] = b
+        _, first, which = np.unique(tuple_codes(place, len_a, len_b), return_index=True, return_inverse=True)
+        found = Windows(ragged(a, from_a[first], len_a[first]), ragged(b, from_b[first], len_b[first]), len_a[first], len_b[first], sides)
+        windows = np.bincount(of_doc, minlength=len(docs))
         self.n_a[docs], self.n_b[docs] = n_a, n_b
-        self.n_groups[docs] = np.add.reduceat(groups[which], cuts[:-1])
-        self.n_links[docs] = np.add.reduceat(held_n[which], cuts[:-1])
+        self.n_groups[docs], self.n_links[docs] = summed(found.groups[which], windows), summed(found.n_links[which], windows)
+        text, ends = found.texts, np.concatenate(([0], np.cumsum(windows))).tolist()
+        for d, (k, m) in zip(docs.tolist(), itertools.pairwise(ends), strict=True):
+            self.digest[d] = hashlib.sha256(b"".join([text[w] for w in which[k:m].tolist()])[:-1]).hexdigest()
         # a text's windows, each once with its number, then the links of those
-        pair, times = np.unique(of_doc * len(found) + which, return_counts=True)
-        doc, window = np.divmod(pair, len(found))
-        n = held_n[window]
-        links = ragged(np.concatenate(held), (np.cumsum(held_n) - held_n)[window], n)
-        return docs[np.repeat(doc, n)], links, np.repeat(times, n)
-
-    @staticmethod
-    def same_bytes(text: str, a: list[int], b: list[int], windows: Windows) -> bool:
-        """Both sides spell a space and the text, byte for byte."""
-        want = b" " + text.encode()
-        return windows.a.spell(np.array(a, dtype=np.int64)).tobytes() == want and windows.b.spell(np.array(b, dtype=np.int64)).tobytes() == want
-
-    @staticmethod
-    def distinct(a, b, from_a, from_b, len_a, len_b, windows: Windows) -> tuple[np.ndarray, list]:
-        """Which of the different windows each one is, and their alignments from the memo.
-
-        A window of up to four ids below 65,536 in all is its ids packed in a number; longer ones are told by their tuples.
-        """
-        which = np.empty(len(from_a), dtype=np.int64)
-        found: list = []
-        lists_a, lists_b = a.tolist(), b.tolist()
-
-        def window(k: int):
-            i, j = int(from_a[k]), int(from_b[k])
-            return windows.of(tuple(lists_a[i : i + int(len_a[k])]), tuple(lists_b[j : j + int(len_b[k])]))
-
-        small = (len_a + len_b <= 4) & (max(int(a.max(initial=0)), int(b.max(initial=0))) < 1 << 16)
-        for n, m in ((1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1)):
-            of = np.flatnonzero(small & (len_a == n) & (len_b == m))
-            if len(of):
-                packed = np.zeros(len(of), dtype=np.uint64)
-                for ids, at, length in ((a, from_a[of], n), (b, from_b[of], m)):
-                    for k in range(length):
-                        packed = packed << np.uint64(16) | ids[at + k].astype(np.uint64)
-                _, first, same = np.unique(packed, return_index=True, return_inverse=True)
-                which[of] = len(found) + same
-                found += [window(k) for k in of[first].tolist()]
-        seen: dict[tuple, int] = {}
-        narrow_a, narrow_b = a.astype(np.int32).tobytes(), b.astype(np.int32).tobytes()
-        for k in np.flatnonzero(~small | (len_a == 0) | (len_b == 0)).tolist():
-            i, j, n, m = int(from_a[k]), int(from_b[k]), int(len_a[k]), int(len_b[k])
-            key = narrow_a[4 * i : 4 * (i + n)], narrow_b[4 * j : 4 * (j + m)]
-            at = seen.get(key)
-            if at is None:
-                at = seen[key] = len(found)
-                found.append(window(k))
-            which[k] = at
-        return which, found
+        pair, times = np.unique(of_doc * len(text) + which, return_counts=True)
+        doc, window = np.divmod(pair, len(text))
+        n = found.n_links[window]
+        self.owner, self.times = docs[np.repeat(doc, n)], np.repeat(times, n)
+        self.links = ragged(found.links, starts_of(found.n_links)[window], n)
 
 
 def runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -237,9 +257,8 @@ def runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 @functools.lru_cache(maxsize=1)
-def loaded(path_a: str, path_b: str) -> tuple[tuple[ByteLevel, Pieces], Windows]:
-    sides = ByteLevel(path_a), Pieces(path_b)
-    return sides, Windows(*(Side(s.bytes) for s in sides))
+def loaded(path_a: str, path_b: str) -> tuple[Side, Side]:
+    return Side(ByteLevel(path_a)), Side(Pieces(path_b))
 
 
 def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
@@ -266,13 +285,13 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides, windows = loaded(path_a, path_b)
+        sides = loaded(path_a, path_b)
         number = itertools.count(TaskContext.get().partitionId() << 32)
         for batch in slices(batches, BLOCK):
             n, block = batch.num_rows, next(number)
             if not n:
                 continue
-            got = Aligned(batch.column(text_col).to_pylist(), sides, windows)
+            got = Aligned(batch.column(text_col).to_pylist(), sides)
             pairs, slot = np.unique(got.links, return_inverse=True)
             key, times = counted(got.owner * max(1, len(pairs)) + slot, got.times)
             owner, slot = np.divmod(key, max(1, len(pairs)))

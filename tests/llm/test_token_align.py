@@ -10,7 +10,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from ridgeline.llm import token_align
-from ridgeline.llm.token_align import Windows, align
+from ridgeline.llm.token_align import Windows
 
 A, B = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 ODD = ["▁ marked", " two  spaces   three", "tab\tand\nline\r\n", "<unk> <s> </s> <|endoftext|>", "<0x41>", "\0nul", "x " * 700, "日本" * 300, "😀😀 é́", "a b　c", "trailing ", "ﬁ ligature ½"]
@@ -80,24 +80,21 @@ def test_rows_equal_the_definition(spark, docs, texts, block, monkeypatch):
     assert len(zeros) >= 3 and all(r.groups_sha256 == "" and r.n_links == 0 for r in zeros)
 
 
-def test_windows_split_words_and_are_remembered():
-    sides, windows = token_align.loaded(A, B)
-    windows.known.clear()
-    got = token_align.Aligned(["the cat sat on the cat. " * 50] * 3, sides, windows)
-    assert 0 < len(windows.known) < 20 and got.n_groups[0] == got.n_groups[2] > 100
-
-
-def test_windows_with_more_tokens_than_the_memo_takes(monkeypatch):
-    monkeypatch.setattr(token_align, "MEMO_WINDOWS", 3)
-    sides, _ = token_align.loaded(A, B)
-    windows = Windows(*(token_align.Side(s.bytes) for s in sides))
-    for i in range(10):  # single bytes on both sides
-        windows.of((i,), (3 + i,))
-    assert len(windows.known) <= 3
-    groups, n, links = align((5, 6, 7), (8, 9), np.array([2, 1, 3]), np.array([3, 3]))
-    assert (groups, n) == ("5,6|8;7|9", 2) and [(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in links] == [(5, 8), (6, 8), (7, 9)]
-    groups, n, links = align((1, 2), (3, 4), np.array([1, 3]), np.array([2, 2]))
-    assert (groups, n, len(links)) == ("1,2|3,4", 1, 3)
+def test_windows_are_aligned_once_for_each_tuple(monkeypatch):
+    sides = token_align.loaded(A, B)
+    made = []
+    monkeypatch.setattr(token_align, "Windows", lambda *x: made.append(Windows(*x)) or made[-1])
+    got = token_align.Aligned(["the cat sat on the cat. " * 50, None, "the cat sat on the cat. " * 9], sides)
+    assert len(made) == 1 and len(made[0].texts) < 12 and got.n_groups[0] > 200 and got.n_groups[1] == 0
+    assert all(t.endswith(b";") for t in made[0].texts)
+
+
+def test_codes_are_equal_for_equal_tuples_only():
+    r = np.random.default_rng(1)
+    tuples = [(tuple(r.integers(0, 3, n)), tuple(r.integers(0, 3, m))) for n, m in r.integers(1, 5, (3000, 2))]
+    ids = np.array([x for a, b in tuples for x in (*a, *b)], dtype=np.int32)
+    code = token_align.tuple_codes(ids, np.array([len(a) for a, _ in tuples]), np.array([len(b) for _, b in tuples]))
+    assert len(set(code.tolist())) == len(set(tuples)) == len(set(zip(code.tolist(), tuples, strict=True)))
 
 
 def test_empty_table(spark, empty):
