@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import byte_bpe, embedding_dedup, fill_middle, language_id, minhash_dedup, packing, secret_scan, suffix_dedup, token_align, token_counts, topk_search, url_filters
+from ridgeline.llm import byte_bpe, embedding_dedup, fill_middle, katz, language_id, minhash_dedup, packing, secret_scan, suffix_dedup, token_align, token_counts, topk_search, url_filters
 from ridgeline.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.op11(table(spark, sf_dir, "documents"))
 
 
+def op12_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.op12(table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.op13(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_topk_search,
         op10_minhash_dedup,
         op11_fill_middle,
+        op12_katz_scores,
         op13_token_alignment,
     )
 }

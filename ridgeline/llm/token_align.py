@@ -30,7 +30,7 @@ from ridgeline.llm.common import ragged, ship, slices, stage_table
 from ridgeline.llm.token_counts import load, pretokens
 
 #: Bytes of text in a block, and ids of the longest window that is aligned once for all its occurrences in a block.
-BLOCK, MEMO_TOKENS = 8 << 20, 48
+BLOCK, MEMO_TOKENS = 3 << 20, 48
 #: Texts that the libraries get at once.
 BATCH = 1 << 20
 
