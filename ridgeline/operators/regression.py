@@ -8,12 +8,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ridgeline.operators.panel import cluster_key
+from ridgeline.operators.stages import stored
 
 
 def rows_of(panel: DataFrame, *keep: str) -> DataFrame:
@@ -150,7 +149,7 @@ def boundary_shifts(panel: DataFrame, by: list[str], fee: int, publication: int)
     regimes' slopes. Scores of all regimes add up within a cluster, as an event may span a boundary. A group that lacks a regime,
     or prices that differ within one, isn't identified and is left out.
     """
-    out = sandwich_shifts(*boundary_parts(boundary_sums(panel, by, fee, publication)))
+    out = sandwich_shifts(*boundary_parts(stored(boundary_sums(panel, by, fee, publication), "boundary-sums")))
     return out.select(*[F.col(f"_g.{k}").alias(k) for k in by], *out.columns[1:])
 
 
@@ -158,9 +157,9 @@ def boundary_intervals(panel: DataFrame, by: list[str], fee: int, publication: i
     """boundary_shifts() with an interval of each shift (delta_fee_lo, ...) and used_wild.
 
     A group of fewer than `below` clusters has error and half width from wild cluster weights with the null of that shift imposed, around
-    the estimate; the others from the sandwich. The moments are kept, so that the panel is computed once.
+    the estimate; the others from the sandwich. The moments are stored, so that the panel is computed once.
     """
-    lines, per = boundary_parts(boundary_sums(panel, by, fee, publication).persist())
+    lines, per = boundary_parts(stored(boundary_sums(panel, by, fee, publication), "boundary-sums"))
     out = sandwich_shifts(lines, per)
     few = out.where(F.col("n_clusters") < below).select("_g")
     drawn = sign_replicates(per.join(few, "_g", "left_semi"), ["z_fee", "z_pub"], reps, seed).drop("reps").withColumn("used_wild", F.lit(True))
@@ -208,114 +207,26 @@ def cell_sums(rows: DataFrame, cells: list[str]) -> DataFrame:
     )
 
 
-class CellFit:
-    """OLS with a level and a slope column for each design column, from cell_sums().
-
-    design: cell -> values of its design columns. Only per-cell sums and products of pairs of cells reach the driver; their number is
-    that of calendar months and event times, not of rows or clusters.
-    """
-
-    def __init__(self, sums: DataFrame, cells: list[str], design):
-        self.sums, self.fields = sums, cells
-        one = sums.groupBy(*cells).agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "su", "sxu")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        self.table = {tuple(r[c] for c in cells): r for r in one.collect()}
-        self.keys = sorted(self.table, key=str)
-        self.n = sum(r["n"] for r in self.table.values())
-        self.design = np.array([design(k) for k in self.keys], dtype=float)
-
-    def identified(self) -> bool:
-        """Enough rows, and a design of full rank."""
-        if not self.keys or self.n <= 2 * self.design.shape[1]:
-            return False
-        rows = []
-        for d, k in zip(self.design, self.keys, strict=True):
-            r = self.table[k]
-            # a cell spans its level, and its slope too if prices differ in it
-            rows.append(np.kron(d, [1.0, r["lo"]]))
-            if r["hi"] > r["lo"]:
-                rows.append(np.kron(d, [1.0, r["hi"]]))
-        return np.linalg.matrix_rank(np.array(rows)) == 2 * self.design.shape[1]
-
-    def solve(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """Coefficients (level, slope of each design column), their clustered covariance, and the number of clusters."""
-        k = 2 * self.design.shape[1]
-        xx, xu = np.zeros((k, k)), np.zeros(k)
-        for d, key in zip(self.design, self.keys, strict=True):
-            r = self.table[key]
-            xx += np.kron(np.outer(d, d), [[r["n"], r["sx"]], [r["sx"], r["sxx"]]])
-            xu += np.kron(d, [r["su"], r["sxu"]])
-        inverse = np.linalg.inv(xx)
-        beta = inverse @ xu
-        lines = self.design @ beta.reshape(-1, 2)
-        fields = [T.StructField(f"c_{f}", self.sums.schema[f].dataType) for f in self.fields]
-        schema = T.StructType([*fields, T.StructField("i", T.IntegerType()), T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
-        small = self.sums.sparkSession.createDataFrame([(*key, i, float(a), float(b)) for i, (key, (a, b)) in enumerate(zip(self.keys, lines, strict=True))], schema)
-        met = self.sums.join(F.broadcast(small), [F.col(f).eqNullSafe(F.col(f"c_{f}")) for f in self.fields])
-        s0 = F.col("su") - F.col("a") * F.col("n") - F.col("b") * F.col("sx")
-        s1 = F.col("sxu") - F.col("a") * F.col("sx") - F.col("b") * F.col("sxx")
-        scores = met.select("cluster", "i", s0.alias("s0"), s1.alias("s1"))
-        other = scores.toDF("cluster", "j", "t0", "t1")
-        # a cluster is an event, so the pairs of its cells are few
-        products = [F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for a in ("s0", "s1") for b in ("t0", "t1")]
-        meat = np.zeros((k, k))
-        for m in scores.join(other, "cluster").groupBy("i", "j").agg(*products).collect():
-            meat += np.kron(np.outer(self.design[m["i"]], self.design[m["j"]]), [[m["s0t0"], m["s0t1"]], [m["s1t0"], m["s1t1"]]])
-        clusters = self.sums.select("cluster").distinct().count()
-        scale = clusters / (clusters - 1) * (self.n - 1) / (self.n - k) if clusters > 1 else float("nan")
-        return beta, scale * inverse @ meat @ inverse, clusters
-
-    def wild(self, at: int, reps: int = 999, seed: int = 0) -> tuple[float, float]:
-        """Error and half width of coefficient at under wild cluster weights, with the null that it is zero imposed.
-
-        The coefficient's weight on a row and the residual of the restricted fit are lines in x within a cell, so a cluster's number comes
-        from its moments.
-        """
-        k = 2 * self.design.shape[1]
-        xx, xu = np.zeros((k, k)), np.zeros(k)
-        for d, key in zip(self.design, self.keys, strict=True):
-            r = self.table[key]
-            xx += np.kron(np.outer(d, d), [[r["n"], r["sx"]], [r["sx"], r["sxx"]]])
-            xu += np.kron(d, [r["su"], r["sxu"]])
-        weight = self.design @ np.linalg.inv(xx)[at].reshape(-1, 2)
-        rest = np.delete(np.arange(k), at)
-        null = np.zeros(k)
-        null[rest] = np.linalg.solve(xx[np.ix_(rest, rest)], xu[rest])
-        lines = self.design @ null.reshape(-1, 2)
-        fields = [T.StructField(f"c_{f}", self.sums.schema[f].dataType) for f in self.fields]
-        schema = T.StructType([*fields, *[T.StructField(c, T.DoubleType()) for c in ("w0", "w1", "a", "b")]])
-        small = self.sums.sparkSession.createDataFrame([(*key, *map(float, w), *map(float, line)) for key, w, line in zip(self.keys, weight, lines, strict=True)], schema)
-        met = self.sums.join(F.broadcast(small), [F.col(f).eqNullSafe(F.col(f"c_{f}")) for f in self.fields])
-        s0 = F.col("su") - F.col("a") * F.col("n") - F.col("b") * F.col("sx")
-        s1 = F.col("sxu") - F.col("a") * F.col("sx") - F.col("b") * F.col("sxx")
-        per = met.groupBy("cluster").agg(F.sum(F.col("w0") * s0 + F.col("w1") * s1).alias("z")).withColumn("_g", F.lit(0))
-        got = sign_replicates(per, ["z"], reps, seed).first()
-        return got["z_se"], got["z_half"]
+#: Replicates that one word of signs serves, and words in a digest.
+BITS, WORDS = 32, 4
 
 
 def sign_replicates(per: DataFrame, names: list[str], reps: int, seed: int) -> DataFrame:
     """_g, reps, and {name}_se and {name}_half: spread of sums over clusters of a random sign times each cluster's number.
 
-    per: _g, cluster, names. Signs come from a hash of seed, replicate and cluster: the same on any partitioning.
+    per: _g, cluster, names. Signs are the bits of MD5 digests of seed, digest number and cluster, so any engine draws the same, on any
+    partitioning. A word of bits serves BITS replicates, whose sums are one aggregation's columns: a cluster is a row for each word, not for each replicate.
     """
-    drawn = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    bit = F.pmod(F.xxhash64(F.lit(seed), "rep", "cluster"), F.lit(2))
-    sums = drawn.groupBy("_g", "rep").agg(*[F.sum(F.when(bit == 0, F.col(z)).otherwise(-F.col(z))).alias(z) for z in names])
-    ends = [F.percentile(z, F.array(F.lit(0.025), F.lit(0.975))) for z in names]
-    out = [c for z, e in zip(names, ends, strict=True) for c in (F.stddev_samp(z).alias(f"{z}_se"), ((e[1] - e[0]) / 2).alias(f"{z}_half"))]
-    return sums.groupBy("_g").agg(F.count("*").alias("reps"), *out)
+    drawn = per.withColumn("word", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // BITS) - 1))))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.floor(F.col("word") / WORDS), "cluster"))
+    drawn = drawn.withColumn("bits", F.conv(F.substr(digest, F.col("word") % WORDS * 8 + 1, F.lit(8)), 16, 10).cast("long"))
 
+    def spread(z: str) -> list[Column]:
+        return [F.sum(F.when(F.col("bits").bitwiseAND(1 << k) == 0, F.col(z)).otherwise(-F.col(z))) for k in range(BITS)]
 
-def wild_bootstrap(rows: DataFrame, reps: int = 999, seed: int = 0, by: list[str] | None = None) -> DataFrame:
-    """by, reps, se, half_width of a slope under wild cluster weights with the null imposed, for each group.
-
-    Under the null (no slope) residuals are deviations from the mean; a replicate's slope is the sum over clusters of a random
-    sign times one number for each cluster, so nothing is fitted again. Signs come from a hash of seed, replicate and cluster: the same
-    on any partitioning.
-    """
-    by = by or []
-    keyed = rows.withColumn("_g", F.struct(*by) if by else F.struct(F.lit(0).alias("one")))
-    fit = moments(keyed, ["_g"]).select("_g", "n", "sx", "su", "det").where("det > 0")
-    z = (F.col("n") * F.col("x") - F.col("sx")) / F.col("det") * (F.col("u") - F.col("su") / F.col("n"))
-    per = keyed.join(fit, "_g").groupBy("_g", "cluster").agg(F.sum(z).alias("z"))
-    out = sign_replicates(per, ["z"], reps, seed)
-    return out.select(*[F.col(f"_g.{k}").alias(k) for k in by], "reps", F.col("z_se").alias("se"), F.col("z_half").alias("half_width"))
+    sums = drawn.groupBy("_g", "word").agg(*(F.array(*spread(z)).alias(z) for z in names))
+    each = sums.select("_g", "word", F.posexplode(F.arrays_zip(*names)).alias("bit", "z")).where(F.col("word") * BITS + F.col("bit") < reps)
+    each = each.select("_g", *(F.col(f"z.{z}").alias(z) for z in names))
+    ends = [F.percentile(z, F.array(F.lit(0.025), F.lit(0.975))) for z in names]
+    out = [c for z, e in zip(names, ends, strict=True) for c in (F.stddev_samp(z).alias(f"{z}_se"), ((e[1] - e[0]) / 2).alias(f"{z}_half"))]
+    return each.groupBy("_g").agg(F.count("*").alias("reps"), *out)

@@ -199,11 +199,20 @@ def test_chi2_tail():
     assert regression.chi2_tail(0.0, 3) == 1.0
 
 
-def test_bootstrap_is_close_to_the_sandwich_and_deterministic(spark):
-    df, _ = frame(spark, 600)
-    a = regression.wild_bootstrap(regression.rows_of(df), reps=400).first()
-    b = regression.wild_bootstrap(regression.rows_of(df).repartition(7), reps=400).first()
-    assert a.se == pytest.approx(b.se) and a.se == pytest.approx(regression.mz(df, []).first().psi_se, rel=0.25)
+def test_bootstrap_signs_are_digest_bits_on_any_partitioning(spark):
+    import hashlib
+
+    z = {f"E{i}": (i * 37 % 11) - 5.0 for i in range(23)}
+    per = spark.createDataFrame([(0, c, x, 2 * x) for c, x in z.items()], "_g int, cluster string, z double, w double")
+    a, b = (regression.sign_replicates(df, ["z", "w"], 999, 4).first() for df in (per, per.repartition(7)))
+    sums = []
+    for r in range(999):
+        bits = {c: int(hashlib.md5(f"4:{r // 128}:{c}".encode()).hexdigest()[r // 32 % 4 * 8 :][:8], 16) >> r % 32 & 1 for c in z}
+        sums.append(sum(-x if bits[c] else x for c, x in z.items()))
+    lo, hi = np.percentile(sums, [2.5, 97.5])
+    assert a.reps == 999 and a == b
+    assert (a.z_se, a.z_half, a.w_se) == (pytest.approx(np.std(sums, ddof=1)), pytest.approx((hi - lo) / 2), pytest.approx(2 * np.std(sums, ddof=1)))
+    assert a.z_se == pytest.approx(math.sqrt(sum(x * x for x in z.values())), rel=0.1)
 
 
 def test_verdicts(spark):

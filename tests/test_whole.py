@@ -1,5 +1,6 @@
 """Queries over whole tables: what a slice of the input would miss."""
 
+import hashlib
 from bisect import bisect_right
 
 import duckdb
@@ -55,9 +56,8 @@ def test_every_event_is_a_reference(spark, duck):
 
 def wild_by_refits(spark, x, u, cluster, design, at, reps=999):
     """The reference's procedure: replicates of the restricted fit's residuals, each fitted again; signs as the code draws them."""
-    names = sorted(set(cluster))
-    drawn = spark.createDataFrame([(c,) for c in names], "cluster string").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    bits = {(r.rep, r.cluster): r.bit for r in drawn.withColumn("bit", F.pmod(F.xxhash64(F.lit(0), "rep", "cluster"), F.lit(2))).collect()}
+    words = {(k, c): int(hashlib.md5(f"0:{k // 4}:{c}".encode()).hexdigest()[k % 4 * 8 :][:8], 16) for c in set(cluster) for k in range(32)}
+    bits = {(k + 1, c): words[k // 32, c] >> k % 32 & 1 for c in set(cluster) for k in range(reps)}
     d = np.asarray(design, float)
     less = np.delete(d, at, axis=1)
     fitted = less @ np.linalg.lstsq(less, u, rcond=None)[0]
