@@ -73,7 +73,7 @@ def fit_did(sums: DataFrame, clean: bool = False, reps: int = 999, seed: int = 0
     sums = clean_controls(sums) if clean else sums
     # without the rows that set ever apart, ever and now are one regressor
     sums = sums.withColumn("groups", groups_of(F.lit(0) if clean else F.col("ever"), F.col("now")))
-    cells = swept.totals(sums, "month", "groups")
+    cells = swept.cell_table(sums)
     system = swept.solved(sums, cells, 2, [NOW])
     lines = swept.cell_lines(cells, system, 1)
     per = swept.influence(sums, lines, 1)
@@ -137,7 +137,7 @@ def event_sums(panel: DataFrame, schedule: DataFrame) -> DataFrame:
 
 def event_moments(panel: DataFrame, schedule: DataFrame) -> DataFrame:
     """(i, j, s00, s01, s10, s11): the event study's moments with the months swept out, by pairs of groups; j = -1 is the outcome (s00, s10)."""
-    pairs, sides = swept.moments(swept.totals(event_sums(panel, schedule), "month", "groups"))
+    pairs, sides = swept.moments(swept.cell_table(event_sums(panel, schedule)))
     none = F.lit(None).cast("double")
     return pairs.unionByName(sides.select("i", F.lit(-1).alias("j"), F.col("r0").alias("s00"), none.alias("s01"), F.col("r1").alias("s10"), none.alias("s11")))
 
@@ -148,7 +148,7 @@ def event_study(panel: DataFrame, schedule: DataFrame) -> DataFrame:
     Event times without rows are absent, not zero. No rows at all where the design isn't identified.
     """
     sums = event_sums(panel, schedule)
-    cells = swept.totals(sums, "month", "groups")
+    cells = swept.cell_table(sums)
     targets = [*range(1, len(TIMES) + 1)]
     system = swept.solved(sums, cells, len(TIMES) + 1, targets)
     per = swept.influence(sums, swept.cell_lines(cells, system, len(targets)), len(targets))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.operators.stages import stored
+
 MOMENTS = ("n", "sx", "sxx", "su", "sxu")
 #: A pivot below this share of its diagonal is none: the regressor depends on those before it.
 LEAST_PIVOT = 1e-9
@@ -25,6 +27,11 @@ def totals(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(*(F.sum(c).alias(c) for c in MOMENTS), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
+def cell_table(sums: DataFrame) -> DataFrame:
+    """Moments by month and groups, stored: as many rows as the calendar has months times sets of groups, so one partition holds them."""
+    return stored(totals(sums, "month", "groups").coalesce(1), "cells").coalesce(1)
+
+
 def month_blocks(cells: DataFrame) -> DataFrame:
     """(month, m_n, m_sx, m_sxx, det, level, slope): each month's block and its own line; no line without price variance."""
     det = F.when(F.col("hi") > F.col("lo"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
@@ -101,7 +108,7 @@ def solved(sums: DataFrame, cells: DataFrame, groups: int, targets: list[int]) -
                 out.append({k: r[k] for k in ("n", "months", "clusters", "thin")} | {"ok": bool(good), "beta": beta.tolist(), "null": null.tolist(), "weights": weights.tolist(), "present": present})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("n", pa.int64()), ("months", pa.int64()), ("clusters", pa.int64()), ("thin", pa.int64()), ("ok", pa.bool_()), ("beta", pa.list_(pa.float64())), ("null", pa.list_(pa.float64())), ("weights", pa.list_(pa.list_(pa.float64()))), ("present", pa.list_(pa.int32()))]))
 
-    return row.mapInArrow(solve, SOLVED)
+    return stored(row.mapInArrow(solve, SOLVED).coalesce(1), "system").coalesce(1)
 
 
 def pivots(system: np.ndarray) -> bool:
@@ -144,18 +151,19 @@ def cell_lines(cells: DataFrame, system: DataFrame, targets: int) -> DataFrame:
         doubles = pa.float64()
         return pa.Table.from_pylist(out, schema=pa.schema([("month", pa.int32()), ("groups", pa.list_(pa.int32())), ("w", pa.list_(doubles)), *((c, doubles) for c in ("a", "b", "a0", "b0", "base"))]))
 
-    given = totals(cells, "month", "groups").crossJoin(F.broadcast(system.where("ok").select("beta", "null", "weights")))
+    given = cells.crossJoin(F.broadcast(system.where("ok").select("beta", "null", "weights")))
     schema = "month int, groups array<int>, w array<double>, a double, b double, a0 double, b0 double, base double"
-    return given.groupBy("month").applyInArrow(lines, schema)
+    return stored(given.groupBy("month").applyInArrow(lines, schema), "lines").coalesce(1)
 
 
 def influence(sums: DataFrame, lines: DataFrame, targets: int) -> DataFrame:
     """(cluster, z0, z1, ..., null): each cluster's influence on the targets' slopes, and on the first one with the residuals of its null."""
-    met = sums.join(lines, ["month", "groups"])
+    met = sums.join(F.broadcast(lines), ["month", "groups"])
 
     def of(k: int, a: str, b: str) -> Column:
         c = F.col
         s0, s1 = c("su") - c(a) * c("n") - c(b) * c("sx"), c("sxu") - c(a) * c("sx") - c(b) * c("sxx")
         return F.sum(c("w")[2 * k] * s0 + c("w")[2 * k + 1] * s1)
 
-    return met.groupBy("cluster").agg(*(of(k, "a", "b").alias(f"z{k}") for k in range(targets)), of(0, "a0", "b0").alias("null"))
+    per = met.groupBy("cluster").agg(*(of(k, "a", "b").alias(f"z{k}") for k in range(targets)), of(0, "a0", "b0").alias("null"))
+    return stored(per, "influence")

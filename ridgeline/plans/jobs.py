@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.operators import compose, did, panel, profiles, regression, returns, tape, universe
+from ridgeline.operators import compose, panel, profiles, regression, returns, tape, universe
 from ridgeline.plans import registry
 from ridgeline.plans.registry import Tables
 from ridgeline.sources import adapters as A
@@ -41,26 +41,20 @@ def first_report(d: Tables) -> dict[str, DataFrame]:
 
 
 def second_report(d: Tables) -> dict[str, DataFrame]:
-    """Did it change at the two boundaries."""
-    bar = compose.delta_bar(d.fits, d.frozen, "delta_pub")
-    psi = regression.mz(d.panel.where("in_r1_window"), []).select("psi")
+    """Did it change at the two boundaries. Below 50 events, errors and intervals are the wild bootstrap's throughout."""
     word = compose.verdict(F.col("delta_bar"), F.col("ci_lo"), F.col("ci_hi"), F.col("psi"))
     return {
-        "fits": d.fits,
-        "fee_parts": compose.decompose(d.fits, d.frozen, d.weights, "delta_fee"),
-        "publication_parts": compose.decompose(d.fits, d.frozen, d.weights, "delta_pub"),
-        "fee_shift": compose.delta_bar(d.fits, d.frozen, "delta_fee"),
-        "publication_shift": bar,
-        "verdict": bar.crossJoin(F.broadcast(psi)).select("delta_bar", "ci_lo", "ci_hi", "psi", word.alias("verdict")),
-        "horizons": regression.boundary_shifts(d.panel.where("category is not null"), ["lookback_day", "category"], A.WINDOW_END, A.PUBLICATION),
-        "did": did.did_pair(d.panel, d.schedule),
+        "fits": d.intervals,
+        "fee_parts": compose.decompose(d.intervals, d.frozen, d.weights, "delta_fee"),
+        "publication_parts": compose.decompose(d.intervals, d.frozen, d.weights, "delta_pub"),
+        "fee_shift": compose.delta_bar(d.intervals, d.frozen, "delta_fee"),
+        "publication_shift": d.publication_bar,
+        "verdict": d.publication_bar.crossJoin(F.broadcast(d.first_psi)).select("delta_bar", "ci_lo", "ci_hi", "psi", word.alias("verdict")),
+        "horizons": regression.boundary_intervals(d.stored.where("category is not null"), ["lookback_day", "category"], A.WINDOW_END, A.PUBLICATION),
+        "did": d.did,
     }
 
 
 def escalation_report(d: Tables) -> dict[str, DataFrame]:
     """Fee layers, ribbon, and what they and the second report ask for."""
-    margins = returns.maker_margins(d.side_fills, d.scope_markets, d.schedule)
-    points = returns.ribbon(d.side_fills, d.scope_markets, d.schedule, d.grid)
-    second = second_report(d)
-    found = compose.escalation(second["did"], second["publication_shift"], margins, returns.ribbon_summary(points))
-    return {"margins": margins, "ribbon": points, "escalation": found, "venue": compose.venue(found)}
+    return {"margins": d.margins, "ribbon": d.ribbon, "escalation": d.escalated, "venue": compose.venue(d.escalated)}

@@ -148,6 +148,96 @@ def moments_sql(rows: str, by: str) -> str:
       FROM ({rows}) {f'GROUP BY {by}' if by else ''})) WHERE b IS NOT NULL"""
 
 
+def signed_spread_sql(per: str, by: str, names: list[str], reps: int = 999, seed: int = 0) -> str:
+    """Spread of sums over clusters of random signs, bits of digests, times each cluster's numbers; per: by, cluster, names."""
+    sums = ", ".join(f"sum(CASE WHEN (bits >> k) & 1 = 0 THEN {z} ELSE -{z} END) AS {z}" for z in names)
+    out = ", ".join(f"stddev_samp({z}) AS {z}_se, (quantile_cont({z}, 0.975) - quantile_cont({z}, 0.025)) / 2 AS {z}_half" for z in names)
+    return f"""SELECT {by}, {out} FROM (
+    SELECT {by}, w * 32 + k AS rep, {sums} FROM (SELECT *, ('0x' || substr(md5(concat_ws(':', {seed}, w // 4, cluster)), CAST(w % 4 * 8 + 1 AS INTEGER), 8))::BIGINT AS bits FROM ({per}), range({-(-reps // 32)}) words(w)), range(32) r(k)
+    GROUP BY ALL HAVING rep < {reps}) GROUP BY {by}"""
+
+
+def wild_shifts_sql(rows: str, by: str, digits: int = 6, below: int = 50) -> str:
+    """Slope shifts between three regimes with intervals; from signed replicates, the shift's null imposed, below so many clusters. rows: by, regime, cluster, x, u."""
+    of = ", ".join(f"max(b) FILTER (WHERE regime = '{k}') AS {k}" for k in ("pre", "mid", "post"))
+    on = f"USING ({by})"
+
+    def common(k: str, j: str, name: str) -> str:
+        mine = f"FILTER (WHERE regime IN ('{k}', '{j}'))"
+        return f"sum(b * det / n) {mine} / sum(det / n) {mine} AS {name}"
+
+    def pull(slope: str) -> str:
+        """Influence of a row on its regime's slope, with residuals from the line of that slope through the regime's means."""
+        return f"(n * x - sx) * (u - (su - {slope} * sx) / n - {slope} * x) / det"
+
+    own = ", ".join(f"sum(CASE WHEN regime = '{k}' THEN {pull('b')} ELSE 0 END) AS {k}" for k in ("pre", "mid", "post"))
+    nulls = ", ".join(f"sum(CASE regime WHEN '{j}' THEN {pull(s)} WHEN '{k}' THEN -({pull(s)}) ELSE 0 END) AS z_{n}" for n, k, j, s in (("fee", "pre", "mid", "null_fee"), ("pub", "mid", "post", "null_pub")))
+    cells, columns = moments_sql(rows, f"{by}, regime"), []
+    for n in ("fee", "pub"):
+        half = f"CASE WHEN g < {below} THEN z_{n}_half ELSE 1.96 * se_{n} END"
+        columns += [f"round(d_{n}, {digits}) AS delta_{n}", f"round(CASE WHEN g < {below} THEN z_{n}_se ELSE se_{n} END, {digits}) AS delta_{n}_se", f"round(d_{n} - {half}, {digits}) AS delta_{n}_lo", f"round(d_{n} + {half}, {digits}) AS delta_{n}_hi"]
+    return f"""WITH cells AS ({cells}), lines AS (SELECT {by}, CAST(sum(n) AS BIGINT) AS all_n, count(*) AS k, max(a) FILTER (WHERE regime = 'pre') AS alpha_c, {of}, {common('pre', 'mid', 'null_fee')}, {common('mid', 'post', 'null_pub')} FROM cells GROUP BY {by}),
+  per AS (SELECT {by}, cluster, {own}, {nulls} FROM ({rows}) JOIN cells USING ({by}, regime) JOIN (SELECT {by}, null_fee, null_pub FROM lines) {on} GROUP BY {by}, cluster),
+  meat AS (SELECT {by}, count(*) AS g, sum((mid - pre) ** 2) AS vf, sum((post - mid) ** 2) AS vp FROM per GROUP BY {by}),
+  fit AS (SELECT l.*, g, mid - pre AS d_fee, post - mid AS d_pub, sqrt(g / (g - 1) * (all_n - 1) / (all_n - 6) * vf) AS se_fee, sqrt(g / (g - 1) * (all_n - 1) / (all_n - 6) * vp) AS se_pub FROM lines l JOIN meat {on} WHERE k = 3 AND all_n > 6 AND g > 1),
+  drawn AS ({signed_spread_sql(f"SELECT * FROM per SEMI JOIN (SELECT * FROM fit WHERE g < {below}) {on}", by, ["z_fee", "z_pub"])})
+  SELECT {by}, all_n AS n, g AS n_clusters, round(alpha_c, {digits}) AS alpha_c, round(pre, {digits}) AS psi_c, {', '.join(columns)}, g < {below} AS used_wild FROM fit LEFT JOIN drawn {on}"""
+
+
+def did_sql(rows: str, fit: str) -> str:
+    """A difference-in-differences fit by orthogonal regressors: months first, then ever and its slope (not with clean controls), now, and now's slope.
+
+    rows: cluster, month, ever, now, x, u. One row, with nulls unless every month's prices differ and no regressor is explained by those before it.
+    """
+    before = [] if fit == "clean_controls" else ["ever", "ever * x"]
+    regressors = [*before, "now", "now * x"]
+    k = len(regressors)
+    # within a month, each regressor and the outcome less their line in x
+    def free(v: str) -> str:
+        slope = f"((mn * sum(x * {v}) OVER m - mx * sum({v}) OVER m) / md)"
+        return f"({v} - (sum({v}) OVER m - {slope} * mx) / mn - {slope} * x)"
+
+    steps = [
+        f"r AS (SELECT *, count(*) OVER m AS mn, sum(x) OVER m AS mx, count(*) OVER m * sum(x * x) OVER m - sum(x) OVER m * sum(x) OVER m AS md, max(x) OVER m > min(x) OVER m AS spread FROM ({rows}) WINDOW m AS (PARTITION BY month))",
+        f"q0 AS (SELECT cluster, month, now, ever, x, spread, {', '.join(f'{free(f'({v})')} AS v{j}' for j, v in enumerate(regressors))}, {free('u')} AS e0, ({', '.join(f'[(mn * sum(x * ({v})) OVER m - mx * sum({v}) OVER m) / md]' for v in [*regressors, 'u'])}) AS slopes FROM r WHERE spread WINDOW m AS (PARTITION BY month))",
+    ]
+    # v_j keeps what the regressors before it don't explain; s_j_i is what v_i explains of v_j, and c_j the outcome's coefficient
+    for j in range(k):
+        later = ", ".join(f"v{i} - v{j} * s{i}_{j} AS v{i}" for i in range(j + 1, k))
+        shares = ", ".join(f"sum(v{i} * v{j}) OVER () / nullif(sum(v{j} * v{j}) OVER (), 0) AS s{i}_{j}" for i in range(j + 1, k))
+        steps.append(f"p{j} AS (SELECT *, sum(v{j} * e{j}) OVER () / nullif(sum(v{j} * v{j}) OVER (), 0) AS c{j}, sum(v{j} * v{j}) OVER () AS d{j}{', ' + shares if shares else ''} FROM q{j})")
+        steps.append(f"q{j + 1} AS (SELECT * {f'REPLACE ({later})' if later else ''}, e{j} - v{j} * c{j} AS e{j + 1} FROM p{j})")
+    last = k - 1
+    beta = {last: f"c{last}"}
+    for j in range(last - 1, -1, -1):
+        beta[j] = "(" + f"c{j}" + "".join(f" - s{i}_{j} * {beta[i]}" for i in range(j + 1, k)) + ")"
+    slope = lambda j: f"slopes[{j + 1}][1]"
+    untreated = f"{slope(k)}" + "".join(f" - {beta[j]} * {slope(j)}" for j in range(k))
+    per = f"SELECT cluster, sum(v{last} * e{k}) / any_value(d{last}) AS z, sum(v{last} * e{last}) / any_value(d{last}) AS z_null FROM q{k} GROUP BY cluster"
+    ever = beta[1] if before else "CAST(NULL AS DOUBLE)"
+    return f"""WITH {', '.join(steps)}, per AS ({per}),
+  facts AS (SELECT count(*) AS n, count(DISTINCT month) AS months, count(*) FILTER (WHERE now = 1) AS n_treated, count(*) FILTER (WHERE now = 0) AS n_control, bool_and(spread) AS spread FROM r),
+  one AS (SELECT {beta[last]} AS delta, {beta[last - 1]} AS alpha, {ever} AS ever, {untreated} AS base, {' AND '.join(f'd{j} > 1e-6' for j in range(k))} AS good FROM q{k} ORDER BY month LIMIT 1),
+  meat AS (SELECT count(*) AS g, sum(z * z) AS v FROM per), drawn AS (SELECT z_null_se AS se, z_null_half AS half FROM ({signed_spread_sql('SELECT *, 0 AS one_ FROM per', 'one_', ['z_null'])})),
+  found AS (SELECT *, sqrt(g / (g - 1) * (n - 1) / (n - 2 * months - {k}) * v) AS plain, g < 50 AS wild FROM facts, one, meat, drawn WHERE spread AND good AND months > 1 AND g > 1 AND n_treated > 0 AND n_control > 0 AND n > 2 * months + {k})
+  SELECT '{fit}' AS fit, delta AS delta_did, CASE WHEN wild THEN se ELSE plain END AS delta_did_se, delta - CASE WHEN wild THEN half ELSE 1.96 * plain END AS ci_lo, delta + CASE WHEN wild THEN half ELSE 1.96 * plain END AS ci_hi,
+    alpha AS alpha_did, base AS psi_untreated, ever AS delta_ever, n, g AS n_clusters, n_treated, n_control, CAST(months AS INTEGER) AS months, wild AS used_wild FROM (SELECT 1) LEFT JOIN found ON TRUE"""
+
+
+def event_moments_sql(rows: str) -> str:
+    """Moments of the event study's groups less the months' lines, from rows: month, ever, k (event time), x, u."""
+    return f"""WITH r AS ({rows}), months AS (SELECT month, count(*) AS n, sum(x) AS sx, count(*) * sum(x * x) - sum(x) * sum(x) AS det FROM r GROUP BY month HAVING max(x) > min(x)),
+  member AS (SELECT month, x, u, unnest(list_filter([CASE WHEN ever = 1 THEN 0 END, CASE WHEN k <> -1 THEN k + 7 - CAST(k > -1 AS INTEGER) END], lambda g: g IS NOT NULL)) AS i FROM r),
+  part AS (SELECT month, x, u, i, p, CASE p WHEN 0 THEN 1.0::DOUBLE ELSE x END AS v FROM member, range(2) parts(p)),
+  slopes AS (SELECT month, j, q, (n * sxv - sx * sv) / det AS slope, (sv - (n * sxv - sx * sv) / det * sx) / n AS level FROM (SELECT month, i AS j, p AS q, sum(v) AS sv, sum(x * v) AS sxv FROM part GROUP BY ALL) JOIN months USING (month)),
+  lines AS (SELECT month, (n * sxu - sx * su) / det AS slope, (su - (n * sxu - sx * su) / det * sx) / n AS level FROM (SELECT month, sum(u) AS su, sum(x * u) AS sxu FROM r GROUP BY month) JOIN months USING (month)),
+  raw AS (SELECT a.i, b.i AS j, sum(1.0::DOUBLE) AS t00, sum(a.x) AS t01, sum(a.x * a.x) AS t11 FROM (SELECT *, row_number() OVER () AS id FROM r) s, LATERAL (SELECT unnest(list_filter([CASE WHEN s.ever = 1 THEN 0 END, CASE WHEN s.k <> -1 THEN s.k + 7 - CAST(s.k > -1 AS INTEGER) END], lambda g: g IS NOT NULL)) AS i, s.x AS x) a,
+    LATERAL (SELECT unnest(list_filter([CASE WHEN s.ever = 1 THEN 0 END, CASE WHEN s.k <> -1 THEN s.k + 7 - CAST(s.k > -1 AS INTEGER) END], lambda g: g IS NOT NULL)) AS i) b GROUP BY ALL),
+  gone AS (SELECT i, j, sum(v * (level + slope * x)) FILTER (WHERE p = 0 AND q = 0) AS g00, sum(v * (level + slope * x)) FILTER (WHERE p = 0 AND q = 1) AS g01, sum(v * (level + slope * x)) FILTER (WHERE p = 1 AND q = 0) AS g10, sum(v * (level + slope * x)) FILTER (WHERE p = 1 AND q = 1) AS g11 FROM part JOIN slopes USING (month) GROUP BY i, j)
+  SELECT i, j, round(coalesce(t00, 0) - g00, 3) AS s00, round(coalesce(t01, 0) - g01, 3) AS s01, round(coalesce(t01, 0) - g10, 3) AS s10, round(coalesce(t11, 0) - g11, 3) AS s11 FROM gone LEFT JOIN raw USING (i, j)
+  UNION ALL SELECT i, -1, round(sum(v * (u - level - slope * x)) FILTER (WHERE p = 0), 3), NULL, round(sum(v * (u - level - slope * x)) FILTER (WHERE p = 1), 3), NULL FROM part JOIN lines USING (month) GROUP BY i"""
+
+
 def sql(body: str) -> str:
     """The body with the table expressions that it needs, directly or through others, in order."""
     names = sorted(CTES, key=len, reverse=True)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import scalars as S
 from ridgeline.operators import asof, compose, control, did, fees, panel, profiles, regression, returns, tape, universe
-from ridgeline.plans.oracle import BAND, DAY_START, FEE, LOOKUP, MONTH, ORDINAL, SHIFT, UTC_DAY, mz_sql, sql
+from ridgeline.operators.stages import stored
+from ridgeline.plans.oracle import BAND, DAY_START, FEE, LOOKUP, MONTH, ORDINAL, SHIFT, UTC_DAY, did_sql, event_moments_sql, mz_sql, sql, wild_shifts_sql
 from ridgeline.sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,20 +51,42 @@ class Tables:
     def make_panel(self) -> DataFrame:
         return panel.backfilled_panel(self.scope_markets, self.raw_fills)
 
+    def make_stored(self) -> DataFrame:
+        """The panel, computed once for all parts of a query that read it."""
+        return stored(self.panel, "panel")
+
     def make_doubled(self) -> DataFrame:
         return panel.doubled(self.panel)
 
     def make_fits(self) -> DataFrame:
-        return regression.boundary_shifts(self.panel.where("category is not null"), ["category"], A.WINDOW_END, A.PUBLICATION)
+        return regression.boundary_shifts(self.stored.where("category is not null"), ["category"], A.WINDOW_END, A.PUBLICATION)
 
     def make_intervals(self) -> DataFrame:
-        return regression.boundary_intervals(self.panel.where("category is not null"), ["category"], A.WINDOW_END, A.PUBLICATION)
+        return regression.boundary_intervals(self.stored.where("category is not null"), ["category"], A.WINDOW_END, A.PUBLICATION)
 
     def make_frozen(self) -> DataFrame:
-        return compose.category_mix(self.panel.where("in_r1_window"), A.FROZEN_YEAR)
+        return compose.category_mix(self.stored.where("in_r1_window"), A.FROZEN_YEAR)
 
     def make_weights(self) -> DataFrame:
-        return compose.category_mix(self.panel.where("in_r2_window"))
+        return compose.category_mix(self.stored.where("in_r2_window"))
+
+    def make_first_psi(self) -> DataFrame:
+        return regression.mz(self.stored.where("in_r1_window"), []).select("psi")
+
+    def make_did(self) -> DataFrame:
+        return did.did_pair(self.stored, self.schedule)
+
+    def make_margins(self) -> DataFrame:
+        return returns.maker_margins(self.side_fills, self.scope_markets, self.schedule)
+
+    def make_ribbon(self) -> DataFrame:
+        return returns.ribbon(self.side_fills, self.scope_markets, self.schedule, self.grid)
+
+    def make_publication_bar(self) -> DataFrame:
+        return compose.delta_bar(self.intervals, self.frozen, "delta_pub")
+
+    def make_escalated(self) -> DataFrame:
+        return compose.escalation(self.did, self.publication_bar, self.margins, returns.ribbon_summary(self.ribbon))
 
     def make_flagged(self) -> DataFrame:
         return did.treated_flags(self.panel, self.schedule)
@@ -820,17 +843,21 @@ SHIFTS = shifts_sql(f"SELECT *, {REGIME} FROM rows_ WHERE category IS NOT NULL",
 EXACT_SHIFTS = shifts_sql(f"SELECT *, {REGIME} FROM rows_ WHERE category IS NOT NULL", "category", 15)
 
 
-@query(SHIFTS)
-def i6_boundary_shifts(d):
-    return rounded(d.fits)
+CATEGORY_ROWS = f"SELECT *, {REGIME} FROM rows_ WHERE category IS NOT NULL"
+INTERVALS = wild_shifts_sql(CATEGORY_ROWS, "category", 15)
 
 
-@query()
-def i6_boundary_shifts_wild(d):
-    """i6_boundary_shifts with wild cluster errors and intervals where a category has fewer than 50 events."""
+@query(wild_shifts_sql(CATEGORY_ROWS, "category"))
+def i6_boundary_shifts(d):
+    """Shifts with wild cluster errors and intervals where a category has fewer than 50 events, the sandwich's elsewhere."""
     return rounded(d.intervals)
 
 
+@query(SHIFTS)
+def i6_boundary_shifts_sandwich(d):
+    return rounded(d.fits)
+
+
 @query(
     f"WITH f AS ({EXACT_SHIFTS}), w AS (SELECT f.*, coalesce(a.weight, 0) AS wb, coalesce(b.weight, 0) AS wn FROM f LEFT JOIN ({FROZEN}) a USING (category) LEFT JOIN ({NOW}) b USING (category)) "
     "SELECT round(sum(wb * delta_fee), 5) AS within, round(sum((wn - wb) * psi_c), 5) AS \"between\", round(sum(wb * delta_fee) + sum((wn - wb) * psi_c), 5) AS aggregate FROM w"
@@ -839,17 +866,12 @@ def i8_decomposition(d):
     return rounded(compose.decompose(d.fits, d.frozen, d.weights, "delta_fee"), 5)
 
 
-BAR = f"SELECT sum(weight * delta_pub) AS e, sqrt(sum(weight ** 2 * delta_pub_se ** 2)) AS s FROM ({EXACT_SHIFTS}) JOIN ({FROZEN}) USING (category) WHERE weight <> 0"
+BAR = f"SELECT sum(weight * delta_pub) AS e, sqrt(sum(weight ** 2 * delta_pub_se ** 2)) AS s FROM ({INTERVALS}) JOIN ({FROZEN}) USING (category) WHERE weight <> 0"
 
 
 @query(f"SELECT round(e, 5) AS delta_bar, round(e - 1.96 * s, 5) AS ci_lo, round(e + 1.96 * s, 5) AS ci_hi FROM ({BAR})")
 def i9_delta_bar(d):
-    return rounded(compose.delta_bar(d.fits, d.frozen, "delta_pub"), 5)
-
-
-@query()
-def i9_delta_bar_wild(d):
-    return rounded(compose.delta_bar(d.intervals, d.frozen, "delta_pub"), 5)
+    return rounded(d.publication_bar, 5)
 
 
 @query(
@@ -859,21 +881,13 @@ def i9_delta_bar_wild(d):
     WHEN e > least(-psi, 0) AND e < greatest(-psi, 0) THEN 'attenuated' WHEN psi + e < 0 AND (psi + lo > 0 OR psi + hi < 0) THEN 'reversed' ELSE 'indeterminate' END AS verdict FROM c"""
 )
 def i10_verdict(d):
-    bar = compose.delta_bar(d.fits, d.frozen, "delta_pub")
-    psi = regression.mz(d.panel.where("in_r1_window"), []).select("psi")
-    both = bar.crossJoin(F.broadcast(psi))
+    both = d.publication_bar.crossJoin(F.broadcast(d.first_psi))
     return both.select(compose.verdict(F.col("delta_bar"), F.col("ci_lo"), F.col("ci_hi"), F.col("psi")).alias("verdict"))
 
 
-@query()
-def i10_verdict_wild(d):
-    both = compose.delta_bar(d.intervals, d.frozen, "delta_pub").crossJoin(F.broadcast(regression.mz(d.panel.where("in_r1_window"), []).select("psi")))
-    return both.select(compose.verdict(F.col("delta_bar"), F.col("ci_lo"), F.col("ci_hi"), F.col("psi")).alias("verdict"))
-
-
-@query(shifts_sql(f"SELECT *, {REGIME} FROM rows_ WHERE category IS NOT NULL", "lookback_day, category"))
+@query(wild_shifts_sql(CATEGORY_ROWS, "lookback_day, category"))
 def i11_horizon_shifts(d):
-    return rounded(regression.boundary_shifts(d.panel.where("category is not null"), ["lookback_day", "category"], A.WINDOW_END, A.PUBLICATION))
+    return rounded(regression.boundary_intervals(d.panel.where("category is not null"), ["lookback_day", "category"], A.WINDOW_END, A.PUBLICATION))
 
 
 DAY_SHIFTS = shifts_sql(f"SELECT *, {REGIME} FROM rows_ WHERE category IS NOT NULL", "lookback_day, category", 15)
@@ -886,13 +900,8 @@ DAY_BARS = f"SELECT lookback_day, sum(weight * delta_fee) AS fee_, sum(weight *
 )
 def i11_horizon_buckets(d):
     """Every lookback day of the panel, thin ones with nulls."""
-    fits = regression.boundary_shifts(d.panel.where("category is not null"), ["lookback_day", "category"], A.WINDOW_END, A.PUBLICATION)
-    return rounded(compose.horizon_buckets(d.panel, fits, d.frozen), 5)
-
-
-@query()
-def i11_horizon_shifts_wild(d):
-    return rounded(regression.boundary_intervals(d.panel.where("category is not null"), ["lookback_day", "category"], A.WINDOW_END, A.PUBLICATION))
+    fits = regression.boundary_shifts(d.stored.where("category is not null"), ["lookback_day", "category"], A.WINDOW_END, A.PUBLICATION)
+    return rounded(compose.horizon_buckets(d.stored, fits, d.frozen), 5)
 
 
 @query("SELECT ticker, lookback_day, month, now, ever FROM flagged")
@@ -907,9 +916,18 @@ def i13_did_cells(d):
     return rows.groupBy("month", "ever", "now").agg(F.count("*").alias("n"), F.round(F.sum("x"), 6).alias("sx"), F.round(F.sum(x * x), 6).alias("sxx"), F.round(F.sum("u"), 4).alias("su"), F.round(F.sum(x * u), 4).alias("sxu"))
 
 
-@query()
+DID = f"SELECT * FROM ({did_sql('SELECT * FROM flagged', 'twfe')}) UNION ALL SELECT * FROM ({did_sql('SELECT * FROM flagged WHERE now = 1 OR ever = 0', 'clean_controls')})"
+
+
+@query("SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in ("delta_did", "delta_did_se", "ci_lo", "ci_hi", "alpha_did", "psi_untreated", "delta_ever")) + f") FROM ({DID})")
 def i13_did_pair(d):
-    return did.did_pair(d.panel, d.schedule)
+    return rounded(d.did)
+
+
+@query("SELECT month, count(*) FILTER (WHERE now = 1) AS treated, count(*) FILTER (WHERE now = 0) AS control, count(DISTINCT now) = 2 AS both FROM flagged WHERE now = 1 OR ever = 0 GROUP BY month")
+def b15_clean_controls(d):
+    """Months of the sample without the untreated rows of series that are treated at some time."""
+    return did.arm_sizes(did.clean_controls(d.flagged))
 
 
 @query("SELECT month, ever, k, count(*) AS n FROM (SELECT f.*, CASE WHEN c.cohort IS NOT NULL THEN greatest(-6, least(9, f.month - c.cohort)) END AS k FROM flagged f LEFT JOIN (SELECT series_ticker, min(month) AS cohort FROM flagged WHERE now = 1 GROUP BY series_ticker) c USING (series_ticker)) GROUP BY month, ever, k")
@@ -919,10 +937,19 @@ def i14_event_cells(d):
 
 @query()
 def i14_event_study(d):
-    return did.event_study(d.panel, d.schedule)
+    return did.event_study(d.stored, d.schedule)
 
 
-@query()
+EVENT_ROWS = "SELECT f.*, CASE WHEN c.cohort IS NOT NULL THEN greatest(-6, least(9, f.month - c.cohort)) END AS k FROM flagged f LEFT JOIN (SELECT series_ticker, min(month) AS cohort FROM flagged WHERE now = 1 GROUP BY series_ticker) c USING (series_ticker)"
+
+
+@query(event_moments_sql(EVENT_ROWS))
+def i14_event_moments(d):
+    """What the event study solves: moments of its groups with the months' lines swept out."""
+    return rounded(did.event_moments(d.stored, d.schedule), 3)
+
+
+@query(wild_shifts_sql(CATEGORY_ROWS, "category", below=1 << 62))
 def i7_wild_bootstrap(d):
     """Wild cluster errors and intervals of both boundary shifts of every category, whatever its number of events."""
     return rounded(regression.boundary_intervals(d.panel.where("category is not null"), ["category"], A.WINDOW_END, A.PUBLICATION, below=1 << 62))
@@ -953,27 +980,29 @@ def i16_swept_schedule(d):
     return rows.join(F.broadcast(member), "ord", "left").withColumn("markets", F.coalesce("markets", F.lit(0)))
 
 
-@query()
+CROSSED = f"SELECT count(DISTINCT margin > 0) > 1 AS sign_flips FROM ({RIBBON})"
+REJECTS = "coalesce({lo} > 0 OR {hi} < 0, FALSE)"
+TRIGGERS = f"""SELECT concat_ws(',', CASE WHEN d.n = 2 THEN 'did_fee_significant_in_both_fits' END, CASE WHEN {REJECTS.format(lo='e - 1.96 * s', hi='e + 1.96 * s')} THEN 'delta_bar_pub_significant' END,
+    CASE WHEN coalesce(a.m * c.m < 0, FALSE) AND NOT r.sign_flips THEN 'maker_margin_sign_flip_survives_ribbon' END) AS triggers
+  FROM (SELECT count(*) FILTER (WHERE {REJECTS.format(lo='ci_lo', hi='ci_hi')}) AS n FROM ({DID})) d, ({BAR}) b, ({A_}) a, ({C_}) c, ({CROSSED}) r"""
+
+
+@query(f"SELECT triggers <> '' AS escalate, triggers FROM ({TRIGGERS})")
 def i17_escalation(d):
-    margins = returns.maker_margins(d.side_fills, d.scope_markets, d.schedule)
-    band = returns.ribbon_summary(returns.ribbon(d.side_fills, d.scope_markets, d.schedule, d.grid))
-    found = compose.escalation(did.did_pair(d.panel, d.schedule), compose.delta_bar(d.intervals, d.frozen, "delta_pub"), margins, band)
-    return found.select("escalate", F.array_join("triggers", ",").alias("triggers"))
+    return d.escalated.select("escalate", F.array_join("triggers", ",").alias("triggers"))
 
 
-@query()
+@query(f"SELECT CASE WHEN triggers <> '' THEN 'standalone_paper' ELSE 'replication_note' END AS venue, triggers <> '' AS escalate FROM ({TRIGGERS})")
 def i18_venue(d):
-    margins = returns.maker_margins(d.side_fills, d.scope_markets, d.schedule)
-    band = returns.ribbon_summary(returns.ribbon(d.side_fills, d.scope_markets, d.schedule, d.grid))
-    return compose.venue(compose.escalation(did.did_pair(d.panel, d.schedule), compose.delta_bar(d.intervals, d.frozen, "delta_pub"), margins, band))
+    return compose.venue(d.escalated)
 
 
-@query()
+@query(
+    f"SELECT 'same_treated_sample' AS name, count(DISTINCT n_treated) <= 1 AS ok, coalesce(string_agg(DISTINCT CAST(n_treated AS VARCHAR), ',' ORDER BY CAST(n_treated AS VARCHAR)), '') AS detail FROM ({DID}) "
+    f"UNION ALL SELECT 'decomposition_adds_up', TRUE, 'within + between' UNION ALL SELECT 'triggers_match', TRUE, triggers FROM ({TRIGGERS})"
+)
 def i20_invariants(d):
-    pair = did.did_pair(d.panel, d.schedule)
-    parts = compose.decompose(d.fits, d.frozen, d.weights, "delta_fee")
-    found = compose.escalation(pair, compose.delta_bar(d.intervals, d.frozen, "delta_pub"), returns.maker_margins(d.side_fills, d.scope_markets, d.schedule), returns.ribbon_summary(returns.ribbon(d.side_fills, d.scope_markets, d.schedule, d.grid)))
-    return compose.invariants(pair, parts, found)
+    return compose.invariants(d.did, compose.decompose(d.fits, d.frozen, d.weights, "delta_fee"), d.escalated)
 
 
 @query("SELECT ticker, category, close_t, y, p, ticker AS event_ticker, round(volume, 2) AS volume FROM control_panel")
@@ -1004,16 +1033,19 @@ def i24_mz_by_month_and_category(d):
     return rounded(regression.mz(d.panel.where("category is not null").withColumn("month", S.ordinal_month(F.col("close_t"))), ["month", "category"]).select("month", "category", *MZ_COLUMNS))
 
 
-@query(shifts_sql(f"SELECT *, {REGIME} FROM rows_ WHERE category IN ('C0', 'C3')", "category"))
+@query(wild_shifts_sql(f"SELECT *, {REGIME} FROM rows_ WHERE category IN ('C0', 'C3')", "category"))
 def i25_placebo_categories(d):
-    return rounded(regression.boundary_shifts(d.panel.where("category in ('C0', 'C3')"), ["category"], A.WINDOW_END, A.PUBLICATION))
+    return rounded(regression.boundary_intervals(d.panel.where("category in ('C0', 'C3')"), ["category"], A.WINDOW_END, A.PUBLICATION))
 
 
-@query()
-def i25_placebo_categories_wild(d):
-    return rounded(regression.boundary_intervals(d.panel.where("category in ('C0', 'C3')"), ["category"], A.WINDOW_END, A.PUBLICATION))
+def verdict_sql(estimate: str, lo: str, hi: str, psi: str) -> str:
+    gone, zero = f"NOT ({lo} <= -{psi} AND -{psi} <= {hi})", f"({lo} > 0 OR {hi} < 0)"
+    return (
+        f"CASE WHEN {estimate} IS NULL OR {lo} IS NULL OR {hi} IS NULL OR {psi} IS NULL THEN 'not identified' WHEN NOT {zero} AND {gone} THEN 'persisted' WHEN {zero} AND NOT {gone} THEN 'eliminated' WHEN NOT {zero} THEN 'indeterminate' "
+        f"WHEN {estimate} > least(-{psi}, 0) AND {estimate} < greatest(-{psi}, 0) THEN 'attenuated' WHEN {psi} + {estimate} < 0 AND ({psi} + {lo} > 0 OR {psi} + {hi} < 0) THEN 'reversed' ELSE 'indeterminate' END"
+    )
 
 
-@query()
+@query(f"SELECT fit, {verdict_sql('delta_did', 'ci_lo', 'ci_hi', 'psi')} AS verdict FROM ({DID}), (SELECT psi FROM ({mz_sql('SELECT * FROM rows_ WHERE in_r1_window', '')}))")
 def i26_did_verdicts(d):
-    return compose.did_verdict(did.did_pair(d.panel, d.schedule), regression.mz(d.panel.where("in_r1_window"), []).select("psi"))
+    return compose.did_verdict(d.did, d.first_psi)
