@@ -22,7 +22,7 @@ from ridgeline.llm.embedding_dedup import Forest
 from ridgeline.llm.words import ODD, mix, shingle_hashes, shingles_of, text_bytes
 
 TO_UNIT = 2.0**-53
-#: Members up to which a bucket's open pairs are listed; larger ones are compared in tiles of two blocks of TILE members.
+#: Members up to which a star's open pairs are listed; larger ones are compared in tiles of two blocks of TILE members.
 BLOCK, TILE, WIDTH = 64, 512, 4096
 STARS = 3
 MASKS = mix(np.arange(1, STARS + 1, dtype=np.uint64) * ODD) >> np.uint64(1)
@@ -193,19 +193,19 @@ def overlaps(sets: list[np.ndarray], asking: np.ndarray) -> np.ndarray:
 
 
 def tile_links(members: DataFrame, texts: DataFrame, threshold: float, shingle: int, counted: bool) -> DataFrame:
-    """(a, b): links across components in large buckets, by tiles of a bucket's members and of those that ask.
+    """(a, b): links across components around large stars, by tiles of a star's members and of those that ask.
 
-    Members that ask, those outside a bucket's largest component, are compared exactly with members of other components. Similar texts
-    are of similar size, and of similar distance to the bucket's first text; so members lie in cells by both, and those that ask
+    Members that ask, those outside a star's largest component, are compared exactly with members of other components. Similar texts
+    are of similar size, and of similar distance to the star's first text; so members lie in cells by both, and those that ask
     visit the cells around their own. Cells that nobody visits are never dealt. A tile returns for each text one link to the
-    least text that it is connected with there, never its pairs.
+    least text that it is connected with there, never its pairs. A text is a member of a star once, however many buckets they share.
     """
     reach = 1 - threshold + 1e-9
     cell = F.struct(F.floor(F.log("elements_n") / -math.log(threshold)).alias("size"), F.floor(F.col("distance") / reach).alias("ring"))
-    held = members.select("band", "hash", "node", "label", "asks", cell.alias("cell"))
-    key = ["band", "hash", "cell"]
+    held = members.select("first", "node", "label", "asks", cell.alias("cell"))
+    key = ["first", "cell"]
     near = F.array(*(F.struct((F.col("cell.size") + i).alias("size"), (F.col("cell.ring") + j).alias("ring")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    visits = held.where("asks").select("band", "hash", F.explode(near).alias("cell"))
+    visits = held.where("asks").select("first", F.explode(near).alias("cell"))
     parts = lambda n: F.ceil(F.col(n) / TILE).cast("int")
     cells = held.groupBy(*key).agg(F.count("*").alias("n")).join(visits.groupBy(*key).agg(F.count("*").alias("visitors")), key)
     cells = stage_table(cells.select(*key, parts("n").alias("rows"), parts("visitors").alias("columns")), "cells")
@@ -217,7 +217,7 @@ def tile_links(members: DataFrame, texts: DataFrame, threshold: float, shingle:
     own = held.join(cells, key).select(*key, "node", "label", "elements", F.lit(False).alias("asks"), dealt("rows").alias("row"), all_of("columns").alias("column"))
     guests = held.where("asks").withColumn("cell", F.explode(near)).join(cells, key)
     guests = guests.select(*key, "node", "label", "elements", F.lit(True).alias("asks"), dealt("columns").alias("column"), all_of("rows").alias("row"))
-    met = own.unionByName(guests).select("band", "hash", F.col("cell.size").alias("size"), F.col("cell.ring").alias("ring"), "row", "column", "node", "label", "asks", "elements")
+    met = own.unionByName(guests).select("first", F.col("cell.size").alias("size"), F.col("cell.ring").alias("ring"), "row", "column", "node", "label", "asks", "elements")
 
     def tile(group):
         group = group.combine_chunks()
@@ -238,7 +238,7 @@ def tile_links(members: DataFrame, texts: DataFrame, threshold: float, shingle:
         node = group.column("node")
         return pa.table([node.take(pa.array(moved)), node.take(pa.array(forest.label[moved]))], names=["a", "b"])
 
-    tiles = met.groupBy("band", "hash", "size", "ring", "row", "column").applyInArrow(tile, "a long, b long")
+    tiles = met.groupBy("first", "size", "ring", "row", "column").applyInArrow(tile, "a long, b long")
     return stage_table(tiles.where("a <> b").distinct(), "tiles")
 
 
@@ -266,6 +266,8 @@ def text_classes(
     n counts the rows with the text. Of texts that stand on one smallest id, the one of least digest is the head; a class without any
     id has a null class_id. See near_duplicates().
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} has to be a whole number, not {docs.schema[id_col].dataType.simpleString()}")
     counted = weighting == "count"
 
     def make():
@@ -300,17 +302,18 @@ def text_classes(
     stars = members.select(F.col("first").alias("a"), F.col("node").alias("b")).where("a <> b")
     known = compared(stars, None, texts, shingle, counted)
     measured = known.select(F.col("a").alias("first"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("distance"))
-    members = members.join(measured, ["first", "node"], "left").select("band", "hash", "node", "elements_n", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    # texts that share several buckets share their star: from here on each is its member once
+    members = members.select("first", "node", "elements_n").distinct().join(measured, ["first", "node"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
     linked = known.where(F.col("similarity") >= threshold).select("a", "b")
     labels = components(linked, "near").withColumnRenamed("component", "label")
     named_members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = named_members.groupBy("band", "hash", "label").agg(F.count("*").alias("n"))
-    split = groups.groupBy("band", "hash").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("size"), F.count("*").alias("groups")).where("groups > 1")
-    mixed = named_members.join(split.drop("groups"), ["band", "hash"]).withColumn("asks", F.col("label") != F.col("major")).drop("major")
-    mixed = stage_table(mixed, "buckets")
+    groups = named_members.groupBy("first", "label").agg(F.count("*").alias("n"))
+    split = groups.groupBy("first").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("size"), F.count("*").alias("groups")).where("groups > 1")
+    mixed = named_members.join(split.drop("groups"), "first").withColumn("asks", F.col("label") != F.col("major")).drop("major")
+    mixed = stage_table(mixed, "stars")
     few, many = mixed.where(F.col("size") <= BLOCK), mixed.where(F.col("size") > BLOCK)
-    other = few.select("band", "hash", F.col("node").alias("other"), F.col("label").alias("of"), F.col("distance").alias("far"))
-    open_ = few.where("asks").join(other, ["band", "hash"]).where((F.col("label") != F.col("of")) & (F.abs(F.col("distance") - F.col("far")) <= reach))
+    other = few.select("first", F.col("node").alias("other"), F.col("label").alias("of"), F.col("distance").alias("far"))
+    open_ = few.where("asks").join(other, "first").where((F.col("label") != F.col("of")) & (F.abs(F.col("distance") - F.col("far")) <= reach))
     known = compared(open_.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")), known, texts, shingle, counted)
     tiles = tile_links(many, texts, threshold, shingle, counted)
     links = known.where(F.col("similarity") >= threshold).select("a", "b").union(tiles).union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))).union(one_id)
@@ -330,10 +333,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes; rows without an id belong to the class of their text, which is named by other rows' ids, or null. Other columns are ignored.
 
     With 24 bands of 4 a pair at 0.8 shares a band but for a chance of 3e-6. In a bucket all texts are compared with its first one
-    (a star, not all pairs; STARS different ones over the bands), which joins most of a bucket into one component. Where a bucket still holds several, its texts
-    outside the largest component are compared with the texts of other components: in small buckets as pairs, those only that the
-    triangle inequality leaves open, in large ones in tiles. So no link between components of a bucket is lost, hot
-    groups are split, and no bucket's pairs are listed. Only counts reach the driver. Ids are long integers.
+    (a star, not all pairs; STARS different ones over the bands), which joins most of a bucket into one component. Where a star's buckets together still hold several, the texts
+    outside the largest component are compared with the texts of other components: around small stars as pairs, those only that the
+    triangle inequality leaves open, around large ones in tiles. So no link between components of a bucket is lost, hot
+    groups are split, and no large bucket's pairs are listed. Only counts reach the driver. Ids are whole numbers of up to 64 bits; others are a TypeError.
     """
     classes = stage_table(text_classes(docs, id_col=id_col, text_col=text_col, **options), "classes")
     own = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("same"))

@@ -246,3 +246,10 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
 
 def test_empty_tables(empty):
     assert suffix_dedup.op4(empty).count() == minhash_dedup.op10(empty).count() == secret_scan.op6(empty).count() == language_id.op3(empty).count() == 0
+
+
+def test_ids_have_to_be_whole_numbers(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        minhash_dedup.near_duplicates(spark.createDataFrame([("a", "some text")], "doc_id string, text string"))
+    got = minhash_dedup.near_duplicates(spark.createDataFrame([(7, "some text"), (3, "some text")], "doc_id int, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.kept) for r in got) == [(3, 3, True), (7, 3, False)]
