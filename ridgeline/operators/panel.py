@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scalars import eastern_day_start, eastern_days_before
-from ridgeline.operators.asof import in_order, merged_rows
+from ridgeline.operators.asof import latest, segmented, span_of, usable
+from ridgeline.operators.stages import stored
 
 DAYS = 10
+#: Days in a span of a ticker's time; a span's fills are sorted together.
+SPAN_DAYS, SECONDS_A_DAY = 120, 86_400
+UNITS = {"SECOND": 1, "MILLISECOND": 1_000, "MICROSECOND": 1_000_000}
 CONTRACT = ("event_ticker", "series_ticker", "category", "close_t", "result", "in_r1_window", "in_r2_window")
 
 
@@ -22,22 +26,24 @@ def lookback_refs(day0: DataFrame, unit: str = "SECOND") -> DataFrame:
     return days.select("ticker", "lookback_day", eastern_days_before(F.col("t"), F.col("lookback_day"), unit).alias("ref_t"))
 
 
-def lookback_prices(markets: DataFrame, fills: DataFrame, unit: str = "SECOND") -> DataFrame:
+def lookback_prices(markets: DataFrame, fills: DataFrame, unit: str = "SECOND", span_days: int = SPAN_DAYS) -> DataFrame:
     """(ticker, lookback_day, ref_t, t, price, ...): the day-0 fill and its ten lookbacks, carried over silent days.
 
-    Two windows over one partitioning by ticker: the first finds the day-0 fill, whose ten lookbacks then join the rows that pass on
-    to the second. So the tape is read and dealt once.
+    Two passes over spans of a ticker's time, so that a hot ticker is the work of many tasks. The first, a sum that combines before it is dealt, keeps
+    of each span the last fill and the last one up to the close, and is stored: one row a ticker and span. The day-0 fill comes from these rows, and
+    so do the references of the second pass, which sorts each span's fills and references apart and carries the spans' last fills over. The
+    day-0 fill is its own lookback of no days, at its own instant.
     """
+    bucket = span_days * SECONDS_A_DAY * UNITS[unit]
     closing = closing_refs(markets)
-    first = merged_rows(closing, fills, ["lookback_day"]).withColumn("last", F.last("fill", ignorenulls=True).over(in_order("ticker")))
-    back = F.transform(F.sequence(F.lit(1), F.lit(DAYS)), lambda k: F.struct(eastern_days_before(F.col("last.t"), k, unit).alias("ref_t"), k.alias("lookback_day")))
-    asked = F.when(F.col("is_ref") == 0, F.array("ref")).when(F.col("last").isNotNull(), F.concat(F.array("ref"), back))
-    rows = first.select("ticker", "t", "is_ref", "fill", "trade_id", F.explode(asked).alias("ref"))
-    # what was asked at the close is settled; lookbacks stand at their own instant
-    later = (F.col("is_ref") == 1) & (F.col("ref.lookback_day") > 0)
-    second = rows.withColumn("t", F.when(later, F.col("ref.ref_t")).otherwise(F.col("t"))).withColumn("fill", F.last("fill", ignorenulls=True).over(in_order("ticker")))
-    found = second.where("is_ref = 1 and fill is not null")
-    return found.select("ticker", "ref.lookback_day", "ref.ref_t", F.col("fill.t").alias("t"), "fill.price", "fill.count_fp", "fill.taker_side", "fill.trade_id")
+    held = usable(fills).join(closing.select("ticker", "ref_t"), "ticker").groupBy("ticker", "ref_t", span_of("t", bucket).alias("span"))
+    ends = stored(held.agg(latest().alias("own"), latest(F.col("t") <= F.col("ref_t")).alias("closed")), "span-ends")
+    day0 = ends.where("closed is not null").groupBy("ticker", "ref_t").agg(F.max_by("closed", "span").alias("closed")).select("ticker", F.col("ref_t").alias("close_ref"), "closed.t")
+    days = day0.withColumn("lookback_day", F.explode(F.sequence(F.lit(0), F.lit(DAYS))))
+    at = F.when(F.col("lookback_day") == 0, F.col("t")).otherwise(eastern_days_before(F.col("t"), F.col("lookback_day"), unit))
+    refs = days.select("ticker", "lookback_day", "close_ref", at.alias("ref_t"))
+    found = segmented(refs, fills, ["lookback_day", "close_ref"], bucket, ends, closing)
+    return found.withColumn("ref_t", F.when(F.col("lookback_day") == 0, F.col("close_ref")).otherwise(F.col("ref_t"))).drop("close_ref")
 
 
 def dressed(prices: DataFrame, markets: DataFrame) -> DataFrame:

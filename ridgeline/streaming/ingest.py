@@ -41,15 +41,30 @@ def ingest(pages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return pages.writeStream.foreachBatch(lambda page, _: add_page(page, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def accepted(pages: DataFrame) -> DataFrame:
+    """Streaming fills with id and time, each trade_id once: a page that comes again, in this run or after a restart, adds nothing.
+
+    The ids seen are the stream's state, kept under its checkpoint and dealt by id; as old pages may come at any time, none is forgotten.
+    """
+    return pages.where(F.col("trade_id").isNotNull() & F.col("t").isNotNull()).dropDuplicates(["trade_id"])
+
+
 def running_totals(pages: DataFrame) -> DataFrame:
-    """Streaming count and dollar volume by ticker."""
-    return pages.groupBy("ticker").agg(F.count("*").alias("trades"), F.sum(F.col("count_fp") * F.col("price")).alias("dollars"))
+    """Streaming count and dollar volume by ticker, over each trade once. For output mode complete."""
+    return accepted(pages).groupBy("ticker").agg(F.count("*").alias("trades"), F.sum(F.col("count_fp") * F.col("price")).alias("dollars"))
 
 
 def population_monitor(pages: DataFrame, time: str = "ts", late: str = "2 days") -> DataFrame:
-    """Streaming daily share of fills with a known taker side. Rows later than the watermark are missing here, and only here."""
+    """Streaming daily share of fills with a known taker side, each trade once. Rows later than the watermark are missing here, and only
+    here: late_rows() tells how many."""
     day = F.window(time, "1 day")
-    return pages.withWatermark(time, late).groupBy(day.alias("day")).agg(F.count("*").alias("n"), (F.count("taker_side") / F.count("*")).alias("rate"))
+    once = pages.withWatermark(time, late).dropDuplicates(["trade_id", time])
+    return once.groupBy(day.alias("day")).agg(F.count("*").alias("n"), (F.count("taker_side") / F.count("*")).alias("rate"))
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and so were dropped, over the progress that the query still holds."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
 
 
 def pages_in(spark: SparkSession, folder: str, schema) -> DataFrame:

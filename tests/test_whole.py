@@ -158,3 +158,87 @@ def test_control_windows_outside_the_coverage_are_errors(spark):
         with pytest.raises(ValueError, match="coverage"):
             control.with_spine(monthly, first, last, A.CONTROL_MONTHS)
     assert control.with_spine(monthly, *A.CONTROL_MONTHS, A.CONTROL_MONTHS).count() == 24
+
+
+HOT = "trade_id string, ticker string, price double, count_fp double, taker_side string, t long"
+
+
+def hot_tape(spark):
+    """A ticker with most of the tape, over four years with silent stretches and ties, beside quiet ones."""
+    r = np.random.default_rng(8)
+    close = 1_400_000_000
+    days = np.concatenate((r.integers(0, 30, 3000), r.integers(700, 720, 500), r.integers(1300, 1400, 500)))
+    rows = [(f"h{i:05d}", "HOT", float(r.integers(1, 99)) / 100, 1.0, "yes", close - int(d) * 86_400 - int(r.integers(0, 5)) * 3600) for i, d in enumerate(days)]
+    rows += [(f"q{i}", f"Q{i % 7}", 0.5, 1.0, None, close - i * 40 * 86_400) for i in range(40)]
+    rows += [("late", "HOT", 0.99, 1.0, "no", close + 5), ("none", "HOT", None, 1.0, "no", close - 1)]
+    m = [(t, "E", "S", "C", "yes", close - (7 if t == "Q3" else 0) * 86_400 * 100, True, False) for t in ["HOT", *(f"Q{i}" for i in range(7)), "SILENT"]]
+    markets = spark.createDataFrame(m, "ticker string, event_ticker string, series_ticker string, category string, result string, close_t long, in_r1_window boolean, in_r2_window boolean")
+    return markets, spark.createDataFrame(rows, HOT), m, rows
+
+
+@pytest.mark.parametrize("span_days", [1, 45, 5000])
+def test_a_hot_ticker_is_parted_into_spans_in_both_panels(spark, span_days, monkeypatch):
+    from datetime import datetime, timedelta
+    from zoneinfo import ZoneInfo
+
+    from ridgeline.operators import panel
+
+    monkeypatch.setattr(panel.lookback_prices, "__defaults__", ("SECOND", span_days))
+    markets, fills, m, rows = hot_tape(spark)
+    eastern = ZoneInfo("America/New_York")
+
+    def last(ticker, t):
+        known = [x for x in rows if x[1] == ticker and x[2] is not None and x[5] <= t]
+        return min(known, key=lambda x: (-x[5], x[0])) if known else None
+
+    want, skip = {}, {}
+    for ticker, *_, close, _, _ in ((x[0], *x[1:]) for x in m):
+        first = last(ticker, close)
+        for k in range(11) if first else ():
+            at = close if k == 0 else int((datetime.fromtimestamp(first[5], eastern).replace(tzinfo=None) - timedelta(days=k)).replace(tzinfo=eastern).timestamp())
+            if found := last(ticker, at):
+                want[ticker, k] = found[2]
+                if datetime.fromtimestamp(found[5], eastern).date() == datetime.fromtimestamp(at, eastern).date():
+                    skip[ticker, k] = found[2]
+    both = {}
+    for name, make in (("all", panel.backfilled_panel), ("skip", panel.skip_panel)):
+        df = make(markets, fills)
+        both[name] = {(x.ticker, x.lookback_day): x.p for x in df.collect()}
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [w for w in plan.splitlines() if "Window [" in w and "last(fill" in w and "span" not in w], "fills are sorted by span, never by ticker alone"
+    assert both["all"] == want
+    assert both["skip"] == {k: v for k, v in skip.items() if (k[0], 0) in skip}
+
+
+def test_totals_take_each_trade_once_over_replays_old_pages_and_restarts(spark, tmp_path):
+    from ridgeline.operators import tape
+    from ridgeline.streaming import ingest
+
+    rows = [(f"t{i}", f"M{i % 3}", 0.25 + i % 2 / 2, 2.0, "yes" if i % 4 else None, 900_000_000 + i * 3600) for i in range(24)]
+    pages = [rows[:8], rows[4:12], rows[:8], rows[12:], [rows[0], rows[0], rows[23]]]
+    make = lambda part: spark.createDataFrame(part, HOT).withColumn("ts", F.timestamp_seconds("t"))
+    for n, page in enumerate(pages):
+        make(page).write.parquet(f"{tmp_path}/pages/{n}")
+        stream = ingest.running_totals(ingest.pages_in(spark, f"{tmp_path}/pages", make([]).schema))
+        q = stream.writeStream.format("memory").queryName(f"totals{n}").outputMode("complete").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        q.awaitTermination()
+    tape_ = spark.createDataFrame(rows, HOT)
+    want = tape.trade_counts(tape_).join(tape.dollar_volume(tape_), "ticker")
+    assert sorted(map(tuple, spark.table("totals4").collect())) == sorted(map(tuple, want.select("ticker", "trades", "dollars").collect()))
+
+
+def test_the_monitor_counts_each_trade_once_and_tells_of_late_rows(spark, tmp_path):
+    from ridgeline.streaming import ingest
+
+    day = 86_400
+    make = lambda part: spark.createDataFrame(part, HOT).withColumn("ts", F.timestamp_seconds("t"))
+    pages = [[("a", "M", 0.5, 1.0, "yes", 900_000_000), ("b", "M", 0.5, 1.0, None, 900_000_060)], [("a", "M", 0.5, 1.0, "yes", 900_000_000), ("c", "M", 0.5, 1.0, "no", 900_000_000 + 9 * day)], [("old", "M", 0.5, 1.0, "no", 900_000_000 - day), ("d", "M", 0.5, 1.0, "no", 900_000_000 + 20 * day)]]
+    dropped = 0
+    for n, page in enumerate(pages):
+        make(page).coalesce(1).write.parquet(f"{tmp_path}/pages/{n}")
+        stream = ingest.population_monitor(ingest.pages_in(spark, f"{tmp_path}/pages", make([]).schema))
+        q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        q.awaitTermination()
+        dropped += ingest.late_rows(q)
+    got = {r.day.start.day: (r.n, r.rate) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert (2, 0.5) in got.values() and dropped >= 1
