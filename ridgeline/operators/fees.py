@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.scalars import order_fee
 
-MOST_ENTRIES = 200
+MOST_ENTRIES = 200  # scope values, as each becomes a literal
 
 
 def kind_rank() -> Column:
@@ -20,34 +20,23 @@ def kind_rank() -> Column:
     return F.when(F.col("scope_kind") == "series", 1).when(F.col("scope_kind") == "ticker_prefix", 2).otherwise(3)
 
 
-def scope_rows(schedule: DataFrame) -> DataFrame:
-    """One row for each entry and scope value, with the date on which the next generation of its role and kind begins.
-
-    A list that is replaced stops counting as a whole, so a series that left it pays no more.
-    """
-    generation = schedule.select("role", "scope_kind", "effective_from").distinct()
-    following = F.lead("effective_from").over(Window.partitionBy("role", "scope_kind").orderBy("effective_from"))
-    entries = schedule.join(generation.withColumn("until", following), ["role", "scope_kind", "effective_from"])
-    values = F.coalesce("scope_values", F.array(F.lit(None).cast("string")))
-    return entries.select("ord", "effective_from", "until", "role", "form", "rate", "scope_kind", F.explode(values).alias("scope_value"))
-
-
 def lookup(asked: DataFrame, schedule: DataFrame) -> DataFrame:
     """asked (role, as_of date, ticker, series_ticker, ...) with form, rate and scope_kind of the entry in force; nulls for a gap.
 
     For each kind of scope the newest generation at the date counts, and of the kinds with a match the most specific. A
-    schedule of up to MOST_ENTRIES rows, as configurations are, becomes an expression over the row itself, so nothing is
-    shuffled; a longer one is joined.
+    schedule of up to MOST_ENTRIES scope values, as configurations are, becomes one expression over the row itself, so nothing is
+    shuffled; a longer one is joined. An entry without values counts as one.
     """
-    entries = schedule.select("ord", "effective_from", "role", "form", "rate", "scope_kind", "scope_values").limit(MOST_ENTRIES + 1).collect()
-    if len(entries) > MOST_ENTRIES:
+    each = F.size(F.coalesce("scope_values", F.array().cast("array<string>")))
+    if (schedule.agg(F.sum(F.greatest(each, F.lit(1)))).first()[0] or 0) > MOST_ENTRIES:
         return joined_lookup(asked, schedule)
+    entries = schedule.select("ord", "effective_from", "role", "form", "rate", "scope_kind", "scope_values").collect()
     begins: dict[tuple, list] = {}
     for e in entries:
         begins.setdefault((e["role"], e["scope_kind"]), []).append(e["effective_from"])
     rank = {"series": 1, "ticker_prefix": 2}
-    cases = []
-    for e in sorted(entries, key=lambda e: (rank.get(e["scope_kind"], 3), e["ord"])):
+    fee = F.lit(None).cast("struct<form:string,rate:double,scope_kind:string>")
+    for e in sorted(entries, key=lambda e: (rank.get(e["scope_kind"], 3), e["ord"]), reverse=True):
         until = min((d for d in begins[e["role"], e["scope_kind"]] if d > e["effective_from"]), default=None)
         fits = (F.col("role") == e["role"]) & (F.col("as_of") >= F.lit(e["effective_from"]))
         if until is not None:
@@ -57,34 +46,48 @@ def lookup(asked: DataFrame, schedule: DataFrame) -> DataFrame:
             fits = fits & F.col("series_ticker").isin(values)
         elif e["scope_kind"] == "ticker_prefix":
             fits = fits & functools.reduce(operator.or_, (F.startswith(F.col("ticker"), F.lit(v)) for v in values), F.lit(False))
-        cases.append((fits, e))
+        fields = (F.lit(e["form"]).cast("string").alias("form"), F.lit(e["rate"]).cast("double").alias("rate"), F.lit(e["scope_kind"]).alias("scope_kind"))
+        fee = F.when(fits, F.struct(*fields)).otherwise(fee)
+    return asked.select(*asked.columns, fee.alias("fee_")).select(*asked.columns, "fee_.form", "fee_.rate", "fee_.scope_kind")
 
-    def chosen(name: str, kind: str) -> Column:
-        """The field of the first entry that fits."""
-        out = F.lit(None).cast(kind)
-        for fits, e in reversed(cases):
-            out = F.when(fits, F.lit(e[name])).otherwise(out)
-        return out.alias(name)
 
-    return asked.select(*asked.columns, chosen("form", "string"), chosen("rate", "double"), chosen("scope_kind", "string"))
+def in_force(dates: DataFrame, schedule: DataFrame) -> DataFrame:
+    """(role, as_of, scope_kind, effective_from): the newest generation of each kind at each date.
+
+    Dates and generations are put in one order and the last generation is carried over, so no date meets more than one; the
+    rows are days of the calendar, whatever the length of the tape.
+    """
+    generations = schedule.select("role", "scope_kind", "effective_from").where("effective_from is not null").distinct()
+    kinds = generations.select("role", "scope_kind").distinct()
+    probes = dates.join(kinds, "role").select("role", "scope_kind", F.col("as_of").alias("day"), F.lit(None).cast("date").alias("begins"))
+    both = probes.unionByName(generations.select("role", "scope_kind", F.col("effective_from").alias("day"), F.col("effective_from").alias("begins")))
+    sofar = Window.partitionBy("role", "scope_kind").orderBy("day", F.col("begins").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("effective_from", F.last("begins", ignorenulls=True).over(sofar))
+    return found.where("begins is null and effective_from is not null").select("role", F.col("day").alias("as_of"), "scope_kind", "effective_from")
 
 
 def joined_lookup(asked: DataFrame, schedule: DataFrame) -> DataFrame:
-    """lookup() for schedules of any length: distinct combinations are looked up once and joined back."""
-    keys = ["role", "as_of", "ticker", "series_ticker"]
-    rows = scope_rows(schedule).withColumnsRenamed({"role": "f_role"})
+    """lookup() for schedules of any length: distinct combinations are looked up once, by equality, and joined back.
+
+    The generation in force depends on role and date alone. Within it a series is found by its name, and a prefix by each length
+    that prefixes have; kinds without values are settled with the date. Joins carry no hints: Spark broadcasts a schedule that
+    it has measured to be small, and parts a hot series of a longer one.
+    """
+    keys, entry = ["role", "as_of", "ticker", "series_ticker"], ["role", "scope_kind", "effective_from"]
+    scoped = F.col("scope_kind").isin("series", "ticker_prefix")
+    best = F.min_by(F.struct("form", "rate", "scope_kind"), F.struct("rank", "ord")).alias("fee")
+    rows = schedule.withColumn("rank", kind_rank())
+    listed = rows.where(scoped).withColumn("value", F.explode("scope_values"))
+    lengths = listed.where("scope_kind = 'ticker_prefix'").agg(F.collect_set(F.length("value"))).scalar()
     distinct = asked.select(*keys).distinct()
-    scope = (
-        (F.col("scope_kind") == "all")
-        | ((F.col("scope_kind") == "series") & (F.col("series_ticker") == F.col("scope_value")))
-        | ((F.col("scope_kind") == "ticker_prefix") & F.startswith(F.col("ticker"), F.col("scope_value")))
-    )
-    in_force = (F.col("as_of") >= F.col("effective_from")) & (F.col("until").isNull() | (F.col("as_of") < F.col("until")))
-    met = distinct.join(rows, (F.col("role") == F.col("f_role")) & in_force & scope)
-    best = met.groupBy(*keys).agg(F.min_by(F.struct("form", "rate", "scope_kind"), F.struct(kind_rank(), "ord")).alias("fee"))
-    best = best.withColumnsRenamed({k: f"k_{k}" for k in keys})
+    current = in_force(distinct.select("role", "as_of").distinct(), schedule)
+    general = distinct.join(current.join(rows.where(~scoped), entry).select("role", "as_of", "form", "rate", "scope_kind", "rank", "ord"), ["role", "as_of"])
+    names = F.when(F.col("scope_kind") == "series", F.array("series_ticker")).otherwise(F.transform("lengths_", lambda n: F.left(F.col("ticker"), n)))
+    tried = distinct.join(current.where(scoped), ["role", "as_of"]).withColumn("lengths_", lengths).withColumn("value", F.explode(names))
+    met = tried.join(listed.select(*entry, "value", "form", "rate", "rank", "ord"), [*entry, "value"])
+    found = met.select(*general.columns).unionByName(general).groupBy(*keys).agg(best).withColumnsRenamed({k: f"k_{k}" for k in keys})
     on = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
-    return asked.join(best, on, "left").select(*asked.columns, "fee.form", "fee.rate", "fee.scope_kind")
+    return asked.join(found, on, "left").select(*asked.columns, "fee.form", "fee.rate", "fee.scope_kind")
 
 
 SCHEDULE = "ord int, effective_from date, role string, form string, rate double, scope_kind string, scope_values array<string>"

@@ -79,22 +79,6 @@ def treated_share(flagged_markets: DataFrame) -> DataFrame:
     return flagged_markets.groupBy(month_key(F.col("close_t")).alias("month")).agg(F.count("*").alias("n"), F.avg(F.col("now").cast("double")).alias("share"), (F.sum(v * F.col("now")) / F.sum(v)).alias("volume_share"))
 
 
-def nearest_rank(rows: DataFrame, value: Column, shares: list[float], cell: float = 0.01) -> DataFrame:
-    """(share, value): the values at index floor(share x n) of the sorted values.
-
-    Values are counted before they are ordered, and ordered within cells of width `cell`, so the one-partition window sees the cells'
-    sums only.
-    """
-    counts = rows.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n")).withColumn("cell", F.floor(F.col("v") / cell))
-    cells = counts.groupBy("cell").agg(F.sum("n").alias("m"))
-    whole, earlier = Window.partitionBy(), Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("cell", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("below"), F.sum("m").over(whole).alias("total"))
-    upto = counts.join(cells, "cell").withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy("cell").orderBy("v")))
-    asked = upto.select("v", "upto", "total", F.explode(F.array(*map(F.lit, shares))).alias("share"))
-    at = F.least(F.floor(F.col("share") * F.col("total")), F.col("total") - 1)
-    return asked.where(F.col("upto") > at).groupBy("share").agg(F.min("v").alias("value"))
-
-
 def exceedances(rows: DataFrame, value: Column, thresholds: list[float]) -> DataFrame:
     each = rows.select(value.alias("v"), F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
     return each.groupBy("threshold").agg(F.count_if(F.col("v") > F.col("threshold")).alias("n"), F.avg(F.when(F.col("v") > F.col("threshold"), 1.0).otherwise(0.0)).alias("rate"))

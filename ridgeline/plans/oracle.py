@@ -89,6 +89,14 @@ CTES: dict[str, str] = {
     "fee_rows": """
   SELECT f.ord, f.role, f.form, f.rate, f.scope_kind, f.effective_from, g.until, unnest(coalesce(f.scope_values, [NULL])) AS v
   FROM fee f JOIN generation g USING (role, scope_kind, effective_from)""",
+    "listed": f"""
+  SELECT CAST({ORDINAL.format(t='close_t')} + 100 AS INTEGER) AS ord, CAST(date_trunc('month', {UTC_DAY.format(t='close_t')}) AS DATE) AS effective_from, 'maker' AS role, 'quadratic' AS form,
+    CAST(0.01 AS DOUBLE) + {ORDINAL.format(t='close_t')} % 4 * CAST(0.0025 AS DOUBLE) AS rate, 'series' AS scope_kind, list_sort(list(DISTINCT series_ticker)) AS scope_values FROM markets WHERE volume_fp >= 2500 GROUP BY 1, 2, 5
+  UNION ALL SELECT CAST({ORDINAL.format(t='close_t')} // 3 + 100000 AS INTEGER) AS ord, CAST(date_trunc('quarter', {UTC_DAY.format(t='close_t')}) AS DATE) AS effective_from, 'taker', 'quadratic', CAST(0.035 AS DOUBLE), 'ticker_prefix', list_sort(list(DISTINCT left(ticker, 3))) FROM markets WHERE volume_fp >= 4000 GROUP BY 1, 2
+  UNION ALL SELECT ord, effective_from, role, form, rate, scope_kind, scope_values FROM fee WHERE ord = 2""",
+    "listed_rows": """
+  SELECT f.ord, f.role, f.form, f.rate, f.scope_kind, f.effective_from, g.until, unnest(coalesce(f.scope_values, [NULL])) AS v
+  FROM listed f JOIN (SELECT *, lead(effective_from) OVER (PARTITION BY role, scope_kind ORDER BY effective_from) AS until FROM (SELECT DISTINCT role, scope_kind, effective_from FROM listed)) g USING (role, scope_kind, effective_from)""",
     "panel_asked": f"SELECT *, 'taker' AS role, {UTC_DAY.format(t='close_t')} AS as_of FROM panel",
     "panel_fee": f"SELECT *, CASE WHEN count_fp > 0 THEN {FEE.format(f='form', r='rate', c='count_fp', p='p')} END AS fee FROM ({LOOKUP.format(asked='panel_asked')})",
     "doubled_asked": f"""

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import scalars as S
-from ridgeline.operators import asof, compose, control, did, fees, panel, profiles, regression, returns, tape, universe
+from ridgeline.operators import asof, compose, control, did, fees, panel, profiles, regression, returns, selection, tape, universe
 from ridgeline.operators.stages import stored
 from ridgeline.plans.oracle import BAND, DAY_START, FEE, LOOKUP, MONTH, ORDINAL, SHIFT, UTC_DAY, did_sql, event_moments_sql, mz_sql, sql, wild_shifts_sql
 from ridgeline.sources import adapters as A
@@ -94,6 +94,10 @@ class Tables:
     def make_control(self) -> DataFrame:
         return control.control_panel(self.control_markets, self.control_trades, A.EPOCH_1997, A.WINDOW_END, control.RULES, ["slug"], ("volume",), A.CONTROL_COVERAGE)
 
+    def make_listed(self) -> DataFrame:
+        """The long schedule, drawn from the markets once."""
+        return stored(A.listed_schedule(self.markets), "listed")
+
     def make_grid(self) -> DataFrame:
         return fees.default_grid(fees.sourced_maker_rate(self.schedule))
 
@@ -394,6 +398,14 @@ def c9_fee_lookup(d):
     return fees.lookup(asked, d.schedule)
 
 
+@query(f"WITH fa AS ({FEE_ASKED}) SELECT role, as_of, ticker, series_ticker, form, rate, scope_kind FROM ({LOOKUP.format(asked='fa').replace('fee_rows', 'listed_rows')})")
+def c10_listed_fee_lookup(d):
+    """Every day's fills against a schedule of many generations, series and prefixes, by joins of equality."""
+    rows = d.raw_fills.join(d.markets.select("ticker", "series_ticker"), "ticker")
+    asked = rows.select(F.explode(F.array(F.lit("taker"), F.lit("maker"))).alias("role"), S.utc_date(F.col("t")).alias("as_of"), "ticker", "series_ticker").distinct()
+    return fees.lookup(asked, d.listed)
+
+
 @query("SELECT f.trade_id, m.event_ticker, m.series_ticker, m.category FROM fills f LEFT JOIN markets m USING (ticker)")
 def c11_enrichment(d):
     rows = tape.scan(d.raw_fills, columns=["trade_id", "ticker"])
@@ -615,7 +627,7 @@ def reported_gap(d):
     f"WITH s AS (SELECT round(v, 6) AS v, row_number() OVER (ORDER BY round(v, 6)) - 1 AS i, count(*) OVER () AS n FROM ({REPORTED})) SELECT CAST(q AS DOUBLE) AS share, v AS value FROM s, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE)) x(q) WHERE i = least(CAST(floor(q * n) AS BIGINT), n - 1)"
 )
 def d21_close_validation_ranks(d):
-    return profiles.nearest_rank(reported_gap(d), F.round("v", 6), [0.5, 0.9, 0.95])
+    return selection.nearest_rank(reported_gap(d), [], F.round("v", 6), [0.5, 0.9, 0.95])
 
 
 @query(
@@ -668,8 +680,8 @@ def d28_quote_availability(d):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi FROM events GROUP BY event_type")
 def d29_percentiles(d):
-    ends = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
-    return rounded(d.base("events").groupBy("event_type").agg(ends.alias("e")).select("event_type", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi")))
+    ends = selection.percentiles(d.base("events"), ["event_type"], F.col("value"), [0.025, 0.975])
+    return rounded(ends.groupBy("event_type").agg(F.max(F.when(F.col("share") == 0.025, F.col("value"))).alias("lo"), F.max(F.when(F.col("share") == 0.975, F.col("value"))).alias("hi")))
 
 
 # --- windows, sorts, sets --------------------------------------------------------------------------------------------
@@ -722,6 +734,20 @@ def g4_membership_bounds(d):
     return both.select("a", "b", F.array_join(lower, ",").alias("lower"), F.array_join(upper, ",").alias("upper"))
 
 
+@query(
+    "SELECT role, scope_kind, effective_from, array_to_string(list_sort(list_intersect(before, scope_values)), ',') AS lower, array_to_string(list_sort(list_distinct(list_concat(before, scope_values))), ',') AS upper "
+    "FROM (SELECT *, lag(scope_values) OVER (PARTITION BY role, scope_kind ORDER BY effective_from) AS before FROM listed) WHERE before IS NOT NULL"
+)
+def g4_listed_bounds(d):
+    """Each list of the markets' schedule against the one that it replaced; generations are months of the calendar."""
+    from ridgeline.operators.texts import bounds
+
+    before = F.lag("scope_values").over(Window.partitionBy("role", "scope_kind").orderBy("effective_from"))
+    both = d.listed.withColumn("before", before).where("before is not null")
+    lower, upper = bounds(F.col("before"), F.col("scope_values"))
+    return both.select("role", "scope_kind", "effective_from", F.array_join(lower, ",").alias("lower"), F.array_join(upper, ",").alias("upper"))
+
+
 @query(f"(SELECT ticker, lookback_day, p FROM panel EXCEPT ALL {OTHER}) UNION ALL ({OTHER} EXCEPT ALL SELECT ticker, lookback_day, p FROM panel)")
 def g5_build_difference(d):
     a = d.panel.select("ticker", "lookback_day", "p")
@@ -980,6 +1006,18 @@ def i16_swept_schedule(d):
     return rows.join(F.broadcast(member), "ord", "left").withColumn("markets", F.coalesce("markets", F.lit(0)))
 
 
+LISTED_GRID = "SELECT 0.0::DOUBLE AS grid_rate UNION SELECT DISTINCT round(rate * 0.5 + i * rate / 9, 8) FROM (SELECT arg_max(rate, effective_from) AS rate FROM listed WHERE role = 'maker' AND form <> 'none' AND rate <> 0), range(0, 10) r(i)"
+
+
+@query(f"SELECT f.ord, g.grid_rate, CASE WHEN f.role = 'maker' AND f.form <> 'none' AND f.rate <> 0 THEN g.grid_rate ELSE f.rate END AS rate, count(m.ticker) AS markets FROM listed f CROSS JOIN ({LISTED_GRID}) g LEFT JOIN markets m ON list_contains(f.scope_values, m.series_ticker) GROUP BY ALL")
+def i16_listed_sweep(d):
+    """The markets' schedule at each rate around its latest, with the number of markets that each list names by series."""
+    rows = fees.swept(d.listed, fees.default_grid(fees.sourced_maker_rate(d.listed))).select("ord", "grid_rate", "rate")
+    sizes = d.markets.groupBy("series_ticker").agg(F.count("*").alias("n"))
+    member = d.listed.select("ord", F.explode("scope_values").alias("series_ticker")).join(sizes, "series_ticker").groupBy("ord").agg(F.sum("n").alias("markets"))
+    return rows.join(member, "ord", "left").withColumn("markets", F.coalesce("markets", F.lit(0)))
+
+
 CROSSED = f"SELECT count(DISTINCT margin > 0) > 1 AS sign_flips FROM ({RIBBON})"
 REJECTS = "coalesce({lo} > 0 OR {hi} < 0, FALSE)"
 TRIGGERS = f"""SELECT concat_ws(',', CASE WHEN d.n = 2 THEN 'did_fee_significant_in_both_fits' END, CASE WHEN {REJECTS.format(lo='e - 1.96 * s', hi='e + 1.96 * s')} THEN 'delta_bar_pub_significant' END,

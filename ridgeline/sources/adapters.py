@@ -128,6 +128,19 @@ def fee_schedule(spark: SparkSession) -> DataFrame:
     return rows.withColumn("effective_from", F.to_date("effective")).drop("effective")
 
 
+def listed_schedule(markets: DataFrame) -> DataFrame:
+    """A long schedule drawn from the markets: each closing month lists the series of its large contracts for makers, each quarter
+    the ticker prefixes of its largest for takers, and one rate holds for all other takers."""
+    closed = F.timestamp_seconds("close_t").cast("date")
+    ordinal = F.year(closed) * 12 + F.month(closed) - 1
+    rows = markets.select("ticker", "series_ticker", "volume_fp", closed.alias("day"), ordinal.alias("ordinal"))
+    series = rows.where("volume_fp >= 2500").groupBy(F.trunc("day", "month").alias("effective_from"), "ordinal").agg(F.sort_array(F.collect_set("series_ticker")).alias("scope_values"))
+    series = series.select((F.col("ordinal") + 100).alias("ord"), "effective_from", F.lit("maker").alias("role"), F.lit("quadratic").alias("form"), (F.lit(0.01) + F.col("ordinal") % 4 * F.lit(0.0025)).alias("rate"), F.lit("series").alias("scope_kind"), "scope_values")
+    prefixes = rows.where("volume_fp >= 4000").groupBy(F.trunc("day", "quarter").alias("effective_from"), F.floor(F.col("ordinal") / 3).cast("int").alias("quarter")).agg(F.sort_array(F.collect_set(F.left("ticker", F.lit(3)))).alias("scope_values"))
+    prefixes = prefixes.select((F.col("quarter") + 100_000).alias("ord"), "effective_from", F.lit("taker").alias("role"), F.lit("quadratic").alias("form"), F.lit(0.035).alias("rate"), F.lit("ticker_prefix").alias("scope_kind"), "scope_values")
+    return series.union(prefixes).union(fee_schedule(markets.sparkSession).where("ord = 2").select(series.columns))
+
+
 def control_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     prices = F.when(k % 17 == 0, "[]").when(k % 2 == 0, "['1', '0']").otherwise("[0.0, 1.0]")

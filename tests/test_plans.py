@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.operators import asof, compose, control, did, fees, panel, profiles, returns, tape, texts, universe
+from ridgeline.operators import asof, compose, control, did, fees, panel, profiles, returns, selection, tape, texts, universe
 from ridgeline.plans import jobs, registry
 from ridgeline.sources import adapters as A
 
@@ -71,6 +71,35 @@ def test_lookup_equals_the_join(spark, monkeypatch):
     assert sorted(map(str, fees.lookup(df, schedule).collect())) == sorted(map(str, want.collect()))
 
 
+def test_long_schedules_are_joined_by_equality(spark):
+    """500 prefixes and 5,000 series in many generations, against a plain loop over the entries."""
+    r = random.Random(5)
+    day = lambda: datetime.date(r.randrange(1995, 2002), r.randrange(1, 13), 1)
+    entries = [(1, day(), "taker", "quadratic", 0.07, "all", None), (2, day(), "maker", "none", 0.0, "all", []), (3, day(), "taker", "none", 0.0, "all", ["ignored"])]
+    for n in range(4, 44):
+        kind = r.choice(["series", "ticker_prefix"])
+        values = [f"S{r.randrange(5000)}" for _ in range(250)] if kind == "series" else ["P" * r.randrange(0, 3) + str(r.randrange(500)) for _ in range(25)]
+        entries.append((n, day(), r.choice(["taker", "maker"]), "quadratic", n / 1000, kind, [*values, None]))
+    schedule = spark.createDataFrame(entries, fees.SCHEDULE)
+    asked = [(r.choice(["maker", "taker", None]), r.choice([None, day(), day(), day()]), r.choice([None, f"P{r.randrange(900)}", f"PP{r.randrange(900)}", "", f"{r.randrange(99)}"]), r.choice([None, f"S{r.randrange(5000)}", f"S{r.randrange(5000)}"])) for _ in range(400)]
+    found = fees.lookup(spark.createDataFrame(asked, "role string, as_of date, ticker string, series_ticker string"), schedule)
+    plan = plan_of(found)
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+    def fee(role, as_of, ticker, series):
+        hits = []
+        for n, begins, entry_role, form, rate, kind, values in entries:
+            newest = max((e[1] for e in entries if as_of and (e[2], e[5]) == (role, kind) and e[1] <= as_of), default=None)
+            named = {"all": True, "series": series is not None and series in (values or []), "ticker_prefix": ticker is not None and any(v is not None and ticker.startswith(v) for v in values or [])}[kind]
+            if entry_role == role and newest == begins and named:
+                hits.append((["series", "ticker_prefix", "all"].index(kind), n, form, rate, kind))
+        return min(hits)[2:] if hits else (None, None, None)
+
+    rows = [tuple(x) for x in found.collect()]
+    assert sorted(map(str, rows)) == sorted(str((*a, *fee(*a))) for a in asked)
+    assert {x[6] for x in rows} == {None, "all", "series", "ticker_prefix"}
+
+
 def test_months_reach_the_scan(spark):
     plan = plan_of(registry.QUERIES["a1_tape_scan_months"](spark, SF))
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(l_shipdate", plan)
@@ -124,14 +153,24 @@ def test_windows_keep_their_own_contracts(spark):
     assert {x.window for x in universe.exclusion_log(first, "branch").select("window").distinct().collect()} == {"branch"}
 
 
-@pytest.mark.parametrize("cell", [0.01, 0.5, 100.0])
-def test_nearest_ranks(spark, cell):
+@pytest.mark.parametrize("digits", [0, 2, 9])
+def test_nearest_ranks_and_percentiles(spark, digits):
+    """Groups of very different size, one value that is a third of its group, a null group, nulls, and a group of nulls alone."""
     r = np.random.default_rng(1)
-    values = np.round(r.normal(size=500), 2)
-    df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    got = {x.share: x.value for x in profiles.nearest_rank(df, F.col("v"), [0.0, 0.5, 0.9, 1.0], cell).collect()}
-    ranked = np.sort(values)
-    assert got == {q: ranked[min(int(q * 500), 499)] for q in (0.0, 0.5, 0.9, 1.0)}
+    rows = [("hot", float(v)) for v in np.round(r.normal(size=500), digits)] + [("hot", 0.25)] * 250 + [("one", 7.0), ("two", 1.0), ("two", 2.0), (None, 3.0), (None, -0.0), (None, 0.0), ("hot", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = [0.0, 0.025, 0.5, 0.9, 1.0]
+    near = {(x.g, x.share): x.value for x in selection.nearest_rank(df, ["g"], F.col("v"), shares).collect()}
+    lines = {(x.g, x.share): x.value for x in selection.percentiles(df, ["g"], F.col("v"), shares).collect()}
+    assert {g for g, _ in near} == {"hot", "one", "two", None} and near.keys() == lines.keys()
+    for g, q in near:
+        values = np.sort([v for k, v in rows if k == g and v is not None])
+        assert near[g, q] == values[min(int(q * len(values)), len(values) - 1)]
+        assert lines[g, q] == pytest.approx(np.percentile(values, q * 100), abs=1e-12)
+    whole = {x.share: x.value for x in selection.nearest_rank(df, [], F.col("v"), shares).collect()}
+    every = np.sort([v for _, v in rows if v is not None])
+    assert whole == {q: every[min(int(q * len(every)), len(every) - 1)] for q in shares}
+    assert selection.percentiles(df.where("false"), ["g"], F.col("v"), shares).count() == 0
 
 
 def test_newest_fills_by_source(spark):
