@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ridgeline.operators import snapshots
 from ridgeline.operators.tape import dedup
 
 
@@ -41,6 +42,12 @@ def ingest(pages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return pages.writeStream.foreachBatch(lambda page, _: add_page(page, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_snapshots(pages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """ingest() into a tape of snapshots: readers see whole batches alone, and a batch that is run again after its version was
+    published is known by its number in the manifest and not read against the tape."""
+    return pages.writeStream.foreachBatch(lambda page, n: snapshots.append(page, path, (checkpoint, n))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def accepted(pages: DataFrame) -> DataFrame:
     """Streaming fills with id and time, each trade_id once: a page that comes again, in this run or after a restart, adds nothing.
 
