@@ -18,19 +18,18 @@ def tick_collapse(ticks: DataFrame) -> DataFrame:
     return best.agg(F.min_by(F.struct(*FILL), "trade_id").alias("fill")).select("ticker", "t", "fill.*")
 
 
-def latest(when: Column | None = None) -> Column:
-    """Aggregate: the last fill, of those for which `when` holds; of one instant the one of the smallest trade_id."""
-    order = F.struct((-F.col("t")).alias("t"), F.col("trade_id").alias("trade_id"))
-    return F.min_by(F.struct("t", *FILL), order if when is None else F.when(when, order))
+def latest() -> Column:
+    """Aggregate: the last fill; of one instant the one of the smallest trade_id."""
+    return F.min_by(F.struct("t", *FILL), F.struct((-F.col("t")).alias("t"), F.col("trade_id").alias("trade_id")))
 
 
-def merged_rows(refs: DataFrame, ticks: DataFrame, keys: list[str], tickers: DataFrame | None = None) -> DataFrame:
-    """References and usable fills of their tickers as rows of one table (ticker, t, is_ref, ref, fill, trade_id).
+def of_refs(ticks: DataFrame, refs: DataFrame) -> DataFrame:
+    return usable(ticks).join(refs.select("ticker").distinct(), "ticker", "left_semi")
 
-    tickers: a cheaper table of all tickers that refs may have.
-    """
+
+def merged_rows(refs: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """References and usable fills as rows of one table (ticker, t, is_ref, ref, fill, trade_id)."""
     asked = refs.select("ticker", F.col("ref_t").alias("t"), F.lit(1).alias("is_ref"), F.struct("ref_t", *keys).alias("ref"), F.lit(None).cast("string").alias("trade_id"))
-    known = usable(ticks).join((refs if tickers is None else tickers).select("ticker").distinct(), "ticker", "left_semi")
     known = known.select("ticker", "t", F.lit(0).alias("is_ref"), F.struct("t", *FILL).alias("fill"), "trade_id")
     return asked.unionByName(known, allowMissingColumns=True)
 
@@ -44,19 +43,24 @@ def span_of(t: str, bucket: int) -> Column:
     return F.floor(F.col(t) / bucket).cast("long")
 
 
-def segmented(refs: DataFrame, ticks: DataFrame, keys: list[str], bucket: int, ends: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
+def answers(found: DataFrame) -> DataFrame:
+    return found.where("fill is not null").select("ticker", "ref.*", F.col("fill.t").alias("t"), "fill.price", "fill.count_fp", "fill.taker_side", "fill.trade_id")
+
+
+def segmented(refs: DataFrame, ticks: DataFrame, keys: list[str], bucket: int) -> DataFrame:
     """The as-of join by spans: rows of a ticker's span are sorted apart, and a reference before its span's first fill takes what is carried over.
 
-    ends: (ticker, span, own), the last fill of each span that has any; one small row a span, which alone meet by ticker.
+    The last fills of the spans, one small row each, alone meet by ticker.
     """
-    merged = merged_rows(refs, ticks, keys, tickers).withColumn("span", span_of("t", bucket))
+    known = of_refs(ticks, refs)
+    ends = known.groupBy("ticker", span_of("t", bucket).alias("span")).agg(latest().alias("own"))
+    merged = merged_rows(refs, known, keys).withColumn("span", span_of("t", bucket))
     asked = refs.select("ticker", span_of("ref_t", bucket).alias("span")).distinct()
-    marks = ends.select("ticker", "span", "own").unionByName(asked, allowMissingColumns=True).groupBy("ticker", "span").agg(F.first("own", ignorenulls=True).alias("own"))
+    marks = ends.unionByName(asked, allowMissingColumns=True).groupBy("ticker", "span").agg(F.first("own", ignorenulls=True).alias("own"))
     before = Window.partitionBy("ticker").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     carried = marks.select("ticker", "span", F.last("own", ignorenulls=True).over(before).alias("carried")).where("carried is not null")
     seen = merged.withColumn("fill", F.last("fill", ignorenulls=True).over(in_order("ticker", "span"))).where("is_ref = 1")
-    found = seen.join(carried, ["ticker", "span"], "left").withColumn("fill", F.coalesce("fill", "carried")).where("fill is not null")
-    return found.select("ticker", "ref.*", F.col("fill.t").alias("t"), "fill.price", "fill.count_fp", "fill.taker_side", "fill.trade_id")
+    return answers(seen.join(carried, ["ticker", "span"], "left").withColumn("fill", F.coalesce("fill", "carried")))
 
 
 def last_trade_at_or_before(refs: DataFrame, ticks: DataFrame, keys: list[str], bucket: int | None = None) -> DataFrame:
@@ -70,10 +74,6 @@ def last_trade_at_or_before(refs: DataFrame, ticks: DataFrame, keys: list[str],
     tasks; the last fill of each span, one small row, is carried over to the spans after it.
     """
     if bucket is not None:
-        held = usable(ticks).join(refs.select("ticker").distinct(), "ticker", "left_semi")
-        ends = held.groupBy("ticker", span_of("t", bucket).alias("span")).agg(latest().alias("own"))
-        return segmented(refs, ticks, keys, bucket, ends)
-    merged = merged_rows(refs, ticks, keys)
-    seen = merged.withColumn("fill", F.last("fill", ignorenulls=True).over(in_order("ticker")))
-    found = seen.where("is_ref = 1 and fill is not null")
-    return found.select("ticker", "ref.*", F.col("fill.t").alias("t"), "fill.price", "fill.count_fp", "fill.taker_side", "fill.trade_id")
+        return segmented(refs, ticks, keys, bucket)
+    merged = merged_rows(refs, of_refs(ticks, refs), keys)
+    return answers(merged.withColumn("fill", F.last("fill", ignorenulls=True).over(in_order("ticker"))).where("is_ref = 1"))

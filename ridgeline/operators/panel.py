@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scalars import eastern_day_start, eastern_days_before
-from ridgeline.operators.asof import latest, segmented, span_of, usable
+from ridgeline.operators.asof import latest, span_of, usable
 from ridgeline.operators.stages import stored
 
 DAYS = 10
-#: Days in a span of a ticker's time; a span's fills are sorted together.
+#: Days in a span of a ticker's time: what the second pass reads or leaves out together.
 SPAN_DAYS, SECONDS_A_DAY = 120, 86_400
 UNITS = {"SECOND": 1, "MILLISECOND": 1_000, "MICROSECOND": 1_000_000}
 CONTRACT = ("event_ticker", "series_ticker", "category", "close_t", "result", "in_r1_window", "in_r2_window")
@@ -29,21 +31,41 @@ def lookback_refs(day0: DataFrame, unit: str = "SECOND") -> DataFrame:
 def lookback_prices(markets: DataFrame, fills: DataFrame, unit: str = "SECOND", span_days: int = SPAN_DAYS) -> DataFrame:
     """(ticker, lookback_day, ref_t, t, price, ...): the day-0 fill and its ten lookbacks, carried over silent days.
 
-    Two passes over spans of a ticker's time, so that a hot ticker is the work of many tasks. The first, a sum that combines before it is dealt, keeps
-    of each span the last fill and the last one up to the close, and is stored: one row a ticker and span. The day-0 fill comes from these rows, and
-    so do the references of the second pass, which sorts each span's fills and references apart and carries the spans' last fills over. The
-    day-0 fill is its own lookback of no days, at its own instant.
+    Two passes over spans of a ticker's time. The first hashes instants alone: of each span the first and last fill's, and the last one's up to
+    the close; stored, one row a ticker and span. These rows say where the day-0 fill lies, hence where the lookbacks stand, and which span
+    answers each: the last one to begin at or before it. A reference's stop is its instant or its span's last fill, whichever is earlier. The
+    second pass reads whole fills of the spans asked, and keeps the last one of each stretch between stops, combined before it is dealt; each of
+    these few rows answers the references from its stop to the next. So no window holds the fills of a ticker, hot or not.
+    The day-0 fill is its own lookback of no days, at its own instant.
     """
     bucket = span_days * SECONDS_A_DAY * UNITS[unit]
-    closing = closing_refs(markets)
-    held = usable(fills).join(closing.select("ticker", "ref_t"), "ticker").groupBy("ticker", "ref_t", span_of("t", bucket).alias("span"))
-    ends = stored(held.agg(latest().alias("own"), latest(F.col("t") <= F.col("ref_t")).alias("closed")), "span-ends")
-    day0 = ends.where("closed is not null").groupBy("ticker", "ref_t").agg(F.max_by("closed", "span").alias("closed")).select("ticker", F.col("ref_t").alias("close_ref"), "closed.t")
-    days = day0.withColumn("lookback_day", F.explode(F.sequence(F.lit(0), F.lit(DAYS))))
-    at = F.when(F.col("lookback_day") == 0, F.col("t")).otherwise(eastern_days_before(F.col("t"), F.col("lookback_day"), unit))
-    refs = days.select("ticker", "lookback_day", "close_ref", at.alias("ref_t"))
-    found = segmented(refs, fills, ["lookback_day", "close_ref"], bucket, ends, closing)
-    return found.withColumn("ref_t", F.when(F.col("lookback_day") == 0, F.col("close_ref")).otherwise(F.col("ref_t"))).drop("close_ref")
+    closing = closing_refs(markets).select("ticker", F.col("ref_t").alias("close_ref"))
+    held = usable(fills).join(closing, "ticker").groupBy("ticker", "close_ref", span_of("t", bucket).alias("span"))
+    closed = F.max(F.when(F.col("t") <= F.col("close_ref"), F.col("t")))
+    spans = stored(held.agg(F.min("t").alias("begins"), F.max("t").alias("ends"), closed.alias("closed")), "spans")
+
+    def within(of: str, instant: Callable[[Column], Column], since: str) -> Column:
+        """The references whose instant lies from one row's to the next one's."""
+        return F.filter(of, lambda r: (instant(r) >= F.col(since)) & (F.col("next").isNull() | (instant(r) < F.col("next"))))
+
+    contract = Window.partitionBy("ticker", "close_ref")
+    by_span = contract.orderBy("span")
+    marked = spans.withColumns({"next": F.lead("begins").over(by_span), "day0": F.max("closed").over(by_span.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+
+    # most spans are told to answer nothing before a time zone is asked: ten Eastern days are less than eleven days
+    earliest = F.col("day0") - (DAYS + 1) * SECONDS_A_DAY * UNITS[unit]
+    near = marked.where((F.col("begins") <= F.col("day0")) & (F.col("next").isNull() | (F.col("next") > earliest)))
+    instants = F.transform(F.sequence(F.lit(0), F.lit(DAYS)), lambda k: F.when(k == 0, F.col("day0")).otherwise(eastern_days_before(F.col("day0"), k, unit)))
+    back = near.withColumn("back", F.transform(instants, lambda at, k: F.struct(k.alias("lookback_day"), at.alias("ref_t"), F.least(at, "ends").alias("stop"))))
+    asked = back.select("ticker", "close_ref", "span", within("back", lambda r: r.ref_t, "begins").alias("refs"))
+    read = usable(fills).withColumn("span", span_of("t", bucket)).join(asked, ["ticker", "span"])
+    stretch = read.withColumn("stop", F.array_min(F.filter("refs.stop", lambda stop: stop >= F.col("t")))).where("stop is not null")
+    # without the span as a key, rows are combined before they are dealt, and a skewed join can be split
+    few = stretch.groupBy("ticker", "close_ref", "stop").agg(latest().alias("fill"), F.first("refs").alias("refs"))
+    few = few.withColumn("next", F.lead("stop").over(contract.orderBy("stop")))
+    found = few.withColumn("ref", F.explode(within("refs", lambda r: r.stop, "stop")))
+    ref_t = F.when(F.col("ref.lookback_day") == 0, F.col("close_ref")).otherwise(F.col("ref.ref_t"))
+    return found.select("ticker", "ref.lookback_day", ref_t.alias("ref_t"), "fill.*")
 
 
 def dressed(prices: DataFrame, markets: DataFrame) -> DataFrame:
