@@ -197,25 +197,28 @@ def tile_links(members: DataFrame, texts: DataFrame, threshold: float, shingle:
 
     Members that ask, those outside a star's largest component, are compared exactly with members of other components. Similar texts
     are of similar size, and of similar distance to the star's first text; so members lie in cells by both, and those that ask
-    visit the cells around their own. Cells that nobody visits are never dealt. A tile returns for each text one link to the
+    visit the cells around their own, found once for a cell. Cells that nobody visits are never dealt. A tile returns for each text one link to the
     least text that it is connected with there, never its pairs. A text is a member of a star once, however many buckets they share.
     """
     reach = 1 - threshold + 1e-9
     cell = F.struct(F.floor(F.log("elements_n") / -math.log(threshold)).alias("size"), F.floor(F.col("distance") / reach).alias("ring"))
     held = members.select("first", "node", "label", "asks", cell.alias("cell"))
     key = ["first", "cell"]
+    sizes = stage_table(held.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("asks").alias("asking")), "sizes")
+    # cells look for their neighbours, not their members: what is listed is at most nine rows a cell, whatever it holds
     near = F.array(*(F.struct((F.col("cell.size") + i).alias("size"), (F.col("cell.ring") + j).alias("ring")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    visits = held.where("asks").select("first", F.explode(near).alias("cell"))
+    visits = sizes.where("asking > 0").select("first", F.col("cell").alias("home"), "asking", F.explode(near).alias("cell")).join(sizes.select(*key, "n"), key)
     parts = lambda n: F.ceil(F.col(n) / TILE).cast("int")
-    cells = held.groupBy(*key).agg(F.count("*").alias("n")).join(visits.groupBy(*key).agg(F.count("*").alias("visitors")), key)
-    cells = stage_table(cells.select(*key, parts("n").alias("rows"), parts("visitors").alias("columns")), "cells")
+    cells = visits.groupBy(*key, "n").agg(F.sum("asking").alias("visitors"), F.collect_list("home").alias("homes"))
+    cells = stage_table(cells.select(*key, parts("n").alias("rows"), parts("visitors").alias("columns"), "homes"), "cells")
     # the elements are joined once for each member, before members and visitors are dealt to tiles
     sets = element_sets(texts.join(members.select("node").distinct(), "node", "left_semi"), shingle, counted)
     held = held.join(sets, "node")
     dealt = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
     all_of = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     own = held.join(cells, key).select(*key, "node", "label", "elements", F.lit(False).alias("asks"), dealt("rows").alias("row"), all_of("columns").alias("column"))
-    guests = held.where("asks").withColumn("cell", F.explode(near)).join(cells, key)
+    homes = cells.select("first", "cell", "rows", "columns", F.explode("homes").alias("home"))
+    guests = held.where("asks").withColumnRenamed("cell", "home").join(homes, ["first", "home"])
     guests = guests.select(*key, "node", "label", "elements", F.lit(True).alias("asks"), dealt("columns").alias("column"), all_of("rows").alias("row"))
     met = own.unionByName(guests).select("first", F.col("cell.size").alias("size"), F.col("cell.ring").alias("ring"), "row", "column", "node", "label", "asks", "elements")
 

@@ -253,3 +253,25 @@ def test_ids_have_to_be_whole_numbers(spark):
         minhash_dedup.near_duplicates(spark.createDataFrame([("a", "some text")], "doc_id string, text string"))
     got = minhash_dedup.near_duplicates(spark.createDataFrame([(7, "some text"), (3, "some text")], "doc_id int, text string")).collect()
     assert sorted((r.doc_id, r.class_id, r.kept) for r in got) == [(3, 3, True), (7, 3, False)]
+
+
+def test_cells_look_for_neighbours_not_their_members(spark, monkeypatch):
+    """Around a large star, what lists neighbouring cells stands on the cells: no member is multiplied by nine."""
+    r = random.Random(8)
+    texts = [prose(r, "en", 60) for _ in range(40)]
+    texts = [t for x in texts for t in (x, x + " more")]
+    df = spark.createDataFrame([(0, 100 + i, t) for i, t in enumerate(texts)], "first long, node long, text string")
+    members = df.withColumns({"label": F.col("node"), "asks": F.col("node") > 100, "elements_n": F.lit(60).cast("long"), "distance": F.lit(0.5)}).drop("text")
+    plans, rows, stage = {}, {}, minhash_dedup.stage_table
+
+    def spy(table, name):
+        plans[name] = table._jdf.queryExecution().analyzed().toString()
+        out = stage(table, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "stage_table", spy)
+    found = minhash_dedup.tile_links(members, df.select("node", "text"), 0.8, 5, True)
+    assert all("struct(size" not in line for line in plans["tiles"].splitlines() if "Generate" in line)
+    assert rows["sizes"] == 1 and rows["cells"] == 1
+    assert {frozenset((x.a, x.b)) for x in found.collect()} == {frozenset((100 + i, 101 + i)) for i in range(0, 80, 2)}
