@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scalars import order_fee
+from ridgeline.operators.stages import stored
 
 MOST_ENTRIES = 200  # scope values, as each becomes a literal
 
@@ -51,43 +52,51 @@ def lookup(asked: DataFrame, schedule: DataFrame) -> DataFrame:
     return asked.select(*asked.columns, fee.alias("fee_")).select(*asked.columns, "fee_.form", "fee_.rate", "fee_.scope_kind")
 
 
-def in_force(dates: DataFrame, schedule: DataFrame) -> DataFrame:
-    """(role, as_of, scope_kind, effective_from): the newest generation of each kind at each date.
+def calendar(schedule: DataFrame) -> DataFrame:
+    """(k_role, k_day, series_from, prefix_from, general): the generations in force on each day, up to the one that the last begins on.
 
-    Dates and generations are put in one order and the last generation is carried over, so no date meets more than one; the
-    rows are days of the calendar, whatever the length of the tape.
+    general is the fee of the kinds without values. The rows are days that the schedule spans, whatever the length of the tape.
     """
-    generations = schedule.select("role", "scope_kind", "effective_from").where("effective_from is not null").distinct()
-    kinds = generations.select("role", "scope_kind").distinct()
-    probes = dates.join(kinds, "role").select("role", "scope_kind", F.col("as_of").alias("day"), F.lit(None).cast("date").alias("begins"))
-    both = probes.unionByName(generations.select("role", "scope_kind", F.col("effective_from").alias("day"), F.col("effective_from").alias("begins")))
-    sofar = Window.partitionBy("role", "scope_kind").orderBy("day", F.col("begins").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("effective_from", F.last("begins", ignorenulls=True).over(sofar))
-    return found.where("begins is null and effective_from is not null").select("role", F.col("day").alias("as_of"), "scope_kind", "effective_from")
+    entry = ["role", "scope_kind", "effective_from"]
+    generations = schedule.select(*entry).where("effective_from is not null").distinct()
+    until = F.lead("effective_from").over(Window.partitionBy("role", "scope_kind").orderBy("effective_from"))
+    ends = F.coalesce(F.date_sub("until", 1), schedule.agg(F.max("effective_from")).scalar())
+    days = generations.withColumn("until", until).withColumn("k_day", F.explode(F.sequence("effective_from", ends))).drop("until")
+    rows = schedule.where(~F.col("scope_kind").isin("series", "ticker_prefix")).groupBy(*entry)
+    general = rows.agg(F.min_by(F.struct("form", "rate", "scope_kind"), F.struct("ord")).alias("fee"), F.min(F.struct("ord")).alias("place"))
+    begins = lambda kind, name: F.max(F.when(F.col("scope_kind") == kind, F.col("effective_from"))).alias(name)
+    found = days.join(general, entry, "left").groupBy(F.col("role").alias("k_role"), "k_day")
+    return found.agg(begins("series", "series_from"), begins("ticker_prefix", "prefix_from"), F.min_by("fee", "place").alias("general"))
 
 
 def joined_lookup(asked: DataFrame, schedule: DataFrame) -> DataFrame:
-    """lookup() for schedules of any length: distinct combinations are looked up once, by equality, and joined back.
+    """lookup() for schedules of any length, by joins of equality that read asked once.
 
-    The generation in force depends on role and date alone. Within it a series is found by its name, and a prefix by each length
-    that prefixes have; kinds without values are settled with the date. Joins carry no hints: Spark broadcasts a schedule that
-    it has measured to be small, and parts a hot series of a longer one.
+    The generation in force depends on role and date alone: a row of the calendar. Within it a series is found by its name, and a prefix
+    by a join for each length that prefixes have. What is joined is stored first and the joins carry no hints: Spark broadcasts what
+    it has measured to be small, so the rows aren't shuffled, and parts a hot key of a longer schedule.
     """
-    keys, entry = ["role", "as_of", "ticker", "series_ticker"], ["role", "scope_kind", "effective_from"]
-    scoped = F.col("scope_kind").isin("series", "ticker_prefix")
-    best = F.min_by(F.struct("form", "rate", "scope_kind"), F.struct("rank", "ord")).alias("fee")
-    rows = schedule.withColumn("rank", kind_rank())
-    listed = rows.where(scoped).withColumn("value", F.explode("scope_values"))
-    lengths = listed.where("scope_kind = 'ticker_prefix'").agg(F.collect_set(F.length("value"))).scalar()
-    distinct = asked.select(*keys).distinct()
-    current = in_force(distinct.select("role", "as_of").distinct(), schedule)
-    general = distinct.join(current.join(rows.where(~scoped), entry).select("role", "as_of", "form", "rate", "scope_kind", "rank", "ord"), ["role", "as_of"])
-    names = F.when(F.col("scope_kind") == "series", F.array("series_ticker")).otherwise(F.transform("lengths_", lambda n: F.left(F.col("ticker"), n)))
-    tried = distinct.join(current.where(scoped), ["role", "as_of"]).withColumn("lengths_", lengths).withColumn("value", F.explode(names))
-    met = tried.join(listed.select(*entry, "value", "form", "rate", "rank", "ord"), [*entry, "value"])
-    found = met.select(*general.columns).unionByName(general).groupBy(*keys).agg(best).withColumnsRenamed({k: f"k_{k}" for k in keys})
-    on = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
-    return asked.join(found, on, "left").select(*asked.columns, "fee.form", "fee.rate", "fee.scope_kind")
+    listed = schedule.withColumn("k_value", F.explode("scope_values")).where("k_value is not null")
+    best = F.min(F.struct("ord", "form", "rate", "scope_kind"))
+
+    def values(kind: str, since: str, fee: str) -> DataFrame:
+        keys = [F.col("role").alias("k_role"), F.col("effective_from").alias(since), "k_value"]
+        return listed.where(F.col("scope_kind") == kind).groupBy(*keys).agg(best.alias(fee))
+
+    series, prefixes = stored(values("series", "k_from", "series_fee"), "series"), stored(values("ticker_prefix", "k_from", "prefix_fee"), "prefixes")
+    lengths = sorted(r[0] for r in prefixes.select(F.length("k_value")).distinct().collect())
+    last = schedule.agg(F.max("effective_from")).scalar()
+    day = F.when(F.col("as_of") >= last, last).otherwise(F.col("as_of"))
+    out = asked.withColumn("day_", day).join(stored(calendar(schedule), "calendar"), [F.col("role") == F.col("k_role"), F.col("day_") == F.col("k_day")], "left").drop("k_role", "k_day", "day_")
+    met = lambda since, value: [F.col("role") == F.col("k_role"), F.col(since) == F.col("k_from"), value == F.col("k_value")]
+    key = ("k_role", "k_from", "k_value")
+    out = out.join(series, met("series_from", F.col("series_ticker")), "left").drop(*key)
+    for n in lengths:
+        own = prefixes.where(F.length("k_value") == n).withColumnRenamed("prefix_fee", f"fee_{n}")
+        out = out.join(own, met("prefix_from", F.left(F.col("ticker"), F.lit(n))), "left").drop(*key)
+    fees = [F.col("series_fee"), F.array_min(F.array_compact(F.array(*(F.col(f"fee_{n}") for n in lengths)))) if lengths else F.col("series_fee")]
+    plain = [F.when(x.isNotNull(), F.struct(x.form.alias("form"), x.rate.alias("rate"), x.scope_kind.alias("scope_kind"))) for x in fees]
+    return out.select(*asked.columns, F.coalesce(*plain, "general").alias("fee_")).select(*asked.columns, "fee_.form", "fee_.rate", "fee_.scope_kind")
 
 
 SCHEDULE = "ord int, effective_from date, role string, form string, rate double, scope_kind string, scope_values array<string>"

@@ -391,19 +391,22 @@ def c6_last_trade_before_end(d):
 FEE_ASKED = f"SELECT DISTINCT unnest(['taker', 'maker']) AS role, {UTC_DAY.format(t='t')} AS as_of, ticker, series_ticker FROM fills JOIN markets USING (ticker)"
 
 
+def fee_asked(d: Tables) -> DataFrame:
+    """Every ticker's days with fills, for both roles; the days are told apart before they are doubled."""
+    rows = d.raw_fills.join(d.markets.select("ticker", "series_ticker"), "ticker")
+    days = rows.select(S.utc_date(F.col("t")).alias("as_of"), "ticker", "series_ticker").distinct()
+    return days.select(F.explode(F.array(F.lit("taker"), F.lit("maker"))).alias("role"), "as_of", "ticker", "series_ticker")
+
+
 @query(f"WITH fa AS ({FEE_ASKED}) SELECT role, as_of, ticker, series_ticker, form, rate, scope_kind FROM ({LOOKUP.format(asked='fa')})")
 def c9_fee_lookup(d):
-    rows = d.raw_fills.join(d.markets.select("ticker", "series_ticker"), "ticker")
-    asked = rows.select(F.explode(F.array(F.lit("taker"), F.lit("maker"))).alias("role"), S.utc_date(F.col("t")).alias("as_of"), "ticker", "series_ticker").distinct()
-    return fees.lookup(asked, d.schedule)
+    return fees.lookup(fee_asked(d), d.schedule)
 
 
 @query(f"WITH fa AS ({FEE_ASKED}) SELECT role, as_of, ticker, series_ticker, form, rate, scope_kind FROM ({LOOKUP.format(asked='fa').replace('fee_rows', 'listed_rows')})")
 def c10_listed_fee_lookup(d):
     """Every day's fills against a schedule of many generations, series and prefixes, by joins of equality."""
-    rows = d.raw_fills.join(d.markets.select("ticker", "series_ticker"), "ticker")
-    asked = rows.select(F.explode(F.array(F.lit("taker"), F.lit("maker"))).alias("role"), S.utc_date(F.col("t")).alias("as_of"), "ticker", "series_ticker").distinct()
-    return fees.lookup(asked, d.listed)
+    return fees.lookup(fee_asked(d), d.listed)
 
 
 @query("SELECT f.trade_id, m.event_ticker, m.series_ticker, m.category FROM fills f LEFT JOIN markets m USING (ticker)")

@@ -100,6 +100,18 @@ def test_long_schedules_are_joined_by_equality(spark):
     assert {x[6] for x in rows} == {None, "all", "series", "ticker_prefix"}
 
 
+def test_long_schedules_read_what_is_asked_once(spark):
+    """Neither dates nor distinct keys are drawn from the tape first, and a small schedule leaves its rows where they are."""
+    entries = [(n, datetime.date(1995 + n, 1, 1), "maker", "quadratic", n / 100, "series", [f"S{n}-{k}" for k in range(150)]) for n in range(4)]
+    entries += [(9, datetime.date(1995, 1, 1), "taker", "quadratic", 0.07, "all", None), (10, datetime.date(1996, 1, 1), "taker", "quadratic", 0.03, "ticker_prefix", ["1", "22"])]
+    day = F.date_add(F.lit("1994-06-01").cast("date"), (F.col("id") % 3000).cast("int"))
+    asked = spark.range(6000).select(F.when(F.col("id") % 2 == 0, "maker").otherwise("taker").alias("role"), day.alias("as_of"), F.col("id").cast("string").alias("ticker"), F.lit("S2-7").alias("series_ticker"))
+    found = fees.lookup(asked, spark.createDataFrame(entries, fees.SCHEDULE))
+    plan = plan_of(found)
+    assert len(re.findall(r"Range \(", plan)) == 1 and "hashpartitioning" not in plan
+    assert found.count() == 6000 and found.where("scope_kind = 'ticker_prefix'").count() > 0
+
+
 def test_months_reach_the_scan(spark):
     plan = plan_of(registry.QUERIES["a1_tape_scan_months"](spark, SF))
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(l_shipdate", plan)
