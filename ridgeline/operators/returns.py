@@ -75,10 +75,18 @@ def layer(rows: DataFrame, schedule: DataFrame, name: str, as_of) -> DataFrame:
     return found.withColumnsRenamed({"form": f"form_{name}", "rate": f"rate_{name}"})
 
 
-def maker_margins(fills: DataFrame, markets: DataFrame, schedule: DataFrame) -> DataFrame:
+def side_cells(fills: DataFrame, markets: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Sides counted (n) by all that their returns depend on: contract count, price, outcome, role, and the fees of the day (b) and of a fixed date (c).
+
+    Margins and ribbon need no more, so a report that has both reads its tape once.
+    """
+    rows = layer(sides(fills, markets), schedule, "b", F.col("traded"))
+    rows = layer(rows, schedule, "c", F.lit(COUNTERFACTUAL_DATE).cast("date"))
+    return rows.groupBy("count_fp", "p", "y", "role", "form_b", "rate_b", "form_c", "rate_c").agg(F.count("*").alias("n"))
+
+
+def margins_of(cells: DataFrame) -> DataFrame:
     """One row: the makers' mean return less the takers', gross (a), at the fees of the day (b), at those of a fixed date (c)."""
-    rows = sides(fills, markets)
-    rows = layer(layer(rows, schedule, "b", F.col("traded")), schedule, "c", F.lit(COUNTERFACTUAL_DATE).cast("date"))
     gross = gross_return(F.col("y"), F.col("p"))
     nets = {"a": gross} | {
         x: net_return(F.col("y"), F.col("p"), F.when(F.col(f"form_{x}").isNotNull(), fee_from(f"form_{x}", f"rate_{x}")), F.col("count_fp")) for x in "bc"
@@ -87,28 +95,30 @@ def maker_margins(fills: DataFrame, markets: DataFrame, schedule: DataFrame) ->
     for x, value in nets.items():
         for who in ("maker", "taker"):
             mine = F.when(F.col("role") == who, value)
-            aggs += [F.avg(mine).alias(f"{who}_{x}"), F.count(mine).alias(f"n_{who}_{x}")]
+            n = F.sum(F.when(mine.isNotNull(), F.col("n")))
+            aggs += [(F.sum(mine * F.col("n")) / n).alias(f"{who}_{x}"), F.coalesce(n, F.lit(0)).alias(f"n_{who}_{x}")]
         if x != "a":
-            aggs.append(F.count_if(value.isNull()).alias(f"gaps_{x}"))
-    wide = rows.agg(*aggs)
+            aggs.append(F.coalesce(F.sum(F.when(value.isNull(), F.col("n"))), F.lit(0)).alias(f"gaps_{x}"))
+    wide = cells.agg(*aggs)
     return wide.select(*[(F.col(f"maker_{x}") - F.col(f"taker_{x}")).alias(f"margin_{x}") for x in nets], *[c for c in wide.columns if c[:2] == "n_" or c[:4] == "gaps"])
 
 
+def maker_margins(fills: DataFrame, markets: DataFrame, schedule: DataFrame) -> DataFrame:
+    return margins_of(side_cells(fills, markets, schedule))
+
+
 def fee_from(form: str, rate: str):
     from ridgeline.functions.scalars import order_fee
 
     return order_fee(F.col(form), F.col(rate), F.col("count_fp"), F.col("p"))
 
 
-def ribbon(fills: DataFrame, markets: DataFrame, schedule: DataFrame, grid: DataFrame) -> DataFrame:
-    """(grid_rate, margin): the layer-b margin with every charging maker rate replaced, for all grid rates in one scan.
+def ribbon_of(cells: DataFrame, grid: DataFrame) -> DataFrame:
+    """(grid_rate, margin): the layer-b margin with every charging maker rate replaced, for all grid rates in one pass over side_cells().
 
-    Sides are aggregated by what their fee depends on (contract count, price, outcome, role, entry) before they meet the
-    grid, so the grid multiplies groups, not fills. A missing margin counts as zero.
+    So the grid multiplies cells, not fills. A missing margin counts as zero.
     """
-    rows = layer(sides(fills, markets), schedule, "b", F.col("traded"))
-    cells = rows.groupBy("count_fp", "p", "y", "role", "form_b", "rate_b").agg(F.count("*").alias("n")).where("form_b is not null")
-    met = cells.crossJoin(F.broadcast(grid))
+    met = cells.where("form_b is not null").crossJoin(F.broadcast(grid))
     charging = (F.col("role") == "maker") & (F.col("form_b") != "none") & (F.col("rate_b") != 0)
     met = met.withColumn("rate_b", F.when(charging, F.col("grid_rate")).otherwise(F.col("rate_b")))
     net = net_return(F.col("y"), F.col("p"), fee_from("form_b", "rate_b"), F.col("count_fp")) * F.col("n")
@@ -120,6 +130,10 @@ def ribbon(fills: DataFrame, markets: DataFrame, schedule: DataFrame, grid: Data
     return met.groupBy("grid_rate").agg(F.coalesce(mean("maker") - mean("taker"), F.lit(0.0)).alias("margin"))
 
 
+def ribbon(fills: DataFrame, markets: DataFrame, schedule: DataFrame, grid: DataFrame) -> DataFrame:
+    return ribbon_of(side_cells(fills, markets, schedule), grid)
+
+
 def ribbon_summary(points: DataFrame) -> DataFrame:
     """(break_even, sign_flips): the first crossing of zero by linear interpolation; exactly zero counts as not positive."""
     order = Window.orderBy("grid_rate")  # a grid is a dozen rows

@@ -76,11 +76,15 @@ class Tables:
     def make_did(self) -> DataFrame:
         return did.did_pair(self.stored, self.schedule)
 
+    def make_side_cells(self) -> DataFrame:
+        """What margins and ribbon read, computed once: the tape is told from its replays and priced in one pass."""
+        return stored(returns.side_cells(self.side_fills, self.scope_markets, self.schedule), "sides")
+
     def make_margins(self) -> DataFrame:
-        return returns.maker_margins(self.side_fills, self.scope_markets, self.schedule)
+        return returns.margins_of(self.side_cells)
 
     def make_ribbon(self) -> DataFrame:
-        return returns.ribbon(self.side_fills, self.scope_markets, self.schedule, self.grid)
+        return returns.ribbon_of(self.side_cells, self.grid)
 
     def make_publication_bar(self) -> DataFrame:
         return compose.delta_bar(self.intervals, self.frozen, "delta_pub")

@@ -60,6 +60,16 @@ def test_fees_are_looked_up_in_the_row(spark):
     assert before == after
 
 
+def test_escalation_prices_the_tape_once(spark, monkeypatch):
+    """Margins and ribbon read the same stored cells, so replays are dropped and both sides priced in one pass."""
+    priced, sides = [], returns.sides
+    monkeypatch.setattr(returns, "sides", lambda *a: priced.append(1) or sides(*a))
+    d = registry.Tables(spark, SF)
+    margins, points = d.margins.first(), d.ribbon.count()
+    assert len(priced) == 1 and points > 1 and margins["n_maker_a"] > 0
+    assert all("lineitem" not in plan_of(x) for x in (d.margins, d.ribbon))
+
+
 def test_lookup_equals_the_join(spark, monkeypatch):
     r = random.Random(8)
     asked = [(r.choice(["maker", "taker", None]), r.choice([None, datetime.date(1994, 1, 1), datetime.date(r.randrange(1995, 2002), r.randrange(1, 13), r.randrange(1, 28))]), r.choice([None, "P1", "P12", "Q1"]), r.choice([None, "S1", "S3", "S8", "S9"])) for _ in range(300)]
