@@ -25,6 +25,8 @@ TO_UNIT = 2.0**-53
 #: Members up to which a star's open pairs are listed; larger ones are compared in tiles of two blocks of TILE members.
 BLOCK, TILE, WIDTH = 64, 512, 4096
 STARS = 3
+#: Bytes of rows that are signed at once.
+SIGNED = 2 << 20
 MASKS = mix(np.arange(1, STARS + 1, dtype=np.uint64) * ODD) >> np.uint64(1)
 
 
@@ -282,7 +284,8 @@ def text_classes(
         return f
 
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("same", text_digest(F.col("text")))
-    signed = append_columns(named, {"bands": T.ArrayType(T.LongType()), "elements_n": T.LongType()}, make, drop=["text"]).where("bands is not null")
+    # darts take some twenty times the bytes of the texts that are signed at once
+    signed = append_columns(named, {"bands": T.ArrayType(T.LongType()), "elements_n": T.LongType()}, make, drop=["text"], most=SIGNED).where("bands is not null")
     signed = stage_table(signed, "signatures")
     texts_of = signed.groupBy("same").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("elements_n").alias("elements_n"), F.count("*").alias("n"))
     # different texts are numbered, once, as the table is stored: shorter than digests, and sums by numbers need no sorting

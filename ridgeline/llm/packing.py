@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 from tokenizers import Tokenizer, pre_tokenizers
 
+from ridgeline.llm.common import Kept, give_back, ship, slices, stage_table, stretches
 from ridgeline.llm.common import pieces as runs
-from ridgeline.llm.common import ship, slices, stage_table, stretches
-from ridgeline.llm.token_counts import LETTERS, NUMBERS, SPACES, load
+from ridgeline.llm.token_counts import LETTERS, NUMBERS, SPACES
 
 #: Words of the lower-casing, space-dropping vocabulary, where its character classes are known (see token_counts).
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
@@ -53,8 +53,8 @@ def is_foreign(text: str) -> bool:
 class ChunkIds:
     """Little-endian 32-bit ids by chunk, a run of characters other than white space: chunks are encoded independently of each other.
 
-    A worker keeps one memo for all its tasks, in two generations of MEMO_ENTRIES each; what the older one holds and is met
-    again moves to the younger.
+    A worker keeps one memo for all its packing tasks, in two generations of MEMO_ENTRIES each; what the older one holds and is met
+    again moves to the younger. Another operator's task in that worker ends it.
     """
 
     def __init__(self, path: str):
@@ -70,9 +70,13 @@ class ChunkIds:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def whole(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def encode(self, words: list[str]) -> list[bytes]:
         """The ids of each of some strings that encode independently of each other."""
-        found = load(self.path).encode_batch_fast(words, add_special_tokens=False)
+        found = self.whole.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
@@ -146,9 +150,8 @@ class ChunkIds:
             yield b"".join(self.texts([part])[0] for part in stretches(end, STRETCH))
 
 
-@functools.lru_cache(maxsize=1)
 def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+    return Kept.get("chunk_ids", path, make=lambda: ChunkIds(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,6 +180,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col).take(pa.array(table[0])), pa.array(table[1].astype(np.int32)), *map(pa.array, table[2:])], schema.names
             )
+        give_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
